@@ -6,11 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The code points a Unicode-aware strip/split treats as white space.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
-)
+WHITESPACE = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
 FENCE = "```"
 CHUNK_SIZE = 5000
 MIN_CUT_SHARE = 0.3
@@ -36,10 +34,13 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def find_last(text: Column, pattern: str) -> Column:
-    """0-based position of the last occurrence of ``pattern``; negative when there is none."""
-    tail = F.substring_index(text, pattern, -1)
-    return F.length(text) - F.length(tail) - F.lit(len(pattern))
+def find_last(text: Column, pattern: str, length: Column) -> Column:
+    """0-based position of the last occurrence of ``pattern``; negative when there is none.
+
+    ``length`` is the length of ``text``, which callers know without counting again.
+    """
+    after = F.substring_index(text, pattern, -1)
+    return length - F.length(after) - F.lit(len(pattern))
 
 
 def headers(text: Column) -> Column:
@@ -95,9 +96,9 @@ def chunk_cuts(pieces: Column, length: Column, size: int = CHUNK_SIZE) -> Column
     steps = F.ceil(length / F.lit(int(least) + 1)).cast("int") + F.lit(1)
 
     def advance(window: Column) -> Column:
-        fence, para, stop = (find_last(window, p) for p in (FENCE, "\n\n", ". "))
+        fence, para, stop = (find_last(window, p, F.lit(size)) for p in (FENCE, "\n\n", ". "))
         return (
-            F.when(fence > least, fence)
+            F.when(window.contains(FENCE) & (fence > least), fence)
             .when(window.contains("\n\n"), F.when(para > least, para).otherwise(size))
             .when(stop > least, stop + F.lit(1))
             .otherwise(F.lit(size))
