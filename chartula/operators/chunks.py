@@ -99,15 +99,13 @@ def chunk_id() -> Column:
 
 
 def _metadata(fields: dict[str, Column], extra: Column | None) -> Column:
-    columns = [value.alias(name) for name, value in fields.items()]
+    """JSON text of the known keys followed by the fields of the ``extra`` struct."""
+    known = F.to_json(F.struct(*(value.alias(name) for name, value in fields.items())))
     if extra is None:
-        return F.to_json(F.struct(*columns))
-    # Struct of known keys followed by the keys of the extra struct.
-    whole = F.concat(
-        F.regexp_replace(F.to_json(F.struct(*columns)), r"\}$", ","),
-        F.regexp_replace(F.to_json(extra), r"^\{", ""),
-    )
-    return F.regexp_replace(whole, r",\}$", "}")
+        return known
+    more = F.to_json(extra)
+    joined = F.concat(F.left(known, F.length(known) - 1), F.lit(","), F.substring(more, 2, F.length(more)))
+    return F.when(more.isNull() | (more == "{}"), known).otherwise(joined)
 
 
 def code_blocks(
