@@ -21,7 +21,7 @@ def parse_score(response: Column) -> Column:
         F.when(number <= 1.0, number)
         .when(number <= 10.0, number / 10.0)
         .when(number <= 100.0, number / 100.0)
-        .otherwise(F.least(number / 1000.0, F.lit(1.0)))
+        .when(number.isNotNull(), F.least(number / 1000.0, F.lit(1.0)))
     )
     lowered = F.lower(response)
     worded = F.lit(NEUTRAL_SCORE)

@@ -259,17 +259,20 @@ def contains_ci(text: Column, needle: Column | str) -> Column:
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """The keywords found in ``text``, in list order."""
-    return F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(text), k))
+    wanted = F.array(*map(F.lit, keywords))
+    return _let(F.lower(text), lambda low: F.filter(wanted, lambda k: F.contains(low, k)))
 
 
 def keyword_snippet(
     text: Column, priority: list[str], width: int = 400, lead: int = 100
 ) -> Column:
     """A window around the first priority keyword found; short texts are returned whole."""
-    lowered = F.lower(text)
-    start = F.lit(1)
-    for word in reversed(priority):
-        at = F.locate(word, lowered)
-        start = F.when(at > 0, F.greatest(at - F.lit(lead), F.lit(1))).otherwise(start)
+    wanted = F.array(*map(F.lit, priority))
+
+    def first_position(lowered: Column) -> Column:
+        found = F.transform(wanted, lambda word: F.position(word, lowered))
+        return F.coalesce(F.get(F.filter(found, lambda at: at > 0), F.lit(0)), F.lit(1))
+
+    start = F.greatest(_let(F.lower(text), first_position) - F.lit(lead), F.lit(1))
     window = F.concat(F.substring(text, start, F.lit(width)), F.lit("..."))
     return F.when(F.length(text) > width, window).otherwise(text)
