@@ -318,7 +318,7 @@ def flag_in_graph(rows: DataFrame, modules: DataFrame, name: Column, out: str =
     """Whether a name comes from a module of the script's own graph imports."""
     flagged = rows.withColumn("base", F.substring_index(name, ".", 1))
     known = modules.withColumn("_known", F.lit(True))
-    joined = flagged.join(known, ["script", "base"], "left")
+    joined = salted_join(flagged, known, ["script", "base"], "left", salt_on=["seq"])
     return joined.withColumn(out, F.coalesce("_known", F.lit(False))).drop("_known", "base")
 
 
