@@ -10,6 +10,7 @@ from chartula.catalog.registry import query
 from chartula.operators import code_facts, usage_facts
 from chartula.operators import usage_checks as uc
 from chartula.operators import usage_reports as ur
+from chartula.session import cut_lineage
 
 # --- SQL statement of the rules -----------------------------------------------------------------------
 
@@ -107,8 +108,12 @@ _SHOWN = ["script", "kind", "seq", "line", "name", "owner", "in_graph", "status"
 
 
 def _validated(t):
-    rows, _ = uc.validate(dv.usage(t), dv.graph(t))
-    return rows
+    rows, _ = uc.validate(dv.usage(t), _graph(t))
+    return cut_lineage(rows)
+
+
+def _graph(t):
+    return dv.graph(t).materialised()
 
 
 def _modules(t, graph):
@@ -175,7 +180,7 @@ def check_imports(t):
         UNION SELECT DISTINCT b.module, 'function', f.name FROM best b JOIN functions f ON f.repo = b.repo""",
 )
 def module_contents(t):
-    graph = dv.graph(t)
+    graph = _graph(t)
     return uc.module_contents(uc.check_imports(dv.usage(t).imports, graph), graph)
 
 
@@ -186,13 +191,13 @@ def graph_modules(t):
 
 @query("check_instantiations", _PRELUDE + _CLASS_SQL)
 def check_instantiations(t):
-    graph = dv.graph(t)
+    graph = _graph(t)
     return uc.check_instantiations(dv.usage(t).instantiations, _modules(t, graph), graph).select(*_SHOWN)
 
 
 @query("check_method_calls", _PRELUDE + _METHOD_SQL)
 def check_method_calls(t):
-    graph = dv.graph(t)
+    graph = _graph(t)
     return uc.check_method_calls(dv.usage(t).method_calls, _modules(t, graph), graph).select(*_SHOWN)
 
 
@@ -209,7 +214,7 @@ def check_method_calls(t):
     SELECT owner, name, string_agg(candidate, ',' ORDER BY candidate) AS suggestions FROM s WHERE i <= 5 GROUP BY owner, name""",
 )
 def method_suggestions(t):
-    graph = dv.graph(t)
+    graph = _graph(t)
     rows = uc.check_method_calls(dv.usage(t).method_calls, _modules(t, graph), graph)
     rows = rows.filter("status = 'NOT_FOUND' AND size(suggestions) > 0").select("owner", "name", "suggestions").distinct()
     return rows.withColumn("suggestions", F.array_join("suggestions", ","))
@@ -217,13 +222,13 @@ def method_suggestions(t):
 
 @query("check_attributes", _PRELUDE + _ATTRIBUTE_SQL)
 def check_attributes(t):
-    graph = dv.graph(t)
+    graph = _graph(t)
     return uc.check_attributes(dv.usage(t).attributes, _modules(t, graph), graph).select(*_SHOWN)
 
 
 @query("check_functions", _PRELUDE + _FUNCTION_SQL)
 def check_functions(t):
-    graph = dv.graph(t)
+    graph = _graph(t)
     return uc.check_functions(dv.usage(t).functions, _modules(t, graph), graph).select(*_SHOWN)
 
 

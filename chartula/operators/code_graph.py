@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chartula.functions import params as pm
 from chartula.operators.ranking import first_per_key, top_per_group
+from chartula.session import cut_lineage
 from chartula.sources import tables
 
 # Modules that never belong to the analysed project.
@@ -47,6 +48,10 @@ class CodeGraph:
     imports: DataFrame
     import_targets: DataFrame
 
+    def materialised(self) -> CodeGraph:
+        """The same graph with every table cut into the checkpoint folder, for repeated use."""
+        return CodeGraph(*(cut_lineage(getattr(self, f.name)) for f in fields(self)))
+
     def register(self, prefix: str = "") -> None:
         """Temp views over every table, for ad-hoc SQL."""
         for f in fields(self):

@@ -16,6 +16,7 @@ from chartula.operators.code_graph import CodeGraph, dotted_prefixes
 from chartula.operators.joins import salted_join
 from chartula.operators.ranking import first_per_key, top_per_group
 from chartula.operators.usage_facts import Usage
+from chartula.session import cut_lineage
 
 SUGGESTIONS = 5
 SUGGESTION_PREFIX = 3
@@ -74,14 +75,20 @@ def ranked_repositories(modules: DataFrame, graph: CodeGraph, limit: int = 5) ->
     return top_per_group(once, ["module"], [F.asc("_place"), F.asc("repo")], 2 * limit).drop("_place")
 
 
+def _best_by_prefix(files: DataFrame) -> DataFrame:
+    """``(module, repo)`` for every dotted prefix of a module name: the repository with most files."""
+    prefixes = files.select("repo", F.explode(F.array_distinct(dotted_prefixes(F.col("module_name")))).alias("module"))
+    counts = prefixes.groupBy("module", "repo").agg(F.count(F.lit(1)).alias("_n"))
+    return first_per_key(counts.withColumn("_o", -F.col("_n")), ["module"], ["_o", "repo"]).select("module", "repo")
+
+
 def best_repository(modules: DataFrame, graph: CodeGraph) -> DataFrame:
     """``(module, repo)``: the repository with most files in the module, else the best by name."""
-    by_module = first_per_key(
-        module_matches(modules, graph.files).withColumn("_o", -F.col("file_count")), ["module"], ["_o", "repo"]
-    ).select("module", "repo")
-    rest = modules.select("module").distinct().join(by_module, "module", "left_anti")
-    by_name = first_per_key(name_matches(rest, graph.repositories), ["module"], ["priority", "repo"])
-    return by_module.unionByName(by_name.select("module", "repo"))
+    names = graph.repositories.select("repo", F.explode(_folded(F.col("repo"))).alias("_f")).select("repo", "_f.*")
+    by_name = first_per_key(names, ["folded"], ["priority", "repo"]).select("folded", F.col("repo").alias("_named"))
+    asked = modules.select("module").distinct().withColumn("folded", F.lower("module"))
+    joined = asked.join(_best_by_prefix(graph.files), "module", "left").join(by_name, "folded", "left")
+    return joined.select("module", F.coalesce("repo", "_named").alias("repo")).filter("repo IS NOT NULL")
 
 
 def owner_repository(modules: DataFrame, graph: CodeGraph) -> DataFrame:
@@ -89,26 +96,28 @@ def owner_repository(modules: DataFrame, graph: CodeGraph) -> DataFrame:
 
     Containment is an equi-join on exploded substrings of the (short) names.
     """
-    by_module = first_per_key(
-        module_matches(modules, graph.files).withColumn("_o", -F.col("file_count")), ["module"], ["_o", "repo"]
-    ).select("module", "repo")
-    rest = modules.select("module").distinct().join(by_module, "module", "left_anti")
-    wanted = rest.filter("module <> ''").select("module", F.lower("module").alias("_low"))
+    asked = modules.select("module").distinct().filter("module <> ''")
+    asked = cut_lineage(asked.join(_best_by_prefix(graph.files), "module", "left"))
+    rest = asked.filter("repo IS NULL").select("module", F.lower("module").alias("_low"))
     low = F.lower("repo")
-    names = graph.repositories.select("repo", low.alias("_low_repo"), F.replace(low, F.lit("-"), F.lit("_")).alias("_folded"))
+    names = graph.repositories.select(
+        "repo",
+        low.alias("_low_repo"),
+        F.replace(low, F.lit("-"), F.lit("_")).alias("_under"),
+        F.replace(low, F.lit("_"), F.lit("-")).alias("_dash"),
+    )
     inside_repo = names.select("repo", F.explode(_substrings(F.col("_low_repo"))).alias("_low"))
-    inside_module = wanted.select("module", F.explode(_substrings(F.col("_low"))).alias("_folded"))
+    inside_module = rest.select("module", F.explode(_substrings(F.col("_low"))).alias("_under"))
     pairs = (
-        wanted.join(inside_repo, "_low")
-        .select("module", "repo")
-        .union(inside_module.join(names, "_folded").select("module", "repo"))
-        .union(name_matches(rest, graph.repositories).select("module", "repo"))
+        rest.join(inside_repo, "_low").select("module", "repo")
+        .union(inside_module.join(names, "_under").select("module", "repo"))
+        .union(rest.join(names, F.col("_low") == F.col("_dash")).select("module", "repo"))
         .distinct()
     )
     m, r = F.lower("module"), F.lower("repo")
     priority = F.when(r == m, 1).when(F.replace(r, F.lit("-"), F.lit("_")) == m, 2).otherwise(3)
     by_name = first_per_key(pairs.withColumn("priority", priority), ["module"], ["priority", "repo"])
-    return by_module.unionByName(by_name.select("module", "repo"))
+    return asked.filter("repo IS NOT NULL").unionByName(by_name.select("module", "repo"))
 
 
 def _substrings(text: Column) -> Column:
@@ -163,23 +172,30 @@ def _find(
     """Two-step lookup of distinct ``(owner, *keys)``.
 
     ``exact`` is keyed by owner; for dotted owners not found there, ``in_repo`` is keyed by the
-    repository of the module part and the simple name.  Adds ``found`` and the payload.
+    repository of the module part and the simple name.  Returns every key with ``found`` and
+    the payload.
     """
-    needed = needed.select("owner", *keys).distinct()
-    direct = needed.join(exact.select("owner", *keys, *payload), ["owner", *keys])
-    missing = needed.join(direct.select("owner", *keys), ["owner", *keys], "left_anti").filter(
-        F.col("owner").contains(".")
-    )
+    held = ["owner", *keys]
+    direct = exact.select(*held, F.struct(*payload).alias("_direct"))
+    step = cut_lineage(needed.select(*held).distinct().join(direct, held, "left"))
     simple = F.substring_index("owner", ".", -1)
-    module = F.left("owner", F.length("owner") - F.length(simple) - F.lit(1))
-    missing = missing.withColumn("module", module).withColumn("_simple", simple)
+    missing = step.filter(F.col("_direct").isNull() & F.col("owner").contains(".")).select(
+        *held,
+        F.left("owner", F.length("owner") - F.length(simple) - F.lit(1)).alias("module"),
+        simple.alias("_simple"),
+    )
     homes = owner_repository(missing.select("module"), graph)
-    indirect = (
-        missing.join(homes, "module")
-        .join(in_repo.select("repo", F.col("owner").alias("_simple"), *keys, *payload), ["repo", "_simple", *keys])
-        .select("owner", *keys, *payload)
+    local = in_repo.select("repo", F.col("owner").alias("_simple"), *keys, F.struct(*payload).alias("_indirect"))
+    indirect = missing.join(homes, "module").join(local, ["repo", "_simple", *keys]).select(*held, "_indirect")
+    answer = F.coalesce("_direct", "_indirect")
+    joined = step.join(indirect, held, "left").select(*held, answer.alias("_answer"))
+    return cut_lineage(
+        joined.select(
+            *held,
+            *(F.col(f"_answer.{c}").alias(c) for c in payload),
+            F.col("_answer").isNotNull().alias("found"),
+        )
     )
-    return direct.select("owner", *keys, *payload).unionByName(indirect).withColumn("found", F.lit(True))
 
 
 def _repo_members(members: DataFrame, graph: CodeGraph, payload: Sequence[str]) -> DataFrame:
@@ -248,14 +264,14 @@ def similar_methods(needed: DataFrame, graph: CodeGraph, limit: int = SUGGESTION
     """
     wanted = needed.select("owner", "name").distinct().withColumn("_gram", F.left("name", F.lit(SUGGESTION_PREFIX)))
     # One row per distinct (owner, start of name): the suggestions are the same for all of them.
-    starts = wanted.select("owner", "_gram").distinct()
+    starts = cut_lineage(wanted.select("owner", "_gram").distinct())
     grams = graph.methods.select(
         "class_name", "class_full_name", F.col("name").alias("candidate"), F.explode(_grams(F.col("name"))).alias("_gram")
     )
     by_class = grams.select(
         F.explode(F.array_distinct(F.array("class_name", "class_full_name"))).alias("owner"), "_gram", "candidate"
     )
-    direct = _suggest(starts.join(by_class, ["owner", "_gram"]), ["owner", "_gram"], "candidate", limit)
+    direct = cut_lineage(_suggest(starts.join(by_class, ["owner", "_gram"]), ["owner", "_gram"], "candidate", limit))
     simple = F.substring_index("owner", ".", -1)
     rest = (
         starts.join(direct.select("owner", "_gram"), ["owner", "_gram"], "left_anti")
@@ -311,7 +327,7 @@ def module_contents(checked: DataFrame, graph: CodeGraph) -> DataFrame:
 def graph_modules(checked: DataFrame) -> DataFrame:
     """``(script, base)``: first segments of the modules a script imports from the graph."""
     base = F.substring_index("search_module", ".", 1)
-    return checked.filter("status = 'VALID'").select("script", base.alias("base")).distinct()
+    return cut_lineage(checked.filter("status = 'VALID'").select("script", base.alias("base")).distinct())
 
 
 def flag_in_graph(rows: DataFrame, modules: DataFrame, name: Column, out: str = "in_graph") -> DataFrame:
@@ -360,10 +376,9 @@ def _validated(rows: DataFrame, kind: str, rules: list[tuple[Column, str | Colum
 def check_instantiations(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
     rows = rows.withColumn("owner", F.coalesce("full_class_name", "class_name")).withColumn("name", F.col("class_name"))
     rows = flag_in_graph(rows, modules, F.col("owner"))
-    needed = rows.filter("in_graph").select("owner").distinct()
-    rows = _attach(rows, find_classes(needed, graph).select("owner", F.col("found").alias("_class")), ["owner"])
-    inits = find_methods(needed.withColumn("name", F.lit("__init__")), graph)
-    rows = _attach(rows, inits.select("owner", "expected"), ["owner"])
+    classes = find_classes(rows.filter("in_graph"), graph).select("owner", F.col("found").alias("_class"))
+    inits = find_methods(classes.filter("_class").withColumn("name", F.lit("__init__")), graph)
+    rows = _attach(rows, classes.join(inits.select("owner", "expected"), "owner", "left"), ["owner"])
     rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
     found = F.coalesce("_class", F.lit(False))
     quoted = _message("Class '", F.col("owner"), "'")
@@ -393,11 +408,9 @@ def check_instantiations(rows: DataFrame, modules: DataFrame, graph: CodeGraph)
 def check_method_calls(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
     rows = rows.withColumn("owner", F.col("object_type")).withColumn("name", F.col("method_name"))
     rows = flag_in_graph(rows, modules, F.col("owner"))
-    needed = rows.filter("in_graph").select("owner", "name").distinct()
-    found_methods = find_methods(needed, graph).select("owner", "name", "expected", F.col("found").alias("_method"))
-    absent = needed.join(found_methods.select("owner", "name"), ["owner", "name"], "left_anti")
+    looked_up = find_methods(rows.filter("in_graph"), graph).select("owner", "name", "expected", F.col("found").alias("_method"))
     # One lookup table with parameters for the found and suggestions for the missing methods.
-    looked_up = found_methods.join(similar_methods(absent, graph), ["owner", "name"], "full_outer")
+    looked_up = looked_up.join(similar_methods(looked_up.filter("NOT _method"), graph), ["owner", "name"], "left")
     rows = _attach(rows, looked_up, ["owner", "name"])
     rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
     found = F.coalesce("_method", F.lit(False))
@@ -427,10 +440,10 @@ def check_method_calls(rows: DataFrame, modules: DataFrame, graph: CodeGraph) ->
 def check_attributes(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
     rows = rows.withColumn("owner", F.col("object_type")).withColumn("name", F.col("attribute_name"))
     rows = flag_in_graph(rows, modules, F.col("owner"))
-    needed = rows.filter("in_graph").select("owner", "name").distinct()
-    attributes = find_attributes(needed, graph).select("owner", "name", "type", F.col("found").alias("_attribute"))
-    rest = needed.join(attributes.select("owner", "name"), ["owner", "name"], "left_anti")
-    methods = find_methods(rest, graph).select("owner", "name", F.lit("method").alias("type"), F.lit(False).alias("_attribute"))
+    looked_up = find_attributes(rows.filter("in_graph"), graph).select("owner", "name", "type", F.col("found").alias("_found"))
+    methods = find_methods(looked_up.filter("NOT _found"), graph).filter("found")
+    methods = methods.select("owner", "name", F.lit("method").alias("type"), F.lit(False).alias("_attribute"))
+    attributes = looked_up.filter("_found").select("owner", "name", "type", F.lit(True).alias("_attribute"))
     rows = _attach(rows, attributes.unionByName(methods), ["owner", "name"])
     quoted = _message("'", F.col("name"), "'")
     on_class = _message(" on class '", F.col("owner"), "'")
@@ -453,8 +466,8 @@ def check_functions(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> Da
     rows = rows.withColumn("owner", F.coalesce("full_name", "function_name")).withColumn("name", F.col("function_name"))
     rows = flag_in_graph(rows, modules, F.col("full_name"))
     skipped = F.col("full_name").isNotNull() & ~F.col("in_graph")
-    needed = rows.filter(~skipped).select("owner").distinct()
-    rows = _attach(rows, find_functions(needed, graph).select("owner", "expected", F.col("found").alias("_function")), ["owner"])
+    looked_up = find_functions(rows.filter(~skipped), graph)
+    rows = _attach(rows, looked_up.select("owner", "expected", F.col("found").alias("_function")), ["owner"])
     rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
     found = F.coalesce("_function", F.lit(False))
     quoted = _message("Function '", F.col("owner"), "'")

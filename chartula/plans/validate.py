@@ -19,8 +19,9 @@ class ValidationRun:
 
 
 def graph_from_files(files: DataFrame, *, include_init: bool = False) -> CodeGraph:
-    """Code graph of ``(repo, path, content)``.  Sources are parsed once and kept."""
-    return build_graph(cut_lineage(code_facts.extract_definitions(files, include_init=include_init)))
+    """Code graph of ``(repo, path, content)``.  Sources are parsed once; the tables are kept."""
+    facts = cut_lineage(code_facts.extract_definitions(files, include_init=include_init))
+    return build_graph(facts).materialised()
 
 
 def validate_scripts(scripts: DataFrame, graph: CodeGraph) -> ValidationRun:
