@@ -9,6 +9,7 @@ from chartula.catalog.registry import query
 from chartula.functions import params as pm
 from chartula.operators import code_facts
 from chartula.operators import code_graph as cg
+from chartula.session import cut_lineage
 from chartula.sources import repo_files, tables
 
 _METHODS = f"""SELECT class_full_name, any_value(class_name) AS class_name, name, arg_min(params, ord) AS params,
@@ -353,7 +354,7 @@ def file_facts(t):
         UNION ALL SELECT concat(module, '.Shared::rank'), 'Shared', 'List[int]', 'level:Any=None', 'level' FROM ({_SOURCES}) WHERE c_custkey % 50 <> 7""",
 )
 def source_methods(t):
-    graph = cg.build_graph(code_facts.extract_definitions(source_files(t)))
+    graph = cg.build_graph(cut_lineage(code_facts.extract_definitions(source_files(t))))
     return graph.methods.select(
         "id",
         "class_name",
@@ -370,7 +371,7 @@ def source_methods(t):
         UNION ALL SELECT repo, path, 'inner', concat(module, '.inner'), 'z:Any' FROM ({_SOURCES}) WHERE c_custkey % 50 <> 7""",
 )
 def source_functions(t):
-    graph = cg.build_graph(code_facts.extract_definitions(source_files(t)))
+    graph = cg.build_graph(cut_lineage(code_facts.extract_definitions(source_files(t))))
     return graph.functions.select("repo", "path", "name", "full_name", F.array_join("params_detailed", ";").alias("params"))
 
 
@@ -380,5 +381,5 @@ def source_functions(t):
             CAST(count(*) * 2 AS BIGINT) AS functions, count(*) AS imports FROM ({_SOURCES}) WHERE c_custkey % 50 <> 7 GROUP BY repo""",
 )
 def load_totals(t):
-    facts = code_facts.extract_definitions(source_files(t))
+    facts = cut_lineage(code_facts.extract_definitions(source_files(t)))
     return cg.load_totals(facts, cg.build_graph(facts).imports)

@@ -376,7 +376,7 @@ def script_files(t):
            AS x(line, object_name, method_name, object_type) WHERE c_custkey % 50 <> 9""",
 )
 def typed_method_calls(t):
-    usage = usage_facts.usage_tables(code_facts.extract_usage(script_files(t)))
+    usage = usage_facts.usage_tables(cut_lineage(code_facts.extract_usage(script_files(t))))
     return usage.method_calls.select("script", "line", "object_name", "method_name", "object_type")
 
 
@@ -387,7 +387,7 @@ def typed_method_calls(t):
            (13, 'Widget', NULL, 'class')) AS x(line, name, full_name, kind) WHERE c_custkey % 50 <> 9""",
 )
 def resolved_calls(t):
-    usage = usage_facts.usage_tables(code_facts.extract_usage(script_files(t)))
+    usage = usage_facts.usage_tables(cut_lineage(code_facts.extract_usage(script_files(t))))
     made = usage.instantiations.select(
         "script", "line", F.col("class_name").alias("name"), F.col("full_class_name").alias("full_name"), F.lit("class").alias("kind")
     )

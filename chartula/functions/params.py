@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chartula.functions.exprs import let
+
 
 def render_simple(params: Column) -> Column:
     return F.transform(params, lambda p: F.concat(p["name"], F.lit(":"), p["type"]))
@@ -49,27 +51,34 @@ def check_call(expected: Column, args: Column, kwargs: Column) -> Column:
     Tests run in this order: too many positional, too few positional, unknown keywords,
     missing keyword-only.  Positionals given by keyword still count as missing.
     """
-    parsed = _parsed(expected)
+    def names(parsed: Column, keyword_only: bool) -> Column:
+        kind = F.lit(keyword_only)
+        return F.filter(
+            parsed,
+            lambda p: ~p["body"].startswith("*") & p["body"].contains(":") & ((p["kind"] == "keyword_only") == kind),
+        )
 
-    def named(keyword_only: bool, optional: bool | None = None) -> Column:
-        def keep(p: Column) -> Column:
-            plain = ~p["body"].startswith("*") & p["body"].contains(":")
-            kind = (p["kind"] == "keyword_only") == F.lit(keyword_only)
-            return plain & kind & (F.lit(True) if optional is None else p["optional"] == optional)
+    def required(params: Column) -> Column:
+        return F.transform(F.filter(params, lambda p: ~p["optional"]), lambda p: p["name"])
 
-        return F.transform(F.filter(parsed, keep), lambda p: p["name"])
+    def all_names(params: Column) -> Column:
+        return F.transform(params, lambda p: p["name"])
 
-    var_keyword = F.exists(parsed, lambda p: p["body"].startswith("**"))
-    var_positional = F.exists(
-        parsed, lambda p: p["body"].startswith("*") & ~p["body"].startswith("**")
-    )
-    given = F.coalesce(F.size(args), F.lit(0))
-    given = F.when(given < 0, F.lit(0)).otherwise(given)
-    keys = F.coalesce(F.map_keys(kwargs), F.array().cast("array<string>"))
-    required = F.size(named(False, False))
-    allowed = F.size(named(False))
-    unknown = F.array_sort(F.array_except(keys, F.concat(named(False), named(True))))
-    missing = F.array_sort(F.array_except(named(True, False), keys))
+    none = F.array().cast("array<string>")
+    keys = F.coalesce(F.map_keys(kwargs), none)
+
+    def signature(parsed: Column) -> Column:
+        plain, only = names(parsed, False), names(parsed, True)
+        return F.struct(
+            F.exists(parsed, lambda p: p["body"].startswith("**")).alias("var_keyword"),
+            F.exists(parsed, lambda p: p["body"].rlike(r"^\*[^*]")).alias("var_positional"),
+            F.size(required(plain)).alias("required"),
+            F.size(plain).alias("allowed"),
+            F.array_sort(F.array_except(keys, F.concat(all_names(plain), all_names(only)))).alias("unknown"),
+            F.array_sort(F.array_except(required(only), keys)).alias("missing"),
+        )
+
+    given = F.greatest(F.coalesce(F.size(args), F.lit(0)), F.lit(0))
 
     def outcome(status: str, confidence: float, *message: Column) -> Column:
         return F.struct(
@@ -84,34 +93,36 @@ def check_call(expected: Column, args: Column, kwargs: Column) -> Column:
     def count(label: str, middle: str, limit: Column) -> list[Column]:
         return [F.lit(label), given.cast("string"), F.lit(middle), limit.cast("string")]
 
-    return (
-        F.when(
-            expected.isNull() | (F.size(expected) <= 0),
-            outcome("UNCERTAIN", 0.5, F.lit("Parameter information not available")),
-        )
-        .when(
-            ~var_positional & (given > allowed),
-            outcome(
-                "INVALID",
-                0.8,
-                *count("Too many positional arguments: provided ", ", max allowed ", allowed),
-            ),
-        )
-        .when(
-            given < required,
-            outcome(
-                "INVALID",
-                0.8,
-                *count("Too few positional arguments: provided ", ", required ", required),
-            ),
+    def judge(sig: Column) -> Column:
+        return (
+            F.when(
+                ~sig["var_positional"] & (given > sig["allowed"]),
+                outcome(
+                    "INVALID",
+                    0.8,
+                    *count("Too many positional arguments: provided ", ", max allowed ", sig["allowed"]),
+                ),
+            )
+            .when(
+                given < sig["required"],
+                outcome(
+                    "INVALID",
+                    0.8,
+                    *count("Too few positional arguments: provided ", ", required ", sig["required"]),
+                ),
+            )
+            .when(
+                ~sig["var_keyword"] & (F.size(sig["unknown"]) > 0),
+                outcome("INVALID", 0.7, *listing("Invalid keyword arguments: ", sig["unknown"])),
+            )
+            .when(
+                F.size(sig["missing"]) > 0,
+                outcome("INVALID", 0.8, *listing("Missing required keyword arguments: ", sig["missing"])),
+            )
+            .otherwise(outcome("VALID", 0.9, F.lit("Parameters are valid")))
         )
-        .when(
-            ~var_keyword & (F.size(unknown) > 0),
-            outcome("INVALID", 0.7, *listing("Invalid keyword arguments: ", unknown)),
-        )
-        .when(
-            F.size(missing) > 0,
-            outcome("INVALID", 0.8, *listing("Missing required keyword arguments: ", missing)),
-        )
-        .otherwise(outcome("VALID", 0.9, F.lit("Parameters are valid")))
+
+    unknown = outcome("UNCERTAIN", 0.5, F.lit("Parameter information not available"))
+    return F.when(expected.isNull() | (F.size(expected) <= 0), unknown).otherwise(
+        let(_parsed(expected), lambda parsed: let(signature(parsed), judge))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chartula.functions.exprs import let
+
 # The code points a Unicode-aware strip/split treats as white space.
 WHITESPACE = "".join(
     map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
@@ -80,11 +82,6 @@ def block_slice(pieces: Column, size: int, start: Column, length: Column) -> Col
     return F.substring(pair, start - index * F.lit(size) + F.lit(1), length)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def chunk_cuts(pieces: Column, length: Column, size: int = CHUNK_SIZE) -> Column:
     """End offsets of the boundary-aware chunks of a text given as ``blocks(text, size)``.
 
@@ -107,8 +104,8 @@ def chunk_cuts(pieces: Column, length: Column, size: int = CHUNK_SIZE) -> Column
     def step(state: Column, _: Column) -> Column:
         pos = state["pos"]
         window = block_slice(pieces, size, pos, F.lit(size))
-        nxt = F.when(pos + F.lit(size) >= length, length).otherwise(pos + _let(window, advance))
-        moved = _let(
+        nxt = F.when(pos + F.lit(size) >= length, length).otherwise(pos + let(window, advance))
+        moved = let(
             nxt,
             lambda n: F.struct(
                 n.cast("int").alias("pos"), F.array_append(state["cuts"], n.cast("int")).alias("cuts")
@@ -260,7 +257,7 @@ def contains_ci(text: Column, needle: Column | str) -> Column:
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """The keywords found in ``text``, in list order."""
     wanted = F.array(*map(F.lit, keywords))
-    return _let(F.lower(text), lambda low: F.filter(wanted, lambda k: F.contains(low, k)))
+    return let(F.lower(text), lambda low: F.filter(wanted, lambda k: F.contains(low, k)))
 
 
 def keyword_snippet(
@@ -273,6 +270,6 @@ def keyword_snippet(
         found = F.transform(wanted, lambda word: F.position(word, lowered))
         return F.coalesce(F.get(F.filter(found, lambda at: at > 0), F.lit(0)), F.lit(1))
 
-    start = F.greatest(_let(F.lower(text), first_position) - F.lit(lead), F.lit(1))
+    start = F.greatest(let(F.lower(text), first_position) - F.lit(lead), F.lit(1))
     window = F.concat(F.substring(text, start, F.lit(width)), F.lit("..."))
     return F.when(F.length(text) > width, window).otherwise(text)

@@ -32,7 +32,8 @@ def extract_definitions(files: DataFrame, *, include_init: bool = False) -> Data
             found["error"] = f"{type(error).__name__}: {error}"
         return {"repo": row["repo"], "path": row["path"], **found}
 
-    return _per_row(files.select("repo", "path", "content"), facts, FILE_FACTS)
+    rows = _spread(files.select("repo", "path", "content"), "repo", "path")
+    return _per_row(rows, facts, FILE_FACTS)
 
 
 def extract_usage(scripts: DataFrame) -> DataFrame:
@@ -44,7 +45,15 @@ def extract_usage(scripts: DataFrame) -> DataFrame:
         except PARSE_ERRORS as error:
             return {"script": row["script"], "events": [], "error": f"{type(error).__name__}: {error}"}
 
-    return _per_row(scripts.select("script", "content"), facts, SCRIPT_FACTS)
+    return _per_row(_spread(scripts.select("script", "content"), "script"), facts, SCRIPT_FACTS)
+
+
+def _spread(files: DataFrame, *keys: str) -> DataFrame:
+    """Files over a fixed number of partitions: parsing costs far more than moving the text, and
+    input splits hold very different numbers of files."""
+    spark = files.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.repartition(parts, *keys)
 
 
 def _per_row(df: DataFrame, facts: Callable[[dict], dict], schema: T.StructType) -> DataFrame:
