@@ -108,12 +108,13 @@ _SHOWN = ["script", "kind", "seq", "line", "name", "owner", "in_graph", "status"
 
 
 def _validated(t):
-    rows, _ = uc.validate(dv.usage(t), _graph(t))
+    rows, _ = uc.validate(dv.usage(t), _graph(t, "classes", "methods", "attributes", "functions"))
     return cut_lineage(rows)
 
 
-def _graph(t):
-    return dv.graph(t).materialised()
+def _graph(t, *members):
+    """The derived graph with the tables that lookups read repeatedly kept."""
+    return dv.graph(t).materialised("repositories", "files", "class_files", *members)
 
 
 def _modules(t, graph):
@@ -191,13 +192,13 @@ def graph_modules(t):
 
 @query("check_instantiations", _PRELUDE + _CLASS_SQL)
 def check_instantiations(t):
-    graph = _graph(t)
+    graph = _graph(t, "classes", "methods")
     return uc.check_instantiations(dv.usage(t).instantiations, _modules(t, graph), graph).select(*_SHOWN)
 
 
 @query("check_method_calls", _PRELUDE + _METHOD_SQL)
 def check_method_calls(t):
-    graph = _graph(t)
+    graph = _graph(t, "methods")
     return uc.check_method_calls(dv.usage(t).method_calls, _modules(t, graph), graph).select(*_SHOWN)
 
 
@@ -214,7 +215,7 @@ def check_method_calls(t):
     SELECT owner, name, string_agg(candidate, ',' ORDER BY candidate) AS suggestions FROM s WHERE i <= 5 GROUP BY owner, name""",
 )
 def method_suggestions(t):
-    graph = _graph(t)
+    graph = _graph(t, "methods")
     rows = uc.check_method_calls(dv.usage(t).method_calls, _modules(t, graph), graph)
     rows = rows.filter("status = 'NOT_FOUND' AND size(suggestions) > 0").select("owner", "name", "suggestions").distinct()
     return rows.withColumn("suggestions", F.array_join("suggestions", ","))
@@ -222,13 +223,13 @@ def method_suggestions(t):
 
 @query("check_attributes", _PRELUDE + _ATTRIBUTE_SQL)
 def check_attributes(t):
-    graph = _graph(t)
+    graph = _graph(t, "methods", "attributes")
     return uc.check_attributes(dv.usage(t).attributes, _modules(t, graph), graph).select(*_SHOWN)
 
 
 @query("check_functions", _PRELUDE + _FUNCTION_SQL)
 def check_functions(t):
-    graph = _graph(t)
+    graph = _graph(t, "functions")
     return uc.check_functions(dv.usage(t).functions, _modules(t, graph), graph).select(*_SHOWN)
 
 

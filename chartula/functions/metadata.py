@@ -49,13 +49,15 @@ def _matches(value: Column, where: str, item: Any) -> Column:
         stored = F.try_variant_get(value, where, "array<variant>")
         test = stored.isNotNull()
         for element in item:
-            test = test & F.exists(
-                stored, lambda s, e=element: F.coalesce(_same(s, "$", e), F.lit(False))
-            )
+            test = test & _has_element(stored, element)
         return test
     return _same(value, where, item)
 
 
+def _has_element(stored: Column, element: Any) -> Column:
+    return F.exists(stored, lambda s: F.coalesce(_same(s, "$", element), F.lit(False)))
+
+
 def _same(value: Column, where: str, item: Any) -> Column:
     if item is None:
         return F.is_variant_null(F.try_variant_get(value, where, "variant"))

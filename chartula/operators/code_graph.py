@@ -48,9 +48,10 @@ class CodeGraph:
     imports: DataFrame
     import_targets: DataFrame
 
-    def materialised(self) -> CodeGraph:
-        """The same graph with every table cut into the checkpoint folder, for repeated use."""
-        return CodeGraph(*(cut_lineage(getattr(self, f.name)) for f in fields(self)))
+    def materialised(self, *names: str) -> CodeGraph:
+        """The same graph with its tables (or the named ones) kept in the checkpoint folder."""
+        kept = names or [f.name for f in fields(self)]
+        return replace(self, **{name: cut_lineage(getattr(self, name)) for name in kept})
 
     def register(self, prefix: str = "") -> None:
         """Temp views over every table, for ad-hoc SQL."""

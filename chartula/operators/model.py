@@ -102,15 +102,19 @@ def generate(
     prompt: Column,
     out_col: str,
     *,
+    drop: Sequence[str] = (),
     batch_size: int = BATCH,
 ) -> DataFrame:
-    """Stripped model answers for a prompt expression, NULL where the call failed."""
+    """Stripped model answers for a prompt expression, NULL where the call failed.
+
+    Columns in ``drop`` serve the prompt only and are not sent along.
+    """
 
     def fn(part: pd.DataFrame) -> pd.Series:
         answers = with_retries(complete, list(part["_prompt"]), None, tries=1)
         return pd.Series([a.strip() if isinstance(a, str) else None for a in answers], dtype=object)
 
-    asked = df.withColumn("_prompt", prompt)
+    asked = df.withColumn("_prompt", prompt).drop(*drop)
     return apply_model(asked, fn, ["_prompt"], out_col, T.StringType(), batch_size=batch_size).drop("_prompt")
 
 
@@ -133,8 +137,7 @@ def contextualise(
     """
     joined = chunks.join(documents.select("url", F.col("markdown").alias("_document")), "url", "left")
     prompt = context_prompt(F.coalesce("_document", F.lit("")), F.col("content"))
-    asked = joined.withColumn("_prompt", prompt).drop("_document")
-    answered = generate(asked.drop("_prompt").withColumn("_text", asked["_prompt"]), complete, F.col("_text"), "_context")
+    answered = generate(joined, complete, prompt, "_context", drop=["_document"])
     done = F.col("_context").isNotNull()
     return answered.select(
         *chunks.columns,
