@@ -375,7 +375,7 @@ def model_embedding(t):
 )
 def hash_embedding(t):
     """Hashed bag-of-words vectors over whole documents: dimension and unit length."""
-    rows = model.hash_embed(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id", 64)
+    rows = model.hash_embed(t.documents.select("doc_id", F.col("text").alias("content")), 64)
     return rows.filter(~vectors.is_unusable(F.col("embedding"))).select(
         "doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 5).alias("length")
     )
@@ -384,8 +384,8 @@ def hash_embedding(t):
 @query("hash_embedding_search")
 def hash_embedding_search(t):
     """Benchmark passages as queries over hashed document vectors."""
-    docs = model.hash_embed(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id", 64)
+    docs = model.hash_embed(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 64)
     asked = model.hash_embed(
-        t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("content")), "query_id", 64
+        t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("content")), 64
     )
     return vs.top_k_multi(docs, asked, 5)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartula.functions import params as pm
+from chartula.operators.joins import salted_join
 from chartula.operators.ranking import first_per_key, top_per_group
 from chartula.session import cut_lineage
 from chartula.sources import tables
@@ -235,7 +236,8 @@ def import_edges(graph: CodeGraph) -> DataFrame:
         F.col("path").alias("target_path"),
         F.col("module_name").alias("target_module"),
     )
-    return graph.imports.join(targets, "import_name").drop("import_name").distinct()
+    edges = salted_join(graph.imports, targets, ["import_name"], salt_on=["repo", "path"])
+    return edges.drop("import_name").distinct()
 
 
 def replace_repositories(stored: CodeGraph, rebuilt: CodeGraph, repos: DataFrame) -> CodeGraph:

@@ -9,7 +9,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,8 @@ from chartula.functions import text as tx
 
 BATCH = 20
 TRIES = 3
+# Rows whose bucket counts are held as one dense matrix.
+COUNT_ROWS = 1000
 EMPTY_TEXT = "[empty]"
 DEFAULT_CODE_SUMMARY = "Code example for demonstration purposes."
 
@@ -207,23 +212,32 @@ def score_pairs(
 
 
 def hash_embed(
-    df: DataFrame, key: str, dim: int, *, text_col: str = "content", out_col: str = "embedding"
+    df: DataFrame, dim: int, *, text_col: str = "content", out_col: str = "embedding"
 ) -> DataFrame:
     """Model-free vectors: lower-cased words hashed into ``dim`` buckets, unit length.
 
-    Counting is combined map-side; a vector is assembled from at most ``dim`` counts.
+    Row-local.  Words are split and hashed by Spark; only bucket numbers reach the counting
+    step, and texts without words get the zero vector.
     """
-    tokens = df.select(key, F.explode(tx.words(F.lower(F.col(text_col)))).alias("_word"))
-    bucket = F.pmod(F.xxhash64("_word"), F.lit(dim)).cast("int")
-    counts = tokens.groupBy(key, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    cells = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("_bucket", "_n"))).alias("_cells"),
-        F.sqrt(F.sum((F.col("_n") * F.col("_n")).cast("double"))).alias("_length"),
-    )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (F.coalesce(F.try_element_at("_cells", i).cast("double"), F.lit(0.0)) / F.col("_length")).cast("float"),
-    )
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    joined = df.join(cells.select(key, vector.alias(out_col)), key, "left")
-    return joined.withColumn(out_col, F.coalesce(out_col, zero))
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def counted(buckets: pa.Array) -> pa.Array:
+        parts = [_bucket_vectors(buckets.slice(at, COUNT_ROWS), dim) for at in range(0, len(buckets), COUNT_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+    lowered = tx.words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    buckets = F.transform(lowered, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+    return df.withColumn(out_col, counted(buckets))
+
+
+def _bucket_vectors(buckets: pa.ListArray, dim: int) -> pa.ListArray:
+    """Unit-length bucket counts of each list."""
+    n = len(buckets)
+    lengths = pc.list_value_length(buckets).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(n), lengths)
+    values = buckets.flatten().to_numpy(zero_copy_only=False)
+    counts = np.bincount(rows * dim + values, minlength=n * dim).reshape(n, dim).astype(np.float64)
+    norms = np.linalg.norm(counts, axis=1, keepdims=True)
+    unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
+    offsets = pa.array(np.arange(n + 1) * dim, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel().astype(np.float32)))

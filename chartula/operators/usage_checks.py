@@ -271,7 +271,8 @@ def similar_methods(needed: DataFrame, graph: CodeGraph, limit: int = SUGGESTION
     by_class = grams.select(
         F.explode(F.array_distinct(F.array("class_name", "class_full_name"))).alias("owner"), "_gram", "candidate"
     )
-    direct = cut_lineage(_suggest(starts.join(by_class, ["owner", "_gram"]), ["owner", "_gram"], "candidate", limit))
+    matched = salted_join(by_class, starts, ["owner", "_gram"], salt_on=["candidate"])
+    direct = cut_lineage(_suggest(matched, ["owner", "_gram"], "candidate", limit))
     simple = F.substring_index("owner", ".", -1)
     rest = (
         starts.join(direct.select("owner", "_gram"), ["owner", "_gram"], "left_anti")
@@ -282,7 +283,8 @@ def similar_methods(needed: DataFrame, graph: CodeGraph, limit: int = SUGGESTION
     homes = graph.class_files.select("repo", F.col("full_name").alias("class_full_name")).distinct()
     by_repo = grams.join(homes, "class_full_name").select("repo", F.col("class_name").alias("_simple"), "_gram", "candidate")
     located = rest.join(owner_repository(rest.select("module"), graph), "module")
-    indirect = _suggest(located.join(by_repo, ["repo", "_simple", "_gram"]), ["owner", "_gram"], "candidate", limit)
+    nearby = salted_join(by_repo, located, ["repo", "_simple", "_gram"], salt_on=["candidate"])
+    indirect = _suggest(nearby, ["owner", "_gram"], "candidate", limit)
     return wanted.join(direct.unionByName(indirect), ["owner", "_gram"]).select("owner", "name", "suggestions")
 
 

@@ -176,14 +176,11 @@ def test_rerank_falls_back_to_original_order(spark):
 
 
 def test_embedding_contract(spark):
-    calls = {"n": 0}
-
     def flaky(texts):
         if any(t == "bad" for t in texts):
             raise RuntimeError("refused")
         return [[len(t), 1.0] for t in texts]
 
-    del calls
     frame = spark.createDataFrame([(1, "good"), (2, "bad"), (3, " "), (4, None), (5, "long text")], "id int, content string").coalesce(1)
     got = {r.id: r.embedding for r in model.embed_texts(frame, flaky, 2, delay=0, max_chars=4).collect()}
     assert got == {1: [4, 1], 2: [0, 0], 3: [0, 0], 4: [0, 0], 5: [4, 1]}
@@ -213,7 +210,7 @@ def test_hashed_vectors(spark):
 
     texts = ["The the cat", "", "dog é cat cat"]
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
-    got = {r.id: r.embedding for r in model.hash_embed(frame, "id", 8).collect()}
+    got = {r.id: r.embedding for r in model.hash_embed(frame, 8).collect()}
     for i, text in enumerate(texts):
         want = np.zeros(8)
         for word in text.lower().split():
