@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartula.functions import text as tx
 from chartula.functions import urls
+from chartula.session import cut_lineage
 
 
 def landed_pages(pages: DataFrame, *, text_col: str = "markdown", ok: Column | None = None) -> DataFrame:
@@ -15,10 +16,10 @@ def landed_pages(pages: DataFrame, *, text_col: str = "markdown", ok: Column | N
     return kept if ok is None else kept.filter(ok)
 
 
-def chunk_texts(
+def chunk_arrays(
     pages: DataFrame, *, text_col: str = "markdown", size: int = tx.CHUNK_SIZE
 ) -> DataFrame:
-    """One row per chunk: the other columns, ``chunk_number`` from 0, and ``content``.
+    """The other columns and the ordered ``chunks`` of each text.
 
     Row-local: no shuffle, and the whole text is read once.
     """
@@ -30,13 +31,29 @@ def chunk_texts(
     )
     cut = cut.withColumn("_cuts", tx.chunk_cuts(F.col("_pieces"), F.col("_length"), size))
     return cut.select(
-        *others,
-        F.posexplode(tx.chunks_from_cuts(F.col("_pieces"), F.col("_cuts"), size)).alias(
-            "chunk_number", "content"
-        ),
+        *others, tx.chunks_from_cuts(F.col("_pieces"), F.col("_cuts"), size).alias("chunks")
     )
 
 
+def chunk_texts(
+    pages: DataFrame, *, text_col: str = "markdown", size: int = tx.CHUNK_SIZE
+) -> DataFrame:
+    """One row per chunk: the other columns, ``chunk_number`` from 0, and ``content``."""
+    others = [c for c in pages.columns if c != text_col]
+    rows = chunk_arrays(pages, text_col=text_col, size=size)
+    return _one_row_each(rows, others, "chunks", "content")
+
+
+def _one_row_each(rows: DataFrame, others: list[str], array: str, item: str) -> DataFrame:
+    """Explode ``array`` with positions.
+
+    The outer form and a filter on the position: an inner explode of a computed column makes
+    the optimizer test the array's size below the projection, computing it twice or more.
+    """
+    exploded = rows.select(*others, F.posexplode_outer(array).alias("chunk_number", item))
+    return exploded.filter(F.col("chunk_number").isNotNull())
+
+
 def paragraph_texts(
     pages: DataFrame, *, text_col: str = "markdown", min_length: int = 50
 ) -> DataFrame:
@@ -108,13 +125,14 @@ def _metadata(fields: dict[str, Column], extra: Column | None) -> Column:
     return F.when(more.isNull() | (more == "{}"), known).otherwise(joined)
 
 
-def code_blocks(
+def code_block_arrays(
     pages: DataFrame, *, text_col: str = "markdown", min_length: int = tx.MIN_CODE_LENGTH
 ) -> DataFrame:
-    """One row per fenced block: ``chunk_number`` restarts at 0 on every page."""
+    """The other columns and the ordered ``blocks`` of fenced code of each text."""
     others = [c for c in pages.columns if c != text_col]
-    text = F.col(text_col)
-    parts = pages.filter(text.contains(tx.FENCE)).select(
+    # Texts without a fence are not taken apart.
+    text = F.when(F.contains(F.col(text_col), F.lit(tx.FENCE)), F.col(text_col)).otherwise(F.lit(""))
+    parts = pages.select(
         *others,
         F.length(text).alias("_length"),
         tx.fence_skip(text).alias("_skip"),
@@ -125,8 +143,17 @@ def code_blocks(
     found = tx.code_blocks(
         F.col("_parts"), F.col("_at"), F.col("_pieces"), F.col("_length"), min_length
     )
-    rows = parts.select(*others, F.posexplode(found).alias("chunk_number", "_block"))
-    rows = rows.select(*others, "chunk_number", "_block.*")
+    return parts.select(*others, found.alias("blocks"))
+
+
+def code_blocks(
+    pages: DataFrame, *, text_col: str = "markdown", min_length: int = tx.MIN_CODE_LENGTH
+) -> DataFrame:
+    """One row per fenced block: ``chunk_number`` restarts at 0 on every page."""
+    others = [c for c in pages.columns if c != text_col]
+    fenced = pages.filter(F.contains(F.col(text_col), F.lit(tx.FENCE)))
+    found = code_block_arrays(fenced, text_col=text_col, min_length=min_length)
+    rows = _one_row_each(found, others, "blocks", "_block").select(*others, "chunk_number", "_block.*")
     return rows.withColumn(
         "full_context", F.concat_ws("\n\n", "context_before", "code", "context_after")
     )
@@ -135,15 +162,11 @@ def code_blocks(
 def number_across(rows: DataFrame, doc_order: list[str], number: str = "chunk_number") -> DataFrame:
     """Running number over the whole corpus instead of per document.
 
-    Counts per document are prefix-summed in two levels (inside hash-free range buckets, then
-    over the bucket totals), so no task ever sees all rows.
+    Counts per document are prefix-summed in two levels (inside range buckets, then over the
+    bucket totals), so no task ever sees all rows.
     """
     sized = rows.groupBy(*doc_order).agg(F.count(F.lit(1)).alias("_n"))
     ranged = sized.repartitionByRange(*doc_order).withColumn("_bucket", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    from chartula.session import cut_lineage
-
     ranged = cut_lineage(ranged)  # the bucket of a row must not change between its two uses
     within = Window.partitionBy("_bucket").orderBy(*doc_order)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

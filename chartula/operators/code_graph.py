@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartula.functions import params as pm
@@ -371,10 +371,12 @@ def explore_repository(graph: CodeGraph, repo: str) -> DataFrame:
 
 def _limited(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     """First ``limit`` rows with a flag telling whether there were more."""
-    more = df.orderBy(*order).limit(limit + 1)
-    ranked = top_per_group(more.withColumn("_all", F.lit(0)), ["_all"], [F.asc(c) for c in order], limit + 1)
-    total = ranked.groupBy("_all").agg((F.count(F.lit(1)) > limit).alias("limited"))
-    return ranked.filter(F.col("rank") <= limit).join(total, "_all").drop("_all", "rank").orderBy(*order)
+    # The windows see at most limit + 1 rows.
+    more = df.orderBy(*order).limit(limit + 1).withColumn("_all", F.lit(0))
+    everything = Window.partitionBy("_all")
+    more = more.withColumn("limited", F.count(F.lit(1)).over(everything) > limit)
+    more = more.withColumn("_rank", F.row_number().over(everything.orderBy(*order)))
+    return more.filter(F.col("_rank") <= limit).drop("_all", "_rank").orderBy(*order)
 
 
 def list_classes(graph: CodeGraph, repo: str | None = None, limit: int = LIST_LIMIT) -> DataFrame:

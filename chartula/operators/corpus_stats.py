@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartula.functions import text as tx
@@ -42,8 +42,6 @@ def source_joined_text(
     openings = filled.select("source_id", order, tx.head(F.col(text_col), per_page).alias("_part"))
     first = top_per_group(openings, ["source_id"], [F.asc(order)], reach, salt_on=[order])
     # Running length: keep the parts that start inside the limit.
-    from pyspark.sql import Window
-
     before = Window.partitionBy("source_id").orderBy("rank").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -91,12 +89,11 @@ def ingestion_summary(pages: DataFrame, chunks: DataFrame, examples: DataFrame,
 
 
 def _side_by_side(*single_rows: DataFrame) -> DataFrame:
-    """Join one-row frames on a constant key."""
-    keyed = [df.withColumn("_one", F.lit(1)) for df in single_rows]
-    joined = keyed[0]
-    for df in keyed[1:]:
-        joined = joined.join(df, "_one")
-    return joined.drop("_one")
+    """One row out of several one-row frames with different columns, without a join."""
+    stacked = single_rows[0]
+    for df in single_rows[1:]:
+        stacked = stacked.unionByName(df, allowMissingColumns=True)
+    return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
 
 
 def outcome_summary(outcomes: DataFrame, orphans: DataFrame | None = None) -> DataFrame:

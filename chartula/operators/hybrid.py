@@ -29,8 +29,9 @@ OVERSAMPLE = 2
 WIKI_PREFIX = "confluence:"
 MAX_RERANK = 50
 
-# Keywords held at a time; a larger query table is searched group by group.
-KEYWORDS_PER_PLAN = 20_000
+# Keyword text held at a time; a larger query table is searched group by group.
+KEYWORDS_PER_PLAN = 5_000
+KEYWORD_BYTES = 4 * 1024 * 1024
 # Number of keywords from which one pass with an automaton beats testing them one by one.
 AUTOMATON_FROM = 8
 
@@ -72,7 +73,9 @@ def keyword_matches(
             return _one_pass_matches(chunks, held, texts, limit, id_col, query_id_col, queries)
         return _scan_matches(chunks, held, texts, id_col, query_id_col, queries)
 
-    hits = each_query_group(queries, query_id_col, KEYWORDS_PER_PLAN, search)
+    longest = queries.select(F.max(F.octet_length(query_col))).first()[0] or 1
+    per_group = max(1, min(KEYWORDS_PER_PLAN, KEYWORD_BYTES // (2 * longest)))
+    hits = each_query_group(queries, query_id_col, per_group, search)
     return top_per_group(hits, [query_id_col], [F.asc(id_col)], limit, salt_on=[id_col])
 
 

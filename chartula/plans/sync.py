@@ -109,11 +109,17 @@ def sync(
     kept_examples = examples.join(gone.select("url").distinct(), "url", "left_anti").join(
         changed_urls, "url", "left_anti"
     )
-    outcomes = (
-        judged.select("url", "source_id", "status")
-        .join(new_chunks.groupBy("url").agg(F.count(F.lit(1)).alias("chunks_stored")), "url", "left")
-        .join(new_examples.groupBy("url").agg(F.count(F.lit(1)).alias("code_examples_stored")), "url", "left")
-        .na.fill(0, ["chunks_stored", "code_examples_stored"])
+    # Counted inside the page's row; pages that are not stored are not taken apart.
+    stored_text = F.when(F.col("status") == "stored", F.col("markdown")).otherwise(F.lit(""))
+    counted = judged.select("url", "source_id", "status", stored_text.alias("markdown"), stored_text.alias("_text"))
+    counted = ck.chunk_arrays(counted, size=size)
+    counted = ck.code_block_arrays(counted, text_col="_text", min_length=min_code_length)
+    outcomes = counted.select(
+        "url",
+        "source_id",
+        "status",
+        F.size("chunks").cast("long").alias("chunks_stored"),
+        F.size("blocks").cast("long").alias("code_examples_stored"),
     )
     return SyncResult(
         outcomes=outcomes,
