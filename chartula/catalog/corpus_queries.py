@@ -287,7 +287,8 @@ def ingestion_summary(t):
     SELECT total AS total_documents, (SELECT count(*) FROM conversations) AS total_code_examples,
            wrong = 0 AS embedding_dimension_consistency, true AS vector_search_functional, bare = 0 AS metadata_preserved,
            true AS source_info_preserved, wrong > 0 OR bare > 0 AS corruption_detected,
-           wrong || ' rows do not have 64 dimensions; ' || bare || ' rows have no metadata' AS validation_errors FROM n""",
+           concat_ws('; ', CASE WHEN wrong > 0 THEN wrong || ' rows do not have 64 dimensions' END,
+               CASE WHEN bare > 0 THEN bare || ' rows have no metadata' END) AS validation_errors FROM n""",
 )
 def integrity_report(t):
     stored = (

@@ -95,6 +95,19 @@ def vector_topk_approx(t):
     return vs.top_k_approx(cells, celled, queries, 10, probes=4)
 
 
+@query(
+    "vector_topk_all_cells",
+    f"SELECT query_id, id, round(s, 6) AS similarity, rank FROM ({_ranked_sql(_ALL_PAIRS, 10)})",
+)
+def vector_topk_all_cells(t):
+    """Coarse-cell search that looks into every cell gives the exact result."""
+    stored = _vectors(t)
+    cells = vs.fit_cells(stored, 4)
+    queries = stored.select(F.col("id").alias("query_id"), "embedding")
+    hits = vs.top_k_approx(cells, vs.assign_cells(cells, stored), queries, 10, probes=4)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "embedding_dim_check",
     """SELECT count(*) AS total_rows, count(*) FILTER (WHERE embedding IS NULL) AS missing,

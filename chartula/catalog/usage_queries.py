@@ -255,6 +255,20 @@ def check_call(t):
     return rows.select("o_orderkey", check["status"].alias("status"))
 
 
+@query(
+    "result_methods",
+    _PRELUDE
+    + """SELECT m.name, arg_min(m.class_name, m.class_full_name) AS class_name, arg_min(m.return_type, m.class_full_name) AS return_type
+        FROM methods m JOIN (SELECT DISTINCT class_full_name FROM class_rows WHERE repo = 'asia') c USING (class_full_name)
+        WHERE contains(m.class_name, '7') OR contains(m.class_name, '9') GROUP BY m.name""",
+)
+def result_methods(t):
+    """First method of each name on the classes of one repository with given name parts."""
+    graph = dv.graph(t)
+    rows = uc.find_result_methods(graph.methods.select("name"), graph, "asia", parts=("7", "9"))
+    return rows.select("name", "class_name", "return_type")
+
+
 # --- scores and reports ----------------------------------------------------------------------------------
 
 _CONFIDENCE_SQL = f"""SELECT s.script, coalesce(avg(confidence) FILTER (WHERE in_graph), 1.0) AS overall_confidence
