@@ -67,7 +67,7 @@ def page_tree(
     root_id: str,
     *,
     max_depth: int,
-    max_pages: int,
+    max_pages: int | None = None,
 ) -> DataFrame:
     """Breadth-first walk over ``tree(parent, child, ord)``, depth limit inclusive.
 
@@ -81,18 +81,20 @@ def page_tree(
         F.lit(root_id).alias("page_id"), F.array().cast("array<int>").alias("order_key")
     )
     visited: DataFrame | None = None
-    remaining = max_pages
+    total = 0
     for depth in range(max_depth + 1):
         level = level.join(good, "page_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
         level = cut_lineage(level.withColumn("depth", F.lit(depth)))
-        best = level.filter("ok").orderBy("order_key").limit(remaining)
-        taken, last = best.agg(F.count(F.lit(1)), F.max("order_key")).first()
-        if taken == remaining:
-            bound = F.array(*map(F.lit, last)).cast("array<int>")
+        taken = level.filter("ok").count()
+        if max_pages is not None and taken >= max_pages - total:
+            # Only the level that reaches the cap is ordered; it ends with the last page taken.
+            taken = max_pages - total
+            last = level.filter("ok").orderBy("order_key").limit(taken).agg(F.max("order_key")).first()[0]
+            bound = F.array(*map(F.lit, last or [])).cast("array<int>")
             level = level.filter(F.col("order_key") <= bound)
         visited = level if visited is None else visited.unionByName(level)
-        remaining -= taken
-        if remaining == 0 or taken == 0 or depth == max_depth:
+        total += taken
+        if total == max_pages or taken == 0 or depth == max_depth:
             break
         parents = level.filter("ok").select(F.col("page_id").alias("parent"), "order_key")
         children = salted_join(tree, parents, ["parent"], salt_on=["child"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chartula.functions import text as tx
 from chartula.operators import chunks as ck
 from chartula.operators import corpus_stats, model
+from chartula.session import cut_lineage
 from chartula.sources import tables
 
 WIKI_KEYS = ["space_key", "page_id", "page_title", "labels", "author", "last_modified", "parent_page_id"]
@@ -74,7 +75,9 @@ def sync(
     Chunks carry no vectors yet where they are new; embedding is a separate step over
     ``embedding IS NULL``.  ``full`` also removes pages missing from the snapshot.
     """
-    stored = stored_state(chunks)
+    # A partial snapshot only needs the stored state of its own pages.
+    known = chunks if full else tables.match_keys(chunks, pages, ["url"], "left_semi")
+    stored = stored_state(known)
     judged = page_status(pages, stored, skip_unchanged=skip_unchanged)
     changed = judged.filter(F.col("status") == "stored")
     extra = F.struct("last_modified") if meta is None else meta
@@ -104,11 +107,12 @@ def sync(
         ),
     )
     gone = orphans(stored, pages) if full else stored.select("url", "source_id").filter(F.lit(False))
-    changed_urls = changed.select("url").distinct()
-    kept_chunks = chunks.join(gone, ["url", "source_id"], "left_anti").join(changed_urls, "url", "left_anti")
-    kept_examples = examples.join(gone.select("url").distinct(), "url", "left_anti").join(
-        changed_urls, "url", "left_anti"
-    )
+    gone = cut_lineage(gone)
+    changed_urls = changed.select("url")
+    kept_chunks = tables.match_keys(chunks, changed_urls, ["url"], "left_anti")
+    kept_examples = tables.match_keys(examples, changed_urls.union(gone.select("url")), ["url"], "left_anti")
+    if full:
+        kept_chunks = tables.match_keys(kept_chunks, gone, ["url", "source_id"], "left_anti")
     # Counted inside the page's row; pages that are not stored are not taken apart.
     stored_text = F.when(F.col("status") == "stored", F.col("markdown")).otherwise(F.lit(""))
     counted = judged.select("url", "source_id", "status", stored_text.alias("markdown"), stored_text.alias("_text"))
@@ -123,8 +127,8 @@ def sync(
     )
     return SyncResult(
         outcomes=outcomes,
-        chunks=kept_chunks.unionByName(new_chunks),
-        examples=kept_examples.unionByName(new_examples),
+        chunks=kept_chunks.select(*chunks.columns).unionByName(new_chunks),
+        examples=kept_examples.select(*examples.columns).unionByName(new_examples),
         orphans=gone,
         summary=corpus_stats.outcome_summary(outcomes, gone),
     )

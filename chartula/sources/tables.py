@@ -12,6 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartula.operators.ranking import last_per_key
+from chartula.session import cut_lineage
+
+
+# Keys broadcast to a stored table; more than this are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def match_keys(table: DataFrame, wanted: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join of a large table with the distinct keys of ``wanted``.
+
+    The keys are worked out and counted first: a bounded number is broadcast, so the stored
+    rows with their texts and vectors are not shuffled for an incremental change.
+    """
+    held = cut_lineage(wanted.select(*keys).distinct())
+    side = F.broadcast(held) if held.count() <= BROADCAST_KEYS else held
+    return table.join(side, list(keys), how)
 
 
 def replace_by_key(
@@ -19,8 +35,7 @@ def replace_by_key(
 ) -> DataFrame:
     """Drop every stored row whose key is in ``incoming`` and add the incoming rows."""
     keys = [key] if isinstance(key, str) else list(key)
-    touched = incoming.select(*keys).distinct()
-    kept = existing.join(touched, keys, "left_anti")
+    kept = match_keys(existing, incoming, keys, "left_anti")
     return kept.unionByName(incoming.select(*existing.columns))
 
 
@@ -36,12 +51,12 @@ def replace_by_url(existing: DataFrame, incoming: DataFrame, order: str | None =
 
 def replace_repository(existing: DataFrame, incoming: DataFrame, repos: DataFrame) -> DataFrame:
     """Clear the given repositories, also those the rebuild left empty, then add the new rows."""
-    kept = existing.join(repos.select("repo").distinct(), "repo", "left_anti")
+    kept = match_keys(existing, repos, ["repo"], "left_anti")
     return kept.unionByName(incoming.select(*existing.columns))
 
 
 def delete_by_url(table: DataFrame, urls: DataFrame) -> DataFrame:
-    return table.join(urls.select("url").distinct(), "url", "left_anti")
+    return match_keys(table, urls, ["url"], "left_anti")
 
 
 def upsert_sources(existing: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
