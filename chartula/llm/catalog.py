@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chartula.llm import exact_topk, mixing, neighbours, packing, url_filter, warc
+from chartula.llm import exact_topk, language, mixing, neighbours, packing, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +124,14 @@ def op8(documents: DataFrame) -> DataFrame:
 @query("op9_packing", "documents")
 def op9(documents: DataFrame) -> DataFrame:
     return packing.pack(documents)
+
+
+@query("op3_language", "documents")
+def op3(documents: DataFrame) -> DataFrame:
+    return language.identify(documents)
+
+
+@query("op10_simhash", "documents")
+def op10(documents: DataFrame) -> DataFrame:
+    found = simhash.near_duplicates(documents)
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
