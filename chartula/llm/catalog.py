@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartula.llm import exact_topk, language, mixing, neighbours, packing, simhash, suffix_dedup, url_filter, warc
+from chartula.llm import exact_topk, html_text, language, mixing, neighbours, packing, simhash, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,8 @@ def op10(documents: DataFrame) -> DataFrame:
 def op1(documents: DataFrame) -> DataFrame:
     found = suffix_dedup.remove_repeats(documents)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_html_text", "pages")
+def op2(pages: DataFrame) -> DataFrame:
+    return html_text.main_text(pages)

@@ -95,6 +95,23 @@ def sized(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("row_hash")), "sizes")
 
 
+def limits_of(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """source, whole, bound, source_size, target for the sources of ``sized`` rows."""
+    targets = stored(source_targets(rows, weights, share, cap), "targets")
+    bounds = _thresholds(rows, targets).alias("t")
+    return bounds.join(targets.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source"))).select("t.*", "g.source_size", "g.target")
+
+
+def limits(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``limits_of`` for documents."""
+    return limits_of(sized(docs), weights, share, cap)
+
+
+def copies(cap: float = CAP) -> Column:
+    """How often a row (row_hash) is taken under its source's limits (whole, bound)."""
+    return (F.col("whole") + F.when((F.col("row_hash") < F.col("bound")) & (F.col("whole") < cap), 1).otherwise(0)).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, taken, copies.
 
@@ -103,7 +120,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rows, other columns are not read.
     """
     rows = sized(docs)
-    targets = stored(source_targets(rows, weights, share, cap), "targets")
-    limits = _thresholds(rows, targets).alias("t").join(targets.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source"))).select("t.*", "g.source_size", "g.target").alias("l")
-    copies = F.col("whole") + F.when((F.col("row_hash") < F.col("bound")) & (F.col("whole") < cap), 1).otherwise(0)
-    return rows.alias("r").join(limits, F.col("r.source").eqNullSafe(F.col("l.source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    found = rows.alias("r").join(limits_of(rows, weights, share, cap).alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(cap)).cast("long").alias("taken"), copies(cap).alias("copies"))
