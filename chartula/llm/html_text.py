@@ -79,8 +79,6 @@ class PageParser(HTMLParser):
             text = " ".join("".join(self.texts).split())
             self.texts = []
             if text:
-                for element in self.stack:
-                    element.parts.append("\x00")
                 self.stack[-1].parts.append(text)
                 self.found.append((text, list(self.stack)))
 
@@ -140,8 +138,16 @@ def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
     parser.close()
     parser._flush()
     parser._close(1)
-    # Classes alone do not drop what holds the article itself.
-    holders = {id(e) for _, around in parser.found for n, e in enumerate(around) if any(a.main and not a.doubtful for a in around[n + 1 :])}
+    # A class alone does not drop what holds all that the page marks as its article.
+    mains: set[int] = set()
+    inner: dict[int, set[int]] = {}
+    for _, around in parser.found:
+        for n, element in enumerate(around):
+            if element.main and not element.doubtful:
+                mains.add(id(element))
+                for outer in around[:n]:
+                    inner.setdefault(id(outer), set()).add(id(element))
+    holders = {outer for outer, held in inner.items() if held == mains}
     kept = [(text, around) for text, around in parser.found if not any(e.dropped or e.doubtful and id(e) not in holders for e in around)]
     if any(e.main for _, around in kept for e in around):
         kept = [(text, around) for text, around in kept if any(e.main for e in around)]

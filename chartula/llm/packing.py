@@ -29,7 +29,8 @@ VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Letters and pieces of words of Latin-1 characters under the vocabulary's splitting rule (fixed values).
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
-_PIECES = re.compile(rf"'(?:[std]|re|ve|m|ll)|[{_LETTERS}]+|[0-9]|\n|[^{_LETTERS}0-9\n]+")
+_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(rf"'(?:[std]|re|ve|m|ll)|[{_LETTERS}]+|[{_DIGITS}]|\n|[^{_LETTERS}{_DIGITS}\n]+")
 _LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
 _WORD_END = "</w>"
 #: Tokens that are put together at a time.
