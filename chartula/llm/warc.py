@@ -152,7 +152,9 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     """The records that ``index`` (or a selection of it) lists, as RECORD_SCHEMA; revisits have no payload."""
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
     reads = index.groupBy("file", stretch.alias("stretch")).agg(F.collect_list(F.struct("offset", "length")).alias("records"))
-    return reads.select("file", "records").mapInArrow(_reader(folder, with_payload), RECORD_SCHEMA)
+    # The index is small beside what it points at, so its size must not decide on the number of tasks.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reads.select("file", "records").repartition(tasks).mapInArrow(_reader(folder, with_payload), RECORD_SCHEMA)
 
 
 def archived(pages: DataFrame) -> DataFrame:
