@@ -6,15 +6,16 @@ window the one with the smallest hash, its anchor. Equal windows have equal anch
 serves all windows around it, so the first pass handles about one row for every (LENGTH - GRAM) / 2 bytes instead
 of one for each byte:
 
-1. digit *anchor*: rows are anchors with the stretch of windows they serve; an anchor that occurs once ends here;
-2. digit *block*: all bytes that the windows of an anchor cover. Where all blocks of an anchor are equal, the first
-   one stays and the others are repeats;
-3. digit *window*: only blocks that share an anchor but differ somewhere are cut into their windows, which are
-   compared as 128-bit digests of all their bytes.
-
-Groups are thinned out before each shuffle: of equal blocks (or windows) in a batch only the first travels, and the
-differing blocks of an anchor that is frequent in a batch travel as one mark; they go to the third pass by a key of
-their own. So no key holds more rows than there are batches.
+1. digit *anchor*: rows are anchors with the block of windows they serve. An anchor that occurs once ends here, and
+   so do anchors whose blocks are equal in all bytes: the first stays, the others are repeats;
+2. digit *core*: the blocks of the other anchors are cut into steps of ``STEP`` neighbouring windows. What all windows
+   of a step have in common is its core; a core that occurs once ends here. A row carries the few bytes around the
+   core, and windows are compared by them;
+3. digit *window*: only windows around very frequent cores are dealt out one by one.
+
+Groups are thinned out before each shuffle: of equal rows in a batch only the first travels, and where a group has
+many different rows in a batch, they travel by keys of their own to the next pass, and a mark tells the group. So no
+key holds more rows than a few for each batch.
 """
 
 from __future__ import annotations
@@ -33,10 +34,15 @@ from chartula.llm.common import gathered, mixed, stored, text_bytes
 LENGTH, GRAM = 100, 24
 #: Grams of a window, and window starts that are hashed at a time.
 PLACES, CHUNK = LENGTH - GRAM + 1, 1 << 18
-#: What a row is about: an anchor's block, the mark of an anchor with differing blocks, windows known to be repeats, windows to compare.
+#: Windows of a step, bytes that all windows of a step share, and different rows of a core that travel from a batch.
+STEP = 16
+CORE, FEW = LENGTH - STEP + 1, 32
+#: What a row is about: a group's member, the mark of a group that the next pass compares, windows known to be repeats, windows to compare.
 BLOCK_ROW, MARK, REPEAT, COMPARE = range(4)
 ROW_SCHEMA = "key long, doc long, alt long, geo long, digest long"
 SPAN_SCHEMA = "doc long, alt long, first long, last long, kind int"
+MARGINS = ["left0", "left1", "right0", "right1"]
+STEP_SCHEMA = "key long, doc long, alt long, geo long, core long, " + ", ".join(f"{m} long" for m in MARGINS)
 WINDOW_SCHEMA = "key long, more long, doc long, alt long, first long"
 
 
@@ -75,17 +81,18 @@ def rolling() -> list[Rolling]:
     return _ROLLING
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, begin: int, stop: int) -> tuple[np.ndarray, ...]:
-    """Blocks of the window starts from ``begin`` to ``stop``: first and last start, anchor, and two hashes.
+def places(data: np.ndarray, ends: np.ndarray, begin: int, stop: int) -> tuple[np.ndarray, ...]:
+    """Bytes, their hash sums, the gram hashes, and each window's anchor, for window starts from ``begin`` to ``stop``.
 
-    ``data`` holds texts end to end, ``ends`` their ends. Only windows inside one text count.
+    ``data`` holds texts end to end, ``ends`` their ends. Places count from ``begin``; windows that are not
+    inside one text have the place -1.
     """
-    one, two = rolling()
+    one, _ = rolling()
     part = data[begin : stop + LENGTH - 1]
-    if len(part) < LENGTH:
-        return tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "u8", "u8"))
     prefix = one.prefix(part)
     grams = len(part) - GRAM + 1
+    if len(part) < LENGTH:
+        return part, prefix, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     hashes = one.of(prefix, slice(0, grams), slice(GRAM, GRAM + grams))
     # Hash above, place below: the minimum is the smallest hash, and of equal ones the leftmost.
     low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
@@ -96,30 +103,50 @@ def anchors(data: np.ndarray, ends: np.ndarray, begin: int, stop: int) -> tuple[
     if span < PLACES:
         low = np.minimum(low[: len(low) - (PLACES - span)], low[PLACES - span :])
     place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    # Windows that go past the end of their text are out.
     for end in ends[(ends > begin) & (ends < begin + len(part))] - begin:
         place[max(0, end - LENGTH + 1) : end] = -1
+    return part, prefix, hashes, place
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, begin: int, stop: int) -> tuple[np.ndarray, ...]:
+    """Blocks of the window starts from ``begin`` to ``stop``: first and last start, anchor, and two hashes."""
+    part, _, hashes, place = places(data, ends, begin, stop)
+    if not len(place):
+        return tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "u8", "u8"))
     change = np.flatnonzero(place[1:] != place[:-1]) + 1
     first = np.concatenate([[0], change])
     last = np.concatenate([change, [len(place)]]) - 1
     inside = place[first] >= 0
     first, last = first[inside], last[inside]
     anchor = place[first]
+    two = rolling()[1]
     block = two.of(two.prefix(part), first, last + LENGTH)
     shape = ((anchor - first) << 7 | (anchor - last)).astype(np.uint64)
     return first + begin, last + begin, anchor + begin, hashes[anchor], mixed(block ^ shape)
 
 
-def windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests of the windows of a text at ``starts`` (ascending)."""
-    found = [np.zeros((2, 0), np.uint64)]
-    while len(starts):
-        own = starts[: np.searchsorted(starts, starts[0] + CHUNK)]
-        part = data[own[0] : own[-1] + LENGTH]
-        at = own - own[0]
-        found.append(np.stack([r.of(r.prefix(part), at, at + LENGTH) for r in rolling()]))
-        starts = starts[len(own) :]
-    return tuple(np.concatenate(found, axis=1))
+def steps(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray, begin: int, stop: int) -> tuple[np.ndarray, ...]:
+    """The ``wanted`` windows (a flag for each byte) by step: core start, range of starts before it, key, margins.
+
+    Step ``n`` of an anchor holds the windows that start n * STEP to n * STEP + STEP - 1 bytes before it.
+    Margins are the STEP bytes before and after the core, zero where no wanted window of the step reaches.
+    """
+    part, prefix, _, place = places(data, ends, begin, stop)
+    starts = np.flatnonzero(wanted[begin : begin + len(place)] & (place >= 0))
+    core = place[starts] - (place[starts] - starts) // STEP * STEP
+    new = _changes(core, starts - np.arange(len(starts)))
+    heads = np.flatnonzero(new)
+    first, last = starts[heads], starts[np.concatenate([heads[1:], [len(starts)]]) - 1] if len(starts) else starts
+    core = core[heads]
+    key = rolling()[0].of(prefix, core, core + CORE) + ((place[first] - core) // STEP).astype(np.uint64)
+    around = np.zeros(len(part) + 4 * STEP, np.uint8)
+    around[2 * STEP : 2 * STEP + len(part)] = part
+    margins = []
+    for side in (core - STEP, core + CORE):
+        at = side[:, None] + np.arange(STEP)
+        inside = (at >= first[:, None]) & (at < last[:, None] + LENGTH)
+        margins += list((around[at + 2 * STEP] * inside).view("<i8").reshape(-1, 2).T)
+    return core + begin, core - last, core - first, key.view(np.int64), *margins
 
 
 def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
@@ -243,32 +270,125 @@ def _firsts(key: np.ndarray, more: np.ndarray, doc: np.ndarray, alt: np.ndarray,
     return order[new], order[~new & ~same]
 
 
+def _step_geo(core: np.ndarray, low: np.ndarray, high: np.ndarray, kind: int) -> np.ndarray:
+    return core << 10 | high << 6 | low << 2 | kind
+
+
+def _masks() -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each distance of a start before the core: which bytes of the margins the window has."""
+    place = np.arange(STEP)
+    left = np.where(place[None, :] >= STEP - place[:, None], 255, 0).astype(np.uint8)
+    right = np.where(place[None, :] < STEP - 1 - place[:, None], 255, 0).astype(np.uint8)
+    return [m.view("<i8").reshape(-1, 2)[:, n] for m in (left, right) for n in (0, 1)]
+
+
+def expanded(rows: dict[str, np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows of some step rows: 128-bit digest in two numbers, document, start."""
+    geo = rows["geo"][chosen]
+    low, high = geo >> 2 & 15, geo >> 6 & 15
+    counts = high - low + 1
+    row = np.repeat(chosen, counts)
+    distance = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+    one, two = mixed(rows["key"][row].view(np.uint64) + distance.view(np.uint64)), rows["key"][row].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)
+    for name, mask in zip(MARGINS, _masks(), strict=True):
+        margin = (rows[name][row] & mask[distance]).view(np.uint64)
+        one, two = mixed(one ^ margin), mixed(two + margin)
+    two = mixed(two ^ distance.view(np.uint64)) | np.uint64(1)
+    return one.view(np.int64), two.view(np.int64), rows["doc"][row], rows["alt"][row], (rows["geo"][row] >> 10) - distance
+
+
+def _equal_rows(rows: dict[str, np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of the same cores in order: their indexes, group numbers, and which are different, repeated, or marks."""
+    geo = rows["geo"][chosen]
+    kind, reach, core = geo & 3, geo >> 2 & 255, geo >> 10
+    sides = [rows[m][chosen] for m in MARGINS]
+    keys = (core, rows["alt"][chosen], rows["doc"][chosen], reach, *sides, kind, rows["key"][chosen])
+    order = np.lexsort(keys)
+    core, alt, doc, reach, *sides, kind, key = (k[order] for k in keys)
+    new = _changes(key, kind, reach, *sides)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    same = (doc == doc[head]) & (alt == alt[head]) & (core == core[head])
+    return chosen[order], np.cumsum(_changes(key)) - 1, new, ~new & ~same, kind == MARK
+
+
+def _step_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps of the stretches to compare in some texts, thinned out batch by batch."""
+    for batch in batches:
+        names = batch.schema.names
+        data, ends = text_bytes(batch.column(names.index("text")))
+        stretches = batch.column(names.index("stretches"))
+        text = np.repeat(np.arange(batch.num_rows), np.diff(stretches.offsets.to_numpy()))
+        flat = stretches.flatten()
+        flags = np.zeros(len(data) + 1, np.int32)
+        np.add.at(flags, ends[text] + flat.field("first").to_numpy(), 1)
+        np.add.at(flags, ends[text] + flat.field("last").to_numpy() + 1, -1)
+        wanted = np.cumsum(flags) > 0
+        parts = [steps(data, ends, wanted, at, at + CHUNK) for at in range(0, len(data), CHUNK)]
+        if not parts:
+            continue
+        core, low, high, key, *margins = (np.concatenate(p) for p in zip(*parts, strict=True))
+        row = np.searchsorted(ends, core, "right") - 1
+        rows = dict(zip(MARGINS, margins, strict=True)) | {"key": key, "doc": batch.column(names.index("doc")).to_numpy()[row], "alt": batch.column(names.index("alt")).to_numpy()[row]}
+        rows["geo"] = _step_geo(core - ends[row], low, high, BLOCK_ROW)
+        order, group, new, repeated, _ = _equal_rows(rows, np.arange(len(key)))
+        many = (np.bincount(group, new) > FEW)[group] if len(group) else np.zeros(0, bool)
+        travel, compare, repeat = order[new & ~many], order[new & many], order[repeated]
+        marked = np.unique(rows["key"][compare])
+        route = mixed(rows["doc"].view(np.uint64) ^ rows["alt"].view(np.uint64))
+        spread = mixed(route + rows["geo"].view(np.uint64))
+        chosen = np.concatenate([travel, compare, repeat])
+        kinds = np.repeat([BLOCK_ROW, COMPARE, REPEAT], [len(travel), len(compare), len(repeat)])
+        keys = np.concatenate([rows["key"][travel], rows["key"][compare], route[repeat].view(np.int64)])
+        dealt = np.concatenate([rows["key"][travel], spread[compare].view(np.int64), route[repeat].view(np.int64)])
+        zeros = np.zeros(len(marked), np.int64)
+        columns = [dealt, rows["doc"][chosen], rows["alt"][chosen], rows["geo"][chosen] | kinds, *(np.where(kinds == REPEAT, 0, rows[m][chosen]) for m in MARGINS)]
+        # A row that is dealt out by a key of its own still carries the core's.
+        columns.insert(4, np.where(kinds == COMPARE, keys, 0))
+        ends_ = [marked, zeros, zeros, zeros | MARK, zeros, zeros, zeros, zeros, zeros]
+        yield from _emitted(tuple(np.concatenate(c) for c in zip(columns, ends_, strict=True)), ["key", "doc", "alt", "geo", "core", *MARGINS])
+
+
+def _core_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of some cores: spans of repeats, and rows that the last pass has to compare."""
+    rows = gathered(batches)
+    if rows is None:
+        return
+    kind = rows["geo"] & 3
+    order, group, new, repeated, mark = _equal_rows(rows, np.flatnonzero(kind < REPEAT))
+    if len(order):
+        marked = (np.bincount(group, mark) > 0)[group]
+        several = (np.bincount(group, new) > 1)[group]
+    else:
+        marked = several = np.zeros(0, bool)
+    windows = expanded(rows, order[new & several & ~marked])
+    _, again = _firsts(*windows)
+    geo = rows["geo"][np.concatenate([np.flatnonzero(kind == REPEAT), order[repeated]])]
+    holder = np.concatenate([np.flatnonzero(kind == REPEAT), order[repeated]])
+    first = np.concatenate([(geo >> 10) - (geo >> 6 & 15), windows[4][again]])
+    last = np.concatenate([(geo >> 10) - (geo >> 2 & 15), windows[4][again]])
+    spans = merged_spans(np.concatenate([rows["doc"][holder], windows[2][again]]), np.concatenate([rows["alt"][holder], windows[3][again]]), first, last)
+    names, types = ["doc", "alt", "first", "last", "kind", "key", *MARGINS], {"kind": pa.int32()}
+    zeros = np.zeros(len(spans[0]), np.int64)
+    yield from _emitted((*spans, zeros + REPEAT, *[zeros] * 5), names, types)
+    left = np.flatnonzero(kind == COMPARE)
+    from_mark = order[new & marked & ~mark]
+    keys = np.concatenate([rows["core"][left], rows["key"][from_mark]])
+    left = np.concatenate([left, from_mark])
+    yield from _emitted((rows["doc"][left], rows["alt"][left], rows["geo"][left], rows["geo"][left], np.full(len(left), COMPARE), keys, *(rows[m][left] for m in MARGINS)), names, types)
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the windows to compare, from texts with their stretches; ``more`` is 0 for what is already a repeat."""
+    """Digests of the windows around very frequent cores, thinned out; ``more`` is 0 for what is already a repeat."""
     names = ["key", "more", "doc", "alt", "first"]
     for batch in batches:
-        data, ends = text_bytes(batch.column("text"))
-        doc_of, alt_of = batch.column("doc").to_numpy(), batch.column("alt").to_numpy()
-        held, count = [], 0
-        for n, stretches in enumerate(batch.column("stretches").to_pylist()):
-            starts = np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in stretches]))
-            one, two = windows(data[ends[n] : ends[n + 1]], starts)
-            held.append((one.view(np.int64), two.view(np.int64), np.full(len(starts), doc_of[n]), np.full(len(starts), alt_of[n]), starts))
-            count += len(starts)
-            if count >= 1 << 20:
-                yield from _thinned(held, names)
-                held, count = [], 0
-        yield from _thinned(held, names)
-
-
-def _thinned(held: list, names: list[str]) -> Iterator[pa.RecordBatch]:
-    if held:
-        key, more, doc, alt, first = (np.concatenate(c) for c in zip(*held, strict=True))
-        more |= 1
-        head, repeat = _firsts(key, more, doc, alt, first)
-        yield from _emitted((key[head], more[head], doc[head], alt[head], first[head]), names)
-        route = mixed(doc[repeat].view(np.uint64) ^ alt[repeat].view(np.uint64)).view(np.int64)
-        yield from _emitted((route, np.zeros(len(repeat), np.int64), doc[repeat], alt[repeat], first[repeat]), names)
+        rows = gathered(iter([batch]))
+        if rows is not None:
+            rows["geo"] = rows.pop("first")
+            key, more, doc, alt, first = expanded(rows, np.arange(batch.num_rows))
+            head, repeat = _firsts(key, more, doc, alt, first)
+            yield from _emitted((key[head], more[head], doc[head], alt[head], first[head]), names)
+            route = mixed(doc[repeat].view(np.uint64) ^ alt[repeat].view(np.uint64)).view(np.int64)
+            yield from _emitted((route, np.zeros(len(repeat), np.int64), doc[repeat], alt[repeat], first[repeat]), names)
 
 
 def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +405,13 @@ def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` as (row, doc, alt, text): ``alt`` tells rows with one id apart where an id occurs more than once."""
+    """``docs`` with its columns by number, and doc, alt, text; ``alt`` tells rows apart where an id occurs more than once."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     repeated = not docs.select(doc.alias("doc")).groupBy("doc").count().filter("count > 1").isEmpty()
     text = F.col("text").cast("string")
-    return docs.select(F.struct("*").alias("row"), doc.alias("doc"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("alt"), text.alias("text"))
+    alt = F.xxhash64(text) if repeated else F.lit(0).cast("long")
+    numbered = (F.col(c).alias(str(n)) for n, c in enumerate(docs.columns) if c != "text")
+    return docs.select(*numbered, doc.alias("doc"), alt.alias("alt"), text.alias("text"))
 
 
 def _lists(spans: DataFrame, name: str) -> DataFrame:
@@ -299,16 +421,18 @@ def _lists(spans: DataFrame, name: str) -> DataFrame:
 def with_spans(docs: DataFrame) -> DataFrame:
     """row (all columns of ``docs``), text, and starts and stops: spans of window starts that are repeats, in any order."""
     keyed = _keyed(docs)
-    texts = keyed.select("doc", "alt", "text")
-    blocks = texts.mapInArrow(_first_pass, ROW_SCHEMA).repartition("key").mapInArrow(_second_pass, SPAN_SCHEMA)
+    blocks = keyed.select("doc", "alt", "text").mapInArrow(_first_pass, ROW_SCHEMA).repartition("key").mapInArrow(_second_pass, SPAN_SCHEMA)
     spans = stored(blocks, "repeats")
-    compared = texts.join(_lists(spans.filter(F.col("kind") == COMPARE), "stretches").hint("shuffle_hash"), ["doc", "alt"])
-    digests = compared.select("doc", "alt", "text", "stretches").mapInArrow(_window_rows, WINDOW_SCHEMA)
-    more = digests.repartition("key").mapInArrow(_third_pass, SPAN_SCHEMA)
-    repeats = _lists(spans.filter(F.col("kind") == REPEAT).unionByName(more), "spans").hint("shuffle_hash")
-    found = keyed.join(repeats, ["doc", "alt"], "left")
+    # Both joins deal out the same columns of the documents alike, so that Spark does it once.
+    compared = keyed.join(_lists(spans.filter(F.col("kind") == COMPARE), "stretches").hint("shuffle_hash"), ["doc", "alt"])
+    inner = compared.mapInArrow(_step_rows, STEP_SCHEMA).repartition("key").mapInArrow(_core_pass, SPAN_SCHEMA + ", key long, " + ", ".join(f"{m} long" for m in MARGINS))
+    digests = inner.filter(F.col("kind") == COMPARE).select("doc", "alt", "first", "key", *MARGINS).mapInArrow(_window_rows, WINDOW_SCHEMA)
+    last = digests.repartition("key").mapInArrow(_third_pass, SPAN_SCHEMA)
+    repeats = [t.filter(F.col("kind") == REPEAT).select("doc", "alt", "first", "last") for t in (spans, inner, last)]
+    found = keyed.join(_lists(repeats[0].unionByName(repeats[1]).unionByName(repeats[2]), "spans").hint("shuffle_hash"), ["doc", "alt"], "left")
+    row = F.struct(*[F.col("text" if c == "text" else f"`{n}`").alias(c) for n, c in enumerate(docs.columns)])
     ends = (F.transform("spans", lambda s: s[end]).alias(name) for end, name in (("first", "starts"), ("last", "stops")))
-    return found.select("row", "text", *ends)
+    return found.select(row.alias("row"), "text", *ends)
 
 
 def removed_runs(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
