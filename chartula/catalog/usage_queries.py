@@ -296,7 +296,7 @@ def overall_confidence(t):
 @query("findings", _V + _FINDINGS_SQL)
 def findings(t):
     rows = ur.findings(_validated(t))
-    return rows.select("script", "line", "type", F.regexp_extract("description", "'([^']*)'", 1).alias("name"))
+    return rows.select("script", "line", "type", "name")
 
 
 @query("validation_summary", _V + _RATE_SQL)
@@ -325,8 +325,8 @@ _FOUND_COUNTS = f"""SELECT s.script, count(f.type) AS hallucinations, count(*) F
     "recommendations",
     _V
     + f"""SELECT c.script, array_to_string(list_filter([
-        CASE WHEN m > 0 THEN 'Found ' || m || '{ur.METHOD_ADVICE}' END, CASE WHEN a > 0 THEN 'Found ' || a || '{ur.ATTRIBUTE_ADVICE}' END,
-        CASE WHEN p > 0 THEN 'Found ' || p || '{ur.PARAMETER_ADVICE}' END, CASE WHEN m + a + p = 0 THEN '{ur.NO_FINDINGS}' END,
+        CASE WHEN m > 0 THEN m || ' {ur.ADVICE["METHOD_NOT_FOUND"]}' END, CASE WHEN a > 0 THEN a || ' {ur.ADVICE["ATTRIBUTE_NOT_FOUND"]}' END,
+        CASE WHEN p > 0 THEN p || ' {ur.ADVICE["INVALID_PARAMETERS"]}' END, CASE WHEN m + a + p = 0 THEN '{ur.NO_FINDINGS}' END,
         CASE WHEN overall_confidence < 0.7 THEN '{ur.LOW_CONFIDENCE}' END], lambda x: x IS NOT NULL), '; ') AS recommendations
         FROM ({_FOUND_COUNTS}) c JOIN ({_CONFIDENCE_SQL}) o ON o.script = c.script""",
 )

@@ -100,7 +100,7 @@ def check_call(expected: Column, args: Column, kwargs: Column) -> Column:
                 outcome(
                     "INVALID",
                     0.8,
-                    *count("Too many positional arguments: provided ", ", max allowed ", sig["allowed"]),
+                    *count("positional arguments given: ", ", accepted: ", sig["allowed"]),
                 ),
             )
             .when(
@@ -108,21 +108,21 @@ def check_call(expected: Column, args: Column, kwargs: Column) -> Column:
                 outcome(
                     "INVALID",
                     0.8,
-                    *count("Too few positional arguments: provided ", ", required ", sig["required"]),
+                    *count("positional arguments given: ", ", needed: ", sig["required"]),
                 ),
             )
             .when(
                 ~sig["var_keyword"] & (F.size(sig["unknown"]) > 0),
-                outcome("INVALID", 0.7, *listing("Invalid keyword arguments: ", sig["unknown"])),
+                outcome("INVALID", 0.7, *listing("keywords not accepted: ", sig["unknown"])),
             )
             .when(
                 F.size(sig["missing"]) > 0,
-                outcome("INVALID", 0.8, *listing("Missing required keyword arguments: ", sig["missing"])),
+                outcome("INVALID", 0.8, *listing("keywords needed: ", sig["missing"])),
             )
-            .otherwise(outcome("VALID", 0.9, F.lit("Parameters are valid")))
+            .otherwise(outcome("VALID", 0.9, F.lit("arguments fit")))
         )
 
-    unknown = outcome("UNCERTAIN", 0.5, F.lit("Parameter information not available"))
+    unknown = outcome("UNCERTAIN", 0.5, F.lit("no signature"))
     return F.when(expected.isNull() | (F.size(expected) <= 0), unknown).otherwise(
         let(_parsed(expected), lambda parsed: let(signature(parsed), judge))
     )

@@ -19,6 +19,11 @@ from chartula.schemas import FILE_FACTS, SCRIPT_FACTS
 
 PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
 Function = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Type of what has no annotation.
+UNTYPED = "Any"
+# Kinds of expressions that types are made of, and how defaults are shown by kind ("" as written).
+TYPE_FORMS = ["Name", "Attribute", "Subscript", "Constant", "Tuple", "List"]
+SHORT_DEFAULTS = {"Constant": "", "Name": "", "Attribute": "", "List": "[]", "Dict": "{}"}
 
 
 def extract_definitions(files: DataFrame, *, include_init: bool = False) -> DataFrame:
@@ -96,7 +101,7 @@ def definitions(content: str | None, include_init: bool = False) -> dict:
             "ord": order,
             "methods": [_callable(m, n, skip_self=True) for n, m in enumerate(methods)],
             "attributes": [
-                {"name": f.target.id, "type": type_text(f.annotation), "ord": n} for n, f in enumerate(fields)
+                {"name": f.target.id, "type": type_name(f.annotation), "ord": n} for n, f in enumerate(fields)
             ],
         }
 
@@ -115,100 +120,65 @@ def _callable(node, order: int, *, skip_self: bool) -> dict:
     return {
         "name": node.name,
         "params": parameters(node.args),
-        "return_type": type_text(node.returns),
+        "return_type": type_name(node.returns) or UNTYPED,
         "args": [a.arg for a in node.args.args if not (skip_self and a.arg == "self")],
         "ord": order,
     }
 
 
 def parameters(args: ast.arguments) -> list[dict]:
-    """Parameters in signature order; ``self`` is left out, keyword-only without default is required."""
-
-    def param(arg: ast.arg, kind: str, stars: str, optional: bool, default=None, any_type="Any") -> dict:
-        return {
+    """Parameters in signature order without ``self``: star names are optional, others by their default."""
+    first_default = len(args.args) - len(args.defaults)
+    signature = [(a, "positional", "", args.defaults[n - first_default] if n >= first_default else None) for n, a in enumerate(args.args)]
+    signature += [(args.vararg, "var_positional", "*", None)]
+    signature += [(a, "keyword_only", "", d) for a, d in zip(args.kwonlyargs, args.kw_defaults, strict=True)]
+    signature += [(args.kwarg, "var_keyword", "**", None)]
+    untyped = {"var_keyword": "Dict[str, Any]"}
+    return [
+        {
             "name": stars + arg.arg,
-            "type": type_text(arg.annotation) if arg.annotation else any_type,
+            "type": type_name(arg.annotation) or untyped.get(kind, UNTYPED),
             "kind": kind,
-            "optional": optional,
-            "default": None if default is None else default_text(default),
+            "optional": bool(stars) or default is not None,
+            "default": default_value(default),
         }
-
-    defaults = dict(zip((id(a) for a in reversed(args.args)), reversed(args.defaults)))
-    out = [
-        param(a, "positional", "", id(a) in defaults, defaults.get(id(a)))
-        for a in args.args
-        if a.arg != "self"
-    ]
-    if args.vararg:
-        out.append(param(args.vararg, "var_positional", "*", True))
-    out += [
-        param(a, "keyword_only", "", default is not None, default)
-        for a, default in zip(args.kwonlyargs, args.kw_defaults)
+        for arg, kind, stars, default in signature
+        if arg is not None and (kind != "positional" or arg.arg != "self")
     ]
-    if args.kwarg:
-        out.append(param(args.kwarg, "var_keyword", "**", True, any_type="Dict[str, Any]"))
-    return out
-
-
-def default_text(node: ast.expr) -> str:
-    match node:
-        case ast.Constant(value=value):
-            return repr(value)
-        case ast.Name(id=name):
-            return name
-        case ast.Attribute():
-            return type_text(node)
-        case ast.List():
-            return "[]"
-        case ast.Dict():
-            return "{}"
-    return "..."
-
-
-def type_text(node: ast.expr | None) -> str:
-    """Annotation as written for names, dotted names and subscripts; other forms are ``Any``."""
-    match node:
-        case ast.Name(id=name):
-            return name
-        case ast.Attribute(value=value, attr=attr):
-            return f"{type_text(value)}.{attr}"
-        case ast.Subscript(value=value, slice=ast.Constant(value=inner)):
-            return f"{type_text(value)}[{inner!r}]"
-        case ast.Subscript(value=value, slice=ast.Tuple(elts=items)):
-            return f"{type_text(value)}[{', '.join(map(type_text, items))}]"
-        case ast.Subscript(value=value, slice=inner):
-            return f"{type_text(value)}[{type_text(inner)}]"
-        case ast.Constant(value=value):
-            return str(value)
-        case ast.Tuple(elts=items):
-            return f"({', '.join(map(type_text, items))})"
-        case ast.List(elts=items):
-            return f"[{', '.join(map(type_text, items))}]"
-    return "Any"
+
+
+class _PlainTypes(ast.NodeTransformer):
+    """Puts ``Any`` for whatever part of an annotation is no name, subscript, constant or listing."""
+
+    def visit(self, node: ast.AST) -> ast.AST:
+        if isinstance(node, ast.expr) and type(node).__name__ not in TYPE_FORMS:
+            return ast.copy_location(ast.Name(UNTYPED, ast.Load()), node)
+        return self.generic_visit(node)
+
+
+def type_name(node: ast.expr | None) -> str | None:
+    """An annotation's plain parts as written; a quoted one (a forward reference) without its quotes."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value
+    return None if node is None else as_written(_PlainTypes().visit(node))
+
+
+def default_value(node: ast.expr | None) -> str | None:
+    """A default as written, or the short form of its kind."""
+    return None if node is None else SHORT_DEFAULTS.get(type(node).__name__, "...") or as_written(node)
+
+
+def as_written(node: ast.expr) -> str:
+    return ast.unparse(node)
 
 
 # --- usage --------------------------------------------------------------------------------------
 
 
 def dotted(node: ast.expr) -> str | None:
-    """``a.b.c`` for a chain of attributes on a name."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        owner = dotted(node.value)
-        return f"{owner}.{node.attr}" if owner else None
-    return None
-
-
-def argument_text(node: ast.expr) -> str:
-    match node:
-        case ast.Constant(value=value):
-            return repr(value)
-        case ast.Name() | ast.Attribute():
-            return dotted(node) or "<?>"
-        case ast.Call(func=func):
-            return f"{dotted(func) or 'call'}(...)"
-    return f"<{type(node).__name__}>"
+    """``a.b.c`` for a chain of attributes on a name, else None."""
+    text = ast.unparse(node) if isinstance(node, ast.Name | ast.Attribute) else ""
+    return text if text and all(part.isidentifier() for part in text.split(".")) else None
 
 
 def usage_events(content: str | None) -> list[dict]:
@@ -227,8 +197,8 @@ def usage_events(content: str | None) -> list[dict]:
 
     def signature(call: ast.Call) -> dict:
         return {
-            "args": [argument_text(a) for a in call.args],
-            "kwargs": {k.arg: argument_text(k.value) for k in call.keywords if k.arg},
+            "args": [as_written(a) for a in call.args],
+            "kwargs": {k.arg: as_written(k.value) for k in call.keywords if k.arg},
         }
 
     def emit_method(call: ast.Call) -> None:
@@ -282,8 +252,3 @@ def usage_events(content: str | None) -> list[dict]:
                 if owner:
                     emit("attribute", node, object=owner, member=node.attr)
     return events
-
-
-def events_of(facts: DataFrame) -> DataFrame:
-    """One row per usage event."""
-    return facts.select("script", F.explode("events").alias("_e")).select("script", "_e.*")

@@ -14,18 +14,21 @@ from chartula.session import cut_lineage
 from chartula.sources import tables
 
 # Modules that never belong to the analysed project.
-EXTERNAL_MODULES = """
-os sys json logging datetime pathlib typing collections asyncio subprocess ast re string urllib http email
-time uuid hashlib base64 itertools functools operator contextlib copy pickle tempfile shutil glob fnmatch
-io codecs locale platform socket ssl threading queue multiprocessing concurrent warnings traceback inspect
-importlib pkgutil types weakref gc dataclasses enum abc numbers decimal fractions math cmath random statistics
-requests urllib3 httpx aiohttp flask django fastapi pydantic sqlalchemy alembic psycopg2 pymongo redis
-celery pytest unittest mock faker factory hypothesis numpy pandas matplotlib seaborn scipy sklearn torch
-tensorflow keras opencv pillow boto3 botocore azure google openai anthropic langchain transformers
-huggingface_hub click typer rich colorama tqdm python-dotenv pyyaml toml configargparse marshmallow attrs
-dataclasses-json jsonschema cerberus voluptuous schema jinja2 mako cryptography bcrypt passlib jwt authlib
-oauthlib
-""".split()
+EXTERNAL_MODULES = [
+    "os", "sys", "json", "logging", "datetime", "pathlib", "typing", "collections", "asyncio", "subprocess", "ast",
+    "re", "string", "urllib", "http", "email", "time", "uuid", "hashlib", "base64", "itertools", "functools",
+    "operator", "contextlib", "copy", "pickle", "tempfile", "shutil", "glob", "fnmatch", "io", "codecs", "locale",
+    "platform", "socket", "ssl", "threading", "queue", "multiprocessing", "concurrent", "warnings", "traceback",
+    "inspect", "importlib", "pkgutil", "types", "weakref", "gc", "dataclasses", "enum", "abc", "numbers", "decimal",
+    "fractions", "math", "cmath", "random", "statistics", "requests", "urllib3", "httpx", "aiohttp", "flask",
+    "django", "fastapi", "pydantic", "sqlalchemy", "alembic", "psycopg2", "pymongo", "redis", "celery", "pytest",
+    "unittest", "mock", "faker", "factory", "hypothesis", "numpy", "pandas", "matplotlib", "seaborn", "scipy",
+    "sklearn", "torch", "tensorflow", "keras", "opencv", "pillow", "boto3", "botocore", "azure", "google", "openai",
+    "anthropic", "langchain", "transformers", "huggingface_hub", "click", "typer", "rich", "colorama", "tqdm",
+    "python-dotenv", "pyyaml", "toml", "configargparse", "marshmallow", "attrs", "dataclasses-json", "jsonschema",
+    "cerberus", "voluptuous", "schema", "jinja2", "mako", "cryptography", "bcrypt", "passlib", "jwt", "authlib",
+    "oauthlib",
+]
 # Leading directories that are not part of a module name.
 SOURCE_DIRS = ["src", "lib", "source", "python", "pkg", "packages"]
 

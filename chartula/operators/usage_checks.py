@@ -306,15 +306,12 @@ def check_imports(imports: DataFrame, graph: CodeGraph) -> DataFrame:
     homes = best_repository(modules, graph).join(with_files, "repo", "left_semi")
     joined = salted_join(rows, homes.select(F.col("module").alias("search_module"), "repo"), ["search_module"], "left", salt_on=["script", "seq"])
     known = F.col("repo").isNotNull()
-    quoted = F.concat(F.lit("Module '"), F.col("search_module"))
     return joined.select(
         *rows.columns,
         "repo",
         F.when(known, "VALID").otherwise("UNCERTAIN").alias("status"),
         F.when(known, 0.9).otherwise(0.8).alias("confidence"),
-        F.when(known, F.concat(quoted, F.lit("' found in knowledge graph")))
-        .otherwise(F.concat(quoted, F.lit("' is external (not in knowledge graph)")))
-        .alias("message"),
+        _note("module", F.col("search_module"), F.when(known, IN_GRAPH).otherwise(OUTSIDE)).alias("message"),
     )
 
 
@@ -345,8 +342,14 @@ def _attach(rows: DataFrame, looked_up: DataFrame, keys: Sequence[str]) -> DataF
     return salted_join(rows, looked_up, list(keys), "left", salt_on=["script", "seq"])
 
 
-def _message(*parts: Column | str) -> Column:
-    return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts))
+#: Outcomes as they are told after ``kind subject:``.
+IN_GRAPH, OUTSIDE, ABSENT, UNTYPED, MISFIT = "known", "outside of the graph, not judged", "unknown", "type of the object is open", "known, arguments do not fit: "
+
+
+def _note(kind: str, subject: Column, outcome: Column | str, detail: Column | None = None) -> Column:
+    """``kind subject: outcome`` with an optional detail."""
+    told = outcome if isinstance(outcome, Column) else F.lit(outcome)
+    return F.concat(F.lit(kind + " "), F.coalesce(subject, F.lit("?")), F.lit(": "), told, F.lit("") if detail is None else F.coalesce(detail, F.lit("")))
 
 
 def _validated(rows: DataFrame, kind: str, rules: list[tuple[Column, str | Column, float | Column, Column]], **extra: Column) -> DataFrame:
@@ -383,26 +386,25 @@ def check_instantiations(rows: DataFrame, modules: DataFrame, graph: CodeGraph)
     rows = _attach(rows, classes.join(inits.select("owner", "expected"), "owner", "left"), ["owner"])
     rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
     found = F.coalesce("_class", F.lit(False))
-    quoted = _message("Class '", F.col("owner"), "'")
     checked = F.col("in_graph") & found
     return _validated(
         rows,
         "class",
         [
-            (~F.col("in_graph"), "UNCERTAIN", 0.8, _message("Skipping validation: '", F.col("owner"), "' is not from knowledge graph")),
-            (~found, "NOT_FOUND", 0.2, F.concat(quoted, F.lit(" not found in knowledge graph"))),
+            (~F.col("in_graph"), "UNCERTAIN", 0.8, _note("class", F.col("owner"), OUTSIDE)),
+            (~found, "NOT_FOUND", 0.2, _note("class", F.col("owner"), ABSENT)),
             (
                 F.col("_p.status") == "INVALID",
                 "INVALID",
                 F.col("_p.confidence"),
-                F.concat(quoted, F.lit(" found but has invalid constructor parameters: "), F.col("_p.message")),
+                _note("class", F.col("owner"), MISFIT, F.col("_p.message")),
             ),
-            (F.lit(True), "VALID", 0.8, F.concat(quoted, F.lit(" found in knowledge graph"))),
+            (F.lit(True), "VALID", 0.8, _note("class", F.col("owner"), IN_GRAPH)),
         ],
         param_status=F.when(checked, F.col("_p.status")),
         param_message=F.when(
             checked,
-            F.when(F.col("expected").isNull(), "Constructor parameters not found").otherwise(F.col("_p.message")),
+            F.when(F.col("expected").isNull(), "no signature of the constructor").otherwise(F.col("_p.message")),
         ),
     )
 
@@ -416,22 +418,22 @@ def check_method_calls(rows: DataFrame, modules: DataFrame, graph: CodeGraph) ->
     rows = _attach(rows, looked_up, ["owner", "name"])
     rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
     found = F.coalesce("_method", F.lit(False))
-    quoted = _message("Method '", F.col("name"), "'")
+    subject = F.concat_ws(".", "owner", "name")
     checked = F.col("in_graph") & found
     return _validated(
         rows,
         "method",
         [
-            (F.col("owner").isNull(), "UNCERTAIN", 0.3, _message("Cannot determine object type for '", F.col("object_name"), "'")),
-            (~F.col("in_graph"), "UNCERTAIN", 0.8, _message("Skipping validation: '", F.col("owner"), "' is not from knowledge graph")),
-            (~found, "NOT_FOUND", 0.1, F.concat(quoted, _message(" not found on class '", F.col("owner"), "'"))),
+            (F.col("owner").isNull(), "UNCERTAIN", 0.3, _note("object", F.col("object_name"), UNTYPED)),
+            (~F.col("in_graph"), "UNCERTAIN", 0.8, _note("method", F.col("owner"), OUTSIDE)),
+            (~found, "NOT_FOUND", 0.1, _note("method", subject, ABSENT)),
             (
                 F.col("_p.status") == "INVALID",
                 "INVALID",
                 F.col("_p.confidence"),
-                F.concat(quoted, F.lit(" found but has invalid parameters: "), F.col("_p.message")),
+                _note("method", subject, MISFIT, F.col("_p.message")),
             ),
-            (F.lit(True), "VALID", 0.9, F.concat(quoted, _message(" found on class '", F.col("owner"), "'"))),
+            (F.lit(True), "VALID", 0.9, _note("method", subject, IN_GRAPH)),
         ],
         suggestions=F.when(F.col("in_graph") & ~found, F.coalesce("suggestions", _no_strings())).otherwise(_no_strings()),
         param_status=F.when(checked, F.col("_p.status")),
@@ -447,17 +449,16 @@ def check_attributes(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> D
     methods = methods.select("owner", "name", F.lit("method").alias("type"), F.lit(False).alias("_attribute"))
     attributes = looked_up.filter("_found").select("owner", "name", "type", F.lit(True).alias("_attribute"))
     rows = _attach(rows, attributes.unionByName(methods), ["owner", "name"])
-    quoted = _message("'", F.col("name"), "'")
-    on_class = _message(" on class '", F.col("owner"), "'")
+    subject = F.concat_ws(".", "owner", "name")
     return _validated(
         rows,
         "attribute",
         [
-            (F.col("owner").isNull(), "UNCERTAIN", 0.3, _message("Cannot determine object type for '", F.col("object_name"), "'")),
-            (~F.col("in_graph"), "UNCERTAIN", 0.8, _message("Skipping validation: '", F.col("owner"), "' is not from knowledge graph")),
-            (F.col("_attribute").isNull(), "NOT_FOUND", 0.2, F.concat(quoted, F.lit(" not found"), on_class)),
-            (F.col("_attribute"), "VALID", 0.8, F.concat(F.lit("Attribute "), quoted, F.lit(" found"), on_class)),
-            (F.lit(True), "VALID", 0.8, F.concat(quoted, F.lit(" found as method"), on_class, F.lit(" (likely used as decorator)"))),
+            (F.col("owner").isNull(), "UNCERTAIN", 0.3, _note("object", F.col("object_name"), UNTYPED)),
+            (~F.col("in_graph"), "UNCERTAIN", 0.8, _note("attribute", F.col("owner"), OUTSIDE)),
+            (F.col("_attribute").isNull(), "NOT_FOUND", 0.2, _note("attribute", subject, ABSENT)),
+            (F.col("_attribute"), "VALID", 0.8, _note("attribute", subject, IN_GRAPH)),
+            (F.lit(True), "VALID", 0.8, _note("attribute", subject, "known as a method")),
         ],
         expected_type=F.when(F.col("in_graph"), F.col("type")),
     )
@@ -472,20 +473,19 @@ def check_functions(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> Da
     rows = _attach(rows, looked_up.select("owner", "expected", F.col("found").alias("_function")), ["owner"])
     rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
     found = F.coalesce("_function", F.lit(False))
-    quoted = _message("Function '", F.col("owner"), "'")
     return _validated(
         rows,
         "function",
         [
-            (skipped, "UNCERTAIN", 0.8, _message("Skipping validation: '", F.col("owner"), "' is not from knowledge graph")),
-            (~found, "NOT_FOUND", 0.2, F.concat(quoted, F.lit(" not found in knowledge graph"))),
+            (skipped, "UNCERTAIN", 0.8, _note("function", F.col("owner"), OUTSIDE)),
+            (~found, "NOT_FOUND", 0.2, _note("function", F.col("owner"), ABSENT)),
             (
                 F.col("_p.status") == "INVALID",
                 "INVALID",
                 F.col("_p.confidence"),
-                F.concat(quoted, F.lit(" found but has invalid parameters: "), F.col("_p.message")),
+                _note("function", F.col("owner"), MISFIT, F.col("_p.message")),
             ),
-            (F.lit(True), "VALID", 0.8, F.concat(quoted, F.lit(" found in knowledge graph"))),
+            (F.lit(True), "VALID", 0.8, _note("function", F.col("owner"), IN_GRAPH)),
         ],
         param_status=F.when(~skipped & found, F.col("_p.status")),
         param_message=F.when(~skipped & found, F.col("_p.message")),
