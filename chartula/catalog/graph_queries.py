@@ -175,12 +175,22 @@ def methods_of_class(t):
 
 @query(
     "graph_sql",
-    f"""SELECT repo, count(*) AS n FROM (SELECT DISTINCT repo, path, class_full_name FROM ({dv.CLASS_ROWS})) GROUP BY repo""",
+    f"""SELECT repo, count(*) AS n, false AS limited FROM (SELECT DISTINCT repo, path, class_full_name FROM ({dv.CLASS_ROWS})) GROUP BY repo""",
 )
 def graph_sql(t):
     return cg.ad_hoc(dv.graph(t), "SELECT repo, count(*) AS n FROM class_files GROUP BY repo")
 
 
+@query(
+    "graph_sql_limited",
+    f"""SELECT repo, path, true AS limited FROM (SELECT DISTINCT repo, path FROM ({dv.FILES})) ORDER BY path, repo LIMIT 20""",
+)
+def graph_sql_limited(t):
+    """More rows than the cap: the first ones by all columns, and the flag."""
+    rows = cg.ad_hoc(dv.graph(t), "SELECT path, repo FROM files")
+    return rows.select("repo", "path", "limited")
+
+
 # --- names -----------------------------------------------------------------------------------------
 
 # File tree: one package per nation; parts live under source directories, some with package markers.

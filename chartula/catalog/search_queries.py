@@ -159,6 +159,53 @@ def zero_vector_scan(t):
     return rows.filter(vectors.is_unusable(F.col("embedding"))).select("vec_id", "label")
 
 
+def _damaged(t):
+    """Vectors of which some are all zero (ids divisible by 7) and some missing (divisible by 11)."""
+    zeros = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    blanked = F.when(F.col("vec_id") % 11 == 0, F.lit(None)).when(F.col("vec_id") % 7 == 0, zeros).otherwise(F.col("embedding"))
+    return t.embeddings.withColumn("embedding", blanked)
+
+
+_DAMAGED = """(SELECT vec_id, label, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT)) ELSE embedding END AS embedding
+    FROM embeddings WHERE vec_id % 11 <> 0)"""
+
+
+@query(
+    "vector_topk_cells_damaged",
+    f"""SELECT query_id, id, round(s, 6) AS similarity, rank FROM ({_ranked_sql(_ALL_PAIRS.replace('FROM embeddings q, embeddings e', f'FROM {_DAMAGED} q, {_DAMAGED} e').replace(cos_sql('e.embedding', 'q.embedding'), f"CASE WHEN e.vec_id % 7 = 0 OR q.vec_id % 7 = 0 THEN 0.0 ELSE {cos_sql('e.embedding', 'q.embedding')} END"), 10)})""",
+)
+def vector_topk_cells_damaged(t):
+    """All cells looked into, with zero and missing vectors in the table: still the exact result."""
+    stored = _damaged(t).select(F.col("vec_id").alias("id"), "embedding")
+    cells = vs.fit_cells(stored, 4)
+    queries = stored.select(F.col("id").alias("query_id"), "embedding")
+    hits = vs.top_k_approx(cells, vs.assign_cells(cells, stored), queries, 10, probes=4)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "embedding_separability_damaged",
+    f"""SELECT n.label, n.n, round(m.s, 6) AS mean_similarity FROM
+        (SELECT label, count(*) FILTER (WHERE vec_id % 11 <> 0) AS n FROM embeddings GROUP BY label) n LEFT JOIN
+        (SELECT a.label, avg(CASE WHEN a.vec_id % 7 = 0 OR b.vec_id % 7 = 0 THEN 0.0 ELSE {cos_sql('a.embedding', 'b.embedding')} END) AS s
+         FROM {_DAMAGED} a JOIN {_DAMAGED} b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label) m ON m.label = n.label""",
+)
+def embedding_separability_damaged(t):
+    rows = corpus_stats.separability(_damaged(t), "label")
+    return rows.withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+@query(
+    "embedding_consistency_damaged",
+    f"""WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first, min(vec_id) AS first_id, count(*) AS n FROM {_DAMAGED} GROUP BY label)
+        SELECT f.label, max(f.n) AS n, round(avg(CASE WHEN e.vec_id % 7 = 0 OR f.first_id % 7 = 0 THEN 0.0 ELSE {cos_sql('f.first', 'e.embedding')} END), 6) AS mean_similarity
+        FROM f JOIN {_DAMAGED} e ON e.label = f.label AND e.vec_id <> f.first_id GROUP BY f.label""",
+)
+def embedding_consistency_damaged(t):
+    rows = corpus_stats.consistency(_damaged(t), "label", "vec_id")
+    return rows.withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
 @query(
     "embedding_separability",
     f"""SELECT a.label, max(n.n) AS n, round(avg({cos_sql('a.embedding', 'b.embedding')}), 6) AS mean_similarity

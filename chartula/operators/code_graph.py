@@ -434,7 +434,8 @@ def find_methods(graph: CodeGraph, method_name: str, class_name: str | None = No
     return rows.withColumn("limited", F.lit(False))
 
 
-def ad_hoc(graph: CodeGraph, sql: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """Spark SQL over the graph's views, capped at ``limit`` rows."""
+def ad_hoc(graph: CodeGraph, sql: str, limit: int | None = LIST_LIMIT) -> DataFrame:
+    """Spark SQL over the graph's views: at most ``limit`` rows (None: all), and ``limited`` if there were more."""
     graph.register()
-    return graph.files.sparkSession.sql(sql).limit(limit)
+    rows = graph.files.sparkSession.sql(sql)
+    return rows.withColumn("limited", F.lit(False)) if limit is None else _limited(rows, rows.columns, limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,14 +167,25 @@ def integrity_report(
     )
 
 
+def _unit(vector: Column) -> Column:
+    """A vector in unit length (zero stays zero)."""
+    return F.transform(vector, lambda x: F.when(vectors.norm(vector) == 0.0, F.lit(0.0)).otherwise(x / vectors.norm(vector)))
+
+
 def _unit_sums(df: DataFrame, group: str, embedding_col: str) -> DataFrame:
-    """Per group and component: sum of unit vectors, computed with map-side combine."""
-    own = vectors.norm(F.col(embedding_col))
-    unit = F.transform(
-        F.col(embedding_col), lambda x: F.when(own == 0.0, F.lit(0.0)).otherwise(x / own)
-    )
-    parts = df.select(F.col(group), F.posexplode(unit).alias("_at", "_x"))
-    return parts.groupBy(group, "_at").agg(F.sum("_x").alias("_sum"), F.sum(F.col("_x") ** 2).alias("_squares"))
+    """Per group: ``n`` vectors, the sum of their unit vectors, and of the unit vectors' squares.
+
+    Missing vectors do not count; a group without any keeps its row.  The sums combine map-side.
+    """
+    unit = df.filter(F.col(embedding_col).isNotNull()).select(group, array_to_vector(_unit(F.col(embedding_col))).alias("_unit"))
+    sums = unit.groupBy(group).agg(Summarizer.metrics("sum", "normL2").summary(F.col("_unit")).alias("_s"))
+    sums = sums.select(group, vector_to_array("_s.sum").alias("_sum"), vector_to_array("_s.normL2").alias("_norms"))
+    sizes = df.groupBy(group).agg(F.count(embedding_col).alias("n"))
+    return sizes.join(sums, sizes[group].eqNullSafe(sums[group]), "left").select(sizes[group], "n", "_sum", "_norms")
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
 def separability(df: DataFrame, group: str, *, embedding_col: str = "embedding") -> DataFrame:
@@ -180,32 +193,19 @@ def separability(df: DataFrame, group: str, *, embedding_col: str = "embedding")
 
     With unit vectors u, the sum over ordered pairs is |sum u|^2 - sum |u|^2.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     sums = _unit_sums(df, group, embedding_col)
-    totals = sums.groupBy(group).agg(
-        F.sum(F.col("_sum") ** 2).alias("_whole"), F.sum("_squares").alias("_self")
-    )
     pairs = F.col("n") * (F.col("n") - 1)
-    mean = F.when(pairs > 0, (F.col("_whole") - F.col("_self")) / pairs)
-    return totals.join(sizes, group).select(group, "n", mean.alias("mean_similarity"))
+    total = _dot(F.col("_sum"), F.col("_sum")) - _dot(F.col("_norms"), F.col("_norms"))
+    return sums.select(group, "n", F.when(pairs > 0, total / pairs).alias("mean_similarity"))
 
 
 def consistency(
     df: DataFrame, group: str, order: str, *, embedding_col: str = "embedding"
 ) -> DataFrame:
     """Mean cosine between the first vector of a group and the others, without forming pairs."""
-    sizes = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by(embedding_col, order).alias("_first")
-    )
-    sums = _unit_sums(df, group, embedding_col).select(group, "_at", "_sum")
-    own = vectors.norm(F.col("_first"))
-    unit = F.transform("_first", lambda x: F.when(own == 0.0, F.lit(0.0)).otherwise(x / own))
-    firsts = sizes.select(group, "n", F.posexplode(unit).alias("_at", "_u"))
-    joined = firsts.join(sums, [group, "_at"])
-    mean = F.sum(F.col("_u") * (F.col("_sum") - F.col("_u")))
-    rows = joined.groupBy(group, "n").agg(mean.alias("_total"))
-    return rows.select(
-        group,
-        "n",
-        F.when(F.col("n") > 1, F.col("_total") / (F.col("n") - 1)).alias("mean_similarity"),
-    )
+    present = F.when(F.col(embedding_col).isNotNull(), F.col(order))
+    first = df.groupBy(group).agg(F.min_by(embedding_col, present).alias("_first"))
+    sums = _unit_sums(df, group, embedding_col)
+    rows = sums.join(first, sums[group].eqNullSafe(first[group])).select(sums[group], "n", "_sum", _unit(F.col("_first")).alias("_own"))
+    total = _dot(F.col("_own"), F.zip_with("_sum", "_own", lambda s, x: s - x))
+    return rows.select(group, "n", F.when(F.col("n") > 1, total / (F.col("n") - 1)).alias("mean_similarity"))

@@ -24,6 +24,10 @@ from chartula.session import cut_lineage
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 # Similarities held at a time inside a task (queries x rows).
 SCORE_TILE = 8_000_000
+# The cell of vectors without a direction; every query looks into it.
+LOOSE_CELL = -1
+# Stored rows and queries of a cell that meet in one task, at most on average.
+CELL_ROWS, CELL_QUERIES = 65_536, 4_096
 
 
 class DimensionMismatch(ValueError):
@@ -119,13 +123,11 @@ def top_k_multi(
     id_col: str = "id",
     embedding_col: str = "embedding",
     query_id_col: str = "query_id",
-    cell_col: str | None = None,
     block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """Best ``k`` ids per query: ``(query_id, id, similarity, rank)``.
 
-    ``queries`` has ``query_id`` and ``embedding``, and with ``cell_col`` also ``cells``, the
-    coarse cells each query may look into.
+    ``queries`` has ``query_id`` and ``embedding``.
     """
     dim = queries.select(F.max(F.size(embedding_col))).first()[0]
     if dim is None:
@@ -135,9 +137,8 @@ def top_k_multi(
     rows_per_group = max(1, block_bytes // (2 * 8 * dim))
 
     def search(group: DataFrame) -> DataFrame:
-        columns = [query_id_col, embedding_col] + (["cells"] if cell_col else [])
-        held = group.select(*columns).toArrow()
-        return _score_block(chunks, queries, held, dim, k, id_col, embedding_col, query_id_col, cell_col)
+        held = group.select(query_id_col, embedding_col).toArrow()
+        return _score_block(chunks, queries, held, dim, k, id_col, embedding_col, query_id_col)
 
     hits = each_query_group(queries, query_id_col, rows_per_group, search)
     return top_per_group(
@@ -175,30 +176,25 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def _score_block(
-    chunks, queries, held, dim, k, id_col, embedding_col, query_id_col, cell_col
+    chunks, queries, held, dim, k, id_col, embedding_col, query_id_col
 ) -> DataFrame:
     schema = _hit_schema(chunks, queries, id_col, query_id_col)
     query_ids = held.column(query_id_col).combine_chunks()
     unit_queries = _unit(_matrix(held.column(embedding_col), dim))
-    cells = held.column("cells").to_pylist() if cell_col else None
-    shipped = chunks.sparkSession.sparkContext.broadcast((query_ids, unit_queries, cells))
+    shipped = chunks.sparkSession.sparkContext.broadcast((query_ids, unit_queries))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, probed = shipped.value
+        ids, matrix = shipped.value
         kept: pa.Table | None = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             batch = batch.take(pc.sort_indices(batch.column(id_col)))
             stored = _unit(_matrix(batch.column(embedding_col), dim)).T
-            cell = batch.column(cell_col).to_numpy(zero_copy_only=False) if cell_col else None
             tile = max(1, SCORE_TILE // batch.num_rows)
             found = []
             for first in range(0, len(matrix), tile):
                 scores = np.round(matrix[first : first + tile] @ stored, vectors.RANK_PLACES)
-                if probed is not None:
-                    for row, allowed in enumerate(probed[first : first + tile]):
-                        scores[row, ~np.isin(cell, allowed)] = -np.inf
                 which, at = _best_positions(scores, k)
                 found.append((which + first, at, scores[which, at]))
             which, at, scores = (np.concatenate(parts) for parts in zip(*found))
@@ -217,11 +213,7 @@ def _score_block(
             )
             yield from out.to_batches()
 
-    wanted = [id_col, embedding_col] + ([cell_col] if cell_col else [])
-    rows = chunks.select(*wanted).filter(F.col(embedding_col).isNotNull())
-    if cells is not None:
-        probed_cells = sorted(set().union(*map(set, cells)))
-        rows = rows.filter(F.col(cell_col).isin(probed_cells))
+    rows = chunks.select(id_col, embedding_col).filter(F.col(embedding_col).isNotNull())
     return rows.mapInArrow(best, schema)
 
 
@@ -272,7 +264,10 @@ def _features(df: DataFrame, embedding_col: str) -> DataFrame:
 
 
 def assign_cells(model, chunks: DataFrame, *, embedding_col: str = "embedding") -> DataFrame:
-    return model.transform(_features(chunks, embedding_col)).drop("_features")
+    """All rows with their ``cell``; missing and zero vectors, which have no direction, share LOOSE_CELL."""
+    placed = model.transform(_features(chunks, embedding_col)).drop("_features")
+    loose = chunks.filter(vectors.is_unusable(F.col(embedding_col))).withColumn("cell", F.lit(LOOSE_CELL))
+    return placed.unionByName(loose)
 
 
 def top_k_approx(
@@ -285,20 +280,46 @@ def top_k_approx(
     embedding_col: str = "embedding",
     **names: str,
 ) -> DataFrame:
-    """Exact scoring restricted to the ``probes`` nearest cells of each query."""
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    nearness = F.array(
-        *(
-            F.struct((-vectors.cosine_to(F.col(embedding_col), c)).alias("d"), F.lit(i).alias("cell"))
-            for i, c in enumerate(centers)
-        )
-    )
-    nearest = F.transform(F.slice(F.array_sort(nearness), 1, probes), lambda s: s["cell"])
-    return top_k_multi(
-        celled,
-        queries.withColumn("cells", nearest),
-        k,
-        embedding_col=embedding_col,
-        cell_col="cell",
-        **names,
-    )
+    """Exact scoring restricted to the ``probes`` nearest cells of each query (and the loose cell).
+
+    Rows and queries meet by cell: a query is sent to its cells only, and a task scores the rows of a
+    cell with the queries that look into it.  Large cells are cut by a hash of the id.
+    """
+    names = {"id_col": "id", "query_id_col": "query_id"} | names
+    id_col, query_id_col = names["id_col"], names["query_id_col"]
+    dim = queries.select(F.max(F.size(embedding_col))).first()[0] or 0
+    centers = np.array(model.clusterCenters(), dtype=np.float64)
+    shipped = queries.sparkSession.sparkContext.broadcast(_unit(centers))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def nearest(found: pa.Array) -> pa.Array:
+        near = np.argsort(-np.round(_unit(_matrix(found, dim)) @ shipped.value.T, vectors.RANK_PLACES), axis=1, kind="stable")[:, :probes]
+        cells = np.concatenate([near, np.full((len(near), 1), LOOSE_CELL)], axis=1).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
+
+    rows = celled.filter(F.col(embedding_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(embedding_col).alias("_vector"), "cell")
+    asked = queries.filter(F.col(embedding_col).isNotNull()).select(F.col(query_id_col).alias("_query"), F.col(embedding_col).alias("_asked"), F.explode(nearest(F.col(embedding_col))).alias("cell"))
+    # One row for each cell: the parts into which its rows and its queries are cut.
+    row_parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("_parts"))
+    query_parts = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("_asks"))
+    grid = cut_lineage(row_parts.join(query_parts, "cell"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.join(grid, "cell").select("cell", "_id", "_vector", F.pmod(F.xxhash64("_id"), "_parts").alias("_part"), every("_asks").alias("_ask"))
+    right = asked.join(grid, "cell").select("cell", "_query", "_asked", F.pmod(F.xxhash64("_query"), "_asks").alias("_ask"), every("_parts").alias("_part"))
+    by = ["cell", "_part", "_ask"]
+
+    def best(stored: pa.Table, wanted: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if stored.num_rows and wanted.num_rows:
+            stored = stored.take(pc.sort_indices(stored.column("_id")))
+            matrix, own = _unit(_matrix(wanted.column("_asked"), dim)), _unit(_matrix(stored.column("_vector"), dim)).T
+            tile = max(1, SCORE_TILE // stored.num_rows)
+            for first in range(0, len(matrix), tile):
+                scores = np.round(matrix[first : first + tile] @ own, vectors.RANK_PLACES)
+                which, at = _best_positions(scores, k)
+                found.append((which + first, at, scores[which, at]))
+        which, at, scores = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([wanted.column("_query").take(pa.array(which)), stored.column("_id").take(pa.array(at)), pa.array(scores)], names=[query_id_col, id_col, "similarity"])
+
+    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, _hit_schema(celled, queries, id_col, query_id_col))
+    return top_per_group(hits, [query_id_col], [F.desc("similarity"), F.asc(id_col)], k, salt_on=[id_col])
