@@ -246,6 +246,43 @@ def sync_chunks(t):
     return _sync(t, full=True).chunks.select("id", "content")
 
 
+@query(
+    "sync_duplicates",
+    chunk_sql(f"SELECT doc_id, markdown AS md FROM ({_STATUS_SQL}) WHERE status = 'stored'", 5000)
+    + f""", stored AS ({chunk_sql("SELECT doc_id, text AS md FROM documents WHERE lang <> 'de'", 5000)} SELECT * FROM chunk),
+    gone AS (SELECT doc_id FROM documents WHERE lang = 'es')
+    SELECT 'doc/' || doc_id || '#' || chunk_number AS id, content FROM chunk
+    UNION ALL SELECT 'doc/' || doc_id || '#' || chunk_number, content FROM stored
+    WHERE doc_id NOT IN (SELECT doc_id FROM gone) AND doc_id NOT IN (SELECT doc_id FROM chunk)""",
+)
+def sync_duplicates(t):
+    """Every page also occurs with an earlier stamp and another text; the later one counts."""
+    earlier = _snapshot(t).withColumns({"markdown": F.lit("an earlier text"), "last_modified": F.lit("0")})
+    pages = _snapshot(t).unionByName(earlier)
+    return sy.sync(pages, _stored_chunks(t), _stored_examples(t), full=True).chunks.select("id", "content")
+
+
+@query(
+    "sync_examples",
+    """SELECT 'doc/' || d.doc_id || '#0' AS id, repeat('x', 1000 + CAST(d.doc_id AS INTEGER) % 7) AS content, true AS fresh
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1 AND lang NOT IN ('es', 'fr')
+    UNION ALL SELECT 'doc/' || d.doc_id || '#0', 'code', false
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang NOT IN ('es', 'de') AND (lang = 'fr' OR coalesce(l.toxic, 0) <> 1)""",
+)
+def sync_examples(t):
+    """Code examples after a full synchronisation: changed pages have a new code block each."""
+    docs = t.documents.select("doc_id", "text").join(t.labels.filter("toxic = 1").select("doc_id"), "doc_id")
+    fenced = docs.select(
+        F.concat(F.lit("doc/"), "doc_id").alias("url"),
+        F.concat("text", F.lit("\n```py\n"), F.expr("repeat('x', CAST(1000 + doc_id % 7 AS INT))"), F.lit("\n```")).alias("_fenced"),
+    )
+    pages = _snapshot(t).join(fenced, "url", "left")
+    changed = (F.col("last_modified") == "changed") & (F.col("markdown") != " ")
+    pages = pages.withColumn("markdown", F.when(changed, F.col("_fenced")).otherwise(F.col("markdown"))).drop("_fenced")
+    found = sy.sync(pages, _stored_chunks(t), _stored_examples(t), full=True).examples
+    return found.select("id", "content", (F.col("summary") != "summary").alias("fresh"))
+
+
 @query(
     "sync_summary",
     chunk_sql(f"SELECT doc_id, markdown AS md FROM ({_STATUS_SQL}) WHERE status = 'stored'", 5000)

@@ -83,7 +83,10 @@ def embed_texts(
     delay: float = 1.0,
     batch_size: int = BATCH,
 ) -> DataFrame:
-    """Vectors from a model; empty texts and failed texts get the zero vector."""
+    """Vectors from a model; empty texts and failed texts get the zero vector.
+
+    A vector of another length than ``dim`` fails the job.
+    """
     zero = [0.0] * dim
 
     def fn(part: pd.DataFrame) -> pd.Series:
@@ -95,6 +98,8 @@ def embed_texts(
                 embed, [texts[i][:max_chars] for i in asked], zero, tries=tries, delay=delay
             )
             for i, vector in zip(asked, answers):
+                if len(vector) != dim:
+                    raise ValueError(f"a vector of {len(vector)} components instead of {dim}")
                 out[i] = [float(x) for x in vector]
         return pd.Series(out)
 
@@ -195,7 +200,7 @@ def score_pairs(
     out_col: str = "rerank_score",
     batch_size: int = BATCH,
 ) -> DataFrame:
-    """Relevance of (query, text) pairs; empty texts and failed batches score 0.0."""
+    """Relevance of (query, text) pairs; empty texts, and all pairs of a batch that fails, score 0.0."""
 
     def fn(part: pd.DataFrame) -> pd.Series:
         texts = [t if isinstance(t, str) else "" for t in part[text_col]]
@@ -203,7 +208,12 @@ def score_pairs(
         out = [0.0] * len(texts)
         if asked:
             queries = list(part[query_col])
-            answers = with_retries(score, [(queries[i], texts[i]) for i in asked], 0.0, tries=1)
+            try:
+                answers = list(score([(queries[i], texts[i]) for i in asked]))
+            except Exception:  # noqa: BLE001  whatever the model raises, the batch has no scores
+                answers = []
+            if len(answers) != len(asked):
+                answers = [0.0] * len(asked)
             for i, value in zip(asked, answers):
                 out[i] = float(value)
         return pd.Series(out, dtype="float64")

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from chartula.functions import text as tx
 from chartula.operators import chunks as ck
 from chartula.operators import corpus_stats, model
+from chartula.operators.ranking import last_per_key
 from chartula.session import cut_lineage
 from chartula.sources import tables
 
-WIKI_KEYS = ["space_key", "page_id", "page_title", "labels", "author", "last_modified", "parent_page_id"]
-
-
 @dataclass
 class SyncResult:
     outcomes: DataFrame
@@ -23,6 +21,7 @@ class SyncResult:
     examples: DataFrame
     orphans: DataFrame
     summary: DataFrame
+    touched: DataFrame
 
 
 def stored_state(chunks: DataFrame, *, modified: Column | None = None) -> DataFrame:
@@ -68,17 +67,21 @@ def sync(
     size: int = tx.CHUNK_SIZE,
     min_code_length: int = tx.MIN_CODE_LENGTH,
     meta: Column | None = None,
+    order: str = "last_modified",
 ) -> SyncResult:
     """Next state of the chunk and example tables for a snapshot
     ``(url, source_id, markdown, last_modified)``.
 
     Chunks carry no vectors yet where they are new; embedding is a separate step over
-    ``embedding IS NULL``.  ``full`` also removes pages missing from the snapshot.
+    ``embedding IS NULL``.  ``full`` also removes pages missing from the snapshot.  Of several
+    rows for one (url, source_id) the last by ``order`` counts, then by its text.  ``touched``
+    has the URLs whose stored rows change.
     """
+    pages = last_per_key(pages, ["url", "source_id"], [order, "markdown"])
     # A partial snapshot only needs the stored state of its own pages.
     known = chunks if full else tables.match_keys(chunks, pages, ["url"], "left_semi")
     stored = stored_state(known)
-    judged = page_status(pages, stored, skip_unchanged=skip_unchanged)
+    judged = cut_lineage(page_status(pages, stored, skip_unchanged=skip_unchanged))
     changed = judged.filter(F.col("status") == "stored")
     extra = F.struct("last_modified") if meta is None else meta
     new_chunks = _rows_like(chunks, ck.chunk_rows(_with_meta(changed, extra), size=size, extra=F.col("_meta")))
@@ -131,6 +134,7 @@ def sync(
         examples=kept_examples.select(*examples.columns).unionByName(new_examples),
         orphans=gone,
         summary=corpus_stats.outcome_summary(outcomes, gone),
+        touched=changed_urls.union(gone.select("url")).distinct(),
     )
 
 
@@ -162,5 +166,5 @@ def migrate(table: DataFrame, sources: DataFrame, embed, dim: int, root: str) ->
 
     The previous version stays in place as the backup.
     """
-    path = tables.publish(reembed(table, embed, dim), root)
-    return corpus_stats.integrity_report(table.sparkSession.read.parquet(path), None, sources, dim)
+    tables.publish(reembed(table, embed, dim), root)
+    return corpus_stats.integrity_report(tables.current(table.sparkSession, root), None, sources, dim)

@@ -1,7 +1,9 @@
 """Stored tables: replace by key, upsert, delete, and versioned publication.
 
-The functions compute the next state of a table; ``publish`` writes it beside the current one
-as a new version folder, so a failed job leaves the previous version readable.
+The functions compute the next state of a table.  A table is stored in hash buckets of its key;
+``publish`` writes only the buckets that changed, as new files, and then a manifest that names
+the version of every bucket.  Readers take the newest manifest, so a failed job leaves the
+previous state readable, and untouched buckets keep their files.
 """
 
 from __future__ import annotations
@@ -15,19 +17,12 @@ from chartula.operators.ranking import last_per_key
 from chartula.session import cut_lineage
 
 
-# Keys broadcast to a stored table; more than this are joined by shuffle.
-BROADCAST_KEYS = 500_000
-
-
 def match_keys(table: DataFrame, wanted: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Semi or anti join of a large table with the distinct keys of ``wanted``.
 
-    The keys are worked out and counted first: a bounded number is broadcast, so the stored
-    rows with their texts and vectors are not shuffled for an incremental change.
+    The keys are worked out first, so Spark knows their size in bytes when it picks the join.
     """
-    held = cut_lineage(wanted.select(*keys).distinct())
-    side = F.broadcast(held) if held.count() <= BROADCAST_KEYS else held
-    return table.join(side, list(keys), how)
+    return table.join(cut_lineage(wanted.select(*keys).distinct()), list(keys), how)
 
 
 def replace_by_key(
@@ -84,33 +79,75 @@ def missing_sources(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 
 # --- publication -----------------------------------------------------------------------------
 
+# Buckets of a new store, and the column the buckets are made of.
+BUCKETS = 64
+BUCKET_KEY = "url"
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark knows; none if it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def _last_version(spark: SparkSession, root: str) -> int:
+    """The newest manifest that is complete, 0 without any."""
+    found = (n for n in _names(spark, f"{root}/manifest") if "_SUCCESS" in _names(spark, f"{root}/manifest/{n}"))
+    return max((int(n.removeprefix("v")) for n in found), default=0)
+
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
-            found.append(int(name[1:]))
-    return sorted(found)
-
-
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest completely written version."""
-    versions = _versions(spark, root)
-    return spark.read.parquet(f"{root}/v{versions[-1]:06d}") if versions else None
-
-
-def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as the next version and return its path."""
-    versions = _versions(df.sparkSession, root)
-    target = f"{root}/v{(versions[-1] if versions else 0) + 1:06d}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(target)
+def manifest(spark: SparkSession, root: str) -> tuple[int, dict[int, int]]:
+    """Number of buckets of a store and the version of each bucket that has rows."""
+    version = _last_version(spark, root)
+    if not version:
+        return 0, {}
+    rows = spark.read.schema("bucket int, version int").json(f"{root}/manifest/v{version:06d}").collect()
+    held = {row["bucket"]: row["version"] for row in rows}
+    return held.pop(-1), held
+
+
+def buckets_of(keys: DataFrame, root: str, key: str = BUCKET_KEY, buckets: int = BUCKETS) -> list[int]:
+    """The buckets some keys fall into: at most as many numbers as the store has buckets."""
+    buckets = manifest(keys.sparkSession, root)[0] or buckets
+    return sorted(row[0] for row in keys.select(bucket_of(F.col(key), buckets)).distinct().collect())
+
+
+def current(spark: SparkSession, root: str, only: Sequence[int] | None = None) -> DataFrame | None:
+    """The table as last published, or only some of its buckets; None before the first time."""
+    version = _last_version(spark, root)
+    if not version:
+        return None
+    _, held = manifest(spark, root)
+    paths = [f"{root}/data/v{v:06d}/bucket={b}" for b, v in sorted(held.items()) if only is None or b in set(only)]
+    empty = spark.read.parquet(f"{root}/schema")
+    return spark.read.schema(empty.schema).parquet(*paths) if paths else empty
+
+
+def publish(df: DataFrame, root: str, touched: Sequence[int] | None = None, key: str = BUCKET_KEY, buckets: int = BUCKETS) -> str:
+    """Store ``df`` as the next state and return the path of its new files.
+
+    With ``touched``, only these buckets have changed: the rows of all others are left out of the
+    write and keep their files.  A table without the key column is one bucket.
+    """
+    spark = df.sparkSession
+    last = _last_version(spark, root)
+    known, held = manifest(spark, root)
+    buckets = known or (buckets if key in df.columns else 1)
+    number = bucket_of(F.col(key), buckets) if key in df.columns else F.lit(0)
+    rows = df.withColumn("bucket", number)
+    if touched is not None:
+        rows = rows.filter(F.col("bucket").isin(list(touched)))
+    if not last:
+        df.limit(0).write.mode("overwrite").parquet(f"{root}/schema")
+    target = f"{root}/data/v{last + 1:06d}"
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+    fresh = {int(n.removeprefix("bucket=")) for n in _names(spark, target) if n.startswith("bucket=")}
+    kept = {} if touched is None else {b: v for b, v in held.items() if b not in set(touched)}
+    entries = [(-1, buckets), *(kept | {b: last + 1 for b in fresh}).items()]
+    spark.createDataFrame(entries, "bucket int, version int").coalesce(1).write.mode("overwrite").json(f"{root}/manifest/v{last + 1:06d}")
     return target

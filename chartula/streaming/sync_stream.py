@@ -25,14 +25,17 @@ def sync_stream(
 ) -> StreamingQuery:
     """Run every snapshot file not processed yet through the batch synchronisation.
 
-    Each micro-batch publishes a new version of both tables.  A batch replayed after a failure
-    finds its own pages unchanged, so replays do not duplicate rows.
+    Each micro-batch publishes the buckets of both tables that its pages fall into.  A batch
+    replayed after a failure finds its own pages unchanged, so replays do not duplicate rows; of
+    several snapshots of a page in one batch the last modified counts.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        chunks = tables.current(session, chunk_root)
-        examples = tables.current(session, example_root)
+        # Without a full snapshot only the buckets of the batch's own pages are read.
+        only = None if options.get("full") else tables.buckets_of(batch, chunk_root)
+        chunks = tables.current(session, chunk_root, only)
+        examples = tables.current(session, example_root, only)
         result = sync(
             batch,
             chunks if chunks is not None else session.createDataFrame([], CHUNKS),
@@ -40,8 +43,10 @@ def sync_stream(
             **options,
         )
         # Examples first: the chunk table decides what counts as unchanged on a replay.
-        tables.publish(result.examples, example_root)
-        tables.publish(result.chunks, chunk_root)
+        touched = tables.buckets_of(result.touched, chunk_root)
+        if touched or chunks is None:
+            tables.publish(result.examples, example_root, touched)
+            tables.publish(result.chunks, chunk_root, touched)
 
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_batch is not None:

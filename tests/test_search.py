@@ -224,3 +224,20 @@ def test_dimension_fitting(spark):
     frame = spark.createDataFrame([([1.0, 2.0, 3.0],)], "e array<float>")
     row = frame.select(vectors.fit_dimension(F.col("e"), 2).alias("a"), vectors.fit_dimension(F.col("e"), 5).alias("b")).first()
     assert (row.a, row.b) == ([1, 2], [1, 2, 3, 0, 0])
+
+
+def test_wrong_vector_length_fails(spark):
+    texts = spark.createDataFrame([("a",)], "content string")
+    with pytest.raises(Exception, match="3 components instead of 4"):
+        model.embed_texts(texts, lambda batch: [[1.0] * 3 for _ in batch], 4, tries=1).collect()
+
+
+def test_failed_score_batch_is_zero(spark):
+    def score(pairs):
+        if any(text == "bad" for _, text in pairs):
+            raise RuntimeError
+        return [1.0] * len(pairs)
+
+    pairs = spark.createDataFrame([("q", "good", 0), ("q", "bad", 0)], "query string, content string, n int").coalesce(1)
+    assert [r.rerank_score for r in model.score_pairs(pairs, score).collect()] == [0.0, 0.0]
+    assert [r.rerank_score for r in model.score_pairs(pairs.filter("content = 'good'"), score).collect()] == [1.0]

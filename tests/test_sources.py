@@ -124,6 +124,27 @@ def test_versions(spark, tmp_path):
     assert rows == {("v", 0, "keep"), ("u", 0, "b"), ("u", 1, "c")}
     (tmp_path / "table" / "v000003").mkdir()  # a version whose job did not finish
     assert tables.current(spark, root).count() == 3
+    (tmp_path / "table" / "manifest" / "v000003").mkdir()
+    assert tables.current(spark, root).count() == 3
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    root = str(tmp_path / "table")
+    first = spark.createDataFrame([(f"u{n}", "old") for n in range(200)], "url string, content string")
+    tables.publish(first, root, buckets=8)
+    buckets, before = tables.manifest(spark, root)
+    assert buckets == 8 and set(before.values()) == {1} and len(before) == 8
+    touched = tables.buckets_of(spark.createDataFrame([("u3",)], "url string"), root)
+    stored = tables.current(spark, root, touched)
+    assert 0 < stored.count() < 200
+    changed = stored.withColumn("content", F.when(F.col("url") == "u3", "new").otherwise(F.col("content")))
+    tables.publish(changed, root, touched)
+    _, after = tables.manifest(spark, root)
+    assert {b for b in after if after[b] != before[b]} == set(touched) and len(touched) == 1
+    rows = {r.url: r.content for r in tables.current(spark, root).collect()}
+    assert rows == {f"u{n}": "new" if n == 3 else "old" for n in range(200)}
+    tables.publish(stored.limit(0), root, touched)
+    assert tables.current(spark, root).count() == 200 - stored.count()
 
 
 def test_source_upsert_keeps_creation(spark):

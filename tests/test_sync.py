@@ -96,3 +96,17 @@ def test_page_tree_order_and_caps(spark):
     assert walk(1, 100) == ["r", "a", "b", "x"]
     assert walk(5, 4) == ["r", "a", "b", "x", "c"]
     assert walk(0, 100) == ["r"]
+
+
+def test_two_snapshots_in_one_trigger(spark, tmp_path):
+    first = snapshot(spark, [("a", "s", "one", "1"), ("b", "s", "two", "1")])
+    second = snapshot(spark, [("a", "s", "one more", "2"), ("c", "s", "three", "1")])
+    found = {}
+    for name, per_batch in (("together", None), ("apart", 1)):
+        folder = str(tmp_path / name)
+        for rows in (first, second):
+            rows.coalesce(1).write.mode("append").parquet(folder)
+        roots = [str(tmp_path / f"{name}-{kind}") for kind in ("chunks", "examples")]
+        sync_stream(spark, folder, first.schema, *roots, str(tmp_path / f"{name}-state"), files_per_batch=per_batch).awaitTermination()
+        found[name] = sorted((r.id, r.content) for r in tables.current(spark, roots[0]).collect())
+    assert found["together"] == found["apart"] == [("a#0", "one more"), ("b#0", "two"), ("c#0", "three")]
