@@ -8,7 +8,7 @@ from chartula.catalog.registry import query
 from chartula.functions import markup, metadata, scores, urls
 from chartula.functions import text as tx
 from chartula.operators import chunks as ck
-from chartula.operators import links
+from chartula.operators import links, model
 
 WS = tx.WHITESPACE
 _NETLOC = r"regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1)"
@@ -341,6 +341,21 @@ def code_blocks_numbered(t):
     return ck.number_across(rows.select("doc_id", "chunk_number", "language"), ["doc_id"])
 
 
+def _first_of_code(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: the first characters of the prompt's code."""
+    return [p.partition("\n\nCode:\n")[2].partition("\n\nAfter:\n")[0][:40] for p in prompts]
+
+
+@query(
+    "code_summaries",
+    f"""SELECT doc_id, chunk_number, {strip_sql('left(code, 40)')} AS summary
+        FROM ({code_blocks_sql(f"SELECT doc_id, {_FENCED_SQL} AS md FROM documents", 100)})""",
+)
+def code_summaries(t):
+    blocks = ck.code_blocks(fenced_documents(t).drop("source"), min_length=100)
+    return model.summarise_code(blocks, _first_of_code).select("doc_id", "chunk_number", "summary")
+
+
 # --- windows, clips, composed texts ----------------------------------------------------------------
 
 

@@ -360,6 +360,32 @@ def worst_scripts(t):
     return ur.worst_scripts(reports).withColumn("overall_confidence", F.round("overall_confidence", 6))
 
 
+@query(
+    "report_items",
+    _V
+    + f"""SELECT script, kind, line, name, status FROM v WHERE in_graph AND kind NOT IN ('method', 'attribute')
+        UNION ALL SELECT script, CASE WHEN k = 0 THEN 'method' ELSE 'attribute' END, line, name, status FROM ({_FIRST_SQL.format(more='')})""",
+)
+def report_items(t):
+    return ur.report_items(_validated(t)).select("script", "kind", "line", "name", "status")
+
+
+_KIND_COUNTS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS total_{k}s" for k in ur.KINDS)
+
+
+@query(
+    "script_reports",
+    _V
+    + f"""SELECT s.*, {", ".join(f"coalesce(k.total_{k}s, 0) AS total_{k}s" for k in ur.KINDS)}, c.hallucinations, round(o.overall_confidence, 6) AS overall_confidence
+        FROM ({_RATE_SQL}) s JOIN ({_FOUND_COUNTS}) c ON c.script = s.script JOIN ({_CONFIDENCE_SQL}) o ON o.script = s.script
+        LEFT JOIN (SELECT script, {_KIND_COUNTS} FROM v GROUP BY script) k ON k.script = s.script""",
+)
+def script_reports(t):
+    """Report heads (the advice is compared in ``recommendations``)."""
+    reports = ur.script_reports(dv.usage(t).scripts, _validated(t)).drop("recommendations")
+    return reports.withColumns({c: F.round(c, 6) for c in ("hallucination_rate", "overall_confidence")})
+
+
 # --- from source text --------------------------------------------------------------------------------------
 
 
