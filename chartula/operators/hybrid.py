@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import json
+import bisect
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chartula.functions import text as tx
 from chartula.functions import vectors
-from chartula.functions.exprs import let
 from chartula.operators.ranking import top_per_group
 from chartula.operators.vector_search import each_query_group
 
-try:
-    import ahocorasick
-except ImportError:  # the native scan serves every number of queries
-    ahocorasick = None
-
 # Fixed values of the merge.
 BOOST = 1.2
 KEYWORD_SIMILARITY = 0.5
@@ -32,8 +27,6 @@ MAX_RERANK = 50
 # Keyword text held at a time; a larger query table is searched group by group.
 KEYWORDS_PER_PLAN = 5_000
 KEYWORD_BYTES = 4 * 1024 * 1024
-# Number of keywords from which one pass with an automaton beats testing them one by one.
-AUTOMATON_FROM = 8
 
 
 def source_type_is(source_id: Column, source_type: str | None) -> Column:
@@ -57,21 +50,17 @@ def keyword_matches(
     columns: Sequence[str] = ("content",),
     query_id_col: str = "query_id",
     query_col: str = "query",
-    automaton_from: int = AUTOMATON_FROM,
 ) -> DataFrame:
     """First ``limit`` ids per query, by id, whose text contains the query: ``(query_id, id, rank)``.
 
-    Matching is literal and ignores case; with several columns any of them may match.  A few
-    queries are tested one by one inside the scan; from ``automaton_from`` on, all of them are
-    found in one pass over each text.
+    Matching is literal and ignores case; with several columns any of them may match.  All queries
+    of a group are found in one pass over each text.
     """
 
     def search(group: DataFrame) -> DataFrame:
         held = group.select(query_id_col, F.lower(query_col).alias("k")).filter("k IS NOT NULL").toArrow()
         texts = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-        if held.num_rows >= automaton_from and ahocorasick is not None:
-            return _one_pass_matches(chunks, held, texts, limit, id_col, query_id_col, queries)
-        return _scan_matches(chunks, held, texts, id_col, query_id_col, queries)
+        return _one_pass_matches(chunks, held, texts, limit, id_col, query_id_col, queries)
 
     longest = queries.select(F.max(F.octet_length(query_col))).first()[0] or 1
     per_group = max(1, min(KEYWORDS_PER_PLAN, KEYWORD_BYTES // (2 * longest)))
@@ -79,30 +68,15 @@ def keyword_matches(
     return top_per_group(hits, [query_id_col], [F.asc(id_col)], limit, salt_on=[id_col])
 
 
-def _scan_matches(chunks, held, texts, id_col, query_id_col, queries) -> DataFrame:
-    id_type = queries.schema[query_id_col].dataType
-    table = T.ArrayType(T.StructType([T.StructField("q", id_type), T.StructField("k", T.StringType())]))
-    entries = [{"q": q, "k": k} for q, k in zip(held.column(0).to_pylist(), held.column(1).to_pylist())]
-    wanted = F.from_json(F.lit(json.dumps(entries)), table)
-    # The lowered texts are bound once per row and tested against every keyword.
-    found = let(
-        F.array(*texts),
-        lambda lowered: F.filter(
-            wanted, lambda entry: F.exists(lowered, lambda text: F.contains(text, entry["k"]))
-        ),
-    )
-    rows = chunks.select(F.col(id_col), F.explode_outer(found).alias("_hit"))
-    return rows.filter(F.col("_hit").isNotNull()).select(F.col("_hit.q").alias(query_id_col), id_col)
-
-
 def _one_pass_matches(chunks, held, texts, limit, id_col, query_id_col, queries) -> DataFrame:
-    """All keywords of the group found by one automaton; a batch gives at most ``limit`` ids per query."""
+    """All keywords of the group found by one automaton; a task gives at most ``limit`` ids per query."""
     schema = T.StructType(
         [
             T.StructField(query_id_col, queries.schema[query_id_col].dataType),
             T.StructField(id_col, chunks.schema[id_col].dataType),
         ]
     )
+    id_type = to_arrow_type(chunks.schema[id_col].dataType)
     shipped = chunks.sparkSession.sparkContext.broadcast(
         (held.column(0).combine_chunks(), held.column(1).to_pylist())
     )
@@ -117,26 +91,24 @@ def _one_pass_matches(chunks, held, texts, limit, id_col, query_id_col, queries)
         for keyword, found_for in places.items():
             automaton.add_word(keyword, found_for)
         automaton.make_automaton()
+        # The smallest ids of each query so far, in order.
+        kept: list[list] = [[] for _ in keywords]
         for batch in batches:
-            batch = batch.take(pc.sort_indices(batch.column(0)))
-            left = [limit] * len(keywords)
-            which, rows = [], []
             columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
-            for row in range(batch.num_rows):
+            for row, own in enumerate(batch.column(0).to_pylist()):
                 hit = set(everywhere)
                 if places:
                     for column in columns:
                         for _, found_for in automaton.iter(column[row]):
                             hit.update(found_for)
                 for place in hit:
-                    if left[place]:
-                        left[place] -= 1
-                        which.append(place)
-                        rows.append(row)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(which, pa.int64())), batch.column(0).take(pa.array(rows, pa.int64()))],
-                names=[query_id_col, id_col],
-            )
+                    best = kept[place]
+                    if len(best) < limit or own < best[-1]:
+                        bisect.insort(best, own)
+                        del best[limit:]
+        which = [place for place, best in enumerate(kept) for _ in best]
+        found = pa.array([own for best in kept for own in best], id_type)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), found], names=[query_id_col, id_col])
 
     named = [text.alias(f"_t{i}") for i, text in enumerate(texts)]
     return chunks.select(F.col(id_col), *named).mapInArrow(run, schema)

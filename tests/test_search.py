@@ -136,7 +136,7 @@ def test_merge_follows_the_rule(spark):
     assert got == want
 
 
-def test_keyword_paths_agree(spark):
+def test_keyword_groups_agree(spark, monkeypatch):
     rnd = random.Random(8)
     docs = [(i, "".join(rnd.choice("abAB%_ ") for _ in range(30)), rnd.choice(["ab", None, "zz"])) for i in range(200)]
     frame = spark.createDataFrame(docs, "id long, content string, summary string").repartition(6)
@@ -147,8 +147,9 @@ def test_keyword_paths_agree(spark):
         if w is not None:
             found = [i for i, c, s in docs if w.lower() in c.lower() or w.lower() in (s or "").lower()][:6]
             want |= {(q, i, n + 1) for n, i in enumerate(found)}
-    for start in (1, 1000):
-        hits = hybrid.keyword_matches(frame, queries, 6, columns=("content", "summary"), automaton_from=start)
+    for per_group in (3, 1000):
+        monkeypatch.setattr(hybrid, "KEYWORDS_PER_PLAN", per_group)
+        hits = hybrid.keyword_matches(frame, queries, 6, columns=("content", "summary"))
         assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == want
 
 
