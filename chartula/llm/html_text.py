@@ -185,7 +185,9 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
     parsed = stored(rows.mapInArrow(_parse, BLOCK_SCHEMA), "blocks")
-    found = parsed.join(templates(parsed, least_pages, least_share), "host", "left")
+    # Stored first, so that its size is known when the join is planned: while it is small, no page is moved.
+    recurring = stored(templates(parsed, least_pages, least_share), "templates")
+    found = parsed.join(recurring, "host", "left")
     none = F.array().cast("array<bigint>")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b.trees, F.coalesce("templates", none)))
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n\n")
