@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chartula.catalog import registry
-from chartula.catalog import corpus_queries, graph_queries, search_queries, source_queries, text_queries, usage_queries  # noqa: F401
+from chartula.catalog import corpus_queries, graph_queries, ingest_queries, search_queries, source_queries, text_queries, usage_queries  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -24,6 +24,8 @@ TRIES = 3
 # Rows whose bucket counts are held as one dense matrix.
 COUNT_ROWS = 1000
 EMPTY_TEXT = "[empty]"
+# Characters of a document that a chunk's prompt shows.
+CONTEXT_WINDOW = 25_000
 DEFAULT_CODE_SUMMARY = "Code example for demonstration purposes."
 
 
@@ -131,7 +133,7 @@ def generate(
 def context_prompt(document: Column, chunk: Column) -> Column:
     return F.concat(
         F.lit("Document:\n"),
-        tx.head(document, 25000),
+        tx.head(document, CONTEXT_WINDOW),
         F.lit("\n\nPassage from it:\n"),
         chunk,
         F.lit("\n\nSay in one or two sentences where the passage stands in the document."),
@@ -143,9 +145,10 @@ def contextualise(
 ) -> DataFrame:
     """Prefix every chunk with a model-written context; failures keep the chunk.
 
-    Row-aligned: the answer is a column of the chunk's own row.
+    Row-aligned: the answer is a column of the chunk's own row.  Only the window of a document that
+    the prompt shows is joined to its chunks.
     """
-    joined = chunks.join(documents.select("url", F.col("markdown").alias("_document")), "url", "left")
+    joined = chunks.join(documents.select("url", tx.head(F.col("markdown"), CONTEXT_WINDOW).alias("_document")), "url", "left")
     prompt = context_prompt(F.coalesce("_document", F.lit("")), F.col("content"))
     answered = generate(joined, complete, prompt, "_context", drop=["_document"])
     done = F.col("_context").isNotNull()
