@@ -43,6 +43,7 @@ ROW_SCHEMA = "key long, doc long, alt long, geo long, digest long"
 SPAN_SCHEMA = "doc long, alt long, first long, last long, kind int"
 MARGINS = ["left0", "left1", "right0", "right1"]
 STEP_SCHEMA = "key long, doc long, alt long, geo long, core long, " + ", ".join(f"{m} long" for m in MARGINS)
+CORE_SCHEMA = SPAN_SCHEMA + ", key long, " + ", ".join(f"{m} long" for m in MARGINS)
 WINDOW_SCHEMA = "key long, more long, doc long, alt long, first long"
 
 
@@ -391,6 +392,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _emitted((route, np.zeros(len(repeat), np.int64), doc[repeat], alt[repeat], first[repeat]), names)
 
 
+def _core_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The core pass, and what it leaves to compare as window rows (in one worker)."""
+    for batch in _core_pass(batches):
+        if batch.num_rows and batch.column("kind")[0].as_py() == COMPARE:
+            yield from _window_rows(iter([batch]))
+
+
 def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = gathered(batches)
     if rows is None:
@@ -425,8 +433,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     spans = stored(blocks, "repeats")
     # Both joins deal out the same columns of the documents alike, so that Spark does it once.
     compared = keyed.join(_lists(spans.filter(F.col("kind") == COMPARE), "stretches").hint("shuffle_hash"), ["doc", "alt"])
-    inner = compared.mapInArrow(_step_rows, STEP_SCHEMA).repartition("key").mapInArrow(_core_pass, SPAN_SCHEMA + ", key long, " + ", ".join(f"{m} long" for m in MARGINS))
-    digests = inner.filter(F.col("kind") == COMPARE).select("doc", "alt", "first", "key", *MARGINS).mapInArrow(_window_rows, WINDOW_SCHEMA)
+    steps_ = compared.mapInArrow(_step_rows, STEP_SCHEMA).repartition("key")
+    inner = steps_.mapInArrow(_core_pass, CORE_SCHEMA)
+    digests = steps_.mapInArrow(_core_windows, WINDOW_SCHEMA)
     last = digests.repartition("key").mapInArrow(_third_pass, SPAN_SCHEMA)
     repeats = [t.filter(F.col("kind") == REPEAT).select("doc", "alt", "first", "last") for t in (spans, inner, last)]
     found = keyed.join(_lists(repeats[0].unionByName(repeats[1]).unionByName(repeats[2]), "spans").hint("shuffle_hash"), ["doc", "alt"], "left")
@@ -469,7 +478,6 @@ def without(raw: bytes, runs: list[tuple[int, int]], whole_characters: bool) ->
 def stripped(text: Column, starts: Column, stops: Column, whole_characters: bool = False) -> Column:
     """struct(kept binary, n_bytes, n_removed, n_spans) of a text (null: empty) and its spans."""
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
     def column(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
         rows = []
         for value, first, last in zip(texts, firsts, lasts, strict=True):
@@ -478,7 +486,9 @@ def stripped(text: Column, starts: Column, stops: Column, whole_characters: bool
             rows.append((rest, len(raw), removed, number))
         return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
-    return column(text, starts, stops)
+    # Said to be nondeterministic, so that a filter on the result does not evaluate it a second time.
+    once = F.pandas_udf(column, "kept binary, n_bytes long, n_removed long, n_spans long").asNondeterministic()
+    return once(text, starts, stops)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
