@@ -194,11 +194,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long), component_id per row of ``docs(doc_id, text)``.
+    """doc_id, fp (long), component_id, root per row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id that can be reached over fingerprints at most ``radius`` bits
     apart. Null and wordless texts have the fingerprint 0 and are linked like any other. Rows with a null
-    id are linked too; a component without any id has a null component_id. Repeated rows are returned
+    id are linked too; a component without any id has a null component_id. ``root`` is one fingerprint of
+    the component and tells all components apart. Repeated rows are returned
     each, an empty table gives no rows, other columns are not read.
     """
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text").cast("string")).alias("fp")), "fingerprints")
@@ -206,8 +207,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links(classes.select("fp"), radius))
     rooted = stored(classes.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = rooted.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(labels, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def fingerprint_hex(fp: Column) -> Column:
