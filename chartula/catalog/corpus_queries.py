@@ -58,12 +58,12 @@ def source_joined_text(t):
 @query(
     "conversation_text",
     f"""SELECT conv_id AS source_id, CAST(sum({word_count_sql('text')}) AS BIGINT) AS total_words,
-            left(string_agg(left(text, 200), chr(10) || chr(10) ORDER BY turn), 700) AS text
+            left(string_agg(left(text, 2000), chr(10) || chr(10) ORDER BY turn), 5000) AS text
         FROM conversations WHERE length(text) > 0 GROUP BY conv_id""",
 )
 def conversation_text(t):
     turns = t.conversations.select(F.col("conv_id").alias("source_id"), "turn", F.col("text").alias("markdown"))
-    return corpus_stats.source_joined_text(turns, "turn", per_page=200, limit=700)
+    return corpus_stats.source_joined_text(turns, "turn")
 
 
 def _source_rows(t):

@@ -266,6 +266,18 @@ def keyword_search(t):
     return hybrid.keyword_matches(chunk_table(t), query_table(t), 20)
 
 
+@query(
+    "keyword_search_whole",
+    f"""SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT q.item_id AS query_id, c.id, row_number() OVER (PARTITION BY q.item_id ORDER BY c.id) AS rank
+        FROM benchmark q JOIN ({_CHUNKS_SQL}) c ON contains(lower(c.content), lower(q.text))) WHERE rank <= 20""",
+)
+def keyword_search_whole(t):
+    """Every whole benchmark text as a keyword, also of items without a vector."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return hybrid.keyword_matches(chunk_table(t), asked, 20)
+
+
 def _vector_sql(k: int, where: str = "TRUE") -> str:
     scored = f"""SELECT q.query_id, c.id, {cos_sql('c.embedding', 'q.embedding')} AS s, c.source_id
         FROM ({_QUERIES_SQL}) q, ({_CHUNKS_SQL}) c WHERE c.embedding IS NOT NULL AND {where}"""
