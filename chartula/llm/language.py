@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartula.operators.ranking import top_per_group
+
 #: Bounds of what is learned: labels (the most frequent), passages of each, characters of a passage, bytes of a dictionary.
 LANGUAGES, PASSAGES, PASSAGE_CHARS, DICTIONARY_BYTES = 256, 256, 1000, 32 << 10
 #: Bytes of a block, the compression level, and the least relative distance to the runner-up.
@@ -36,17 +38,22 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each label of ``docs(doc_id, text, lang)``, from rows that are not held out.
 
-    The sample is made of the PASSAGES texts of a label with the smallest hashes, a passage of each.
+    The sample is made of the PASSAGES ids of a label with the smallest hashes, a passage of each one's
+    text. Rows without an id are not learned from.
     """
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    place = F.xxhash64("doc_id")
+    known = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    order = F.xxhash64("doc_id", "text")
-    begin = F.pmod(order, F.greatest(F.lit(1), F.length("text") - PASSAGE_CHARS + 1)).cast("int") + 1
-    rows = known.filter(F.col("lang").isin([row["lang"] for row in counts])).select("lang", order.alias("place"), F.substring("text", begin, F.lit(PASSAGE_CHARS)).alias("passage"))
-    first = rows.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("place", "passage"))).filter(F.col("number") <= PASSAGES)
+    known = known.filter(F.col("lang").isin([row["lang"] for row in counts])).select("lang", place.alias("place"), "text")
+    # Only hashes are ranked, in two steps; at most LANGUAGES * PASSAGES of them then fetch their passages.
+    chosen = top_per_group(known.select("lang", "place"), ["lang"], [F.asc("place")], PASSAGES, salt_on=["place"])
+    begin = F.pmod(F.xxhash64("place"), F.greatest(F.lit(1), F.length("text") - PASSAGE_CHARS + 1)).cast("int") + 1
+    passages = known.join(F.broadcast(chosen.select("lang", "place").distinct()), ["lang", "place"])
+    passages = passages.select("lang", "place", F.substring("text", begin, F.lit(PASSAGE_CHARS)).alias("passage"))
+    first = passages.groupBy("lang", "place").agg(F.min("passage").alias("passage"))
     found: dict[str, list] = {}
     for row in first.collect():
-        found.setdefault(row["lang"], []).append((row["number"], row["passage"]))
+        found.setdefault(row["lang"], []).append((row["place"], row["passage"]))
     return {lang: "\n".join(letters(p) for _, p in sorted(own)).encode()[:DICTIONARY_BYTES] for lang, own in sorted(found.items())}
 
 
