@@ -10,6 +10,7 @@ row-local step that keeps the better of its own and the earlier rule, so no URL
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -63,20 +64,31 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def _url_tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", host, path), F.lit("([0-9A-Za-z]+)")))
-
-
 def _parts(urls: DataFrame) -> DataFrame:
     return urls.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
 
+def _counter(wanted: list[str]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = set(wanted), Counter()
+        for batch in batches:
+            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                counts.update(known.intersection(_TOKEN.findall(f"{host}\n{path}")))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "count"])
+
+    return count
+
+
 def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
-    """Rules by their rarest token in all ``urls``; a rule without a certain token stands under the empty one."""
+    """Rules by their rarest token in all ``urls``; a rule without a certain token stands under the empty one.
+
+    A task sends one number for each rule token it saw, so a token of most URLs is no hot key.
+    """
     wanted = sorted(set().union(*(rule.tokens for rule in rules)))
-    known = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
-    tokens = _parts(urls).select(F.explode(_url_tokens(F.col("host"), F.col("path"))).alias("token"))
-    counts = dict(tokens.join(known, "token", "left_semi").groupBy("token").count().collect())
+    parts, counts = _parts(urls), {}
+    for at in range(0, len(wanted), INDEX_RULES):
+        own = parts.mapInArrow(_counter(wanted[at : at + INDEX_RULES]), "token string, count long")
+        counts |= dict(own.groupBy("token").agg(F.sum("count")).collect())
     index: dict[str, list[Rule]] = {}
     for rule in rules:
         token = min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default="")
