@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
 A page becomes text blocks, each with the hashes of the element subtrees it stands in. Spark counts the hashes by
-host; a subtree that recurs on most of the many pages of a host is the site's template, and all blocks inside it
+host; a subtree that recurs on most of the many different pages of a host is the site's template, and all blocks inside it
 go. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are also known
 by their element, role or class. Where a page marks its article, only what is inside is kept.
 """
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from chartula.llm.common import stored
 from chartula.llm.url_filter import host_of
 
-#: A subtree is template from this many pages of a host and this share of its pages on.
+#: A subtree is template from this many different pages of a host and this share of its different pages on.
 LEAST_PAGES, LEAST_SHARE = 10, 0.5
-BLOCK_SCHEMA = "page_id long, url string, host string, blocks array<struct<text string, trees array<bigint>>>"
+#: ``version`` tells different pages apart.
+BLOCK_SCHEMA = "page_id long, url string, host string, version long, blocks array<struct<text string, trees array<bigint>>>"
 
 # Element names and class words.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -132,7 +133,10 @@ class PageParser(HTMLParser):
 
 
 def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
-    """Text blocks of a page's article in order, each with the hashes of the subtrees around it."""
+    """Text blocks of a page's article in order, each with the hashes of the subtrees around it.
+
+    A subtree that holds all blocks of the article is the page rather than a template in it, and left out.
+    """
     parser = PageParser()
     parser.feed(html or "")
     parser.close()
@@ -151,26 +155,29 @@ def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
     kept = [(text, around) for text, around in parser.found if not any(e.dropped or e.doubtful and id(e) not in holders for e in around)]
     if any(e.main for _, around in kept for e in around):
         kept = [(text, around) for text, around in kept if any(e.main for e in around)]
-    return [(text, [e.tree for e in around[1:]]) for text, around in kept]
+    whole = set.intersection(*({id(e) for e in around} for _, around in kept)) if kept else set()
+    return [(text, [e.tree for e in around[1:] if id(e) not in whole]) for text, around in kept]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))]))
     for batch in batches:
-        blocks = [[{"text": t, "trees": trees} for t, trees in page_blocks(html)] for html in batch.column("html").to_pylist()]
-        columns = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(blocks, kind)]
-        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "blocks"])
+        found = [page_blocks(html) for html in batch.column("html").to_pylist()]
+        blocks = [[{"text": t, "trees": trees} for t, trees in kept] for kept in found]
+        versions = [xxhash.xxh64_intdigest("\x01".join(t for t, _ in kept)) - (1 << 63) for kept in found]
+        columns = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(versions, pa.int64()), pa.array(blocks, kind)]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "version", "blocks"])
 
 
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, trees: the subtrees that recur on most pages of a host.
+    """host, templates: the subtrees that recur on most different pages of a host.
 
-    A subtree of the list is on a fixed share of the host's pages at least, so a host's list is no longer
+    Pages with the same text blocks count once. A subtree of the list is on a fixed share of the host's pages at least, so a host's list is no longer
     than its pages' average number of subtrees divided by that share.
     """
     named = parsed.filter("host <> ''")
-    pages = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
-    trees = named.select("host", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree"))
+    pages = named.groupBy("host").agg(F.count_distinct("version").alias("pages")).filter(F.col("pages") >= least_pages)
+    trees = named.select("host", "version", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree")).distinct()
     counts = trees.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= least_pages)
     recurring = counts.join(pages, "host").filter(F.col("found") >= least_share * F.col("pages"))
     return recurring.groupBy("host").agg(F.collect_list("tree").alias("templates"))

@@ -46,3 +46,16 @@ def test_template_of_a_site(spark):
     assert out[22].text == "" and out[22].n_chars == 0 and out[None].text == "y"
     assert all(r.n_chars == len(r.text) for r in out.values())
     assert main_text(pages).count() == 17 and main_text(pages.limit(0)).count() == 0
+
+
+def site(spark, pages):
+    rows = [(n, f"http://host.example/{n}", html) for n, html in enumerate(pages)]
+    return {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_of_a_page_keep_their_article(spark):
+    def page(n):
+        return f"<body><div><p>Menu of the site</p></div><article><p>Story {n}</p><p>More of {n}</p></article></body>"
+
+    found = site(spark, [page(0)] * 12 + [page(n) for n in range(1, 9)])
+    assert found == {n: f"Story {m}\n\nMore of {m}" for n in range(20) for m in [max(0, n - 11)]}
