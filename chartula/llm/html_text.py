@@ -22,6 +22,8 @@ from chartula.llm.url_filter import host_of
 
 #: A subtree is template from this many different pages of a host and this share of its different pages on.
 LEAST_PAGES, LEAST_SHARE = 10, 0.5
+#: A class word is not believed on a page if it would drop this much text and more than this share of the text.
+LEAST_HELD, LEAST_HELD_SHARE = 200, 0.5
 #: ``version`` tells different pages apart.
 BLOCK_SCHEMA = "page_id long, url string, host string, version long, blocks array<struct<text string, trees array<bigint>>>"
 
@@ -42,6 +44,9 @@ DROPPED_WORDS = set(
     " promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 HEADER_WORDS = {"header", "topbar"}
+#: Comments may well be longer than what they are about.
+COMMENT_WORDS = set("comment comments disqus replies reply respond".split())
+HEAD_ELEMENTS = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: An element of the key closes an open element of the value, up to the nearest element of the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -57,10 +62,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "doubtful", "main", "parts", "tree")
+    __slots__ = ("tag", "dropped", "doubtful", "words", "main", "parts", "tree")
 
-    def __init__(self, tag: str, dropped: bool, doubtful: bool):
-        self.tag, self.dropped, self.doubtful = tag, dropped, doubtful
+    def __init__(self, tag: str, dropped: bool, doubtful: bool, words: set[str] = frozenset()):
+        # The words are those that alone make it doubtful.
+        self.tag, self.dropped, self.doubtful, self.words = tag, dropped, doubtful, words
         self.main = tag in ("article", "main")
         self.parts: list[str] = [tag]
         self.tree = 0
@@ -97,7 +103,16 @@ class PageParser(HTMLParser):
                 return None
         return None
 
+    def _leave_head(self, anywhere: bool = False) -> None:
+        """Close a head whose end tag is missing."""
+        if anywhere or self.stack[-1].tag == "head":
+            self._close_open({"head"}, {"html", "body"})
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "head" and any(e.tag == "body" for e in self.stack):
+            return
+        if tag not in HEAD_ELEMENTS:
+            self._leave_head(tag == "body")
         if tag in BLOCKS:
             self._flush()
             self._close_open({"p"}, BLOCKS - {"p"})
@@ -113,8 +128,9 @@ class PageParser(HTMLParser):
         words = {w.lower() for w in _SPLIT.split(f"{values.get('class', '')} {values.get('id', '')}") if w}
         inside = any(e.main for e in self.stack)
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or bool(_HIDDEN.search(values.get("style", "")))
-        named = bool(words & DROPPED_WORDS) or values.get("role", "").lower() in DROPPED_ROLES or not inside and (tag == "header" or bool(words & HEADER_WORDS))
-        element = _Element(tag, tag in DROPPED or hidden, named and tag not in ("html", "body"))
+        surely = values.get("role", "").lower() in DROPPED_ROLES or not inside and (tag == "header" or bool(words & HEADER_WORDS))
+        named = surely or bool(words & DROPPED_WORDS)
+        element = _Element(tag, tag in DROPPED or hidden, named and tag not in ("html", "body"), frozenset() if surely else words & DROPPED_WORDS)
         if values.get("role", "").lower() == "main" or "articlebody" in values.get("itemprop", "").lower():
             element.main = True
         self.stack.append(element)
@@ -128,10 +144,38 @@ class PageParser(HTMLParser):
         return None
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._leave_head()
         if not self.stack[-1].dropped:
             self.texts.append(data)
 
 
+def _disbelieved(found: list[tuple[str, list[_Element]]], mains: set[int], holders: set[int]) -> set[int]:
+    """Elements that their class would drop, but that hold most of a page's text.
+
+    A word is not believed if its elements together hold most of the text, be it paragraph by paragraph;
+    a marked article with such a word is kept if it holds most of the text by itself.
+    """
+    sure = [(text, around) for text, around in found if not any(e.dropped or e.doubtful and not e.words and id(e) not in holders for e in around)]
+    scope = [(text, around) for text, around in sure if any(id(e) in mains for e in around)] or sure
+    total = sum(len(text) for text, _ in scope)
+    by_word: dict[str, int] = {}
+    by_main: dict[int, int] = {}
+    nothing = True
+    for text, around in scope:
+        doubted = [e for e in around if e.doubtful and e.words and id(e) not in holders]
+        nothing = nothing and bool(doubted)
+        for word in set().union(*(e.words for e in doubted)):
+            by_word[word] = by_word.get(word, 0) + len(text)
+        for e in doubted:
+            if e.main:
+                by_main[id(e)] = by_main.get(id(e), 0) + len(text)
+    most = LEAST_HELD_SHARE * total
+    words = {w for w, held in by_word.items() if held > most and (nothing or held >= LEAST_HELD and w not in COMMENT_WORDS)}
+    elements = {id(e): e for _, around in scope for e in around if e.words}
+    return {n for n, e in elements.items() if e.words <= words or by_main.get(n, 0) > most}
+
+
 def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
     """Text blocks of a page's article in order, each with the hashes of the subtrees around it.
 
@@ -152,6 +196,7 @@ def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
                 for outer in around[:n]:
                     inner.setdefault(id(outer), set()).add(id(element))
     holders = {outer for outer, held in inner.items() if held == mains}
+    holders |= _disbelieved(parser.found, mains, holders)
     kept = [(text, around) for text, around in parser.found if not any(e.dropped or e.doubtful and id(e) not in holders for e in around)]
     if any(e.main for _, around in kept for e in around):
         kept = [(text, around) for text, around in kept if any(e.main for e in around)]

@@ -59,3 +59,25 @@ def test_copies_of_a_page_keep_their_article(spark):
 
     found = site(spark, [page(0)] * 12 + [page(n) for n in range(1, 9)])
     assert found == {n: f"Story {m}\n\nMore of {m}" for n in range(20) for m in [max(0, n - 11)]}
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title><body><p>x</p>", "<html><head><meta charset=u><p>x", "<head><title>t</title>x", "<head><style>p{}</style></head><body><head><p>x</p>"])
+def test_a_head_ends_without_its_tag(head):
+    assert text(head) == "x"
+
+
+LONG = "All of the words of the story are here. " * 8
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>top</p><article class='post comments-open'><p>x y z</p></article>", "x y z"),
+        ("".join(f"<div class='elementor-widget-container'><p>{n} {LONG}</p></div>" for n in range(3)) + "<p>end", "\n\n".join(f"{n} {LONG}".strip() for n in range(3)) + "\n\nend"),
+        (f"<article><p>x</p></article><div class='comments'><p>{LONG}</p></div>", "x"),
+        (f"<p>x</p><div class='comments'><p>{LONG}</p></div>", "x"),
+        (f"<p>{LONG}</p><div class='widget'><p>{LONG[:-40]}</p></div>", LONG.strip()),
+    ],
+)
+def test_class_words_do_not_drop_most_of_a_page(html, want):
+    assert text(html) == want
