@@ -1,9 +1,9 @@
 """Main text of web pages, with site templates removed.
 
 A page becomes text blocks, each with the hashes of the element subtrees it stands in. Spark counts the hashes by
-host; a subtree that recurs on most of the many different pages of a host is the site's template, and all blocks inside it
-go. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are also known
-by their element, role or class. Where a page marks its article, only what is inside is kept.
+host, before any other rule; a subtree that recurs on many different pages of a host is the site's template, and all
+blocks inside it go. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+are also known by their element, role or class. Where a page marks its article, only what is inside is kept.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from chartula.llm.common import stored
 from chartula.llm.url_filter import host_of
 
-#: A subtree is template from this many different pages of a host and this share of its different pages on.
-LEAST_PAGES, LEAST_SHARE = 10, 0.5
+#: A subtree is template from this many different pages of a host and this share of its different pages on;
+#: inside of what a page marks as its article, where authors repeat lines of their own, from the second share on.
+LEAST_PAGES, LEAST_SHARE, LEAST_MARKED_SHARE = 10, 0.01, 0.5
 #: A class word is not believed on a page if it would drop this much text and more than this share of the text.
 LEAST_HELD, LEAST_HELD_SHARE = 200, 0.5
-#: ``version`` tells different pages apart.
-BLOCK_SCHEMA = "page_id long, url string, host string, version long, blocks array<struct<text string, trees array<bigint>>>"
+#: ``version`` tells different pages apart, ``marked`` is for those that mark an article, ``others`` are subtrees to count that no block has.
+BLOCK_SCHEMA = "page_id long, url string, host string, version long, marked boolean, others array<bigint>, blocks array<struct<text string, trees array<bigint>>>"
 
 # Element names and class words.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -176,8 +177,8 @@ def _disbelieved(found: list[tuple[str, list[_Element]]], mains: set[int], holde
     return {n for n, e in elements.items() if e.words <= words or by_main.get(n, 0) > most}
 
 
-def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
-    """Text blocks of a page's article in order, each with the hashes of the subtrees around it.
+def parsed_page(html: str | None) -> tuple[list[tuple[str, list[int]]], bool, list[int]]:
+    """Text blocks of a page's article in order, each with the hashes of the subtrees around it; whether it is marked; further subtrees.
 
     A subtree that holds all blocks of the article is the page rather than a template in it, and left out.
     """
@@ -198,34 +199,45 @@ def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
     holders = {outer for outer, held in inner.items() if held == mains}
     holders |= _disbelieved(parser.found, mains, holders)
     kept = [(text, around) for text, around in parser.found if not any(e.dropped or e.doubtful and id(e) not in holders for e in around)]
-    if any(e.main for _, around in kept for e in around):
+    marked = any(e.main for _, around in kept for e in around)
+    if marked:
         kept = [(text, around) for text, around in kept if any(e.main for e in around)]
     whole = set.intersection(*({id(e) for e in around} for _, around in kept)) if kept else set()
-    return [(text, [e.tree for e in around[1:] if id(e) not in whole]) for text, around in kept]
+    blocks = [(text, [e.tree for e in around[1:] if id(e) not in whole]) for text, around in kept]
+    own = {tree for _, trees in blocks for tree in trees}
+    others = {e.tree for _, around in parser.found for e in around[1:] if id(e) not in whole} - own
+    return blocks, marked, sorted(others)
+
+
+def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
+    """Text blocks of a page's article in order, each with the hashes of the subtrees around it."""
+    return parsed_page(html)[0]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))]))
     for batch in batches:
-        found = [page_blocks(html) for html in batch.column("html").to_pylist()]
-        blocks = [[{"text": t, "trees": trees} for t, trees in kept] for kept in found]
-        versions = [xxhash.xxh64_intdigest("\x01".join(t for t, _ in kept)) - (1 << 63) for kept in found]
-        columns = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(versions, pa.int64()), pa.array(blocks, kind)]
-        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "version", "blocks"])
+        found = [parsed_page(html) for html in batch.column("html").to_pylist()]
+        blocks = [[{"text": t, "trees": trees} for t, trees in kept] for kept, _, _ in found]
+        versions = [xxhash.xxh64_intdigest("\x01".join(t for t, _ in kept)) - (1 << 63) for kept, _, _ in found]
+        columns = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(versions, pa.int64())]
+        columns += [pa.array([marked for _, marked, _ in found], pa.bool_()), pa.array([others for _, _, others in found], pa.list_(pa.int64())), pa.array(blocks, kind)]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "version", "marked", "others", "blocks"])
 
 
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, templates: the subtrees that recur on most different pages of a host.
+    """host, templates, certain: the subtrees that recur on many different pages of a host, and those that also count in articles.
 
     Pages with the same text blocks count once. A subtree of the list is on a fixed share of the host's pages at least, so a host's list is no longer
     than its pages' average number of subtrees divided by that share.
     """
     named = parsed.filter("host <> ''")
     pages = named.groupBy("host").agg(F.count_distinct("version").alias("pages")).filter(F.col("pages") >= least_pages)
-    trees = named.select("host", "version", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree")).distinct()
+    trees = named.select("host", "version", F.explode(F.array_union("others", F.flatten("blocks.trees"))).alias("tree")).distinct()
     counts = trees.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= least_pages)
     recurring = counts.join(pages, "host").filter(F.col("found") >= least_share * F.col("pages"))
-    return recurring.groupBy("host").agg(F.collect_list("tree").alias("templates"))
+    certain = F.when(F.col("found") >= LEAST_MARKED_SHARE * F.col("pages"), F.col("tree"))
+    return recurring.groupBy("host").agg(F.collect_list("tree").alias("templates"), F.collect_list(certain).alias("certain"))
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -241,6 +253,6 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     recurring = stored(templates(parsed, least_pages, least_share), "templates")
     found = parsed.join(recurring, "host", "left")
     none = F.array().cast("array<bigint>")
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b.trees, F.coalesce("templates", none)))
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b.trees, F.coalesce(F.when(F.col("marked"), F.col("certain")).otherwise(F.col("templates")), none)))
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n\n")
     return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -81,3 +81,16 @@ LONG = "All of the words of the story are here. " * 8
 )
 def test_class_words_do_not_drop_most_of_a_page(html, want):
     assert text(html) == want
+
+
+def test_templates_of_sections_and_of_marked_pages(spark):
+    def page(n):
+        return f"<div><ul><li>Menu {n % 3}</li></ul></div><div><p>Story {n}</p><p>More of {n}</p></div>"
+
+    assert site(spark, [page(n) for n in range(36)])[7] == "Story 7\n\nMore of 7"
+    # The menu is seen on pages whose article is marked, and goes where it is not.
+    marked = [f"<ul><li>Menu</li></ul><article><p>Story {n}</p></article>" for n in range(12)]
+    assert site(spark, [*marked, "<ul><li>Menu</li></ul><div><p>Bare</p></div>"])[12] == "Bare"
+    # A line that many articles share stays in them.
+    lines = [f"<article><p>Story {n}</p><p>{'Shared' if n % 3 == 0 else n}</p></article>" for n in range(36)]
+    assert site(spark, lines)[3] == "Story 3\n\nShared"
