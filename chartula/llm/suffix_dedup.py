@@ -433,7 +433,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     spans = stored(blocks, "repeats")
     # Both joins deal out the same columns of the documents alike, so that Spark does it once.
     compared = keyed.join(_lists(spans.filter(F.col("kind") == COMPARE), "stretches").hint("shuffle_hash"), ["doc", "alt"])
-    steps_ = compared.mapInArrow(_step_rows, STEP_SCHEMA).repartition("key")
+    # In an order of its own, so that a task that runs again makes the same batches and thins them out alike.
+    steps_ = compared.sortWithinPartitions("doc", "alt").mapInArrow(_step_rows, STEP_SCHEMA).repartition("key")
     inner = steps_.mapInArrow(_core_pass, CORE_SCHEMA)
     digests = steps_.mapInArrow(_core_windows, WINDOW_SCHEMA)
     last = digests.repartition("key").mapInArrow(_third_pass, SPAN_SCHEMA)

@@ -128,3 +128,10 @@ def test_one_id_with_two_texts(spark):
 
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_are_in_order_before_they_are_thinned_out(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 40), (2, "a b c " * 40)], "doc_id long, text string")
+    plan = sd.with_spans(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[n + 1 : n + 3] for n, line in enumerate(plan) if "_step_rows(" in line]
+    assert below and all(any("Sort [doc#" in line for line in lines) for lines in below), plan
