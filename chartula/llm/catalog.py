@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartula.llm import byte_bpe, exact_topk, html_text, language, mixing, neighbours, packing, simhash, suffix_dedup, url_filter, warc
+from chartula.llm import byte_bpe, conversation_repair, exact_topk, html_text, language, mixing, neighbours, packing, simhash, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,9 @@ def op2(pages: DataFrame) -> DataFrame:
 def op11(documents: DataFrame) -> DataFrame:
     found = byte_bpe.decode(byte_bpe.encode(documents))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.id_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_conversation_repair", "conversations")
+def op12(conversations: DataFrame) -> DataFrame:
+    turns = conversation_repair.damaged(conversations)
+    return conversation_repair.repaired_digests(turns, conversation_repair.audits(turns))
