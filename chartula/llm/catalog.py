@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartula.llm import byte_bpe, conversation_repair, exact_topk, html_text, language, mixing, neighbours, packing, simhash, suffix_dedup, url_filter, warc
+from chartula.llm import alignment, byte_bpe, conversation_repair, exact_topk, html_text, language, mixing, neighbours, packing, simhash, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,10 @@ def op11(documents: DataFrame) -> DataFrame:
 def op12(conversations: DataFrame) -> DataFrame:
     turns = conversation_repair.damaged(conversations)
     return conversation_repair.repaired_digests(turns, conversation_repair.audits(turns))
+
+
+@query("op13_alignment", "documents")
+def op13(documents: DataFrame) -> DataFrame:
+    aligned = alignment.align(documents)
+    found = alignment.scored(aligned, alignment.pair_counts(aligned))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
