@@ -150,8 +150,8 @@ def op2(pages: DataFrame) -> DataFrame:
 
 @query("op11_byte_bpe", "documents")
 def op11(documents: DataFrame) -> DataFrame:
-    found = byte_bpe.decode(byte_bpe.encode(documents))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.id_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = byte_bpe.decode(byte_bpe.encode(documents, digests=True))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op12_conversation_repair", "conversations")

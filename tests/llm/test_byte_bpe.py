@@ -27,6 +27,11 @@ def coder():
     return byte_bpe.ByteBpe(PATH, PATTERN)
 
 
+def ids_of(coder, text):
+    (ids,) = coder.encode([text])
+    return ids.tolist()
+
+
 def varied(count):
     draw = random.Random(3)
     alphabets = ["ab", "=- *#\n", "aeiourstln' ", "".join(map(chr, range(0x20, 0x250))), "".join(map(chr, range(0x4E00, 0x4E80))) + " 的。", "".join(map(chr, range(0x1F600, 0x1F640)))]
@@ -35,38 +40,41 @@ def varied(count):
 
 def test_ids_equal_the_library(library, coder):
     for text in [t for t in ODD if t] + varied(20_000):
-        assert coder.encode(text).tolist() == library.encode_ordinary(text), text
+        assert ids_of(coder, text) == library.encode_ordinary(text), text
 
 
 def test_every_token_and_repeated_tokens(library, coder):
     draw, tokens = random.Random(5), [t for t in byte_bpe.read_ranks(PATH) if len(t) > 1]
     for token in draw.sample(tokens, 5_000):
         text = (token * draw.randrange(1, 5) + token[: draw.randrange(len(token))]).decode("utf-8", "ignore")
-        assert coder.encode(text).tolist() == library.encode_ordinary(text), text
+        assert ids_of(coder, text) == library.encode_ordinary(text), text
 
 
 def test_unassigned_characters_of_either_library(library, coder):
     points = [*range(0x0860, 0x0900), *range(0x1C80, 0x1C90), *range(0xA7C0, 0xA800), *range(0x10D40, 0x10DC0), *range(0x11B60, 0x11C00), *range(0x12540, 0x12660), *range(0x32300, 0x32600)]
     for point in points:
         text = f"a{chr(point)}b 1{chr(point)}2 !{chr(point)}"
-        assert coder.encode(text).tolist() == library.encode_ordinary(text), hex(point)
+        assert ids_of(coder, text) == library.encode_ordinary(text), hex(point)
 
 
 def test_blocks_and_forgetting_change_nothing(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECES", 50)
     small = byte_bpe.ByteBpe(PATH, PATTERN)
+    monkeypatch.setattr(byte_bpe, "CHARACTERS_AT_ONCE", 100)
+    monkeypatch.setattr(byte_bpe.blocks, "__defaults__", (100,))
     text = " ".join(t for t in ODD + varied(300) if t)
-    assert "".join(byte_bpe.blocks(text, 100)) == text
-    assert np.concatenate([small.encode(part) for part in byte_bpe.blocks(text, 100)]).tolist() == library.encode_ordinary(text)
+    assert "".join(byte_bpe.blocks(text)) == text and len(list(byte_bpe.blocks(text))) > 50
+    texts = [text, "", *[t for t in ODD if t], text[::-1], "x"]
+    assert [ids.tolist() for ids in small.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_offsets(coder):
     for text in [t for t in ODD if t] + varied(500):
         owner = [n for n, c in enumerate(text) for _ in c.encode()]
-        ids = coder.encode(text)
+        ids = np.array(ids_of(coder, text))
         at = 0
-        for number, begin, end in zip(ids, *coder.offsets(ids), strict=True):
-            width = len(coder.decode(np.array([number])))
+        for number, begin, end in zip(ids, *coder.decoder.offsets(ids), strict=True):
+            width = len(coder.decoder.decode(np.array([number])))
             assert (begin, end) == (owner[at], owner[at + width - 1] + 1)
             at += width
         assert at == len(owner)
@@ -93,7 +101,7 @@ def test_decoding_of_odd_ids(spark):
 
 def test_split_characters_are_whole_again(spark, coder):
     text = "\U0001f468‍\U0001f469"
-    ids = coder.encode(text).tolist()
+    ids = ids_of(coder, text)
     assert len(ids) > 3
     tokens = spark.createDataFrame([(n, ids[:n]) for n in range(1, len(ids) + 1)], "doc_id long, ids array<int>")
     texts = {r.doc_id: r.t for r in byte_bpe.decode(tokens).select("doc_id", byte_bpe.decoded_text(byte_bpe.F.col("decoded")).alias("t")).collect()}
