@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartula.catalog.registry import query
+from chartula.functions import text as tx
 from chartula.functions import vectors
 from chartula.operators import corpus_stats, hybrid, model
 from chartula.operators import vector_search as vs
@@ -235,8 +236,9 @@ def embedding_consistency(t):
 _SOURCE_SQL = "CASE WHEN lang IN ('de', 'es') THEN 'confluence:' || source ELSE source END"
 _CHUNKS_SQL = f"""SELECT d.doc_id AS id, d.text AS content, {_SOURCE_SQL} AS source_id, e.embedding
     FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"""
-_QUERIES_SQL = """SELECT b.item_id AS query_id, regexp_extract(b.text, '^[^ ]+ [^ ]+') AS query, e.embedding
-    FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"""
+_QUERIES_SQL = """SELECT b.item_id AS query_id, b.text AS query, e.embedding
+    FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id"""
+_WORDS_SQL = """SELECT DISTINCT unnest(string_split(text, ' ')) AS query_id FROM benchmark"""
 
 
 def chunk_table(t):
@@ -248,10 +250,15 @@ def chunk_table(t):
 
 
 def query_table(t):
-    asked = t.benchmark.select(
-        F.col("item_id").alias("query_id"), F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("query")
-    )
-    return asked.join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    """Every whole benchmark text; items without a vector ask by their text alone."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return asked.join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+
+
+def word_table(t):
+    """Every different word of the benchmark texts, down to the empty one."""
+    words = t.benchmark.select(F.explode(F.split("text", " ")).alias("query_id")).distinct()
+    return words.withColumn("query", F.col("query_id"))
 
 
 def _keyword_sql(k: int, where: str = "TRUE") -> str:
@@ -261,26 +268,26 @@ def _keyword_sql(k: int, where: str = "TRUE") -> str:
         WHERE rank <= {k}"""
 
 
-@query("keyword_search", _keyword_sql(20))
-def keyword_search(t):
-    return hybrid.keyword_matches(chunk_table(t), query_table(t), 20)
-
-
 @query(
-    "keyword_search_whole",
+    "keyword_search",
     f"""SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (
-        SELECT q.item_id AS query_id, c.id, row_number() OVER (PARTITION BY q.item_id ORDER BY c.id) AS rank
-        FROM benchmark q JOIN ({_CHUNKS_SQL}) c ON contains(lower(c.content), lower(q.text))) WHERE rank <= 20""",
+        SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY c.id) AS rank
+        FROM ({_WORDS_SQL}) q JOIN ({_CHUNKS_SQL}) c ON contains(lower(c.content), lower(q.query_id))) WHERE rank <= 20""",
 )
+def keyword_search(t):
+    """Every different word of the benchmark as a keyword, most of them short or in many texts."""
+    return hybrid.keyword_matches(chunk_table(t), word_table(t), 20)
+
+
+@query("keyword_search_whole", _keyword_sql(20))
 def keyword_search_whole(t):
-    """Every whole benchmark text as a keyword, also of items without a vector."""
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return hybrid.keyword_matches(chunk_table(t), asked, 20)
+    """Every whole benchmark text as a keyword."""
+    return hybrid.keyword_matches(chunk_table(t), query_table(t), 20)
 
 
 def _vector_sql(k: int, where: str = "TRUE") -> str:
     scored = f"""SELECT q.query_id, c.id, {cos_sql('c.embedding', 'q.embedding')} AS s, c.source_id
-        FROM ({_QUERIES_SQL}) q, ({_CHUNKS_SQL}) c WHERE c.embedding IS NOT NULL AND {where}"""
+        FROM ({_QUERIES_SQL}) q, ({_CHUNKS_SQL}) c WHERE c.embedding IS NOT NULL AND q.embedding IS NOT NULL AND {where}"""
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank
         FROM ({scored})) WHERE rank <= {k}"""
 
@@ -340,8 +347,22 @@ def rag_query_source(t):
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
-_EXAMPLES_SQL = f"""SELECT c.conv_id * 1000 + c.turn AS id, c.text AS content, c.role || ' says ' || left(c.text, 60) AS summary,
-    e.embedding FROM conversations c LEFT JOIN embeddings e ON e.vec_id = c.conv_id * 7 + c.turn"""
+# A stand-in for an embedding model that SQL can follow: how often a text has each of some letters.
+LETTERS = "etaoinsrhldcumfp"
+
+
+def letter_vectors(texts: list[str]) -> list[list[int]]:
+    return [[text.count(letter) for letter in LETTERS] for text in texts]
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"length({text}) - length(replace({text}, '{c}', ''))" for c in LETTERS) + "]"
+
+
+_EXAMPLES_SQL = f"""SELECT *, {_letters_sql("(content || chr(10) || chr(10) || 'Summary: ' || summary)")} AS embedding FROM (
+    SELECT conv_id * 1000 + turn AS id, text AS content, role || ' says ' || left(text, 60) AS summary, role AS source_id FROM conversations)"""
+_CODE_QUERIES_SQL = f"""SELECT *, {_letters_sql("('Code example for ' || query || chr(10) || chr(10) || 'Summary: Example code showing ' || query)")} AS embedding
+    FROM (SELECT item_id AS query_id, text AS query FROM benchmark)"""
 
 
 def example_table(t):
@@ -349,19 +370,18 @@ def example_table(t):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("text").alias("content"),
         F.concat("role", F.lit(" says "), F.left("text", F.lit(60))).alias("summary"),
-        (F.col("conv_id") * 7 + F.col("turn")).alias("vec_id"),
-        F.lit(None).cast("string").alias("source_id"),
-    )
-    return rows.join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+        F.col("role").alias("source_id"),
+    ).withColumn("embed_text", tx.code_embed_text(F.col("content"), F.col("summary")))
+    return model.embed_texts(rows, letter_vectors, len(LETTERS), text_col="embed_text").drop("embed_text")
 
 
 _EXAMPLE_VECTOR = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (
     SELECT q.query_id, c.id, {cos_sql('c.embedding', 'q.embedding')} AS s
-    FROM ({_QUERIES_SQL}) q, ({_EXAMPLES_SQL}) c WHERE c.embedding IS NOT NULL)) WHERE rank <= 10"""
+    FROM ({_CODE_QUERIES_SQL}) q, ({_EXAMPLES_SQL}) c WHERE c.source_id = 'assistant')) WHERE rank <= 10"""
 _EXAMPLE_KEYWORD = f"""SELECT query_id, id, rank FROM (
     SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY c.id) AS rank
-    FROM ({_QUERIES_SQL}) q JOIN ({_EXAMPLES_SQL}) c
-    ON contains(lower(c.content), lower(q.query)) OR contains(lower(c.summary), lower(q.query))) WHERE rank <= 10"""
+    FROM ({_CODE_QUERIES_SQL}) q JOIN ({_EXAMPLES_SQL}) c
+    ON contains(lower(c.content), lower(q.query)) OR contains(lower(c.summary), lower(q.query)) WHERE c.source_id = 'assistant') WHERE rank <= 10"""
 
 
 @query(
@@ -370,31 +390,42 @@ _EXAMPLE_KEYWORD = f"""SELECT query_id, id, rank FROM (
         JOIN ({_EXAMPLES_SQL}) c ON c.id = h.id""",
 )
 def code_search(t):
-    """Code-example retrieval: keywords may match the text or its summary."""
-    hits = retrieve.search(
-        example_table(t), query_table(t), 5, use_hybrid=True, keyword_columns=("content", "summary"), columns=("summary",)
-    )
+    """Code-example retrieval as one call: queries embedded as descriptions, keywords in the text or its summary."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = retrieve.search_code(example_table(t), asked, letter_vectors, len(LETTERS), 5, source_id="assistant", use_hybrid=True, columns=("summary",))
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+def _reranked_sql(hits: str) -> str:
+    """``hits(query_id, id, rank)`` reordered by the letters of the whole query and the whole text."""
+    return f"""SELECT query_id, id, CAST(o AS INTEGER) AS original_rank, round(score, 6) AS rerank_score,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS INTEGER) AS rank FROM (
+            SELECT h.query_id, h.id, h.rank - 1 AS o, {cos_sql(_letters_sql("c.content"), _letters_sql("q.query"))} AS score
+            FROM ({hits}) h JOIN ({_CHUNKS_SQL}) c ON c.id = h.id JOIN ({_QUERIES_SQL}) q ON q.query_id = h.query_id)"""
+
+
+def by_letters(results, queries):
+    return retrieve.rerank_by_similarity(results, queries, letter_vectors, len(LETTERS))
+
+
+_RERANKED = ["query_id", "id", "original_rank", "rerank_score", "rank"]
+
+
+@query("rerank_by_similarity", _reranked_sql(_vector_sql(10)))
+def rerank_by_similarity(t):
+    """Top ten per query reordered by another embedding of the whole texts."""
+    hits = retrieve.search(chunk_table(t), query_table(t), 10, columns=("content",))
+    return by_letters(hits, query_table(t)).withColumn("rerank_score", F.round("rerank_score", 6)).select(*_RERANKED)
+
+
 @query(
-    "rerank_by_similarity",
-    f"""WITH hits AS ({_ranked_sql(_ALL_PAIRS, 10)}),
-    scored AS (SELECT h.query_id, h.id, h.rank - 1 AS original_rank,
-        {cos_sql("list_transform(e.embedding, lambda x, i: CASE WHEN i <= 16 THEN x ELSE 0 END)", 'q.embedding')} AS score
-        FROM hits h JOIN embeddings e ON e.vec_id = h.id JOIN embeddings q ON q.vec_id = h.query_id)
-    SELECT query_id, id, CAST(original_rank AS INTEGER) AS original_rank, round(score, 6) AS rerank_score,
-        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, original_rank) AS INTEGER) AS rank FROM scored""",
+    "rag_query_reranked",
+    _reranked_sql(_hybrid_sql(5, f"SELECT * FROM ({_vector_sql(10)}) WHERE NOT {_WIKI}", _keyword_sql(10, f"NOT {_WIKI.replace('source_id', 'c.source_id')}"))),
 )
-def rerank_by_similarity(t):
-    """Top ten per query reordered by the similarity of the leading 16 components."""
-    stored = _vectors(t)
-    queries = stored.select(F.col("id").alias("query_id"), "embedding")
-    hits = vs.top_k_multi(stored, queries, 10)
-    leading = F.transform("embedding", lambda x, i: F.when(i < 16, x).otherwise(F.lit(0.0).cast("float")))
-    texts = hits.join(stored.select("id", leading.alias("embedding")), "id")
-    ranked = hybrid.apply_scores(hits, hybrid.similarity_scores(texts, queries))
-    return ranked.select("query_id", "id", "original_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+def rag_query_reranked(t):
+    """Hybrid retrieval over web sources, reranked inside the call."""
+    hits = retrieve.search(chunk_table(t), query_table(t), 5, source_type="web", use_hybrid=True, rerank=by_letters, columns=("content",))
+    return hits.withColumn("rerank_score", F.round("rerank_score", 6)).select(*_RERANKED)
 
 
 @query(

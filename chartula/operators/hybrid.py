@@ -1,21 +1,16 @@
-"""Keyword search, the three-tier merge of vector and keyword hits, and reranking."""
+"""The three-tier merge of vector and keyword hits, source types, and reranking."""
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator, Sequence
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from chartula.functions import text as tx
 from chartula.functions import vectors
+from chartula.operators.keywords import keyword_matches
 from chartula.operators.ranking import top_per_group
-from chartula.operators.vector_search import each_query_group
+
+__all__ = ["apply_scores", "keyword_matches", "merge_hits", "rerank_eligible", "rerank_text", "similarity_scores", "source_type_is"]
 
 # Fixed values of the merge.
 BOOST = 1.2
@@ -24,10 +19,6 @@ OVERSAMPLE = 2
 WIKI_PREFIX = "confluence:"
 MAX_RERANK = 50
 
-# Keyword text held at a time; a larger query table is searched group by group.
-KEYWORDS_PER_PLAN = 5_000
-KEYWORD_BYTES = 4 * 1024 * 1024
-
 
 def source_type_is(source_id: Column, source_type: str | None) -> Column:
     """``wiki``: prefixed source ids; ``web``: the others; None: all."""
@@ -41,79 +32,6 @@ def source_type_is(source_id: Column, source_type: str | None) -> Column:
     raise ValueError(f"unknown source type {source_type!r}")
 
 
-def keyword_matches(
-    chunks: DataFrame,
-    queries: DataFrame,
-    limit: int,
-    *,
-    id_col: str = "id",
-    columns: Sequence[str] = ("content",),
-    query_id_col: str = "query_id",
-    query_col: str = "query",
-) -> DataFrame:
-    """First ``limit`` ids per query, by id, whose text contains the query: ``(query_id, id, rank)``.
-
-    Matching is literal and ignores case; with several columns any of them may match.  All queries
-    of a group are found in one pass over each text.
-    """
-
-    def search(group: DataFrame) -> DataFrame:
-        held = group.select(query_id_col, F.lower(query_col).alias("k")).filter("k IS NOT NULL").toArrow()
-        texts = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-        return _one_pass_matches(chunks, held, texts, limit, id_col, query_id_col, queries)
-
-    longest = queries.select(F.max(F.octet_length(query_col))).first()[0] or 1
-    per_group = max(1, min(KEYWORDS_PER_PLAN, KEYWORD_BYTES // (2 * longest)))
-    hits = each_query_group(queries, query_id_col, per_group, search)
-    return top_per_group(hits, [query_id_col], [F.asc(id_col)], limit, salt_on=[id_col])
-
-
-def _one_pass_matches(chunks, held, texts, limit, id_col, query_id_col, queries) -> DataFrame:
-    """All keywords of the group found by one automaton; a task gives at most ``limit`` ids per query."""
-    schema = T.StructType(
-        [
-            T.StructField(query_id_col, queries.schema[query_id_col].dataType),
-            T.StructField(id_col, chunks.schema[id_col].dataType),
-        ]
-    )
-    id_type = to_arrow_type(chunks.schema[id_col].dataType)
-    shipped = chunks.sparkSession.sparkContext.broadcast(
-        (held.column(0).combine_chunks(), held.column(1).to_pylist())
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keywords = shipped.value
-        places: dict[str, list[int]] = {}
-        for place, keyword in enumerate(keywords):
-            places.setdefault(keyword, []).append(place)
-        everywhere = places.pop("", [])
-        automaton = ahocorasick.Automaton()
-        for keyword, found_for in places.items():
-            automaton.add_word(keyword, found_for)
-        automaton.make_automaton()
-        # The smallest ids of each query so far, in order.
-        kept: list[list] = [[] for _ in keywords]
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
-            for row, own in enumerate(batch.column(0).to_pylist()):
-                hit = set(everywhere)
-                if places:
-                    for column in columns:
-                        for _, found_for in automaton.iter(column[row]):
-                            hit.update(found_for)
-                for place in hit:
-                    best = kept[place]
-                    if len(best) < limit or own < best[-1]:
-                        bisect.insort(best, own)
-                        del best[limit:]
-        which = [place for place, best in enumerate(kept) for _ in best]
-        found = pa.array([own for best in kept for own in best], id_type)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), found], names=[query_id_col, id_col])
-
-    named = [text.alias(f"_t{i}") for i, text in enumerate(texts)]
-    return chunks.select(F.col(id_col), *named).mapInArrow(run, schema)
-
-
 def merge_hits(
     vector_hits: DataFrame,
     keyword_hits: DataFrame,

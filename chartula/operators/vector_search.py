@@ -1,13 +1,13 @@
 """Cosine top-k over stored vectors: one query, a table of queries, and coarse cells.
 
 A single query is a plain expression plan (filter, similarity, ordered limit).  A table of
-queries is scored block-wise: every task multiplies its Arrow batches with the query matrix
+queries is scored block-wise: every task multiplies its Arrow batches with a block of queries
 and keeps only its own best ``k`` per query, so the pairs are never rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from chartula.functions import vectors
 from chartula.operators.ranking import top_per_group
 from chartula.session import cut_lineage
 
-# Upper bound for the query matrix shipped to every task.
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+# Queries a task holds, in bytes of doubles; no more than that is ever broadcast.
+QUERY_BLOCK_BYTES = 16 * 1024 * 1024
 # Similarities held at a time inside a task (queries x rows).
 SCORE_TILE = 8_000_000
 # The cell of vectors without a direction; every query looks into it.
@@ -87,34 +87,6 @@ def top_k(
 # --- tables of queries -----------------------------------------------------------------------
 
 
-def query_groups(queries: DataFrame, key: str, rows_per_group: int) -> Iterator[DataFrame]:
-    """Split a query table into hash groups of about ``rows_per_group`` rows."""
-    groups = max(1, -(-queries.count() // rows_per_group))
-    if groups == 1:
-        yield queries
-        return
-    for group in range(groups):
-        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(groups)) == group)
-
-
-def each_query_group(
-    queries: DataFrame, key: str, rows_per_group: int, search: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Union of ``search(group)``; beyond one group each result is materialised before the
-    next group is collected, so the driver never holds more than one group."""
-    result: DataFrame | None = None
-    pending: DataFrame | None = None
-    for group in query_groups(queries, key, rows_per_group):
-        if pending is not None:
-            done = cut_lineage(pending)
-            result = done if result is None else result.unionByName(done)
-        pending = search(group)
-    assert pending is not None
-    if result is None:
-        return pending
-    return result.unionByName(cut_lineage(pending))
-
-
 def top_k_multi(
     chunks: DataFrame,
     queries: DataFrame,
@@ -127,27 +99,22 @@ def top_k_multi(
 ) -> DataFrame:
     """Best ``k`` ids per query: ``(query_id, id, similarity, rank)``.
 
-    ``queries`` has ``query_id`` and ``embedding``.
+    ``queries`` has ``query_id`` and ``embedding``; queries and chunks without a vector take no part.
+    A query table of one block is broadcast.  A larger one lies in the columns of a grid and the chunks in
+    its rows: every field of the grid is one task's stream, first the queries, then the chunks.
     """
-    dim = queries.select(F.max(F.size(embedding_col))).first()[0]
+    asked = queries.select(query_id_col, embedding_col).filter(F.col(embedding_col).isNotNull())
+    rows = chunks.select(id_col, embedding_col).filter(F.col(embedding_col).isNotNull())
+    schema = _hit_schema(chunks, queries, id_col, query_id_col)
+    count, dim = asked.agg(F.count(F.lit(1)), F.max(F.size(embedding_col))).first()
     if dim is None:
-        schema = _hit_schema(chunks, queries, id_col, query_id_col)
         return chunks.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    # Hash groups vary in size; aim at half the bound.
-    rows_per_group = max(1, block_bytes // (2 * 8 * dim))
-
-    def search(group: DataFrame) -> DataFrame:
-        held = group.select(query_id_col, embedding_col).toArrow()
-        return _score_block(chunks, queries, held, dim, k, id_col, embedding_col, query_id_col)
-
-    hits = each_query_group(queries, query_id_col, rows_per_group, search)
-    return top_per_group(
-        hits,
-        [query_id_col],
-        [F.desc("similarity"), F.asc(id_col)],
-        k,
-        salt_on=[id_col],
-    )
+    columns = -(-count * 8 * dim // block_bytes)
+    if columns <= 1:
+        hits = rows.mapInArrow(_block_scorer(asked, dim, k, schema), schema)
+    else:
+        hits = _grid(rows, asked, columns).mapInArrow(_grid_scorer(dim, k, schema), schema)
+    return top_per_group(hits, [query_id_col], [F.desc("similarity"), F.asc(id_col)], k, salt_on=[id_col])
 
 
 def _hit_schema(chunks, queries, id_col, query_id_col) -> T.StructType:
@@ -175,46 +142,93 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
-def _score_block(
-    chunks, queries, held, dim, k, id_col, embedding_col, query_id_col
-) -> DataFrame:
-    schema = _hit_schema(chunks, queries, id_col, query_id_col)
-    query_ids = held.column(query_id_col).combine_chunks()
-    unit_queries = _unit(_matrix(held.column(embedding_col), dim))
-    shipped = chunks.sparkSession.sparkContext.broadcast((query_ids, unit_queries))
+class _Best:
+    """The best rows so far for each query of a block."""
+
+    def __init__(self, ids: pa.Array, vectors_: pa.Array, dim: int, k: int, names: list[str]):
+        self.ids, self.matrix, self.dim, self.k = ids, _unit(_matrix(vectors_, dim)), dim, k
+        self.query_id, self.id, _ = self.names = names
+        self.kept: pa.Table | None = None
+
+    def add(self, ids: pa.Array, vectors_: pa.Array) -> None:
+        order = pc.sort_indices(ids)
+        ids, stored = ids.take(order), _unit(_matrix(vectors_.take(order), self.dim)).T
+        tile = max(1, SCORE_TILE // len(ids))
+        found = []
+        for first in range(0, len(self.matrix), tile):
+            scores = np.round(self.matrix[first : first + tile] @ stored, vectors.RANK_PLACES)
+            which, at = _best_positions(scores, self.k)
+            found.append((which + first, at, scores[which, at]))
+        which, at, scores = (np.concatenate(parts) for parts in zip(*found))
+        part = pa.table({"q": which, self.id: ids.take(pa.array(at)), "similarity": scores})
+        self.kept = part if self.kept is None else _merge(self.kept, part, self.id, self.k)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.kept is not None:
+            found = [self.ids.take(self.kept.column("q").combine_chunks()), self.kept.column(self.id), self.kept.column("similarity")]
+            yield from pa.table(found, names=self.names).to_batches()
+
+
+def _block_scorer(asked: DataFrame, dim: int, k: int, schema: T.StructType):
+    """Scores Arrow batches of (id, vector) with one block of queries, which the caller has measured."""
+    held = asked.toArrow().combine_chunks()
+    parts = [c.chunk(0) if c.num_chunks else c.combine_chunks() for c in held.columns]
+    _matrix(parts[1], dim)
+    shipped, names = asked.sparkSession.sparkContext.broadcast(parts), schema.names
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shipped.value
-        kept: pa.Table | None = None
+        found = _Best(*shipped.value, dim, k, names)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            batch = batch.take(pc.sort_indices(batch.column(id_col)))
-            stored = _unit(_matrix(batch.column(embedding_col), dim)).T
-            tile = max(1, SCORE_TILE // batch.num_rows)
-            found = []
-            for first in range(0, len(matrix), tile):
-                scores = np.round(matrix[first : first + tile] @ stored, vectors.RANK_PLACES)
-                which, at = _best_positions(scores, k)
-                found.append((which + first, at, scores[which, at]))
-            which, at, scores = (np.concatenate(parts) for parts in zip(*found))
-            part = pa.table(
-                {
-                    "q": which,
-                    id_col: batch.column(id_col).take(pa.array(at)),
-                    "similarity": scores,
-                }
-            )
-            kept = part if kept is None else _merge(kept, part, id_col, k)
-        if kept is not None:
-            out = pa.table(
-                [ids.take(kept.column("q").combine_chunks()), kept.column(id_col), kept.column("similarity")],
-                names=[query_id_col, id_col, "similarity"],
-            )
-            yield from out.to_batches()
+            if batch.num_rows:
+                found.add(batch.column(0), batch.column(1))
+        yield from found.rows()
 
-    rows = chunks.select(id_col, embedding_col).filter(F.col(embedding_col).isNotNull())
-    return rows.mapInArrow(best, schema)
+    return best
+
+
+def _grid(rows: DataFrame, asked: DataFrame, columns: int) -> DataFrame:
+    """Chunks in each column of their row, queries in each row of their column.
+
+    A field holds one block of queries, whatever the number of rows; there are as many fields as the
+    session has shuffle partitions, so the copies of the queries stay within one block a task.
+    """
+    height = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // columns))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    (query_id, vector), id_ = asked.columns, rows.columns[0]
+    left = asked.select(F.lit(0).alias("_kind"), F.col(query_id).alias("_query"), F.lit(None).cast(rows.schema[id_].dataType).alias("_id"), F.col(vector).alias("_vector"), place(query_id, columns).alias("_column"), every(height).alias("_row"))
+    right = rows.select(F.lit(1).alias("_kind"), F.lit(None).cast(asked.schema[query_id].dataType).alias("_query"), F.col(id_).alias("_id"), F.col(vector).alias("_vector"), place(id_, height).alias("_row"), every(columns).alias("_column"))
+    both = left.unionByName(right).repartition(height * columns, "_row", "_column")
+    return both.sortWithinPartitions("_row", "_column", "_kind")
+
+
+def _grid_scorer(dim: int, k: int, schema: T.StructType):
+    names = schema.names
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, queries, found = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("_row", "_column", "_kind")], axis=1)
+            edges = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+                if begin == end:
+                    continue
+                run = batch.slice(begin, end - begin)
+                if field != tuple(keys[begin, :2]):
+                    if found is not None:
+                        yield from found.rows()
+                    field, queries, found = tuple(keys[begin, :2]), [], None
+                if keys[begin, 2] == 0:
+                    queries.append(run)
+                elif queries:
+                    if found is None:
+                        block = pa.Table.from_batches(queries).combine_chunks()
+                        found = _Best(block.column("_query").chunk(0), block.column("_vector").chunk(0), dim, k, names)
+                    found.add(run.column("_id"), run.column("_vector"))
+        if found is not None:
+            yield from found.rows()
+
+    return best
 
 
 def _best_positions(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

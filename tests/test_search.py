@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartula.functions import vectors
-from chartula.operators import corpus_stats, hybrid, model
+from chartula.operators import corpus_stats, hybrid, keywords, model
 from chartula.operators import vector_search as vs
 from chartula.plans import retrieve
 
@@ -57,6 +57,22 @@ def test_multi_in_query_groups(spark, data):
     assert ids(vs.top_k_multi(frame, queries, 3, block_bytes=2 * 8 * 16 * 9)) == brute(stored, asked, 3)
 
 
+def test_multi_in_a_grid_of_64_blocks(spark, data):
+    """Many blocks of queries are rows of one plan: one scan of the chunks, no job and no broadcast for a block."""
+    stored, _ = data
+    frame, queries = vector_frame(spark, stored), vector_frame(spark, stored, "query_id")
+    missing = spark.createDataFrame([(901, None)], "query_id long, embedding array<float>")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("grid", "grid")
+    hits = vs.top_k_multi(frame.repartition(5), queries.unionByName(missing), 4, block_bytes=-(-300 * 8 * 16 // 64))
+    jobs = len(tracker.getJobIdsForGroup("grid"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert ids(hits) == brute(stored, stored, 4)
+    assert jobs <= 3 and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+    assert plan.count("MapInArrow") == 1
+
+
 def test_multi_in_small_tiles(spark, data, monkeypatch):
     stored, asked = data
     frame, queries = vector_frame(spark, stored).coalesce(1), vector_frame(spark, asked, "query_id")
@@ -136,7 +152,7 @@ def test_merge_follows_the_rule(spark):
     assert got == want
 
 
-def test_keyword_groups_agree(spark, monkeypatch):
+def test_keyword_joins_agree(spark):
     rnd = random.Random(8)
     docs = [(i, "".join(rnd.choice("abAB%_ ") for _ in range(30)), rnd.choice(["ab", None, "zz"])) for i in range(200)]
     frame = spark.createDataFrame(docs, "id long, content string, summary string").repartition(6)
@@ -147,9 +163,8 @@ def test_keyword_groups_agree(spark, monkeypatch):
         if w is not None:
             found = [i for i, c, s in docs if w.lower() in c.lower() or w.lower() in (s or "").lower()][:6]
             want |= {(q, i, n + 1) for n, i in enumerate(found)}
-    for per_group in (3, 1000):
-        monkeypatch.setattr(hybrid, "KEYWORDS_PER_PLAN", per_group)
-        hits = hybrid.keyword_matches(frame, queries, 6, columns=("content", "summary"))
+    for bound in (0, 1000):
+        hits = hybrid.keyword_matches(frame, queries, 6, columns=("content", "summary"), broadcast_keywords=bound)
         assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == want
 
 
@@ -242,3 +257,52 @@ def test_failed_score_batch_is_zero(spark):
     pairs = spark.createDataFrame([("q", "good", 0), ("q", "bad", 0)], "query string, content string, n int").coalesce(1)
     assert [r.rerank_score for r in model.score_pairs(pairs, score).collect()] == [0.0, 0.0]
     assert [r.rerank_score for r in model.score_pairs(pairs.filter("content = 'good'"), score).collect()] == [1.0]
+
+
+def keyword_brute(texts, asked, limit):
+    out = {}
+    for number, keyword in asked:
+        if keyword is not None:
+            found = sorted(i for i, columns in texts if any(keyword.lower() in (c or "").lower() for c in columns))[:limit]
+            if found:
+                out[number] = found
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_keywords_by_grams(spark, bound, monkeypatch):
+    """Short, long, odd and repeated keywords over blocks of a few characters, with and without a broadcast."""
+    monkeypatch.setattr(keywords, "BLOCK", 32)
+    draw = random.Random(11)
+    alphabet = "ab cd.\n(é字\U0001f600)[x]%_\\"
+    texts = [(n, ["".join(draw.choice(alphabet) for _ in range(draw.randrange(0, 120))), draw.choice([None, "Ab C", "summary of " + "ab" * 40])]) for n in range(150)]
+    cuts = [(t, draw.randrange(len(t)), draw.randrange(1, 60)) for _, (t, _) in texts for _ in range(2) if t]
+    asked = list(enumerate(["", None, "a", "AB", "abab", "ababab", "summary of ab", "no such words at all", "zzzzzzz", "."] + [t[i : i + n] for t, i, n in cuts] + ["abab", "ab"]))
+    frame = spark.createDataFrame([(i, *c) for i, c in texts], "id long, content string, summary string")
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    hits = hybrid.keyword_matches(frame, queries, 5, columns=("content", "summary"), broadcast_keywords=bound)
+    assert ids(hits) == keyword_brute(texts, asked, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_code_search_embeds_queries_as_descriptions(spark):
+    examples = spark.createDataFrame([(1, "one", "s", "x", [1.0, 0.0]), (2, "two", "s", "x", [0.0, 1.0]), (3, "two", "s", "y", [0.0, 1.0])], "id long, content string, summary string, source_id string, embedding array<float>")
+    queries = spark.createDataFrame([(7, "two")], "query_id long, query string")
+
+    def embed(texts):
+        return [[0.0, 1.0] if t == "Code example for two\n\nSummary: Example code showing two" else [1.0, 0.0] for t in texts]
+
+    hits = retrieve.search_code(examples, queries, embed, 2, 2, source_id="x", columns=("content",)).orderBy("rank").collect()
+    assert [(r.query_id, r.id, r.similarity) for r in hits] == [(7, 2, 1.0), (7, 1, 0.0)]
+
+
+def test_rerank_inside_the_search(spark):
+    chunks = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.9, 0.1]), (3, "c", [0.0, 1.0])], "id long, content string, embedding array<float>")
+    queries = spark.createDataFrame([(1, "q", [1.0, 0.0]), (2, " ", [1.0, 0.0]), (3, "q", None)], "query_id long, query string, embedding array<float>")
+
+    def embed(texts):
+        return [[1.0, 0.0] if t in ("q", "b") else [0.0, 1.0] for t in texts]
+
+    hits = retrieve.search(chunks, queries, 2, rerank=lambda r, q: retrieve.rerank_by_similarity(r, q, embed, 2), columns=("content",))
+    assert ids(hits) == {1: [2, 1], 2: [1, 2]}
