@@ -12,25 +12,27 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartula.llm.byte_bpe import shown_bytes
-from chartula.llm.common import stored
+from chartula.llm.byte_bpe import Places, shown_bytes
+from chartula.llm.common import stored, tidied
 from chartula.operators.joins import salted_join
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Longer texts are dealt out in ranges of so many bytes; so many fragments are composed by one task at a time.
 RANGE, FAN = 1 << 16, 16
-#: Words, and characters of words, that a task remembers; links that are handed on at a time.
-WORDS, WORD_CHARACTERS, LINKS_AT_ONCE = 1 << 17, 1 << 22, 1 << 20
+#: Words, and bytes of words, that a task remembers; characters that are read and links that are handed on at a time.
+WORDS, WORD_CHARACTERS, CHARACTERS_AT_ONCE, LINKS_AT_ONCE = 1 << 18, 1 << 23, 1 << 19, 1 << 20
 #: A table of more pairs than this (17 bytes each) is joined by shuffling, not broadcast.
 BROADCAST_PAIRS = 2_000_000
 ALIGNED_SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, pairs array<long>, times array<int>, groups_sha256 string"
@@ -55,6 +57,8 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # Spark runs a task for every core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
@@ -71,7 +75,8 @@ class Pair:
         # Where no token goes on: pairs of neighbouring bytes (first) and characters (second) that no token holds.
         self.a_joined = {t[n : n + 2] for t in self.a_bytes for n in range(len(t) - 1)}
         self.b_joined = {p[n : n + 2] for p in pieces for n in range(len(p) - 1)}
-        self.words: dict[str, int] = {}
+        self.tables = [np.frombuffer(b"".join(tokens), np.uint8) for tokens in (self.a_bytes, self.b_bytes)]
+        self.table_begins = [np.cumsum(w) - w for w in (self.a_widths, self.b_widths)]
         self._forget()
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -88,13 +93,12 @@ class Pair:
     def tokens(self, a: np.ndarray, b: np.ndarray, start: int = 0) -> Tokens:
         return a, start + np.cumsum(self.a_widths[a]), b, start + np.cumsum(self.b_widths[b])
 
-    def links(self, tokens: Tokens) -> np.ndarray:
-        """The pairs of overlapping tokens, a * 2**32 + b."""
+    def links(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of overlapping tokens, a * 2**32 + b, and how many each token of a has."""
         a, a_ends, b, b_ends = tokens
         first = np.searchsorted(b_ends, a_ends - self.a_widths[a], "right")
         count = np.searchsorted(b_ends, a_ends, "left") - first + 1
-        which = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return (np.repeat(a, count) << 32) | b[which]
+        return (np.repeat(a, count) << 32) | b[_spread(first, count)], count
 
     def safe(self, text: str, at: int) -> bool:
         """Whether both tokenizers surely end a token before ``text[at]``, whatever stands further away."""
@@ -106,45 +110,84 @@ class Pair:
         return not after.isspace() and before + after not in self.b_joined and before.encode()[-1:] + after.encode()[:1] not in self.a_joined
 
     def _forget(self) -> None:
-        self.words.clear()
+        self.words, self.held = Places(), 0
         self.counts = np.zeros((0, 4), np.int64)
-        self.bad, self.groups, self.held = np.zeros(0, bool), [], 0
+        self.bad, self.groups = np.zeros(0, bool), []
         self.pool, self.begins = _NOTHING, _NOTHING
 
-    def _learn(self, words: list[str]) -> None:
-        counts, bad, pairs = [], [], []
-        for a, b, spelled in self.encoded(words):
-            tokens = self.tokens(a, b)
-            links = self.links(tokens) if spelled else _NOTHING
-            written, groups = group_text(tokens) if spelled else ("", 0)
-            counts.append((len(a), len(b), groups, len(links)))
-            bad.append(not spelled)
-            pairs.append(links)
-            self.groups.append(written)
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        self.bad = np.concatenate([self.bad, bad])
-        sizes = np.array([len(p) for p in pairs])
-        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.pool = np.concatenate([self.pool, *pairs])
-        self.held += sum(map(len, words)) + 8 * int(sizes.sum())
-
-    def aligned(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray, str]:
-        """Counts of tokens, groups and links, different links, their numbers, and the digest of the groups."""
-        words = _WORD_END.split(" " + text) if text else []
-        if new := set(words).difference(self.words):
-            if len(self.words) + len(new) > WORDS or self.held > WORD_CHARACTERS:
-                self._forget()
-                new = set(words)
-            self._learn(sorted(new))
-        index = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if not words or self.bad[index].any():
-            return [0] * 4, _NOTHING, _NOTHING, ""
-        sums = self.counts[index].sum(axis=0)
-        links = self.counts[index, 3]
-        found = self.pool[np.repeat(self.begins[index] - np.cumsum(links) + links, links) + np.arange(sums[3])]
-        digest = hashlib.sha256(";".join([self.groups[i] for i in index]).encode()).hexdigest()
-        return sums.tolist(), *np.unique(found, return_counts=True), digest
+    def _learn(self) -> None:
+        """Align all words that are new to the task at once: end to end they are one text that is cut after each word."""
+        words, self.words.new = self.words.new, []
+        raw = [w.encode() for w in words]
+        lengths = np.array([len(r) for r in raw], np.int64)
+        found = []
+        for codes, widths, table, begins in zip(self._codes(words), (self.a_widths, self.b_widths), self.tables, self.table_begins, strict=True):
+            sizes = np.array([len(c) for c in codes], np.int64)
+            found.append((np.fromiter(chain.from_iterable(codes), np.int64, sizes.sum()), sizes, widths, table, begins))
+        good = np.ones(len(words), bool)
+        for ids, sizes, widths, _, _ in found:
+            good &= np.bincount(np.repeat(np.arange(len(words)), sizes), widths[ids], len(words)) == lengths
+        for ids, sizes, widths, table, begins in found:
+            own = ids[np.repeat(good, sizes)]
+            spelled = table[_spread(begins[own], widths[own])]
+            wanted = np.frombuffer(b"".join([r for r, g in zip(raw, good, strict=True) if g]), np.uint8)
+            wrong = np.repeat(np.flatnonzero(good), lengths[good])[spelled != wanted]
+            good[wrong] = False
+            # What was found wrong is left out of the second comparison too.
+        counts = np.zeros((len(words), 4), np.int64)
+        streams = [ids[np.repeat(good, sizes)] for ids, sizes, *_ in found]
+        for side, (_, sizes, *_) in enumerate(found):
+            counts[:, side] = sizes
+        tokens = self.tokens(*streams)
+        ends = np.cumsum(lengths[good])
+        links, of_a = self.links(tokens)
+        written, cuts = group_texts(tokens)
+        # Groups and links of each word, by where the word ends.
+        last = np.searchsorted(cuts, ends) + 1
+        counts[good, 2] = np.diff(last, prepend=0)
+        a_stops = np.cumsum(counts[good, 0])
+        total = np.concatenate([[0], np.cumsum(of_a)])
+        counts[good, 3] = np.diff(total[a_stops], prepend=0)
+        texts = np.full(len(words), "", object)
+        if good.any():
+            offsets = pa.array(np.concatenate([[0], last]), pa.int32())
+            texts[good] = pc.binary_join(pa.ListArray.from_arrays(offsets, written), ";").to_pylist()
+        self.groups += texts.tolist()
+        self.counts = np.concatenate([self.counts, counts])
+        self.bad = np.concatenate([self.bad, ~good])
+        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(counts[:, 3]) - counts[:, 3]])
+        self.pool = np.concatenate([self.pool, links])
+        self.held += int(lengths.sum())
+
+    def _codes(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids under both for texts that begin with a space."""
+        a = [c.ids for c in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
+
+    def aligned(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, str]]:
+        """Per text: counts of tokens, groups and links, different links, their numbers, and the digest of the groups."""
+        if len(self.words) > WORDS or self.held > WORD_CHARACTERS:
+            self._forget()
+        indexes = []
+        for text in texts:
+            words = _WORD_END.split(" " + text) if text else []
+            indexes.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        if self.words.new:
+            self._learn()
+        for index in indexes:
+            if not len(index) or self.bad[index].any():
+                yield [0] * 4, _NOTHING, _NOTHING, ""
+                continue
+            counts = self.counts[index]
+            found = self.pool[_spread(self.begins[index], counts[:, 3])]
+            digest = hashlib.sha256(";".join([self.groups[i] for i in index.tolist()]).encode()).hexdigest()
+            yield counts.sum(axis=0).tolist(), *np.unique(found, return_counts=True), digest
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of stretches that begin at ``begins``, in turn."""
+    total = np.cumsum(sizes)
+    return np.repeat(begins - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -152,15 +195,21 @@ def _loaded(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
 
 
-def group_text(tokens: Tokens) -> tuple[str, int]:
-    """Groups as ``a1,a2|b1;a3|b2`` and their number, for tokens whose last ends are equal."""
+def group_texts(tokens: Tokens) -> tuple[pa.Array, np.ndarray]:
+    """Each group as ``a1,a2|b1,b2``, and where it ends, for tokens whose last ends are equal."""
     a, a_ends, b, b_ends = tokens
     cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    written = []
-    for own, ends in ((a, a_ends), (b, b_ends)):
-        names, stops = own.tolist(), (np.searchsorted(ends, cuts) + 1).tolist()
-        written.append([",".join(map(str, names[i:j])) for i, j in zip([0, *stops[:-1]], stops, strict=True)])
-    return ";".join([f"{x}|{y}" for x, y in zip(*written, strict=True)]), len(cuts)
+    sides = []
+    for ids, ends in ((a, a_ends), (b, b_ends)):
+        stops = np.concatenate([[0], np.searchsorted(ends, cuts) + 1])
+        sides.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pc.cast(pa.array(ids), pa.string())), ","))
+    return pc.binary_join_element_wise(*sides, "|"), cuts
+
+
+def group_text(tokens: Tokens) -> tuple[str, int]:
+    """Groups as ``a1,a2|b1;a3|b2`` and their number, for tokens whose last ends are equal."""
+    written, cuts = group_texts(tokens)
+    return ";".join(written.to_pylist()), len(cuts)
 
 
 def _cut(tokens: Tokens, low, high) -> Tokens:
@@ -213,7 +262,7 @@ class Fragment:
         return made
 
     def _count(self, closed: Tokens, number: int) -> None:
-        links = self.pair.links(closed)
+        links, _ = self.pair.links(closed)
         self.sums += [len(closed[0]), len(closed[2]), number, len(links)]
         keys, times = np.unique(links, return_counts=True)
         self.pairs, self.times = _totals([self.pairs, keys], [self.times, times])
@@ -261,14 +310,24 @@ def _int_lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NOTHING, *arrays])).cast(kind))
 
 
+def _some_at_a_time(pair: Pair, texts: pa.Array) -> Iterator[tuple]:
+    waiting, size = [], 0
+    for n in range(len(texts)):
+        waiting.append(texts[n].as_py() or "")
+        size += len(waiting[-1])
+        if size >= CHARACTERS_AT_ONCE or n == len(texts) - 1:
+            yield from pair.aligned(waiting)
+            waiting, size = [], 0
+
+
 def _whole(paths: tuple[str, str]):
     def align_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _loaded(*paths)
         for batch in batches:
-            texts, begin, size, held = batch.column("text"), 0, 0, []
-            for n in range(batch.num_rows):
-                held.append(pair.aligned(texts[n].as_py() or ""))
-                size += len(held[-1][1])
+            begin, size, held = 0, 0, []
+            for n, found in enumerate(_some_at_a_time(pair, batch.column("text"))):
+                held.append(found)
+                size += len(found[1])
                 if size >= LINKS_AT_ONCE or n == batch.num_rows - 1:
                     sums, pairs, times, digests = zip(*held, strict=True)
                     columns = [batch.column(c).slice(begin, len(held)) for c in ("row", "doc_id")]
@@ -400,11 +459,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _long(rows: DataFrame, paths: tuple[str, str], size: int) -> DataFrame | None:
     """ALIGNED_SCHEMA for texts of several ranges."""
-    ranges = stored(rows.mapInArrow(_ranges(paths, size), RANGE_SCHEMA), "ranges")
+    ranges = stored(rows.mapInArrow(tidied(_ranges(paths, size)), RANGE_SCHEMA), "ranges")
     most = ranges.agg(F.max("ranges")).first()[0]
     if most is None:
         return None
-    fragments = stored(ranges.repartition("row", "place").mapInArrow(_fragments(paths), FRAGMENT_SCHEMA), "fragments")
+    fragments = stored(ranges.repartition("row", "place").mapInArrow(tidied(_fragments(paths)), FRAGMENT_SCHEMA), "fragments")
     level = fragments.withColumn("groups", F.lit("")).withColumn("at", F.col("place"))
     while most > 1:
         level = level.withColumn("place", F.floor(F.col("at") / FAN).cast("long"))
@@ -434,7 +493,7 @@ def align(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
     paths = (byte_path, piece_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     length = F.coalesce(F.octet_length("text"), F.lit(0))
-    short = stored(rows.filter(length < size).mapInArrow(_whole(paths), ALIGNED_SCHEMA), "aligned")
+    short = stored(rows.filter(length < size).mapInArrow(tidied(_whole(paths)), ALIGNED_SCHEMA), "aligned")
     longer = _long(rows.filter(length >= size), paths, size)
     return short if longer is None else short.unionByName(stored(longer, "aligned-long"))
 

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from chartula.llm.common import tidied
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 TOKENS_SCHEMA = "doc_id long, ids array<int>"
 #: Characters of a text that are cut into pieces at a time; tokens that are put together at a time.
@@ -103,7 +105,7 @@ def _written_out(pattern: str, classes: dict[str, str]) -> str:
     return re.sub(r"\[(?P<not>\^?)(?P<set>[^\]]*)\]|\\p\{[LN]\}|\\[sS]", ranges, pattern)
 
 
-class _Places(dict):
+class Places(dict):
     """Numbers of pieces in the order of their first look-up; ``new`` are those nobody has encoded yet."""
 
     def __init__(self) -> None:
@@ -161,7 +163,7 @@ class ByteBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.place, self.held = _Places(), 0
+        self.place, self.held = Places(), 0
         self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
@@ -301,7 +303,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, pattern: str | N
         pattern = public_tokenizers.PATTERN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = TOKENS_SCHEMA + ", begins array<int>, ends array<int>" * offsets + ", ids_sha256 string" * digests
-    return rows.mapInArrow(_encoder(_ranks_path(vocabulary_path), pattern, offsets, digests), schema)
+    return rows.mapInArrow(tidied(_encoder(_ranks_path(vocabulary_path), pattern, offsets, digests)), schema)
 
 
 def _ranks_path(path: str | None) -> str:
@@ -318,7 +320,7 @@ def decode(tokens: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     Null ids, and ids among which one is null or not in the vocabulary, decode to null; no ids to no bytes.
     """
     rows = tokens.drop("decoded")
-    return rows.mapInArrow(_decode(_ranks_path(vocabulary_path)), StructType([*rows.schema, StructField("decoded", BinaryType())]))
+    return rows.mapInArrow(tidied(_decode(_ranks_path(vocabulary_path))), StructType([*rows.schema, StructField("decoded", BinaryType())]))
 
 
 def decoded_text(decoded: Column) -> Column:
