@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartula.llm.common import tidied
 from chartula.operators.ranking import top_per_group
 
-#: Bounds of what is learned: labels (the most frequent), passages of each, characters of a passage, bytes of a dictionary.
-LANGUAGES, PASSAGES, PASSAGE_CHARS, DICTIONARY_BYTES = 256, 256, 1000, 32 << 10
+#: Bounds of what is learned for each label: passages, characters of a passage, bytes of a dictionary.
+PASSAGES, PASSAGE_CHARS, DICTIONARY_BYTES = 256, 1000, 32 << 10
 #: Bytes of a block, the compression level, and the least relative distance to the runner-up.
 BLOCK, LEVEL, MARGIN = 1024, 6, 0.002
 UNKNOWN = "und"
@@ -38,21 +39,24 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each label of ``docs(doc_id, text, lang)``, from rows that are not held out.
 
-    The sample is made of the PASSAGES ids of a label with the smallest hashes, a passage of each one's
-    text. Rows without an id are not learned from.
+    Of the PASSAGES ids of a label with the smallest hashes, one passage of each text is taken, in the order of
+    the hashes, until the passages have twice DICTIONARY_BYTES bytes; their letters, cut at DICTIONARY_BYTES, are
+    the dictionary. All labels have one. Rows without an id, a text or a label are not learned from; of rows that
+    share an id the smallest passage counts; an empty table gives no dictionary.
     """
     place = F.xxhash64("doc_id")
     known = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    known = known.filter(F.col("lang").isin([row["lang"] for row in counts])).select("lang", place.alias("place"), "text")
-    # Only hashes are ranked, in two steps; at most LANGUAGES * PASSAGES of them then fetch their passages.
+    known = known.select("lang", place.alias("place"), "text")
+    # Only hashes are ranked, in two steps; at most PASSAGES of them for each label then fetch their passages.
     chosen = top_per_group(known.select("lang", "place"), ["lang"], [F.asc("place")], PASSAGES, salt_on=["place"])
     begin = F.pmod(F.xxhash64("place"), F.greatest(F.lit(1), F.length("text") - PASSAGE_CHARS + 1)).cast("int") + 1
     passages = known.join(F.broadcast(chosen.select("lang", "place").distinct()), ["lang", "place"])
     passages = passages.select("lang", "place", F.substring("text", begin, F.lit(PASSAGE_CHARS)).alias("passage"))
     first = passages.groupBy("lang", "place").agg(F.min("passage").alias("passage"))
+    before = F.sum(F.octet_length("passage")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    enough = first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * DICTIONARY_BYTES)
     found: dict[str, list] = {}
-    for row in first.collect():
+    for row in enough.select("lang", "place", "passage").collect():
         found.setdefault(row["lang"], []).append((row["place"], row["passage"]))
     return {lang: "\n".join(letters(p) for _, p in sorted(own)).encode()[:DICTIONARY_BYTES] for lang, own in sorted(found.items())}
 
@@ -88,19 +92,20 @@ def predictor(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[st
 def predicted(text: Column, dictionaries: dict[str, bytes]) -> Column:
     """struct(lang, score, rejected) of a text column."""
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = predictor(dictionaries)
         for texts in batches:
             yield pd.DataFrame(list(map(predict, texts)), columns=["lang", "score", "rejected"])
 
-    return column(text.cast("string"))
+    return F.pandas_udf(tidied(column), "lang string, score double, rejected boolean")(text.cast("string"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected per row of ``docs(doc_id, text, lang)``.
 
-    Learned labels only come from rows that are not held out; without any, every text is ``und``.
+    Learned labels only come from rows that are not held out; without any, every text is ``und``. So is a null text
+    and one without letters, with score 0. Whole texts are compressed, whatever their length. Of labels with equal sums
+    the first by name is predicted, with score 0.
     Rows with a null id are never held out. Repeated rows are returned each, an empty table gives no
     rows, other columns are not read.
     """

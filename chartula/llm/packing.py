@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartula.llm.common import tidied
+
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -235,4 +237,4 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, window: int = WIND
 
         vocabulary_path = public_tokenizers.path(VOCABULARY)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_packer(vocabulary_path, window, end_id), SCHEMA)
+    return rows.mapInArrow(tidied(_packer(vocabulary_path, window, end_id)), SCHEMA)

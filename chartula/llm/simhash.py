@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartula.llm.common import gathered, stored
+from chartula.llm.common import gathered, stored, tidied
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a tile, on average at most; pairs that are compared at a time; hashes that are counted at a time.
@@ -164,7 +164,7 @@ def tiled(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """src, dst: edges that connect all fingerprints (column fp, distinct) within ``radius`` bits, and no others."""
     rows = tiled(fps, radius).repartition("tile").sortWithinPartitions("tile", "visitor")
-    return rows.mapInArrow(_tile_links(radius), "src long, dst long")
+    return rows.mapInArrow(tidied(_tile_links(radius)), "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartula.llm.common import gathered, mixed, stored, text_bytes
+from chartula.llm.common import gathered, mixed, stored, text_bytes, tidied
 
 LENGTH, GRAM = 100, 24
 #: Grams of a window, and window starts that are hashed at a time.
@@ -429,15 +429,15 @@ def _lists(spans: DataFrame, name: str) -> DataFrame:
 def with_spans(docs: DataFrame) -> DataFrame:
     """row (all columns of ``docs``), text, and starts and stops: spans of window starts that are repeats, in any order."""
     keyed = _keyed(docs)
-    blocks = keyed.select("doc", "alt", "text").mapInArrow(_first_pass, ROW_SCHEMA).repartition("key").mapInArrow(_second_pass, SPAN_SCHEMA)
+    blocks = keyed.select("doc", "alt", "text").mapInArrow(tidied(_first_pass), ROW_SCHEMA).repartition("key").mapInArrow(tidied(_second_pass), SPAN_SCHEMA)
     spans = stored(blocks, "repeats")
     # Both joins deal out the same columns of the documents alike, so that Spark does it once.
     compared = keyed.join(_lists(spans.filter(F.col("kind") == COMPARE), "stretches").hint("shuffle_hash"), ["doc", "alt"])
     # In an order of its own, so that a task that runs again makes the same batches and thins them out alike.
-    steps_ = compared.sortWithinPartitions("doc", "alt").mapInArrow(_step_rows, STEP_SCHEMA).repartition("key")
-    inner = steps_.mapInArrow(_core_pass, CORE_SCHEMA)
-    digests = steps_.mapInArrow(_core_windows, WINDOW_SCHEMA)
-    last = digests.repartition("key").mapInArrow(_third_pass, SPAN_SCHEMA)
+    steps_ = compared.sortWithinPartitions("doc", "alt").mapInArrow(tidied(_step_rows), STEP_SCHEMA).repartition("key")
+    inner = steps_.mapInArrow(tidied(_core_pass), CORE_SCHEMA)
+    digests = steps_.mapInArrow(tidied(_core_windows), WINDOW_SCHEMA)
+    last = digests.repartition("key").mapInArrow(tidied(_third_pass), SPAN_SCHEMA)
     repeats = [t.filter(F.col("kind") == REPEAT).select("doc", "alt", "first", "last") for t in (spans, inner, last)]
     found = keyed.join(_lists(repeats[0].unionByName(repeats[1]).unionByName(repeats[2]), "spans").hint("shuffle_hash"), ["doc", "alt"], "left")
     row = F.struct(*[F.col("text" if c == "text" else f"`{n}`").alias(c) for n, c in enumerate(docs.columns)])

@@ -8,7 +8,7 @@ from chartula.llm import url_filter
 from chartula.llm.url_filter import Rule
 
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"), Rule("block", "a-b.org", "/x1"), Rule("allow", "a-b.org", "/x1/y"), Rule("block", "dé.com", ""), Rule("block", "com", "/?"), Rule("allow", "", "/only")]
-HOSTS = ["net", "x.net", "EXAMPLE.net", "www.example.net", "notexample.net", "example.com", "a-b.org", "sub.a-b.org", "dé.com", "", "net.", "user@x.net:80"]
+HOSTS = ["net", "x.net", "EXAMPLE.net", "www.example.net", "notexample.net", "example.com", "a-b.org", "sub.a-b.org", "dé.com", "", "net.", "user@x.net:80", "a\nb.net", "net\n", "\n.example.net"]
 PATHS = ["", "/", "/en/", "/en", "/de/x", "/fr/?q", "?/en/", "#/en/", "/x1", "/x12", "/x1/y/z", "/only", "/EN/"]
 
 
