@@ -35,9 +35,9 @@ class Rule(NamedTuple):
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        """For the text ``host newline path``; ``\\n`` cannot occur in a host that fits."""
-        return rf"^(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+    def patterns(self) -> tuple[str, str]:
+        """For the whole host and for the beginning of the path; they may hold any character, line feeds too."""
+        return rf"(?s:.*\.)?{re.escape(self.host)}", re.escape(self.path)
 
     @property
     def tokens(self) -> set[str]:
@@ -108,17 +108,16 @@ def _index_parts(index: dict[str, list[Rule]]) -> Iterator[dict[str, list[Rule]]
 
 def _matcher(part: dict[str, list[Rule]]):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {t: [(len(r.name), r.name, r.verdict, re.compile(r.pattern)) for r in own] for t, own in part.items()}
+        compiled = {t: [(len(r.name), r.name, r.verdict, *map(re.compile, r.patterns)) for r in own] for t, own in part.items()}
         always = compiled.get("", [])
         for batch in batches:
             rules, verdicts = batch.column("rule").to_pylist(), batch.column("verdict").to_pylist()
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                text = f"{host}\n{path}"
                 best = (-len(rules[i]), rules[i]) if rules[i] is not None else (1, "")
-                for token in {*_TOKEN.findall(text), ""}:
-                    for size, name, verdict, pattern in compiled.get(token, ()) if token else always:
-                        if (-size, name) < best and pattern.search(text):
+                for token in {*_TOKEN.findall(host), *_TOKEN.findall(path), ""}:
+                    for size, name, verdict, in_host, in_path in compiled.get(token, ()) if token else always:
+                        if (-size, name) < best and in_host.fullmatch(host) and in_path.match(path):
                             best, rules[i], verdicts[i] = (-size, name), name, verdict
             yield batch.set_column(3, "rule", pa.array(rules, pa.string())).set_column(4, "verdict", pa.array(verdicts, pa.string()))
 
