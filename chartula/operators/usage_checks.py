@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartula.functions import params as pm
+from chartula.operators import keywords
 from chartula.operators.code_graph import CodeGraph, dotted_prefixes
 from chartula.operators.joins import salted_join
 from chartula.operators.ranking import first_per_key, top_per_group
@@ -21,6 +22,8 @@ from chartula.session import cut_lineage
 SUGGESTIONS = 5
 SUGGESTION_PREFIX = 3
 CONFIDENT = 0.7
+#: Longest string by which a name is looked up inside of others.
+NAME_GRAM = 4
 
 
 def _no_strings() -> Column:
@@ -92,50 +95,54 @@ def best_repository(modules: DataFrame, graph: CodeGraph) -> DataFrame:
 
 
 def owner_repository(modules: DataFrame, graph: CodeGraph) -> DataFrame:
-    """``best_repository`` with the wider name fallback: one name may contain the other.
-
-    Containment is an equi-join on exploded substrings of the (short) names.
-    """
-    asked = modules.select("module").distinct().filter("module <> ''")
-    asked = cut_lineage(asked.join(_best_by_prefix(graph.files), "module", "left"))
+    """``best_repository`` with the wider name fallback: one name may contain the other."""
+    asked = modules.select("module").distinct().filter("module <> ''").join(_best_by_prefix(graph.files), "module", "left")
     rest = asked.filter("repo IS NULL").select("module", F.lower("module").alias("_low"))
-    low = F.lower("repo")
-    names = graph.repositories.select(
-        "repo",
-        low.alias("_low_repo"),
-        F.replace(low, F.lit("-"), F.lit("_")).alias("_under"),
-        F.replace(low, F.lit("_"), F.lit("-")).alias("_dash"),
-    )
-    inside_repo = names.select("repo", F.explode(_substrings(F.col("_low_repo"))).alias("_low"))
-    inside_module = rest.select("module", F.explode(_substrings(F.col("_low"))).alias("_under"))
+    # Repositories whose names only differ in case are one name; its first repository stands for it.
+    names = graph.repositories.groupBy(F.lower("repo").alias("_name")).agg(F.min("repo").alias("repo"))
+    under, dash = F.replace("_name", F.lit("-"), F.lit("_")), F.replace("_name", F.lit("_"), F.lit("-"))
+    names = names.select("*", under.alias("_under"), dash.alias("_dash"))
+    wanted = rest.select("_low").distinct()
+    inside_name = contained(wanted.withColumnRenamed("_low", "part"), names.select(F.col("_name").alias("whole")).distinct())
+    inside_module = contained(names.select(F.col("_under").alias("part")).distinct(), wanted.withColumnRenamed("_low", "whole"))
     pairs = (
-        rest.join(inside_repo, "_low").select("module", "repo")
-        .union(inside_module.join(names, "_under").select("module", "repo"))
-        .union(rest.join(names, F.col("_low") == F.col("_dash")).select("module", "repo"))
-        .distinct()
+        inside_name.join(names, F.col("whole") == F.col("_name")).select(F.col("part").alias("_low"), "_name", "_under", "repo")
+        .union(inside_module.join(names, F.col("part") == F.col("_under")).select(F.col("whole").alias("_low"), "_name", "_under", "repo"))
+        .union(wanted.join(names, F.col("_low") == F.col("_dash")).select("_low", "_name", "_under", "repo"))
     )
-    m, r = F.lower("module"), F.lower("repo")
-    priority = F.when(r == m, 1).when(F.replace(r, F.lit("-"), F.lit("_")) == m, 2).otherwise(3)
-    by_name = first_per_key(pairs.withColumn("priority", priority), ["module"], ["priority", "repo"])
-    return asked.filter("repo IS NOT NULL").unionByName(by_name.select("module", "repo"))
+    priority = F.when(F.col("_name") == F.col("_low"), 1).when(F.col("_under") == F.col("_low"), 2).otherwise(3)
+    best = first_per_key(pairs.withColumn("priority", priority), ["_low"], ["priority", "repo"]).select("_low", "repo")
+    by_name = rest.join(best, "_low").select("module", "repo")
+    return asked.filter("repo IS NOT NULL").select("module", "repo").unionByName(by_name)
 
 
-def _substrings(text: Column) -> Column:
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    every = F.transform(
-        starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + F.lit(1)), lambda k: F.substring(text, i, k))
-    )
-    return F.array_distinct(F.flatten(every))
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """``(part, whole)`` for distinct names of which one stands inside the other, in time linear in their length.
+
+    A name gives its strings of up to NAME_GRAM characters; a part is looked up by itself, or by the rarest of its own.
+    """
+    emitted = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[keywords.grams(F.col("whole"), n) for n in range(1, NAME_GRAM + 1)]))).alias("gram"))
+    short = F.length("part") <= NAME_GRAM
+    own = parts.filter(short & (F.col("part") != "")).select("part", F.col("part").alias("gram"))
+    some = parts.filter(~short).select("part", F.explode(F.array_distinct(keywords.grams(F.col("part"), NAME_GRAM))).alias("gram"))
+    counts = emitted.filter(F.length("gram") == NAME_GRAM).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A part with a gram that no name holds is in no name.
+    rarest = some.join(counts, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    filed = own.unionByName(rarest.filter("n > 0").select("part", "gram"))
+    return salted_join(emitted, filed, ["gram"], salt_on=["whole"]).filter(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
 def similar_modules(modules: DataFrame, repositories: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
-    """``(module, suggestions)``: repositories whose folded name contains the first three characters."""
+    """``(module, suggestions)``: repositories whose folded name contains the first three characters.
+
+    Suggestions are listed once for each such start; modules then look theirs up.
+    """
     grams = repositories.select(
         "repo", F.explode(F.array_distinct(F.flatten(F.transform(_folded(F.col("repo")), lambda f: _grams(f["folded"]))))).alias("_gram")
     )
     wanted = modules.select("module", F.lower(F.left("module", F.lit(SUGGESTION_PREFIX))).alias("_gram")).distinct()
-    return _suggest(wanted.join(grams, "_gram"), ["module"], "repo", limit)
+    listed = _suggest(grams.join(wanted.select("_gram").distinct(), "_gram", "left_semi"), ["_gram"], "repo", limit)
+    return salted_join(wanted, listed, ["_gram"], salt_on=["module"]).select("module", "suggestions")
 
 
 def _grams(text: Column) -> Column:
@@ -154,87 +161,52 @@ def _suggest(rows: DataFrame, keys: list[str], name: str, limit: int) -> DataFra
 
 # --- lookups ------------------------------------------------------------------------------------------
 
-
-def _keyed(rows: DataFrame, simple: str, full: str, keys: Sequence[str], payload: Sequence[str], order: str) -> DataFrame:
-    """First row per (owner, keys), where the owner is the simple or the full name."""
-    both = rows.withColumn("owner", F.explode(F.array_distinct(F.array(simple, full))))
-    return first_per_key(both.select("owner", *keys, *payload, order), ["owner", *keys], [order])
-
-
-def _find(
-    needed: DataFrame,
-    keys: Sequence[str],
-    exact: DataFrame,
-    in_repo: DataFrame,
-    graph: CodeGraph,
-    payload: Sequence[str],
-) -> DataFrame:
-    """Two-step lookup of distinct ``(owner, *keys)``.
-
-    ``exact`` is keyed by owner; for dotted owners not found there, ``in_repo`` is keyed by the
-    repository of the module part and the simple name.  Returns every key with ``found`` and
-    the payload.
-    """
-    held = ["owner", *keys]
-    direct = exact.select(*held, F.struct(*payload).alias("_direct"))
-    step = cut_lineage(needed.select(*held).distinct().join(direct, held, "left"))
-    simple = F.substring_index("owner", ".", -1)
-    missing = step.filter(F.col("_direct").isNull() & F.col("owner").contains(".")).select(
-        *held,
-        F.left("owner", F.length("owner") - F.length(simple) - F.lit(1)).alias("module"),
-        simple.alias("_simple"),
-    )
-    homes = owner_repository(missing.select("module"), graph)
-    local = in_repo.select("repo", F.col("owner").alias("_simple"), *keys, F.struct(*payload).alias("_indirect"))
-    indirect = missing.join(homes, "module").join(local, ["repo", "_simple", *keys]).select(*held, "_indirect")
-    answer = F.coalesce("_direct", "_indirect")
-    joined = step.join(indirect, held, "left").select(*held, answer.alias("_answer"))
-    return cut_lineage(
-        joined.select(
-            *held,
-            *(F.col(f"_answer.{c}").alias(c) for c in payload),
-            F.col("_answer").isNotNull().alias("found"),
-        )
-    )
+#: What a definition is asked under.
+HELD = ["kind", "owner", "name"]
 
 
-def _repo_members(members: DataFrame, graph: CodeGraph, payload: Sequence[str]) -> DataFrame:
-    homes = graph.class_files.select("repo", F.col("full_name").alias("class_full_name")).distinct()
-    rows = members.join(homes, "class_full_name").withColumn("owner", F.col("class_name"))
-    return first_per_key(rows.select("repo", "owner", "name", *payload, "id"), ["repo", "owner", "name"], ["id"])
+def _definitions(graph: CodeGraph) -> DataFrame:
+    """All classes, members and functions in one shape: kind, simple and full owner, name, payload, order."""
+    no_type, no_repo = F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("repo")
+    classes = graph.classes.select(F.lit("class").alias("kind"), F.col("name").alias("simple"), F.col("full_name").alias("full"), F.lit("").alias("name"), F.lit(None).cast("array<string>").alias("expected"), no_type, F.col("full_name").alias("place"), no_repo)
+    methods = graph.methods.select(F.lit("method").alias("kind"), F.col("class_name").alias("simple"), F.col("class_full_name").alias("full"), "name", _expected().alias("expected"), F.col("return_type").alias("type"), F.col("id").alias("place"), no_repo)
+    attributes = graph.attributes.select(F.lit("attribute").alias("kind"), F.col("class_name").alias("simple"), F.col("class_full_name").alias("full"), "name", F.lit(None).cast("array<string>").alias("expected"), "type", F.col("id").alias("place"), no_repo)
+    functions = graph.functions.select(F.lit("function").alias("kind"), F.col("name").alias("simple"), F.col("full_name").alias("full"), F.lit("").alias("name"), _expected().alias("expected"), no_type, F.concat_ws("|", "full_name", "repo", "path").alias("place"), "repo")
+    return classes.unionByName(methods).unionByName(attributes).unionByName(functions)
 
 
-def find_classes(needed: DataFrame, graph: CodeGraph) -> DataFrame:
-    """``(owner, full_name, found)`` for class names given as simple or full names."""
-    rows = graph.classes.select("name", "full_name")
-    exact = _keyed(rows.withColumn("_o", F.col("full_name")), "name", "full_name", [], ["full_name"], "_o")
-    homes = graph.class_files.select("repo", "full_name").distinct().join(graph.classes, "full_name")
-    in_repo = homes.groupBy("repo", F.col("name").alias("owner")).agg(F.min("full_name").alias("full_name"))
-    return _find(needed, [], exact, in_repo, graph, ["full_name"])
+def _class_homes(graph: CodeGraph) -> DataFrame:
+    return graph.class_files.select("repo", "full_name").distinct()
 
 
-def find_methods(needed: DataFrame, graph: CodeGraph) -> DataFrame:
-    """``(owner, name, expected, return_type, found)``; detailed parameters are preferred."""
-    methods = graph.methods.withColumn("expected", _expected())
-    payload = ["expected", "return_type"]
-    exact = _keyed(methods, "class_name", "class_full_name", ["name"], payload, "id")
-    return _find(needed, ["name"], exact, _repo_members(methods, graph, payload), graph, payload)
+def _module_of(owner: str) -> tuple[Column, Column]:
+    """Module part and simple name of a dotted name."""
+    simple = F.substring_index(owner, ".", -1)
+    return F.left(owner, F.length(owner) - F.length(simple) - F.lit(1)), simple
 
 
-def find_attributes(needed: DataFrame, graph: CodeGraph) -> DataFrame:
-    exact = _keyed(graph.attributes, "class_name", "class_full_name", ["name"], ["type"], "id")
-    return _find(needed, ["name"], exact, _repo_members(graph.attributes, graph, ["type"]), graph, ["type"])
+def resolve(needed: DataFrame, graph: CodeGraph) -> DataFrame:
+    """``needed(kind, owner, name, ...)``, distinct, with ``answer`` (NULL if unknown), ``repo`` and ``simple``.
 
-
-def find_functions(needed: DataFrame, graph: CodeGraph) -> DataFrame:
-    rows = graph.functions.withColumn("expected", _expected()).withColumn(
-        "_o", F.concat_ws("|", "full_name", "repo", "path")
-    )
-    exact = _keyed(rows, "name", "full_name", [], ["expected"], "_o")
-    in_repo = first_per_key(
-        rows.select("repo", F.col("name").alias("owner"), "expected", "_o"), ["repo", "owner"], ["_o"]
-    )
-    return _find(needed, [], exact, in_repo, graph, ["expected"])
+    All kinds are looked up together, in two steps: the owner as a simple or a full name; then, for dotted owners
+    not found so, the simple name within the repository of the module part, which is told by ``repo`` and ``simple``.
+    Of several definitions the first by full name counts.
+    """
+    rows = _definitions(graph)
+    answer = F.struct("expected", "type")
+    anywhere = rows.withColumn("owner", F.explode(F.array_distinct(F.array("simple", "full"))))
+    direct = first_per_key(anywhere.select(*HELD, answer.alias("_direct"), "place"), HELD, ["place"]).drop("place")
+    step = cut_lineage(needed.join(direct, HELD, "left"))
+    module, simple = _module_of("owner")
+    missing = step.filter(F.col("_direct").isNull() & F.col("owner").contains(".")).select(*HELD, module.alias("module"), simple.alias("simple"))
+    homes = owner_repository(missing.select("module"), graph)
+    located = salted_join(missing, homes, ["module"], salt_on=["owner", "name"])
+    members = rows.filter("kind <> 'function'").drop("repo").join(_class_homes(graph).withColumnRenamed("full_name", "full"), "full")
+    local = members.unionByName(rows.filter("kind = 'function'")).select("kind", "repo", "simple", "name", answer.alias("_indirect"), "place")
+    local = first_per_key(local, ["kind", "repo", "simple", "name"], ["place"]).drop("place")
+    indirect = located.join(local, ["kind", "repo", "simple", "name"], "left").select(*HELD, "repo", "simple", "_indirect")
+    joined = step.join(indirect, HELD, "left")
+    return cut_lineage(joined.select(*needed.columns, F.coalesce("_direct", "_indirect").alias("answer"), "repo", "simple"))
 
 
 def find_result_methods(
@@ -256,36 +228,35 @@ def _expected() -> Column:
     )
 
 
-def similar_methods(needed: DataFrame, graph: CodeGraph, limit: int = SUGGESTIONS) -> DataFrame:
+def similar_methods(needed: DataFrame, graph: CodeGraph, limit: int = SUGGESTIONS, located: DataFrame | None = None) -> DataFrame:
     """``(owner, name, suggestions)``: methods of the class containing the first three characters.
 
-    Joined on (class, substring), so a class with very many methods is not paired with all of
-    its missing names.
+    Without any, methods of a class of that simple name in the repository of the owner's module; ``located(owner,
+    repo, simple)`` tells it, if the caller knows.  Joined on (class, substring), so a class with very many methods is
+    not paired with all of its missing names, and listed once for each start of a name.
     """
     wanted = needed.select("owner", "name").distinct().withColumn("_gram", F.left("name", F.lit(SUGGESTION_PREFIX)))
-    # One row per distinct (owner, start of name): the suggestions are the same for all of them.
-    starts = cut_lineage(wanted.select("owner", "_gram").distinct())
+    starts = wanted.select("owner", "_gram").distinct()
+    if located is None:
+        module, simple = _module_of("owner")
+        dotted = starts.filter(F.col("owner").contains(".")).select("owner", module.alias("module"), simple.alias("simple")).distinct()
+        located = dotted.join(owner_repository(dotted.select("module"), graph), "module").drop("module")
     grams = graph.methods.select(
         "class_name", "class_full_name", F.col("name").alias("candidate"), F.explode(_grams(F.col("name"))).alias("_gram")
     )
     by_class = grams.select(
         F.explode(F.array_distinct(F.array("class_name", "class_full_name"))).alias("owner"), "_gram", "candidate"
     )
-    matched = salted_join(by_class, starts, ["owner", "_gram"], salt_on=["candidate"])
-    direct = cut_lineage(_suggest(matched, ["owner", "_gram"], "candidate", limit))
-    simple = F.substring_index("owner", ".", -1)
-    rest = (
-        starts.join(direct.select("owner", "_gram"), ["owner", "_gram"], "left_anti")
-        .filter(F.col("owner").contains("."))
-        .withColumn("_simple", simple)
-        .withColumn("module", F.left("owner", F.length("owner") - F.length(simple) - F.lit(1)))
-    )
-    homes = graph.class_files.select("repo", F.col("full_name").alias("class_full_name")).distinct()
-    by_repo = grams.join(homes, "class_full_name").select("repo", F.col("class_name").alias("_simple"), "_gram", "candidate")
-    located = rest.join(owner_repository(rest.select("module"), graph), "module")
-    nearby = salted_join(by_repo, located, ["repo", "_simple", "_gram"], salt_on=["candidate"])
-    indirect = _suggest(nearby, ["owner", "_gram"], "candidate", limit)
-    return wanted.join(direct.unionByName(indirect), ["owner", "_gram"]).select("owner", "name", "suggestions")
+    own = salted_join(by_class, starts, ["owner", "_gram"], salt_on=["candidate"]).select("owner", "_gram", F.lit(0).alias("_far"), "candidate")
+    by_repo = grams.join(_class_homes(graph).withColumnRenamed("full_name", "class_full_name"), "class_full_name").select("repo", F.col("class_name").alias("simple"), "_gram", "candidate")
+    asked = starts.join(located, "owner")
+    nearby = salted_join(by_repo, asked, ["repo", "simple", "_gram"], salt_on=["candidate"]).select("owner", "_gram", F.lit(1).alias("_far"), "candidate")
+    best = top_per_group(own.unionByName(nearby).distinct(), ["owner", "_gram"], [F.asc("_far"), F.asc("candidate")], limit, salt_on=["candidate"])
+    listed = F.array_sort(F.collect_list(F.struct("_far", "rank", "candidate")))
+    # Methods of the repository only where the class itself offers none.
+    nearest = F.filter("_listed", lambda s: s["_far"] == F.col("_listed")[0]["_far"])
+    lists = best.groupBy("owner", "_gram").agg(listed.alias("_listed")).select("owner", "_gram", F.transform(nearest, lambda s: s["candidate"]).alias("suggestions"))
+    return wanted.join(lists, ["owner", "_gram"]).select("owner", "name", "suggestions")
 
 
 # --- rules --------------------------------------------------------------------------------------------
@@ -320,7 +291,9 @@ def module_contents(checked: DataFrame, graph: CodeGraph) -> DataFrame:
     homes = checked.filter(F.col("repo").isNotNull()).select("search_module", "repo").distinct()
     classes = graph.class_files.join(graph.classes, "full_name").select("repo", F.lit("class").alias("kind"), "name")
     functions = graph.functions.select("repo", F.lit("function").alias("kind"), "name")
-    return homes.join(classes.union(functions).distinct(), "repo").select("search_module", "kind", "name").distinct()
+    # Each repository's names once, spread over tasks before they meet its modules.
+    names = classes.union(functions).distinct()
+    return salted_join(names, homes, ["repo"], salt_on=["kind", "name"]).select("search_module", "kind", "name").distinct()
 
 
 def graph_modules(checked: DataFrame) -> DataFrame:
@@ -337,159 +310,149 @@ def flag_in_graph(rows: DataFrame, modules: DataFrame, name: Column, out: str =
     return joined.withColumn(out, F.coalesce("_known", F.lit(False))).drop("_known", "base")
 
 
-def _attach(rows: DataFrame, looked_up: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fan distinct lookups back to the usages; hot keys are spread."""
-    return salted_join(rows, looked_up, list(keys), "left", salt_on=["script", "seq"])
-
-
 #: Outcomes as they are told after ``kind subject:``.
 IN_GRAPH, OUTSIDE, ABSENT, UNTYPED, MISFIT = "known", "outside of the graph, not judged", "unknown", "type of the object is open", "known, arguments do not fit: "
 
 
-def _note(kind: str, subject: Column, outcome: Column | str, detail: Column | None = None) -> Column:
+def _note(kind: Column | str, subject: Column, outcome: Column | str, detail: Column | None = None) -> Column:
     """``kind subject: outcome`` with an optional detail."""
     told = outcome if isinstance(outcome, Column) else F.lit(outcome)
-    return F.concat(F.lit(kind + " "), F.coalesce(subject, F.lit("?")), F.lit(": "), told, F.lit("") if detail is None else F.coalesce(detail, F.lit("")))
+    named = kind if isinstance(kind, Column) else F.lit(kind)
+    return F.concat(named, F.lit(" "), F.coalesce(subject, F.lit("?")), F.lit(": "), told, F.lit("") if detail is None else F.coalesce(detail, F.lit("")))
+
 
+def _uses(rows: DataFrame, kind: str, name: str, owner: Column, tested: Column, shown: Column | None = None) -> DataFrame:
+    """Usages of a kind in one shape; ``tested`` is the name that has to come from a module of the graph."""
+    no_args, no_kwargs = F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,string>")
+    return rows.select(
+        "script", F.lit(kind).alias("kind"), "seq", "line", F.col(name).alias("name"), owner.alias("owner"), tested.alias("tested"),
+        (F.lit(None).cast("string") if shown is None else shown).alias("shown"),
+        *((F.col(c) if c in rows.columns else empty).alias(c) for c, empty in (("args", no_args), ("kwargs", no_kwargs))),
+    )
 
-def _validated(rows: DataFrame, kind: str, rules: list[tuple[Column, str | Column, float | Column, Column]], **extra: Column) -> DataFrame:
-    """Apply the first matching rule and shape the result."""
 
-    def pick(i: int) -> Column:
-        def value(x) -> Column:
-            return x if isinstance(x, Column) else F.lit(x)
+def class_uses(rows: DataFrame) -> DataFrame:
+    owner = F.coalesce("full_class_name", "class_name")
+    return _uses(rows, "class", "class_name", owner, owner)
 
-        chosen = F.when(rules[0][0], value(rules[0][i]))
-        for rule in rules[1:]:
-            chosen = chosen.when(rule[0], value(rule[i]))
-        return chosen
 
+def method_uses(rows: DataFrame) -> DataFrame:
+    return _uses(rows, "method", "method_name", F.col("object_type"), F.col("object_type"), F.col("object_name"))
+
+
+def attribute_uses(rows: DataFrame) -> DataFrame:
+    return _uses(rows.drop("args", "kwargs"), "attribute", "attribute_name", F.col("object_type"), F.col("object_type"), F.col("object_name"))
+
+
+def function_uses(rows: DataFrame) -> DataFrame:
+    """Functions without a resolved full name are looked up by name, but never count as graph items."""
+    return _uses(rows, "function", "function_name", F.coalesce("full_name", "function_name"), F.col("full_name"))
+
+
+def _asked(kind: Column, name: Column) -> Column:
+    """What has to be looked up for a usage: (kind, name, whether a missing one wants suggestions)."""
+
+    def ask(k: str, n: Column, called: bool = False) -> Column:
+        return F.struct(F.lit(k).alias("kind"), n.alias("name"), F.lit(called).alias("called"))
+
+    none = F.lit("")
+    return (
+        F.when(kind == "class", F.array(ask("class", none), ask("method", F.lit("__init__"))))
+        .when(kind == "method", F.array(ask("method", name, True)))
+        .when(kind == "attribute", F.array(ask("attribute", name), ask("method", name)))
+        .otherwise(F.array(ask("function", none)))
+    )
+
+
+def _answers(found: DataFrame, graph: CodeGraph) -> DataFrame:
+    """Resolved definitions by the usages they answer: ``(kind, owner, asked_name, found, other, expected, type, suggestions)``.
+
+    ``other`` is the constructor of a class, or the method of an attribute's name.
+    """
+
+    def part(kind: str, name: Column, main: bool) -> Column:
+        return F.struct(F.lit(kind).alias("use"), name.alias("asked_name"), F.lit(main).alias("main"))
+
+    name, none = F.col("name"), F.lit("")
+    as_method = F.array(part("method", name, True), part("attribute", name, False))
+    parts = (
+        F.when((F.col("kind") == "method") & (name == "__init__"), F.concat(as_method, F.array(part("class", none, False))))
+        .when(F.col("kind") == "method", as_method)
+        .when(F.col("kind") == "attribute", F.array(part("attribute", name, True)))
+        .when(F.col("kind") == "class", F.array(part("class", none, True)))
+        .otherwise(F.array(part("function", none, True)))
+    )
+    dealt = found.select("owner", "answer", F.explode(parts).alias("p")).select(F.col("p.use").alias("kind"), "owner", "p.asked_name", "p.main", "answer")
+    known, of_signature = F.col("answer").isNotNull(), F.col("main") == (F.col("kind") != "class")
+    packed = dealt.groupBy("kind", "owner", "asked_name").agg(
+        F.max(F.col("main") & known).alias("found"),
+        F.max(~F.col("main") & known).alias("other"),
+        F.first(F.when(of_signature, F.col("answer.expected")), ignorenulls=True).alias("expected"),
+        F.first(F.when(F.col("main"), F.col("answer.type")), ignorenulls=True).alias("type"),
+    )
+    missing = found.filter("called AND answer IS NULL")
+    located = missing.filter("repo IS NOT NULL").select("owner", "repo", "simple").distinct()
+    near = similar_methods(missing, graph, located=located).select(F.lit("method").alias("kind"), "owner", F.col("name").alias("asked_name"), "suggestions")
+    return packed.join(near, ["kind", "owner", "asked_name"], "left")
+
+
+def check_uses(uses: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
+    """Status, confidence and message of usages of any kind; hot owners are spread when the answers come back."""
+    rows = flag_in_graph(uses, modules, F.col("tested"))
+    kind, owner = F.col("kind"), F.col("owner")
+    is_function, is_method, is_attribute, is_class = (kind == k for k in ("function", "method", "attribute", "class"))
+    outside = ~F.col("in_graph") & (~is_function | F.col("tested").isNotNull())
+    wanted = rows.filter(~outside & owner.isNotNull()).select("owner", F.explode(_asked(kind, F.col("name"))).alias("a"))
+    needed = wanted.groupBy("a.kind", "owner", "a.name").agg(F.max("a.called").alias("called"))
+    answers = _answers(resolve(needed, graph), graph)
+    by_name = F.when(is_method | is_attribute, F.col("name")).otherwise("")
+    rows = salted_join(rows.withColumn("asked_name", by_name), answers, ["kind", "owner", "asked_name"], "left", salt_on=["script", "seq"])
+    rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
+
+    found, other = F.coalesce("found", F.lit(False)), F.coalesce("other", F.lit(False))
+    subject = F.when(is_method | is_attribute, F.concat_ws(".", "owner", "name")).otherwise(owner)
+    known = found | (is_attribute & other)
+    rules = [
+        (owner.isNull() & (is_method | is_attribute), "UNCERTAIN", F.lit(0.3), _note("object", F.col("shown"), UNTYPED)),
+        (outside, "UNCERTAIN", F.lit(0.8), _note(kind, owner, OUTSIDE)),
+        (~known, "NOT_FOUND", F.when(is_method, 0.1).otherwise(0.2), _note(kind, subject, ABSENT)),
+        (~is_attribute & (F.col("_p.status") == "INVALID"), "INVALID", F.col("_p.confidence"), _note(kind, subject, MISFIT, F.col("_p.message"))),
+        (is_attribute & ~found, "VALID", F.lit(0.8), _note(kind, subject, "known as a method")),
+        (F.lit(True), "VALID", F.when(is_method, 0.9).otherwise(0.8), _note(kind, subject, IN_GRAPH)),
+    ]
+    judged = rules[-1]
+    verdict = F.struct(F.lit(judged[1]).alias("status"), judged[2].alias("confidence"), judged[3].alias("message"))
+    for condition, status, confidence, message in reversed(rules[:-1]):
+        verdict = F.when(condition, F.struct(F.lit(status).alias("status"), confidence.alias("confidence"), message.alias("message"))).otherwise(verdict)
+    checked = ~outside & found & ~is_attribute
+    no_signature = is_class & F.col("expected").isNull()
+    rows = rows.withColumn("_verdict", verdict)
     shaped = {
-        "kind": F.lit(kind),
-        "status": pick(1),
-        "confidence": pick(2),
-        "message": pick(3),
-        "suggestions": _no_strings(),
-        "param_status": F.lit(None).cast("string"),
-        "param_message": F.lit(None).cast("string"),
-        "expected_type": F.lit(None).cast("string"),
-    } | extra
-    plain = {c: F.col(c) for c in VALIDATION_COLUMNS if c not in shaped}
-    return rows.select(*((shaped | plain)[c].alias(c) for c in VALIDATION_COLUMNS))
+        "status": F.col("_verdict.status"),
+        "confidence": F.col("_verdict.confidence"),
+        "message": F.col("_verdict.message"),
+        "suggestions": F.when(is_method & F.col("in_graph") & ~found, F.coalesce("suggestions", _no_strings())).otherwise(_no_strings()),
+        "param_status": F.when(checked, F.col("_p.status")),
+        "param_message": F.when(checked, F.when(no_signature, "no signature of the constructor").otherwise(F.col("_p.message"))),
+        "expected_type": F.when(is_attribute & F.col("in_graph"), F.when(found, F.col("type")).when(other, "method")),
+    }
+    return rows.select(*((shaped[c] if c in shaped else F.col(c)).alias(c) for c in VALIDATION_COLUMNS))
 
 
 def check_instantiations(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
-    rows = rows.withColumn("owner", F.coalesce("full_class_name", "class_name")).withColumn("name", F.col("class_name"))
-    rows = flag_in_graph(rows, modules, F.col("owner"))
-    classes = find_classes(rows.filter("in_graph"), graph).select("owner", F.col("found").alias("_class"))
-    inits = find_methods(classes.filter("_class").withColumn("name", F.lit("__init__")), graph)
-    rows = _attach(rows, classes.join(inits.select("owner", "expected"), "owner", "left"), ["owner"])
-    rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
-    found = F.coalesce("_class", F.lit(False))
-    checked = F.col("in_graph") & found
-    return _validated(
-        rows,
-        "class",
-        [
-            (~F.col("in_graph"), "UNCERTAIN", 0.8, _note("class", F.col("owner"), OUTSIDE)),
-            (~found, "NOT_FOUND", 0.2, _note("class", F.col("owner"), ABSENT)),
-            (
-                F.col("_p.status") == "INVALID",
-                "INVALID",
-                F.col("_p.confidence"),
-                _note("class", F.col("owner"), MISFIT, F.col("_p.message")),
-            ),
-            (F.lit(True), "VALID", 0.8, _note("class", F.col("owner"), IN_GRAPH)),
-        ],
-        param_status=F.when(checked, F.col("_p.status")),
-        param_message=F.when(
-            checked,
-            F.when(F.col("expected").isNull(), "no signature of the constructor").otherwise(F.col("_p.message")),
-        ),
-    )
+    return check_uses(class_uses(rows), modules, graph)
 
 
 def check_method_calls(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
-    rows = rows.withColumn("owner", F.col("object_type")).withColumn("name", F.col("method_name"))
-    rows = flag_in_graph(rows, modules, F.col("owner"))
-    looked_up = find_methods(rows.filter("in_graph"), graph).select("owner", "name", "expected", F.col("found").alias("_method"))
-    # One lookup table with parameters for the found and suggestions for the missing methods.
-    looked_up = looked_up.join(similar_methods(looked_up.filter("NOT _method"), graph), ["owner", "name"], "left")
-    rows = _attach(rows, looked_up, ["owner", "name"])
-    rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
-    found = F.coalesce("_method", F.lit(False))
-    subject = F.concat_ws(".", "owner", "name")
-    checked = F.col("in_graph") & found
-    return _validated(
-        rows,
-        "method",
-        [
-            (F.col("owner").isNull(), "UNCERTAIN", 0.3, _note("object", F.col("object_name"), UNTYPED)),
-            (~F.col("in_graph"), "UNCERTAIN", 0.8, _note("method", F.col("owner"), OUTSIDE)),
-            (~found, "NOT_FOUND", 0.1, _note("method", subject, ABSENT)),
-            (
-                F.col("_p.status") == "INVALID",
-                "INVALID",
-                F.col("_p.confidence"),
-                _note("method", subject, MISFIT, F.col("_p.message")),
-            ),
-            (F.lit(True), "VALID", 0.9, _note("method", subject, IN_GRAPH)),
-        ],
-        suggestions=F.when(F.col("in_graph") & ~found, F.coalesce("suggestions", _no_strings())).otherwise(_no_strings()),
-        param_status=F.when(checked, F.col("_p.status")),
-        param_message=F.when(checked, F.col("_p.message")),
-    )
+    return check_uses(method_uses(rows), modules, graph)
 
 
 def check_attributes(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
-    rows = rows.withColumn("owner", F.col("object_type")).withColumn("name", F.col("attribute_name"))
-    rows = flag_in_graph(rows, modules, F.col("owner"))
-    looked_up = find_attributes(rows.filter("in_graph"), graph).select("owner", "name", "type", F.col("found").alias("_found"))
-    methods = find_methods(looked_up.filter("NOT _found"), graph).filter("found")
-    methods = methods.select("owner", "name", F.lit("method").alias("type"), F.lit(False).alias("_attribute"))
-    attributes = looked_up.filter("_found").select("owner", "name", "type", F.lit(True).alias("_attribute"))
-    rows = _attach(rows, attributes.unionByName(methods), ["owner", "name"])
-    subject = F.concat_ws(".", "owner", "name")
-    return _validated(
-        rows,
-        "attribute",
-        [
-            (F.col("owner").isNull(), "UNCERTAIN", 0.3, _note("object", F.col("object_name"), UNTYPED)),
-            (~F.col("in_graph"), "UNCERTAIN", 0.8, _note("attribute", F.col("owner"), OUTSIDE)),
-            (F.col("_attribute").isNull(), "NOT_FOUND", 0.2, _note("attribute", subject, ABSENT)),
-            (F.col("_attribute"), "VALID", 0.8, _note("attribute", subject, IN_GRAPH)),
-            (F.lit(True), "VALID", 0.8, _note("attribute", subject, "known as a method")),
-        ],
-        expected_type=F.when(F.col("in_graph"), F.col("type")),
-    )
+    return check_uses(attribute_uses(rows), modules, graph)
 
 
 def check_functions(rows: DataFrame, modules: DataFrame, graph: CodeGraph) -> DataFrame:
-    """Functions without a resolved full name are looked up by name, but never count as graph items."""
-    rows = rows.withColumn("owner", F.coalesce("full_name", "function_name")).withColumn("name", F.col("function_name"))
-    rows = flag_in_graph(rows, modules, F.col("full_name"))
-    skipped = F.col("full_name").isNotNull() & ~F.col("in_graph")
-    looked_up = find_functions(rows.filter(~skipped), graph)
-    rows = _attach(rows, looked_up.select("owner", "expected", F.col("found").alias("_function")), ["owner"])
-    rows = rows.withColumn("_p", pm.check_call(F.col("expected"), F.col("args"), F.col("kwargs")))
-    found = F.coalesce("_function", F.lit(False))
-    return _validated(
-        rows,
-        "function",
-        [
-            (skipped, "UNCERTAIN", 0.8, _note("function", F.col("owner"), OUTSIDE)),
-            (~found, "NOT_FOUND", 0.2, _note("function", F.col("owner"), ABSENT)),
-            (
-                F.col("_p.status") == "INVALID",
-                "INVALID",
-                F.col("_p.confidence"),
-                _note("function", F.col("owner"), MISFIT, F.col("_p.message")),
-            ),
-            (F.lit(True), "VALID", 0.8, _note("function", F.col("owner"), IN_GRAPH)),
-        ],
-        param_status=F.when(~skipped & found, F.col("_p.status")),
-        param_message=F.when(~skipped & found, F.col("_p.message")),
-    )
+    return check_uses(function_uses(rows), modules, graph)
 
 
 def import_validations(checked: DataFrame) -> DataFrame:
@@ -508,14 +471,11 @@ def import_validations(checked: DataFrame) -> DataFrame:
 
 
 def validate(usage: Usage, graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
-    """All validations of all scripts in one long table, and the checked imports."""
+    """All validations of all scripts in one long table, and the checked imports.
+
+    Usages of all kinds are flagged, looked up and judged together.
+    """
     checked = check_imports(usage.imports, graph)
-    modules = graph_modules(checked)
-    rows = (
-        import_validations(checked)
-        .unionByName(check_instantiations(usage.instantiations, modules, graph))
-        .unionByName(check_method_calls(usage.method_calls, modules, graph))
-        .unionByName(check_attributes(usage.attributes, modules, graph))
-        .unionByName(check_functions(usage.functions, modules, graph))
-    )
-    return rows, checked
+    uses = class_uses(usage.instantiations).unionByName(method_uses(usage.method_calls))
+    uses = uses.unionByName(attribute_uses(usage.attributes)).unionByName(function_uses(usage.functions))
+    return import_validations(checked).unionByName(check_uses(uses, graph_modules(checked), graph)), checked
