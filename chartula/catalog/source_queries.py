@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chartula import schemas
 from chartula.catalog.registry import query
 from chartula.catalog.text_queries import chunk_sql
 from chartula.functions import markup
 from chartula.operators import chunks as ck
 from chartula.operators import model
+from chartula.plans import sync
 from chartula.sources import pages, wiki
 
 # --- sitemaps ------------------------------------------------------------------------------------
@@ -102,14 +104,15 @@ def wiki_pages_cloud(t):
     return rows.withColumn("labels", F.array_join("labels", ","))
 
 
-@query(
-    "wiki_pages_on_premises",
-    """SELECT CAST(c_custkey AS VARCHAR) AS page_id, c_name AS title, 'K' || c_nationkey AS space_key, '/p/' || c_custkey AS url,
+_ON_PREMISES_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS page_id, c_name AS title, 'K' || c_nationkey AS space_key, '/p/' || c_custkey AS url,
            '# ' || c_name || '\n\nin **' || c_mktsegment || '** & [more](https://h/' || c_custkey || ')\n\n- a\n- b' AS markdown_content,
+           CASE WHEN c_custkey % 5 <> 0 THEN 'editor ' || c_nationkey END AS author,
            '2024-02-' || c_custkey AS created, '2024-02-' || c_custkey AS last_modified,
-           CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS parent_page_id FROM customer""",
-)
-def wiki_pages_on_premises(t):
+           CASE WHEN c_custkey % 3 = 0 THEN [] ELSE ['seg-' || lower(c_mktsegment), 'n' || c_nationkey] END AS labels,
+           CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS parent_page_id FROM customer"""
+
+
+def _on_premises_pages(t):
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
 
     def one(name, value):
@@ -119,17 +122,44 @@ def wiki_pages_on_premises(t):
         F.lit("<h1>"), "c_name", F.lit("</h1><p>in <strong>"), "c_mktsegment", F.lit('</strong> &amp; <a href="https://h/'), key,
         F.lit('">more</a></p><ul><li>a</li><li>b</li></ul>'),
     )
+    by = F.when(F.col("c_custkey") % 5 != 0, one("displayName", F.concat(F.lit("editor "), nation)))
+    labels = F.when(F.col("c_custkey") % 3 != 0, F.array(one("name", F.concat(F.lit("seg-"), F.lower("c_mktsegment"))), one("name", F.concat(F.lit("n"), nation))))
     record = F.struct(
         key.alias("id"),
         F.col("c_name").alias("title"),
         one("key", F.concat(F.lit("K"), nation)).alias("space"),
         one("storage", one("value", body)).alias("body"),
-        one("when", F.concat(F.lit("2024-02-"), key)).alias("version"),
+        F.struct(by.alias("by"), F.concat(F.lit("2024-02-"), key).alias("when")).alias("version"),
+        one("labels", one("results", labels)).alias("metadata"),
         F.when(F.col("c_custkey") % 2 == 0, F.array(one("id", F.lit("root")), one("id", nation))).alias("ancestors"),
         one("webui", F.concat(F.lit("/p/"), key)).alias("_links"),
     )
-    rows = wiki.wiki_pages(t.customer.select(F.to_json(record).alias("json")), "on_premises")
-    return rows.drop("author", "labels")
+    return wiki.wiki_pages(t.customer.select(F.to_json(record).alias("json")), "on_premises")
+
+
+def _joined_labels(rows, column="labels"):
+    return rows.withColumn(column, F.array_join(column, ","))
+
+
+@query(
+    "wiki_pages_on_premises",
+    f"SELECT * REPLACE (array_to_string(labels, ',') AS labels) FROM ({_ON_PREMISES_SQL})",
+)
+def wiki_pages_on_premises(t):
+    return _joined_labels(_on_premises_pages(t))
+
+
+@query(
+    "wiki_snapshot",
+    f"""SELECT url || '#0' AS id, markdown_content AS content, 'confluence:' || space_key AS source_id, 'confluence' AS source_type, space_key, page_id,
+           title AS page_title, array_to_string(labels, ',') AS labels, author, last_modified, parent_page_id FROM ({_ON_PREMISES_SQL})""",
+)
+def wiki_snapshot(t):
+    """Wiki pages synchronised into an empty store: chunks with all of a page's metadata."""
+    empty = [t.spark.createDataFrame([], s) for s in (schemas.CHUNKS, schemas.CODE_EXAMPLES)]
+    chunks = sync.sync(wiki.snapshot_rows(_on_premises_pages(t)), *empty, meta=F.col("meta")).chunks
+    held = "source_type string, space_key string, page_id string, page_title string, labels array<string>, author string, last_modified string, parent_page_id string"
+    return _joined_labels(chunks.select("id", "content", "source_id", F.from_json("metadata", held).alias("m")).select("id", "content", "source_id", "m.*"))
 
 
 # --- model contracts --------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -167,6 +169,44 @@ def integrity_report(
     )
 
 
+# --- digests of tables ---------------------------------------------------------------------------
+
+
+def table_digest(df: DataFrame, columns: Sequence[str], by: Sequence[Column] = ()) -> DataFrame:
+    """``rows``, ``total`` and ``mixed`` (sum and exclusive-or of the rows' hashes), whatever the order of the rows.
+
+    A lost, doubled or changed row shows in them.  One aggregation, combined map-side; no row is moved.
+    """
+    hashed = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(hashed.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias("total"),
+        F.coalesce(F.bit_xor(hashed), F.lit(0).cast("long")).alias("mixed"),
+    )
+
+
+def same_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row, ``digests_match``: whether two tables of the same columns hold the same rows equally often."""
+    names = ["rows", "total", "mixed"]
+    one, other = table_digest(before, before.columns), table_digest(after, before.columns)
+    row = _side_by_side(one, other.select(*(F.col(n).alias(f"{n}_after") for n in names)))
+    same = F.lit(True)
+    for name in names:
+        same = same & (F.col(name) == F.col(f"{name}_after"))
+    return row.select(same.alias("digests_match"))
+
+
+def differing_parts(before: DataFrame, after: DataFrame, columns: Sequence[str], part: Column) -> DataFrame:
+    """``(part, rows_before, rows_after)``: the parts of two tables whose digests differ; only digests are joined."""
+    one, other = (table_digest(df, columns, [part.alias("part")]) for df in (before, after))
+    named = lambda df, end: df.select("part", *(F.col(n).alias(n + end) for n in ("rows", "total", "mixed")))
+    joined = named(one, "_before").join(named(other, "_after"), "part", "full_outer")
+    same = F.lit(True)
+    for name in ("rows", "total", "mixed"):
+        same = same & F.col(f"{name}_before").eqNullSafe(F.col(f"{name}_after"))
+    return joined.filter(~same).select("part", F.coalesce("rows_before", F.lit(0)).alias("rows_before"), F.coalesce("rows_after", F.lit(0)).alias("rows_after"))
+
+
 def _unit(vector: Column) -> Column:
     """A vector in unit length (zero stays zero)."""
     return F.transform(vector, lambda x: F.when(vectors.norm(vector) == 0.0, F.lit(0.0)).otherwise(x / vectors.norm(vector)))

@@ -161,10 +161,16 @@ def reembed(table: DataFrame, embed, dim: int, *, text_col: str = "content") ->
     return rows.select(*table.columns)
 
 
-def migrate(table: DataFrame, sources: DataFrame, embed, dim: int, root: str) -> DataFrame:
-    """Re-embed into the next version of ``root`` and return the integrity report of it.
+def migrate(table: DataFrame, sources: DataFrame, embed, dim: int, root: str, *, text_col: str = "content") -> DataFrame:
+    """Re-embed ``table`` into a table at the new path ``root`` and report on what stands there.
 
-    The previous version stays in place as the backup.
+    The old table stays in place as the backup.  The report is ``integrity_report`` with ``digests_match``: whether the
+    rows, but for their vectors, are the same many times the same, told without a join.
     """
-    tables.publish(reembed(table, embed, dim), root)
-    return corpus_stats.integrity_report(tables.current(table.sparkSession, root), None, sources, dim)
+    tables.publish(reembed(table, embed, dim, text_col=text_col), root)
+    moved = tables.current(table.sparkSession, root, table.schema)
+    kept = [c for c in table.columns if c != "embedding"]
+    same = corpus_stats.same_rows(table.select(*kept), moved.select(*kept))
+    return corpus_stats.integrity_report(moved, None, sources, dim).withColumn("key", F.lit(0)).join(same.withColumn("key", F.lit(0)), "key").drop("key")
+
+

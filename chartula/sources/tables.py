@@ -1,17 +1,20 @@
-"""Stored tables: replace by key, upsert, delete, and versioned publication.
+"""Stored tables: replace by key, upsert, delete, and writes that only touch what changed.
 
-The functions compute the next state of a table.  A table is stored in hash buckets of its key;
-``publish`` writes only the buckets that changed, as new files, and then a manifest that names
-the version of every bucket.  Readers take the newest manifest, so a failed job leaves the
-previous state readable, and untouched buckets keep their files.
+The functions compute the next state of a table.  A table is stored as a partitioned Parquet table: hash buckets of
+its key are the partition column, ``publish`` overwrites the buckets that changed (Spark's dynamic partition
+overwrite) and readers prune to the buckets they ask for.  An overwrite only reaches partitions it has rows for, so
+every bucket also holds a marker, a row without a key, that is written with it; a bucket that loses all its rows is
+emptied all the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartula.operators.ranking import last_per_key
 from chartula.session import cut_lineage
@@ -77,77 +80,55 @@ def missing_sources(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return chunks.select("source_id").distinct().join(sources, "source_id", "left_anti")
 
 
-# --- publication -----------------------------------------------------------------------------
+# --- storage ---------------------------------------------------------------------------------
 
-# Buckets of a new store, and the column the buckets are made of.
+# Buckets of a table (many more for a large one), the column they are made of, and files of a bucket.
 BUCKETS = 64
 BUCKET_KEY = "url"
+FILES = 4
+BUCKET = "bucket"
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder of any file system Spark knows; none if it does not exist."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
-
-
-def _last_version(spark: SparkSession, root: str) -> int:
-    """The newest manifest that is complete, 0 without any."""
-    found = (n for n in _names(spark, f"{root}/manifest") if "_SUCCESS" in _names(spark, f"{root}/manifest/{n}"))
-    return max((int(n.removeprefix("v")) for n in found), default=0)
-
-
-def manifest(spark: SparkSession, root: str) -> tuple[int, dict[int, int]]:
-    """Number of buckets of a store and the version of each bucket that has rows."""
-    version = _last_version(spark, root)
-    if not version:
-        return 0, {}
-    rows = spark.read.schema("bucket int, version int").json(f"{root}/manifest/v{version:06d}").collect()
-    held = {row["bucket"]: row["version"] for row in rows}
-    return held.pop(-1), held
-
-
-def buckets_of(keys: DataFrame, root: str, key: str = BUCKET_KEY, buckets: int = BUCKETS) -> list[int]:
-    """The buckets some keys fall into: at most as many numbers as the store has buckets."""
-    buckets = manifest(keys.sparkSession, root)[0] or buckets
+def buckets_of(keys: DataFrame, key: str = BUCKET_KEY, buckets: int = BUCKETS) -> list[int]:
+    """The buckets some keys fall into: at most as many numbers as there are buckets."""
     return sorted(row[0] for row in keys.select(bucket_of(F.col(key), buckets)).distinct().collect())
 
 
-def current(spark: SparkSession, root: str, only: Sequence[int] | None = None) -> DataFrame | None:
-    """The table as last published, or only some of its buckets; None before the first time."""
-    version = _last_version(spark, root)
-    if not version:
-        return None
-    _, held = manifest(spark, root)
-    paths = [f"{root}/data/v{v:06d}/bucket={b}" for b, v in sorted(held.items()) if only is None or b in set(only)]
-    empty = spark.read.parquet(f"{root}/schema")
-    return spark.read.schema(empty.schema).parquet(*paths) if paths else empty
-
-
-def publish(df: DataFrame, root: str, touched: Sequence[int] | None = None, key: str = BUCKET_KEY, buckets: int = BUCKETS) -> str:
-    """Store ``df`` as the next state and return the path of its new files.
+def publish(df: DataFrame, root: str, touched: Sequence[int] | None = None, key: str = BUCKET_KEY, buckets: int = BUCKETS) -> None:
+    """Store ``df`` as the next state of its table.
 
     With ``touched``, only these buckets have changed: the rows of all others are left out of the
-    write and keep their files.  A table without the key column is one bucket.
+    write and keep their files.  Rows without a key are not kept.  ``df`` may be read from the table itself.
     """
     spark = df.sparkSession
-    last = _last_version(spark, root)
-    known, held = manifest(spark, root)
-    buckets = known or (buckets if key in df.columns else 1)
-    number = bucket_of(F.col(key), buckets) if key in df.columns else F.lit(0)
-    rows = df.withColumn("bucket", number)
+    rows = df.filter(F.col(key).isNotNull()).withColumn(BUCKET, bucket_of(F.col(key), buckets))
+    markers = spark.range(buckets).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), F.col("id").cast("int").alias(BUCKET))
+    both = rows.unionByName(markers)
     if touched is not None:
-        rows = rows.filter(F.col("bucket").isin(list(touched)))
-    if not last:
-        df.limit(0).write.mode("overwrite").parquet(f"{root}/schema")
-    target = f"{root}/data/v{last + 1:06d}"
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-    fresh = {int(n.removeprefix("bucket=")) for n in _names(spark, target) if n.startswith("bucket=")}
-    kept = {} if touched is None else {b: v for b, v in held.items() if b not in set(touched)}
-    entries = [(-1, buckets), *(kept | {b: last + 1 for b in fresh}).items()]
-    spark.createDataFrame(entries, "bucket int, version int").coalesce(1).write.mode("overwrite").json(f"{root}/manifest/v{last + 1:06d}")
-    return target
+        both = both.filter(F.col(BUCKET).isin([int(b) for b in touched]))
+    # A bucket lies in a few files by hash, whatever its size and the number of tasks that made its rows.
+    dealt = both.repartition(F.col(BUCKET), F.pmod(F.xxhash64(F.lit(1), *df.columns[:3]), F.lit(FILES)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(root)
+
+
+def create(spark: SparkSession, root: str, schema: T.StructType, key: str = BUCKET_KEY, buckets: int = BUCKETS) -> None:
+    """An empty table, where there is none yet."""
+    if current(spark, root, schema, key=key) is None:
+        publish(spark.createDataFrame([], schema), root, key=key, buckets=buckets)
+
+
+def current(spark: SparkSession, root: str, schema: T.StructType, only: Sequence[int] | None = None, key: str = BUCKET_KEY) -> DataFrame | None:
+    """The table as last published, or only some of its buckets (no other partition is read); None before the first time."""
+    try:
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(root)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if only is not None:
+        rows = rows.filter(F.col(BUCKET).isin([int(b) for b in only]))
+    return rows.filter(F.col(key).isNotNull()).drop(BUCKET)

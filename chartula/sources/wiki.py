@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chartula.functions import markup
 
+# Fixed value: how wiki rows are told from web rows.
+SOURCE_TYPE = "confluence"
+
 CLOUD = """struct<id: string, title: string, spaceId: string, space: struct<key: string>,
     parentId: string, createdAt: string,
     body: struct<atlas_doc_format: struct<value: string>>,
@@ -36,6 +39,30 @@ def wiki_pages(lines: DataFrame, layout: str) -> DataFrame:
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def snapshot_rows(pages: DataFrame) -> DataFrame:
+    """Wiki pages as a snapshot for the synchronisation: ``(url, source_id, markdown, last_modified, meta)``.
+
+    ``meta`` goes into the metadata of every chunk of the page (``sync(..., meta=F.col("meta"))``).
+    """
+    meta = F.struct(
+        F.lit(SOURCE_TYPE).alias("source_type"),
+        "space_key",
+        "page_id",
+        F.col("title").alias("page_title"),
+        "labels",
+        "author",
+        "last_modified",
+        "parent_page_id",
+    )
+    return pages.select(
+        "url",
+        F.concat(F.lit(f"{SOURCE_TYPE}:"), "space_key").alias("source_id"),
+        F.col("markdown_content").alias("markdown"),
+        F.coalesce("last_modified", F.lit("")).alias("last_modified"),
+        meta.alias("meta"),
+    )
+
+
 def _labels(results: Column) -> Column:
     names = F.transform(results, lambda x: F.coalesce(x["name"], F.lit("")))
     return F.coalesce(names, F.array().cast("array<string>"))

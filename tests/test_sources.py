@@ -1,7 +1,9 @@
 import datetime
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartula.functions import markup
 from chartula.sources import pages, repo_files, tables, wiki
@@ -113,38 +115,46 @@ def test_repository_files(spark, tmp_path):
     assert rows == {"app/a.py": ("shop", "x = 1\n"), "f.py": ("shop", "x = 1\n"), "latin.py": ("shop", None)}
 
 
-def test_versions(spark, tmp_path):
+def test_publication(spark, tmp_path):
     root = str(tmp_path / "table")
-    assert tables.current(spark, root) is None
-    first = spark.createDataFrame([("u", 0, "old"), ("v", 0, "keep")], "url string, chunk_number int, content string")
-    tables.publish(first, root)
+    schema = T._parse_datatype_string("url string, chunk_number int, content string")
+    assert tables.current(spark, root, schema) is None
+    tables.create(spark, root, schema)
+    assert tables.current(spark, root, schema).count() == 0
+    tables.publish(spark.createDataFrame([("u", 0, "old"), ("v", 0, "keep"), (None, 1, "no key")], schema), root)
     new = spark.createDataFrame([("u", 0, "a", 1), ("u", 0, "b", 2), ("u", 1, "c", 3)], "url string, chunk_number int, content string, o int")
-    tables.publish(tables.replace_by_url(tables.current(spark, root), new, order="o"), root)
-    rows = {(r.url, r.chunk_number, r.content) for r in tables.current(spark, root).collect()}
+    tables.publish(tables.replace_by_url(tables.current(spark, root, schema), new, order="o"), root)
+    rows = {(r.url, r.chunk_number, r.content) for r in tables.current(spark, root, schema).collect()}
     assert rows == {("v", 0, "keep"), ("u", 0, "b"), ("u", 1, "c")}
-    (tmp_path / "table" / "v000003").mkdir()  # a version whose job did not finish
-    assert tables.current(spark, root).count() == 3
-    (tmp_path / "table" / "manifest" / "v000003").mkdir()
-    assert tables.current(spark, root).count() == 3
+    tables.create(spark, root, schema)
+    assert tables.current(spark, root, schema).count() == 3
 
 
 def test_untouched_buckets_keep_their_files(spark, tmp_path):
     root = str(tmp_path / "table")
-    first = spark.createDataFrame([(f"u{n}", "old") for n in range(200)], "url string, content string")
-    tables.publish(first, root, buckets=8)
-    buckets, before = tables.manifest(spark, root)
-    assert buckets == 8 and set(before.values()) == {1} and len(before) == 8
-    touched = tables.buckets_of(spark.createDataFrame([("u3",)], "url string"), root)
-    stored = tables.current(spark, root, touched)
-    assert 0 < stored.count() < 200
+    schema = T._parse_datatype_string("url string, content string")
+    tables.publish(spark.createDataFrame([(f"u{n}", "old") for n in range(200)], schema), root, buckets=8)
+
+    def files():
+        return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in Path(root).rglob("*.parquet")}
+
+    before = files()
+    assert {f.split("/")[0] for f in before} == {f"bucket={n}" for n in range(8)}
+    touched = tables.buckets_of(spark.createDataFrame([("u3",)], "url string"), buckets=8)
+    stored = tables.current(spark, root, schema, touched)
+    scan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    lost = stored.count()
+    assert 0 < lost < 200 and len(touched) == 1
     changed = stored.withColumn("content", F.when(F.col("url") == "u3", "new").otherwise(F.col("content")))
-    tables.publish(changed, root, touched)
-    _, after = tables.manifest(spark, root)
-    assert {b for b in after if after[b] != before[b]} == set(touched) and len(touched) == 1
-    rows = {r.url: r.content for r in tables.current(spark, root).collect()}
+    tables.publish(changed, root, touched, buckets=8)
+    after = files()
+    assert {f for f in before if after.get(f) == before[f]} == {f for f in before if not f.startswith(f"bucket={touched[0]}/")}
+    rows = {r.url: r.content for r in tables.current(spark, root, schema).collect()}
     assert rows == {f"u{n}": "new" if n == 3 else "old" for n in range(200)}
-    tables.publish(stored.limit(0), root, touched)
-    assert tables.current(spark, root).count() == 200 - stored.count()
+    # A bucket that loses all rows is emptied, though nothing is written into it but its marker.
+    tables.publish(tables.current(spark, root, schema).limit(0), root, touched, buckets=8)
+    assert tables.current(spark, root, schema).count() == 200 - lost
 
 
 def test_source_upsert_keeps_creation(spark):
@@ -156,3 +166,14 @@ def test_source_upsert_keeps_creation(spark):
     rows = {r.source_id: r for r in tables.upsert_sources(existing, updates, now).collect()}
     assert (rows["a"].summary, rows["a"].total_words, rows["a"].created_at.year, rows["a"].updated_at.year) == ("z", 9, 2024, 2025)
     assert (rows["b"].summary, rows["b"].updated_at.year, rows["c"].created_at.year) == ("y", 2024, 2025)
+
+
+def test_wiki_files_become_a_snapshot(spark, tmp_path):
+    page = {"id": "7", "title": "T", "space": {"key": "K"}, "body": {"storage": {"value": "<p>Hello</p>"}}, "version": {"by": {"displayName": "ann"}, "when": "2024"},
+            "metadata": {"labels": {"results": [{"name": "x"}, {"name": None}]}}, "ancestors": [{"id": "1"}, {"id": "2"}], "_links": {"base": "https://h", "webui": "/p/7"}}
+    (tmp_path / "a.json").write_text(json.dumps(page) + "\n")
+    (row,) = wiki.snapshot_rows(wiki.read_wiki_json(spark, str(tmp_path), "on_premises")).collect()
+    assert (row.url, row.source_id, row.markdown, row.last_modified) == ("https://h/p/7", "confluence:K", "Hello", "2024")
+    assert row.meta.asDict() == {
+        "source_type": "confluence", "space_key": "K", "page_id": "7", "page_title": "T", "labels": ["x", ""], "author": "ann", "last_modified": "2024", "parent_page_id": "2",
+    }

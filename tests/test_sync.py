@@ -1,6 +1,11 @@
-from chartula.operators import links
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from chartula.operators import corpus_stats, links
 from chartula.plans import sync as sy
 from chartula.schemas import CHUNKS, CODE_EXAMPLES
+from chartula.session import cut_lineage
 from chartula.sources import tables
 from chartula.streaming.sync_stream import sync_stream
 
@@ -54,7 +59,7 @@ def test_stream_equals_batches(spark, tmp_path):
 
     def run():
         sync_stream(spark, folder, first.schema, *roots, str(tmp_path / "state")).awaitTermination()
-        return {(r.url, r.content) for r in tables.current(spark, roots[0]).collect()}
+        return {(r.url, r.content) for r in tables.current(spark, roots[0], CHUNKS).collect()}
 
     first.coalesce(1).write.mode("append").parquet(folder)
     assert run() == {("a", "one"), ("b", "two")}
@@ -65,13 +70,54 @@ def test_stream_equals_batches(spark, tmp_path):
     assert streamed == {(r.url, r.content) for r in batch.chunks.collect()} == {("a", "one more"), ("b", "two"), ("c", "three")}
 
 
-def test_migration_reports_on_the_new_version(spark, tmp_path):
+def test_replayed_and_late_snapshots(spark, tmp_path):
+    """Files that come again or late, in batches of their own, end where the batch form ends; unchanged pages touch no file."""
+    batches = [
+        [("a", "s", "one", "1"), ("b", "s", "two", "1"), ("n", "s", "unstamped", "")],
+        [("a", "s", "one more", "2"), ("c", "s", "three", "1"), ("e", "s", " ", "1")],
+        [("a", "s", "one more", "2"), ("b", "s", "two", "1")],  # replayed
+        [("b", "s", "late", "0"), ("c", "s", "three", "1"), ("b", "s", "later", "00")],  # late
+        [("n", "s", "unstamped too", None), ("a", "t", "same url, other source", "2")],
+    ]
+    folder, roots = str(tmp_path / "in"), [str(tmp_path / k) for k in ("chunks", "examples")]
+    chunks, examples = spark.createDataFrame([], CHUNKS), spark.createDataFrame([], CODE_EXAMPLES)
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in Path(roots[0]).rglob("*.parquet")}
+
+    for number, rows in enumerate(batches):
+        before = files()
+        snapshot(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        sync_stream(spark, folder, snapshot(spark, []).schema, *roots, str(tmp_path / "state"), buckets=8).awaitTermination()
+        result = sy.sync(snapshot(spark, rows), chunks, examples)
+        chunks, examples = cut_lineage(result.chunks), cut_lineage(result.examples)
+        streamed = sorted((r.id, r.source_id, r.content, r.metadata) for r in tables.current(spark, roots[0], CHUNKS).collect())
+        assert streamed == sorted((r.id, r.source_id, r.content, r.metadata) for r in chunks.collect())
+        if number == 2:
+            assert files() == before
+    assert {(r.url, r.content) for r in chunks.collect()} == {("a", "same url, other source"), ("b", "later"), ("c", "three"), ("n", "unstamped too")}
+
+
+def test_migration_reports_on_the_new_table(spark, tmp_path):
     chunks, _ = first_load(spark)
-    root = str(tmp_path / "t")
-    tables.publish(chunks, root)
     sources = chunks.select("source_id").distinct()
-    report = sy.migrate(tables.current(spark, root), sources, lambda texts: [[1.0] * 8 for _ in texts], 8, root).first()
-    assert report.total_documents == 4 and not report.corruption_detected, report
+    report = sy.migrate(chunks, sources, lambda texts: [[1.0] * 8 for _ in texts], 8, str(tmp_path / "t")).first()
+    assert report.total_documents == 4 and report.digests_match and not report.corruption_detected, report
+
+
+def test_digests_find_lost_doubled_and_changed_rows(spark):
+    rows = [(n, f"text {n}" if n % 7 else None) for n in range(60)]
+    frame = spark.createDataFrame(rows, "id long, content string")
+
+    def same(other):
+        return corpus_stats.same_rows(frame, spark.createDataFrame(other, frame.schema)).first().digests_match
+
+    assert same(rows[::-1])
+    assert not same(rows[1:]) and not same(rows + rows[:1]) and not same(rows[1:] + [(0, "other")]) and not same([(1, None), (0, "text 1")] + rows[2:])
+    assert corpus_stats.same_rows(frame.limit(0), frame.limit(0)).first().digests_match
+    damaged = spark.createDataFrame(rows[1:] + rows[5:6] + [(100, "new")], frame.schema)
+    parts = corpus_stats.differing_parts(frame, damaged, frame.columns, F.col("id") % 30)
+    assert {tuple(r) for r in parts.collect()} == {(0, 2, 1), (5, 2, 3), (10, 2, 3)}
 
 
 def test_reachability(spark):
@@ -108,5 +154,5 @@ def test_two_snapshots_in_one_trigger(spark, tmp_path):
             rows.coalesce(1).write.mode("append").parquet(folder)
         roots = [str(tmp_path / f"{name}-{kind}") for kind in ("chunks", "examples")]
         sync_stream(spark, folder, first.schema, *roots, str(tmp_path / f"{name}-state"), files_per_batch=per_batch).awaitTermination()
-        found[name] = sorted((r.id, r.content) for r in tables.current(spark, roots[0]).collect())
+        found[name] = sorted((r.id, r.content) for r in tables.current(spark, roots[0], CHUNKS).collect())
     assert found["together"] == found["apart"] == [("a#0", "one more"), ("b#0", "two"), ("c#0", "three")]
