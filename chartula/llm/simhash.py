@@ -170,14 +170,18 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """vertex, root for every vertex of ``edges(src, dst)`` that is not the root of its component.
 
-    In a round each vertex moves to the smallest of itself and its neighbours; edges move along and
-    loops go, until no edge is left. Then the moves are followed to their end.
+    In a round each vertex moves to the smallest of itself and its neighbours, by a hash of each round's own, so that
+    no order of the numbers makes a path slow; edges move along and loops go, until no edge is left. Then the moves
+    are followed to their end.
     """
     moves = []
     edges = stored(edges.distinct(), "edges")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        move = stored(both.groupBy("src").agg(F.min("dst").alias("to")).select(F.col("src").alias("vertex"), F.least("src", "to").alias("root")), "moves")
+        rank = lambda c, n=len(moves): F.xxhash64(F.lit(n), c)
+        nearest = both.groupBy("src").agg(F.min_by("dst", rank("dst")).alias("to"))
+        lower = (rank("to") < rank("src")) | ((rank("to") == rank("src")) & (F.col("to") < F.col("src")))
+        move = stored(nearest.select(F.col("src").alias("vertex"), F.when(lower, F.col("to")).otherwise(F.col("src")).alias("root")), "moves")
         moves.append(move)
         at = edges
         for end in ("src", "dst"):

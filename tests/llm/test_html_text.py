@@ -1,12 +1,17 @@
 """Main text of hand-made pages, and templates over a host's pages."""
 
+import random
+import time
+from collections import Counter
+from xml.etree import ElementTree
+
 import pytest
 
-from chartula.llm.html_text import main_text, page_blocks
+from chartula.llm.html_text import Page, main_text
 
 
 def text(html):
-    return "\n\n".join(t for t, _ in page_blocks(html))
+    return "\n\n".join(Page(html).texts)
 
 
 @pytest.mark.parametrize(
@@ -77,9 +82,20 @@ LONG = "All of the words of the story are here. " * 8
         (f"<article><p>x</p></article><div class='comments'><p>{LONG}</p></div>", "x"),
         (f"<p>x</p><div class='comments'><p>{LONG}</p></div>", "x"),
         (f"<p>{LONG}</p><div class='widget'><p>{LONG[:-40]}</p></div>", LONG.strip()),
+        # Parts of a page go, however long they are beside its article, and whether or not anything is left.
+        (f"<p>A short article.</p><div class='sidebar'><p>{LONG}</p></div>", "A short article."),
+        (f"<p>A short article.</p><div id='newsletter-signup'>{LONG}</div><section class='cookie-consent'>{LONG}</section>", "A short article."),
+        (f"<div class='menu'><p>{LONG}</p></div>", ""),
+        (f"<div class='comments'><article><p>{LONG}</p></article></div>", ""),
+        (f"<div class='widget'><article><p>{LONG}</p></article></div>", LONG.strip()),
+        # Words of the article that sound like parts of a page.
+        ("<article><p class='share-price'>The share price rose</p><div class='share-price'>again</div></article>", "The share price rose\n\nagain"),
+        ("<article><h2 class='related'>Related work</h2><p>Press <button>OK</button> to go on</p></article>", "Related work\n\nPress OK to go on"),
+        ("<article><p>x = <math><mi>y</mi></math></p><object data='f'><p>fallback</p></object></article>", "x = y\n\nfallback"),
+        ("<article><p>x</p><div class='social-share-buttons'>tweet</div><div class='related-posts'>more</div><div><button>Buy</button></div></article>", "x"),
     ],
 )
-def test_class_words_do_not_drop_most_of_a_page(html, want):
+def test_class_words_are_about_one_element(html, want):
     assert text(html) == want
 
 
@@ -94,3 +110,61 @@ def test_templates_of_sections_and_of_marked_pages(spark):
     # A line that many articles share stays in them.
     lines = [f"<article><p>Story {n}</p><p>{'Shared' if n % 3 == 0 else n}</p></article>" for n in range(36)]
     assert site(spark, lines)[3] == "Story 3\n\nShared"
+
+
+def test_a_hundred_thousand_nested_tags():
+    began = time.process_time()
+    deep = Page("<div>" * 100_000 + "<p>deep")
+    mixed = Page("<div><span>a" * 30_000 + "<hr></x>" * 20_000)
+    assert deep.texts == ["deep"] and len(mixed.texts) == 30_000
+    assert time.process_time() - began < 5
+
+
+def test_a_very_long_page(spark):
+    html = "<nav>menu</nav>" + "".join(f"<p>paragraph {n} &amp; more</p>" for n in range(60_000))
+    pages = spark.createDataFrame([(1, "http://h/1", html, 3)], "page_id long, url string, html string, texts int")
+    (row,) = main_text(pages).collect()
+    assert row.text == "\n\n".join(f"paragraph {n} & more" for n in range(60_000)) and row.n_chars == len(row.text)
+
+
+def test_templates_by_plain_counting(spark):
+    """A random site without marks: what recurs on 10 different pages and 1 % of a host's different pages goes."""
+    draw = random.Random(5)
+    parts = [f"<div><ul><li>part {n}</li><li>of the site</li></ul></div>" for n in range(30)]
+
+    def page(n):
+        chosen = [f"<section><p>Story {n}</p><p>line {draw.randrange(60)}</p></section>"] + draw.sample(parts[: 1 + n % 30], draw.randrange(0, min(4, 1 + n % 30)))
+        draw.shuffle(chosen)
+        return "<body>" + "".join(chosen) + "</body>"
+
+    html = {n: page(n) for n in range(400)} | {1000 + n: page(5) for n in range(30)}
+    html |= {1100 + n: html[7] for n in range(30)}
+    host = {n: "big.example" if n % 4 else "small.example" for n in html}
+    want = {}
+    for name in set(host.values()):
+        pages = {n: parse(h) for n, h in html.items() if host[n] == name}
+        versions = {tuple(t for t, _ in p): p for p in pages.values()}
+        counts = Counter(tree for p in versions.values() for tree in {tree for _, trees in p for tree in trees})
+        recurring = {tree for tree, found in counts.items() if found >= 10 and found >= 0.01 * len(versions)}
+        for n, p in pages.items():
+            want[n] = "\n\n".join(t for t, trees in p if not recurring & set(trees))
+    rows = [(n, f"http://{host[n]}/{n}", h) for n, h in html.items()]
+    found = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == want and any("of the site" not in t for t in want.values()) and any("line" in t for t in want.values())
+
+
+def parse(html):
+    """(text, written-out subtrees around it, but for those that hold all texts) for the plain markup above."""
+    root = ElementTree.fromstring(html)
+    found = []
+
+    def walk(element, around):
+        here = [*around, element]
+        if element.text and element.text.strip():
+            found.append((element.text, here))
+        for child in element:
+            walk(child, here)
+
+    walk(root, [])
+    common = set.intersection(*({id(e) for e in around} for _, around in found))
+    return [(text, [ElementTree.tostring(e) for e in around if id(e) not in common]) for text, around in found]
