@@ -417,17 +417,28 @@ _TREE_OK_SQL = """SELECT 'root' AS page_id UNION ALL SELECT 'r' || r_regionkey F
     UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_acctbal >= 0"""
 
 
-@query(
-    "page_tree",
-    f"""WITH RECURSIVE tree AS ({_TREE_SQL}), good AS ({_TREE_OK_SQL}),
+_WALK_SQL = f"""WITH RECURSIVE tree AS ({_TREE_SQL}), good AS ({_TREE_OK_SQL}),
     walk(page_id, depth, key) AS (SELECT 'root', 0, CAST([] AS INTEGER[])
         UNION ALL SELECT t.child, w.depth + 1, list_append(w.key, CAST(t.ord AS INTEGER)) FROM walk w JOIN good g ON g.page_id = w.page_id
         JOIN tree t ON t.parent = w.page_id WHERE w.depth < 3),
     o AS (SELECT w.*, g.page_id IS NOT NULL AS ok, count(g.page_id) OVER (ORDER BY depth, key ROWS UNBOUNDED PRECEDING) AS c
           FROM walk w LEFT JOIN good g ON g.page_id = w.page_id)
-    SELECT page_id, CAST(depth AS INTEGER) AS depth, ok FROM o WHERE c < 300 OR (c = 300 AND ok)""",
-)
+    SELECT page_id, CAST(depth AS INTEGER) AS depth, ok FROM o"""
+
+
+@query("page_tree_uncapped", _WALK_SQL)
+def page_tree_uncapped(t):
+    """The whole tree to its depth limit."""
+    return links.page_tree(*_tree(t), "root", max_depth=3).select("page_id", "depth", "ok")
+
+
+@query("page_tree", f"{_WALK_SQL} WHERE c < 300 OR (c = 300 AND ok)")
 def page_tree(t):
+    return links.page_tree(*_tree(t), "root", max_depth=3, max_pages=300).select("page_id", "depth", "ok")
+
+
+def _tree(t):
+    """Pages with their children, and which of them can be read."""
     tree = (
         t.region.select(
             F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"), F.col("r_regionkey").alias("ord")
@@ -457,4 +468,4 @@ def page_tree(t):
         )
         .unionByName(t.spark.range(1).select(F.lit("root").alias("page_id"), F.lit(True).alias("ok")))
     )
-    return links.page_tree(tree, pages, "root", max_depth=3, max_pages=300).select("page_id", "depth", "ok")
+    return tree, pages

@@ -71,11 +71,9 @@ class Derived:
 
     def __init__(self, t):
         self.t = t
-        for name in ["region", "nation", "customer", "supplier", "orders", "events"]:
-            getattr(t, name).createOrReplaceTempView(name)
 
     def rows(self, sql: str) -> DataFrame:
-        return self.t.spark.sql(sql)
+        return self.t.sql(sql, "region", "nation", "customer", "supplier", "orders", "events")
 
 
 def _listed(params: str = "params"):

@@ -204,8 +204,7 @@ _PATHS = """SELECT concat('repo', p_partkey % 5) AS repo, CASE p_partkey % 4
 
 
 def _paths(t):
-    t.part.createOrReplaceTempView("part")
-    return t.spark.sql(_PATHS)
+    return t.sql(_PATHS, "part")
 
 
 @query(

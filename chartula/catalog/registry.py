@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+#: What the views of driver tables are named with.
+VIEW_PREFIX = "chartula_"
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +22,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def sql(self, statement: str, *names: str) -> DataFrame:
+        """A statement over driver tables; the session's own views of such names are left alone."""
+        for name in names:
+            statement = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {VIEW_PREFIX}{name}", statement)
+            getattr(self, name).createOrReplaceTempView(VIEW_PREFIX + name)
+        return self.spark.sql(statement)
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

@@ -458,6 +458,32 @@ def rerank_by_pairs(t):
     return ranked.select("query_id", "id", "original_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
+_FAILING = "ch "
+
+
+@query(
+    "rerank_failing_batches",
+    f"""WITH h AS (SELECT k.query_id, k.id, k.rank - 1 AS o, CASE WHEN contains(c.content, '{_FAILING}') THEN 0 ELSE round(CAST(length(q.query_id) AS DOUBLE) / length(c.content), 9) END AS s
+          FROM (SELECT query_id, id, rank FROM (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY c.id) AS rank
+                FROM ({_WORDS_SQL}) q JOIN ({_CHUNKS_SQL}) c ON contains(lower(c.content), lower(q.query_id)) WHERE q.query_id <> '') WHERE rank <= 10) k
+          JOIN ({_CHUNKS_SQL}) c ON c.id = k.id JOIN ({_WORDS_SQL}) q ON q.query_id = k.query_id)
+        SELECT query_id, id, CAST(o AS INTEGER) AS original_rank, round(s, 6) AS rerank_score,
+          CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, o) AS INTEGER) AS rank FROM h""",
+)
+def rerank_failing_batches(t):
+    """A pair scorer that fails on some texts, in batches of one: these score zero, and the others as they should."""
+    stored, asked = chunk_table(t), word_table(t).filter("query <> ''")
+
+    def score(pairs):
+        if any(_FAILING in text for _, text in pairs):
+            raise ValueError("the model cannot read this")
+        return [round(len(q) / len(text), 9) for q, text in pairs]
+
+    results = hybrid.keyword_matches(stored, asked, 10).join(stored.select("id", "content"), "id")
+    ranked = retrieve.rerank_by_pairs(results, asked, score, batch_size=1)
+    return ranked.select("query_id", "id", "original_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 @query(
     "model_embedding",
     """SELECT doc_id, round(CAST(CASE WHEN trim(text) = '' THEN 0 ELSE length(text) END AS DOUBLE), 6) AS first_value,

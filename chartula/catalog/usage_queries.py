@@ -10,7 +10,8 @@ from chartula.catalog.registry import query
 from chartula.operators import code_facts, usage_facts
 from chartula.operators import usage_checks as uc
 from chartula.operators import usage_reports as ur
-from chartula.session import cut_lineage
+from chartula.session import cut_lineage, shared_path
+from chartula.sources import reports
 
 # --- SQL statement of the rules -----------------------------------------------------------------------
 
@@ -243,9 +244,8 @@ _PARAMS_SQL = dv._params("o_orderkey")
 def check_call(t):
     from chartula.functions import params as pm
 
-    t.orders.createOrReplaceTempView("orders")
-    rows = t.spark.sql(
-        f"SELECT o_orderkey, {_PARAMS_SQL} AS params, o_custkey % 4 AS n_args, CAST(floor(o_orderkey / 5) AS BIGINT) % 3 AS kw FROM orders"
+    rows = t.sql(
+        f"SELECT o_orderkey, {_PARAMS_SQL} AS params, o_custkey % 4 AS n_args, CAST(floor(o_orderkey / 5) AS BIGINT) % 3 AS kw FROM orders", "orders"
     )
     args = F.slice(F.array(F.lit("1"), F.lit("2"), F.lit("3")), 1, F.col("n_args").cast("int"))
     kwargs = F.when(F.col("kw") == 1, F.create_map(F.lit("b"), F.lit("1"))).when(
@@ -436,3 +436,16 @@ def resolved_calls(t):
         "script", "line", F.col("function_name").alias("name"), "full_name", F.lit("function").alias("kind")
     )
     return made.union(called)
+
+
+@query("report_sink", _V + f"SELECT 'findings' AS part, script, CAST(line AS BIGINT) AS line, type AS what, name FROM ({_FINDINGS_SQL}) UNION ALL SELECT 'reports', script, NULL, CAST(total_validations AS VARCHAR), NULL FROM ({_SUMMARY_SQL})")
+def report_sink(t):
+    """Reports written as JSON lines and read back."""
+    scripts, rows = dv.usage(t).scripts, _validated(t)
+    folder = shared_path(t.spark, "reports")
+    reports.write_reports(ur.script_reports(scripts, rows), rows, folder)
+    found = t.spark.read.schema("script string, line long, type string, name string").json(f"{folder}/findings")
+    heads = t.spark.read.schema("script string, total_validations long").json(f"{folder}/reports")
+    return found.select(F.lit("findings").alias("part"), "script", "line", F.col("type").alias("what"), "name").unionByName(
+        heads.select(F.lit("reports").alias("part"), "script", F.lit(None).cast("long").alias("line"), F.col("total_validations").cast("string").alias("what"), F.lit(None).cast("string").alias("name"))
+    )

@@ -82,6 +82,27 @@ def block_slice(pieces: Column, size: int, start: Column, length: Column) -> Col
     return F.substring(pair, start - index * F.lit(size) + F.lit(1), length)
 
 
+# A fold that appends to one array copies it at every step.  Numbers are collected in a short array instead, and
+# full ones in an array of arrays, so that a long text takes time in proportion to its length.
+COLLECTED = 256
+
+
+def _nothing_collected() -> list[Column]:
+    return [F.array().cast("array<int>").alias("tail"), F.array().cast("array<array<int>>").alias("full")]
+
+
+def _collected(state: Column, number: Column) -> list[Column]:
+    is_full = F.size(state["tail"]) >= COLLECTED
+    return [
+        F.when(is_full, F.array(number)).otherwise(F.array_append(state["tail"], number)).alias("tail"),
+        F.when(is_full, F.array_append(state["full"], state["tail"])).otherwise(state["full"]).alias("full"),
+    ]
+
+
+def _all_collected(state: Column) -> Column:
+    return F.concat(F.flatten(state["full"]), state["tail"])
+
+
 def chunk_cuts(pieces: Column, length: Column, size: int = CHUNK_SIZE) -> Column:
     """End offsets of the boundary-aware chunks of a text given as ``blocks(text, size)``.
 
@@ -105,16 +126,11 @@ def chunk_cuts(pieces: Column, length: Column, size: int = CHUNK_SIZE) -> Column
         pos = state["pos"]
         window = block_slice(pieces, size, pos, F.lit(size))
         nxt = F.when(pos + F.lit(size) >= length, length).otherwise(pos + let(window, advance))
-        moved = let(
-            nxt,
-            lambda n: F.struct(
-                n.cast("int").alias("pos"), F.array_append(state["cuts"], n.cast("int")).alias("cuts")
-            ),
-        )
+        moved = let(nxt, lambda n: F.struct(n.cast("int").alias("pos"), *_collected(state, n.cast("int"))))
         return F.when(pos >= length, state).otherwise(moved)
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("cuts"))
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step)["cuts"]
+    start = F.struct(F.lit(0).alias("pos"), *_nothing_collected())
+    return _all_collected(F.aggregate(F.sequence(F.lit(1), steps), start, step))
 
 
 def chunks_from_cuts(pieces: Column, cuts: Column, size: int = CHUNK_SIZE) -> Column:
@@ -149,15 +165,13 @@ def fence_parts(text: Column) -> Column:
 
 def fence_positions(parts: Column, skip: Column) -> Column:
     """0-based offset of every fence."""
-    start = F.struct(skip.alias("pos"), F.array().cast("array<int>").alias("at"))
+    start = F.struct(skip.alias("pos"), *_nothing_collected())
 
     def step(state: Column, part: Column) -> Column:
         here = state["pos"] + F.length(part)
-        return F.struct(
-            (here + F.lit(3)).alias("pos"), F.array_append(state["at"], here).alias("at")
-        )
+        return F.struct((here + F.lit(3)).alias("pos"), *_collected(state, here))
 
-    return F.aggregate(parts, start, step, lambda s: F.slice(s["at"], 1, F.size(parts) - F.lit(1)))
+    return F.aggregate(parts, start, step, lambda s: F.slice(_all_collected(s), 1, F.size(parts) - F.lit(1)))
 
 
 def code_language(section: Column) -> Column:

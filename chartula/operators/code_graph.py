@@ -152,8 +152,9 @@ def dotted_prefixes(name: Column) -> Column:
 
 def build_graph(facts: DataFrame) -> CodeGraph:
     """Node and edge tables from file facts; of duplicate definitions the first wins."""
+    # Package roots come from all files: an __init__.py names its package whether it parses or not.
     good = facts.filter(F.col("error").isNull())
-    named = module_names(good)
+    named = module_names(facts).filter(F.col("error").isNull())
     files = named.select("repo", "path", "module_name", "line_count")
     class_rows = named.select("repo", "path", "module_name", F.explode("classes").alias("_c")).select(
         "repo",
@@ -226,9 +227,9 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     modules = files.select("module_name").distinct()
     prefixes = modules.select("module_name", F.explode(prefixes_of(F.col("module_name"))).alias("import_name"))
     matched = prefixes.join(names, "import_name", "left_semi")
-    return matched.join(files.select("repo", "path", "module_name"), "module_name").select(
-        "import_name", "repo", "path", "module_name"
-    )
+    # Many files may share a module name (``__init__``, ``utils``).
+    found = salted_join(files.select("repo", "path", "module_name"), matched, ["module_name"], salt_on=["repo", "path"])
+    return found.select("import_name", "repo", "path", "module_name")
 
 
 def import_edges(graph: CodeGraph) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from chartula.functions import urls
 from chartula.operators.joins import salted_join
-from chartula.session import cut_lineage
+from chartula.session import append_bucketed, bucketed, cut_lineage
+
+#: Parts of a page's links.
+EDGE_SALTS = 8
 
 
 def hrefs(html: Column) -> Column:
@@ -34,31 +37,40 @@ def link_counts(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     )
 
 
+def _followed(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pages linked from ``sources(url)``; only these move to the bucketed ``edges(src, salt, dst)``."""
+    spread = sources.select(F.col("url").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(EDGE_SALTS - 1))).alias("salt"))
+    return edges.join(spread, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
+
+
 def reachable(links: DataFrame, pages: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
     """Level-by-level visit over ``links(src, dst)``, levels 0 to ``max_depth - 1``.
 
     ``pages(url, ok)`` tells which pages can be read; a page that cannot, or is unknown,
     counts as visited but gives no links.  Returns ``(url, depth, ok)``.
+
+    The links are shuffled once, into buckets by page (a page with very many links lies in several); visited pages
+    lie in buckets of their own, which each level adds to.  From level to level only the frontier moves.
     """
-    edges = links.select(
-        urls.defragment(F.col("src")).alias("src"), urls.defragment(F.col("dst")).alias("dst")
-    )
-    good = pages.filter("ok").select(urls.defragment(F.col("url")).alias("url")).distinct()
-    frontier = cut_lineage(
-        starts.select(urls.defragment(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
-    )
-    visited = frontier
+    spark = links.sparkSession
+    edges = links.select(urls.defragment(F.col("src")).alias("src"), urls.defragment(F.col("dst")).alias("dst"))
+    edge_table = bucketed(edges.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(EDGE_SALTS)).cast("int")), ["src", "salt"], "edges")
+    good_table = bucketed(pages.filter("ok").select(urls.defragment(F.col("url")).alias("url")).distinct(), ["url"], "pages")
+    first = starts.select(urls.defragment(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
+    visited_table = bucketed(first, ["url"], "visited")
+    good = spark.table(good_table)
     for depth in range(1, max_depth):
-        sources = frontier.join(good, "url", "left_semi").select(F.col("url").alias("src"))
-        following = salted_join(edges, sources, ["src"], salt_on=["dst"])
-        following = following.select(F.col("dst").alias("url")).distinct()
-        fresh = following.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut_lineage(fresh)
-        if frontier.isEmpty():
+        visited = spark.table(visited_table)
+        sources = visited.filter(F.col("depth") == depth - 1).join(good, "url", "left_semi")
+        fresh = _followed(sources, spark.table(edge_table)).join(visited, "url", "left_anti")
+        append_bucketed(fresh.withColumn("depth", F.lit(depth)), ["url"], visited_table)
+        if spark.table(visited_table).filter(F.col("depth") == depth).isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    flagged = good.withColumn("ok", F.lit(True))
-    return visited.join(flagged, "url", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    found = spark.table(visited_table).join(good.withColumn("ok", F.lit(True)), "url", "left")
+    found = cut_lineage(found.withColumn("ok", F.coalesce("ok", F.lit(False))))
+    for name in (edge_table, good_table, visited_table):
+        spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def page_tree(

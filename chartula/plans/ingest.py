@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartula.functions import text as tx
-from chartula.functions import urls
+from chartula.functions import urls, vectors
 from chartula.operators import chunks as ck
 from chartula.operators import corpus_stats, model
 from chartula.operators.ranking import last_per_key
@@ -90,7 +90,11 @@ def ingest(
 
 
 def embed_missing(table: DataFrame, embed: Embed, dim: int, *, text_col: str = "content", batch_size: int = model.BATCH) -> DataFrame:
-    """Vectors for the rows that have none yet, as synchronised chunks do; all other rows stay as they are."""
-    missing = table.filter(F.col("embedding").isNull()).drop("embedding")
-    filled = model.embed_texts(missing, embed, dim, text_col=text_col, batch_size=batch_size)
-    return table.filter(F.col("embedding").isNotNull()).unionByName(filled.select(*table.columns))
+    """Vectors for the rows that have none yet, as synchronised chunks do, and for those whose embedding failed.
+
+    A failed one is the zero vector of a text that is not blank; all other rows stay as they are.
+    """
+    failed = vectors.is_unusable(F.col("embedding")) & ~tx.is_blank(F.col(text_col))
+    wanted = F.col("embedding").isNull() | F.coalesce(failed, F.lit(False))
+    filled = model.embed_texts(table.filter(wanted).drop("embedding"), embed, dim, text_col=text_col, batch_size=batch_size)
+    return table.filter(~wanted).unionByName(filled.select(*table.columns))

@@ -95,9 +95,9 @@ def rerank_by_similarity(
 
 
 def rerank_by_pairs(
-    results: DataFrame, queries: DataFrame, score: Callable, *, max_results: int = hybrid.MAX_RERANK
+    results: DataFrame, queries: DataFrame, score: Callable, *, max_results: int = hybrid.MAX_RERANK, batch_size: int = model.BATCH
 ) -> DataFrame:
-    """Rerank by a (query, text) scorer; ineligible queries keep their order."""
+    """Rerank by a (query, text) scorer; ineligible queries keep their order, a batch that fails scores zero."""
     fit = results.join(hybrid.rerank_eligible(results, queries, max_results=max_results), "query_id", "left_semi")
     pairs = fit.select("query_id", "id", "content").join(queries.select("query_id", "query"), "query_id")
-    return hybrid.apply_scores(results, model.score_pairs(pairs, score))
+    return hybrid.apply_scores(results, model.score_pairs(pairs, score, batch_size=batch_size))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path below the checkpoint folder, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{tag}_{uuid.uuid4().hex}"
+
+
+def bucketed(df: DataFrame, keys: list[str], tag: str) -> str:
+    """Store ``df`` in the shared folder, bucketed by ``keys``, and return the name of its table.
+
+    Joins on these keys need no exchange of it, in this and any later plan.  Drop the table when it is done with.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(df.sparkSession, tag)
+    name = path.rpartition("/")[2]
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    return name
+
+
+def append_bucketed(df: DataFrame, keys: list[str], name: str) -> None:
+    """Add rows to a table made by ``bucketed``."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).mode("append").saveAsTable(name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

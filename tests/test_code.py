@@ -119,6 +119,22 @@ def test_imports(graph):
     }
 
 
+def test_package_roots_come_from_all_files(spark):
+    files = [("r", "src/pkg/__init__.py", "def (:\n"), ("r", "src/pkg/sub/mod.py", "class A: ...\n")]
+    graph = vp.graph_from_files(spark.createDataFrame(files, "repo string, path string, content string"))
+    assert rows(graph.files, "module_name") == {("pkg.sub.mod",)} and rows(graph.classes, "full_name") == {("pkg.sub.mod.A",)}
+
+
+def test_names_that_share_a_prefix(spark):
+    """10,000 names with one beginning: every part meets the names that hold it, and few others are looked at."""
+    wholes = spark.range(10_000).select(F.concat(F.lit("common-prefix-of-all-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("whole"))
+    parts = spark.createDataFrame([("prefix-of-all-00007",), ("all-0999",), ("7777",), ("l-12345x",), ("x",), ("common-prefix-of-all-00042-and-more",)], "part string")
+    found = {}
+    for r in usage_checks.contained(parts, wholes).collect():
+        found.setdefault(r.part, set()).add(r.whole.removeprefix("common-prefix-of-all-"))
+    assert found == {"prefix-of-all-00007": {"00007"}, "all-0999": {f"0999{n}" for n in range(10)}, "7777": {f"{n:05}" for n in range(10_000) if "7777" in f"{n:05}"}, "x": {f"{n:05}" for n in range(10_000)}}
+
+
 def test_statistics_keep_empty_repositories(graph):
     stats = {r.repo: r for r in cg.repository_stats(graph).collect()}
     assert (stats["empty"].files, stats["empty"].classes, stats["empty"].methods) == (1, 0, 0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chartula.operators import corpus_stats, links
 from chartula.plans import sync as sy
 from chartula.schemas import CHUNKS, CODE_EXAMPLES
-from chartula.session import cut_lineage
+from chartula.session import bucketed, cut_lineage
 from chartula.sources import tables
 from chartula.streaming.sync_stream import sync_stream
 
@@ -130,6 +130,27 @@ def test_reachability(spark):
     assert {r.url for r in links.reachable(frame, pages, starts, 1).collect()} == {"s"}
 
 
+def test_reachability_moves_links_once(spark):
+    """Deep walks over a hot page; from level to level the buckets of links and visited pages stay where they are."""
+    edges = [(f"p{n}", f"p{n + 1}") for n in range(6)] + [("p2", f"x{n}") for n in range(500)] + [(f"x{n}", "p0") for n in range(500)]
+    pages = spark.createDataFrame([(u, True) for u in {u for e in edges for u in e}], "url string, ok boolean")
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    got = {r.url: r.depth for r in links.reachable(frame, pages, spark.createDataFrame([("p0",)], "url string"), 20).collect()}
+    assert got == {f"p{n}": n for n in range(7)} | {f"x{n}": 3 for n in range(500)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("edges_", "visited_", "pages_"))]
+    salted = frame.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(links.EDGE_SALTS)).cast("int"))
+    table = bucketed(salted, ["src", "salt"], "edges")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = links._followed(frame.select(F.col("src").alias("url")), spark.table(table))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP TABLE {table}")
+    # One exchange for the frontier and one to make the pages distinct, none for the links.
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
 def test_page_tree_order_and_caps(spark):
     tree = spark.createDataFrame([("r", "a", 0), ("r", "b", 1), ("r", "x", 2), ("a", "c", 0), ("b", "c", 0), ("b", "d", 1), ("x", "e", 0), ("d", "r", 0)], "parent string, child string, ord int")
     pages = spark.createDataFrame([(p, p != "x") for p in "rabcdex"], "page_id string, ok boolean")

@@ -130,3 +130,20 @@ def test_metadata_containment(spark):
         assert frame.filter(metadata.contains(F.col("m"), wanted)).count() == 1, wanted
     for wanted in no:
         assert frame.filter(metadata.contains(F.col("m"), wanted)).count() == 0, wanted
+
+
+def test_cuts_of_long_texts_take_time_in_proportion(spark):
+    """Numbers are collected in short arrays: twice the text, about twice the time (many times 256 cuts)."""
+    import time
+
+    def seconds(size):
+        frame = spark.range(1).select(F.expr(f"repeat('some words. and more\\n', {size})").alias("t"))
+        cuts = frame.select(tx.chunk_cuts(tx.blocks(F.col("t"), 100), F.length("t"), 100).alias("c"))
+        began = time.perf_counter()
+        count, last = cuts.select(F.size("c"), F.element_at("c", -1)).first()
+        assert last == 21 * size and count > size / 6
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small = min(seconds(20_000) for _ in range(2))
+    assert seconds(40_000) < 4 * small + 1
