@@ -1,8 +1,9 @@
-"""Keyword search for tables of keywords: grams lead to candidates, ``contains`` decides.
+"""Keyword search for tables of keywords: words and grams lead to candidates, ``contains`` decides.
 
-Every keyword is filed under one gram, a string of ``GRAM`` characters that it holds: of a few chosen by hash, the one
-that the fewest blocks of the corpus hold.  Texts give their grams, an equi-join leaves those in use, and only these
-pairs are compared.  A keyword shorter than a gram is its own gram, of its own length.
+A keyword that is found somewhere splits there into the words of the text: those inside of it are whole words of the
+text, its first and last are parts of some.  So a keyword is filed under the rarest of its inner words, counted in
+Spark; one without inner words under all words of the corpus that hold its longest part, which grams find in the
+vocabulary.  Texts give their different words, an equi-join leaves those in use, and only these pairs are compared.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartula.operators.joins import salted_join
 from chartula.operators.ranking import top_per_group
+from chartula.session import cut_lineage
 
-#: Characters of a gram; grams of a keyword that are counted; characters of a text that give grams at a time.
-GRAM, CANDIDATES, BLOCK = 6, 8, 1 << 14
-#: Keywords, and bytes of keywords, that are broadcast; more of them meet the grams by a shuffle.
-BROADCAST_KEYWORDS, BROADCAST_BYTES = 100_000, 32 * 1024 * 1024
+#: Longest string by which a name or word is looked up inside of others.
+GRAM = 4
+#: Postings (a word and a keyword) that are broadcast; more of them meet the words of texts by a shuffle.
+BROADCAST_POSTINGS = 1_000_000
 
 
 def grams(text: Column, size: int) -> Column:
@@ -25,25 +28,36 @@ def grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def _overlapping_blocks(text: Column) -> Column:
-    """Blocks that each go on for one gram less a character into the next."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{BLOCK + GRAM - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """``(part, whole)`` for distinct names of which one stands inside the other, in time linear in their length.
 
-
-def _emitted(chunks: DataFrame, texts: list[Column], size: int, keep: list[str]) -> DataFrame:
-    """``keep`` and each different gram of a block of the texts, as the column gram."""
-    blocks = F.flatten(F.array(*map(_overlapping_blocks, texts)))
-    return chunks.select(*keep, F.explode(blocks).alias("_block")).select(*keep, F.explode(F.array_distinct(grams(F.col("_block"), size))).alias("gram"))
-
-
-def _filed(words: DataFrame, rows: DataFrame, texts: list[Column], hint) -> DataFrame:
-    """gram, keyword: each keyword under its rarest candidate.  One whose gram no text holds is in no text."""
-    hashed = F.transform(F.array_distinct(grams(F.col("keyword"), GRAM)), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))
-    some = words.select("keyword", F.explode(F.slice(F.array_sort(hashed), 1, CANDIDATES)["gram"]).alias("gram"))
-    held = _emitted(rows, texts, GRAM, []).join(hint(some.select("gram").distinct()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    counted = some.join(held, "gram", "left")
-    rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram"))
-    return counted.groupBy("keyword").agg(rarest.alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0").select("gram", "keyword")
+    A name gives its strings of up to GRAM characters; a part is looked up by itself, or by the rarest of its own.
+    """
+    emitted = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[grams(F.col("whole"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    short = F.length("part") <= GRAM
+    own = parts.filter(short & (F.col("part") != "")).select("part", F.col("part").alias("gram"))
+    some = parts.filter(~short).select("part", F.explode(F.array_distinct(grams(F.col("part"), GRAM))).alias("gram"))
+    counts = emitted.filter(F.length("gram") == GRAM).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A part with a gram that no name holds is in no name.
+    rarest = some.join(counts, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    filed = own.unionByName(rarest.filter("n > 0").select("part", "gram"))
+    return salted_join(emitted, filed, ["gram"], salt_on=["whole"]).filter(F.col("whole").contains(F.col("part"))).select("part", "whole")
+
+
+def _postings(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """token, keyword: the words of texts under which a keyword is looked for.  A keyword without a posting is in no text."""
+    parts = F.split("keyword", " ", -1)
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: p != "")
+    split = keywords.select("keyword", parts.alias("parts"), F.array_distinct(inner).alias("inner"))
+    counted = split.filter("size(inner) > 0").select("keyword", F.explode("inner").alias("token")).join(vocabulary, "token", "left")
+    rarest = counted.groupBy("keyword").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    # Of keywords of one or two parts, the longer part ends or begins a word, or is in it.
+    longest = F.reduce("parts", F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
+    ends = split.filter("size(inner) = 0").select("keyword", "parts", longest.alias("part")).filter("part <> ''")
+    found = salted_join(contained(ends.select("part").distinct(), vocabulary.select(F.col("token").alias("whole"))), ends, ["part"], salt_on=["whole"])
+    whole, part = F.col("whole"), F.col("part")
+    fits = (F.size("parts") == 1) | ((F.element_at("parts", 1) == part) & whole.endswith(part)) | ((F.element_at("parts", -1) == part) & whole.startswith(part))
+    return rarest.filter("n > 0").select("token", "keyword").unionByName(found.filter(fits).select(whole.alias("token"), "keyword"))
 
 
 def keyword_matches(
@@ -55,7 +69,7 @@ def keyword_matches(
     columns: Sequence[str] = ("content",),
     query_id_col: str = "query_id",
     query_col: str = "query",
-    broadcast_keywords: int = BROADCAST_KEYWORDS,
+    broadcast_postings: int = BROADCAST_POSTINGS,
 ) -> DataFrame:
     """First ``limit`` ids per query, by id, whose text contains the query: ``(query_id, id, rank)``.
 
@@ -63,39 +77,34 @@ def keyword_matches(
     empty, a null query matches nothing, an empty one everything.
     """
     asked = queries.select(F.col(query_id_col), F.lower(query_col).alias("keyword")).filter("keyword IS NOT NULL")
-    words = asked.select("keyword").distinct()
-    size = F.length("keyword")
-    found = words.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("bytes"),
-        F.collect_set(F.when(size < GRAM, size)).alias("short"), F.count_if(size >= GRAM).alias("long"),
-    ).first()
-    bounded = found["n"] <= broadcast_keywords and found["bytes"] <= BROADCAST_BYTES
-    hint = F.broadcast if bounded else lambda df: df
+    words = cut_lineage(asked.select("keyword").distinct())
     named = [f"_t{n}" for n in range(len(columns))]
     rows = chunks.select(F.col(id_col).alias("_id"), *[F.lower(F.coalesce(c, F.lit(""))).alias(n) for c, n in zip(columns, named, strict=True)])
     texts = [F.col(n) for n in named]
-    held = F.lit(False)
+    of_text = F.array_distinct(F.flatten(F.array(*[F.split(t, " ", -1) for t in texts])))
+
+    def tokens(*keep: str) -> DataFrame:
+        return rows.select(*keep, F.explode(of_text).alias("token")).filter("token <> ''")
+
+    vocabulary = cut_lineage(tokens().groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    postings = cut_lineage(_postings(words.filter("trim(BOTH ' ' FROM keyword) <> ''"), vocabulary))
+    one_word = ~F.col("keyword").contains(" ")
+    held = one_word
     for text in texts:
         held = held | text.contains(F.col("keyword"))
-
-    def pairs(size: int, filed: DataFrame) -> DataFrame:
-        if bounded:
-            # The text stays beside its grams in one task, from the scan to the comparison.
-            return _emitted(rows, texts, size, ["_id", *named]).join(hint(filed), "gram").filter(held).select("_id", "keyword")
-        near = _emitted(rows, texts, size, ["_id"]).join(filed, "gram").select("_id", "keyword").distinct()
-        return near.join(rows, "_id").filter(held).select("_id", "keyword")
-
-    parts = [chunks.sparkSession.createDataFrame([], rows.select("_id", F.lit("").alias("keyword")).schema)]
-    if found["long"]:
-        parts.append(pairs(GRAM, _filed(words.filter(size >= GRAM), rows, texts, hint)))
-    for length in sorted(found["short"]):
-        if length:
-            parts.append(pairs(length, words.filter(size == length).select(F.col("keyword").alias("gram"), "keyword")))
-        else:
-            parts.append(rows.select("_id", F.lit("").alias("keyword")))
-    matches = parts[0]
-    for part in parts[1:]:
-        matches = matches.unionByName(part)
+    if postings.count() <= broadcast_postings:
+        # The text stays beside its words in one task, from the scan to the comparison.
+        matches = tokens("_id", *named).join(F.broadcast(postings), "token").filter(held).select("_id", "keyword")
+    else:
+        near = salted_join(tokens("_id"), postings, ["token"], salt_on=["_id"]).select("_id", "keyword").distinct()
+        spaced = near.filter(~one_word).join(rows, "_id").filter(held).select("_id", "keyword")
+        matches = near.filter(one_word).unionByName(spaced)
+    # Keywords of nothing but spaces: each text has those up to its longest run of spaces.
+    runs = F.array_max(F.concat(F.array(F.lit(0)), *[F.transform(F.regexp_extract_all(t, F.lit("( +)"), F.lit(1)), lambda r: F.length(r)) for t in texts]))
+    blank = words.filter("trim(BOTH ' ' FROM keyword) = ''").select("keyword", F.length("keyword").alias("run"))
+    if not blank.isEmpty():
+        own = rows.select("_id", F.explode(F.sequence(F.lit(0), runs)).alias("run"))
+        matches = matches.unionByName(salted_join(own, blank, ["run"], salt_on=["_id"]).select("_id", "keyword"))
     # Ranked once a keyword, whatever the number of its queries.
     ranked = top_per_group(matches.distinct(), ["keyword"], [F.asc("_id")], limit, salt_on=["_id"])
     return asked.join(ranked, "keyword").select(query_id_col, F.col("_id").alias(id_col), "rank")

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartula.functions import params as pm
-from chartula.operators import keywords
 from chartula.operators.code_graph import CodeGraph, dotted_prefixes
 from chartula.operators.joins import salted_join
+from chartula.operators.keywords import contained
 from chartula.operators.ranking import first_per_key, top_per_group
 from chartula.operators.usage_facts import Usage
 from chartula.session import cut_lineage
@@ -22,8 +22,6 @@ from chartula.session import cut_lineage
 SUGGESTIONS = 5
 SUGGESTION_PREFIX = 3
 CONFIDENT = 0.7
-#: Longest string by which a name is looked up inside of others.
-NAME_GRAM = 4
 
 
 def _no_strings() -> Column:
@@ -116,22 +114,6 @@ def owner_repository(modules: DataFrame, graph: CodeGraph) -> DataFrame:
     return asked.filter("repo IS NOT NULL").select("module", "repo").unionByName(by_name)
 
 
-def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """``(part, whole)`` for distinct names of which one stands inside the other, in time linear in their length.
-
-    A name gives its strings of up to NAME_GRAM characters; a part is looked up by itself, or by the rarest of its own.
-    """
-    emitted = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[keywords.grams(F.col("whole"), n) for n in range(1, NAME_GRAM + 1)]))).alias("gram"))
-    short = F.length("part") <= NAME_GRAM
-    own = parts.filter(short & (F.col("part") != "")).select("part", F.col("part").alias("gram"))
-    some = parts.filter(~short).select("part", F.explode(F.array_distinct(keywords.grams(F.col("part"), NAME_GRAM))).alias("gram"))
-    counts = emitted.filter(F.length("gram") == NAME_GRAM).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # A part with a gram that no name holds is in no name.
-    rarest = some.join(counts, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-    filed = own.unionByName(rarest.filter("n > 0").select("part", "gram"))
-    return salted_join(emitted, filed, ["gram"], salt_on=["whole"]).filter(F.col("whole").contains(F.col("part"))).select("part", "whole")
-
-
 def similar_modules(modules: DataFrame, repositories: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
     """``(module, suggestions)``: repositories whose folded name contains the first three characters.
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartula.functions import params as pm
-from chartula.operators import code_facts, usage_checks, usage_facts, usage_reports
+from chartula.operators import code_facts, keywords, usage_checks, usage_facts, usage_reports
 from chartula.operators import code_graph as cg
 from chartula.plans import validate as vp
 from chartula.sources import reports
@@ -130,7 +130,7 @@ def test_names_that_share_a_prefix(spark):
     wholes = spark.range(10_000).select(F.concat(F.lit("common-prefix-of-all-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("whole"))
     parts = spark.createDataFrame([("prefix-of-all-00007",), ("all-0999",), ("7777",), ("l-12345x",), ("x",), ("common-prefix-of-all-00042-and-more",)], "part string")
     found = {}
-    for r in usage_checks.contained(parts, wholes).collect():
+    for r in keywords.contained(parts, wholes).collect():
         found.setdefault(r.part, set()).add(r.whole.removeprefix("common-prefix-of-all-"))
     assert found == {"prefix-of-all-00007": {"00007"}, "all-0999": {f"0999{n}" for n in range(10)}, "7777": {f"{n:05}" for n in range(10_000) if "7777" in f"{n:05}"}, "x": {f"{n:05}" for n in range(10_000)}}
 

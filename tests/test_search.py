@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartula.functions import vectors
-from chartula.operators import corpus_stats, hybrid, keywords, model
+from chartula.operators import corpus_stats, hybrid, model
 from chartula.operators import vector_search as vs
 from chartula.plans import retrieve
 
@@ -164,7 +164,7 @@ def test_keyword_joins_agree(spark):
             found = [i for i, c, s in docs if w.lower() in c.lower() or w.lower() in (s or "").lower()][:6]
             want |= {(q, i, n + 1) for n, i in enumerate(found)}
     for bound in (0, 1000):
-        hits = hybrid.keyword_matches(frame, queries, 6, columns=("content", "summary"), broadcast_keywords=bound)
+        hits = hybrid.keyword_matches(frame, queries, 6, columns=("content", "summary"), broadcast_postings=bound)
         assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == want
 
 
@@ -270,17 +270,16 @@ def keyword_brute(texts, asked, limit):
 
 
 @pytest.mark.parametrize("bound", [0, 100_000])
-def test_keywords_by_grams(spark, bound, monkeypatch):
-    """Short, long, odd and repeated keywords over blocks of a few characters, with and without a broadcast."""
-    monkeypatch.setattr(keywords, "BLOCK", 32)
+def test_keywords_by_words_and_grams(spark, bound):
+    """Short, long, odd and repeated keywords with and without a broadcast."""
     draw = random.Random(11)
     alphabet = "ab cd.\n(é字\U0001f600)[x]%_\\"
     texts = [(n, ["".join(draw.choice(alphabet) for _ in range(draw.randrange(0, 120))), draw.choice([None, "Ab C", "summary of " + "ab" * 40])]) for n in range(150)]
     cuts = [(t, draw.randrange(len(t)), draw.randrange(1, 60)) for _, (t, _) in texts for _ in range(2) if t]
-    asked = list(enumerate(["", None, "a", "AB", "abab", "ababab", "summary of ab", "no such words at all", "zzzzzzz", "."] + [t[i : i + n] for t, i, n in cuts] + ["abab", "ab"]))
+    asked = list(enumerate(["", None, "a", "AB", "abab", "ababab", "summary of ab", "no such words at all", "zzzzzzz", ".", " ", "  ", "   ", " ab", "b ", "a b", " a ", "a  b"] + [t[i : i + n] for t, i, n in cuts] + ["abab", "ab"]))
     frame = spark.createDataFrame([(i, *c) for i, c in texts], "id long, content string, summary string")
     queries = spark.createDataFrame(asked, "query_id long, query string")
-    hits = hybrid.keyword_matches(frame, queries, 5, columns=("content", "summary"), broadcast_keywords=bound)
+    hits = hybrid.keyword_matches(frame, queries, 5, columns=("content", "summary"), broadcast_postings=bound)
     assert ids(hits) == keyword_brute(texts, asked, 5)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
