@@ -245,7 +245,7 @@ _RAW_IMPORTS = """SELECT concat('repo', p_partkey % 5) AS repo, CASE p_partkey %
 )
 def internal_imports(t):
     modules = cg.project_modules(_paths(t))
-    return cg.internal_imports(t.spark.sql(_RAW_IMPORTS), modules)
+    return cg.internal_imports(t.sql(_RAW_IMPORTS, "part"), modules)
 
 
 @query(
