@@ -2,6 +2,8 @@
 
 import zlib
 
+import zstandard
+
 from pyspark.sql import functions as F
 
 from chartula.llm import language
@@ -34,3 +36,28 @@ def test_odd_rows(spark):
     assert [r.held_out for r in out if r.doc_id is None] == [False]
     assert language.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_plain_predictor_over_whole_texts(spark):
+    """A fresh compressor for each block and language, sums by plain loops; a long text and more labels than a few."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.range(1000, 1300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.col("id")).alias("lang"))
+    dictionaries = language.learn(docs)
+    assert all(0 < len(d) <= language.DICTIONARY_BYTES for d in dictionaries.values())
+    assert len(language.learn(docs.unionByName(labels))) > 200
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    longest = max(texts, key=lambda n: len(texts[n]))
+    rows = spark.createDataFrame([(n, texts[n]) for n in list(texts)[:40]] + [(9999, texts[longest] * 30)], "doc_id long, text string")
+    found = {r.doc_id: r.p for r in rows.select("doc_id", language.predicted(F.col("text"), dictionaries).alias("p")).collect()}
+    for number, text in {r.doc_id: r.text for r in rows.collect()}.items():
+        raw = language.letters(text or "").encode()
+        sums = []
+        for lang, words in dictionaries.items():
+            size = 0
+            for at in range(0, len(raw), language.BLOCK):
+                held = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size += len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[at : at + language.BLOCK]))
+            sums.append((size, lang))
+        sums.sort()
+        if raw.strip():
+            assert (found[number].lang, round(found[number].score, 9)) == (sums[0][1], round(1 - sums[0][0] / sums[1][0], 9))
