@@ -1,25 +1,27 @@
 """Keyword search for tables of keywords: words and grams lead to candidates, ``contains`` decides.
 
-A keyword that is found somewhere splits there into the words of the text: those inside of it are whole words of the
-text, its first and last are parts of some.  So a keyword is filed under the rarest of its inner words, counted in
-Spark; one without inner words under all words of the corpus that hold its longest part, which grams find in the
-vocabulary.  Texts give their different words, an equi-join leaves those in use, and only these pairs are compared.
+A keyword without spaces is in a text if it is in a word of it: of each word that holds it the first texts are enough,
+and of these words only those that begin first, so the pairs of texts and keywords are never made.  Any other keyword
+that is found somewhere splits there into the words of the text: those inside of it are whole words of the text, its
+first and last are parts of some.  So it is filed under the rarest of its inner words, counted in Spark; one without
+inner words under all words of the corpus that hold its longest part, which grams find in the vocabulary.  Texts give
+their different words, an equi-join leaves those in use, and only these pairs are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartula.operators.joins import salted_join
-from chartula.operators.ranking import top_per_group
+from chartula.operators.ranking import SALTS, top_per_group
 from chartula.session import cut_lineage
 
 #: Longest string by which a name or word is looked up inside of others.
 GRAM = 4
-#: Postings (a word and a keyword) that are broadcast; more of them meet the words of texts by a shuffle.
+#: Postings (a word and a keyword, or a word in use) that are broadcast; more of them meet the words of texts by a shuffle.
 BROADCAST_POSTINGS = 1_000_000
 
 
@@ -28,20 +30,35 @@ def grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+def contained(parts: DataFrame, wholes: DataFrame, *, also: Sequence[str] = (), few: bool = False) -> DataFrame:
     """``(part, whole)`` for distinct names of which one stands inside the other, in time linear in their length.
 
     A name gives its strings of up to GRAM characters; a part is looked up by itself, or by the rarest of its own.
+    With ``also``, columns of ``wholes`` of which the first tells them apart, these come back instead of the whole, which
+    then does not travel with its strings.  ``few`` parts are broadcast.
     """
-    emitted = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[grams(F.col("whole"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    kept = list(also) or ["whole"]
+
+    def emitted(*sizes: int) -> DataFrame:
+        return wholes.select(*kept, F.explode(F.array_distinct(F.concat(*[grams(F.col("whole"), n) for n in sizes]))).alias("gram"))
+
+    def met(strings: DataFrame, filed: DataFrame) -> DataFrame:
+        return strings.join(F.broadcast(filed), "gram") if few else salted_join(strings, filed, ["gram"], salt_on=kept[:1])
+
     short = F.length("part") <= GRAM
     own = parts.filter(short & (F.col("part") != "")).select("part", F.col("part").alias("gram"))
     some = parts.filter(~short).select("part", F.explode(F.array_distinct(grams(F.col("part"), GRAM))).alias("gram"))
-    counts = emitted.filter(F.length("gram") == GRAM).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    held = emitted(GRAM)
+    if few:
+        held = held.join(F.broadcast(some.select("gram").distinct()), "gram")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A part with a gram that no name holds is in no name.
     rarest = some.join(counts, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-    filed = own.unionByName(rarest.filter("n > 0").select("part", "gram"))
-    return salted_join(emitted, filed, ["gram"], salt_on=["whole"]).filter(F.col("whole").contains(F.col("part"))).select("part", "whole")
+    near = met(emitted(GRAM), rarest.filter("n > 0").select("part", "gram"))
+    if also:
+        near = near.join(wholes.select(kept[0], "whole"), kept[0])
+    found = near.filter(F.col("whole").contains(F.col("part"))).select("part", *kept)
+    return met(emitted(*range(1, GRAM + 1)), own).select("part", *kept).unionByName(found)
 
 
 def _postings(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -60,6 +77,35 @@ def _postings(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rarest.filter("n > 0").select("token", "keyword").unionByName(found.filter(fits).select(whole.alias("token"), "keyword"))
 
 
+def _first_ids(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """``rows`` with one of the first ``limit`` different ids of their key, in each of some parts of it; all repeats stay."""
+    parts = Window.partitionBy(*keys, "_part").orderBy(F.asc("_id"))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+    return dealt.withColumn("_place", F.dense_rank().over(parts)).filter(F.col("_place") <= limit).drop("_part", "_place")
+
+
+def _first_of_words(keywords: DataFrame, vocabulary: DataFrame, tokens: Callable[..., DataFrame], limit: int, broadcast_postings: int) -> DataFrame:
+    """``_id, keyword``: among others the first ``limit`` texts of each keyword without spaces.
+
+    ``vocabulary(word, token, _id)`` has a number and the first text of each word.  Where the words that hold a keyword begin in
+    ``limit`` different texts or more, no text after these is among the first, nor is a word that begins later needed.
+    """
+    few = keywords.count() <= broadcast_postings
+    postings = contained(keywords.select(F.col("keyword").alias("part")), vocabulary.withColumnRenamed("token", "whole"), also=["word", "_id"], few=few)
+    parted = _first_ids(postings.withColumnRenamed("part", "keyword"), ["keyword"], limit)
+    begins = Window.partitionBy("keyword").orderBy(F.asc("_id"))
+    needed = cut_lineage(parted.withColumn("place", F.dense_rank().over(begins)).filter(F.col("place") <= limit))
+    last = needed.groupBy("keyword").agg(F.when(F.max("place") == limit, F.max("_id")).alias("last"))
+    wanted = needed.select("word", "keyword").join(last, "keyword")
+    # Null: some keyword of the word has no last text.
+    lasts = wanted.groupBy("word").agg(F.when(~F.max(F.col("last").isNull()), F.max("last")).alias("last"))
+    used = cut_lineage(vocabulary.select("token", "word").join(lasts, "word"))
+    used = F.broadcast(used) if used.count() <= broadcast_postings else used
+    early = F.col("last").isNull() | F.col("_id").isNull() | (F.col("_id") <= F.col("last"))
+    first = _first_ids(tokens("_id").join(used, "token").filter(early).select("_id", "word"), ["word"], limit)
+    return first.join(needed.select("word", "keyword"), "word").select("_id", "keyword")
+
+
 def keyword_matches(
     chunks: DataFrame,
     queries: DataFrame,
@@ -86,25 +132,30 @@ def keyword_matches(
     def tokens(*keep: str) -> DataFrame:
         return rows.select(*keep, F.explode(of_text).alias("token")).filter("token <> ''")
 
-    vocabulary = cut_lineage(tokens().groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    postings = cut_lineage(_postings(words.filter("trim(BOTH ' ' FROM keyword) <> ''"), vocabulary))
-    one_word = ~F.col("keyword").contains(" ")
-    held = one_word
-    for text in texts:
-        held = held | text.contains(F.col("keyword"))
-    if postings.count() <= broadcast_postings:
-        # The text stays beside its words in one task, from the scan to the comparison.
-        matches = tokens("_id", *named).join(F.broadcast(postings), "token").filter(held).select("_id", "keyword")
-    else:
-        near = salted_join(tokens("_id"), postings, ["token"], salt_on=["_id"]).select("_id", "keyword").distinct()
-        spaced = near.filter(~one_word).join(rows, "_id").filter(held).select("_id", "keyword")
-        matches = near.filter(one_word).unionByName(spaced)
+    counted = tokens("_id").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_least"), F.max(F.col("_id").isNull()).alias("_unnamed"))
+    # A null id comes before all others.
+    vocabulary = cut_lineage(counted.select(F.monotonically_increasing_id().alias("word"), "token", "n", F.when(~F.col("_unnamed"), F.col("_least")).alias("_id")))
+    blank = words.filter("trim(BOTH ' ' FROM keyword) = ''").select("keyword", F.length("keyword").alias("run"))
+    filled = words.filter("trim(BOTH ' ' FROM keyword) <> ''")
+    spaced = F.col("keyword").contains(" ")
+    matches = _first_of_words(filled.filter(~spaced), vocabulary.drop("n"), tokens, limit, broadcast_postings)
+    phrases = filled.filter(spaced)
+    if not phrases.isEmpty():
+        postings = cut_lineage(_postings(phrases, vocabulary.select("token", "n")))
+        held = F.lit(False)
+        for text in texts:
+            held = held | text.contains(F.col("keyword"))
+        if postings.count() <= broadcast_postings:
+            # The text stays beside its words in one task, from the scan to the comparison.
+            near = tokens("_id", *named).join(F.broadcast(postings), "token")
+        else:
+            near = salted_join(tokens("_id"), postings, ["token"], salt_on=["_id"]).select("_id", "keyword").distinct().join(rows, "_id")
+        matches = matches.unionByName(near.filter(held).select("_id", "keyword"))
     # Keywords of nothing but spaces: each text has those up to its longest run of spaces.
     runs = F.array_max(F.concat(F.array(F.lit(0)), *[F.transform(F.regexp_extract_all(t, F.lit("( +)"), F.lit(1)), lambda r: F.length(r)) for t in texts]))
-    blank = words.filter("trim(BOTH ' ' FROM keyword) = ''").select("keyword", F.length("keyword").alias("run"))
     if not blank.isEmpty():
         own = rows.select("_id", F.explode(F.sequence(F.lit(0), runs)).alias("run"))
         matches = matches.unionByName(salted_join(own, blank, ["run"], salt_on=["_id"]).select("_id", "keyword"))
     # Ranked once a keyword, whatever the number of its queries.
-    ranked = top_per_group(matches.distinct(), ["keyword"], [F.asc("_id")], limit, salt_on=["_id"])
+    ranked = top_per_group(_first_ids(matches, ["keyword"], limit).distinct(), ["keyword"], [F.asc("_id")], limit)
     return asked.join(ranked, "keyword").select(query_id_col, F.col("_id").alias(id_col), "rank")

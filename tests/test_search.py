@@ -305,3 +305,18 @@ def test_rerank_inside_the_search(spark):
 
     hits = retrieve.search(chunks, queries, 2, rerank=lambda r, q: retrieve.rerank_by_similarity(r, q, embed, 2), columns=("content",))
     assert ids(hits) == {1: [2, 1], 2: [1, 2]}
+
+
+def test_frequent_words_give_their_first_texts_only(spark, monkeypatch):
+    """No pair of a text and a keyword is ranked that comes after the first ones; null ids come first, long words are no matter."""
+    from chartula.operators import keywords
+
+    texts = [(n, f"Ab w{n % 7} xaby") for n in range(3000)] + [(None, "late cd"), (3001, "cd" * 2000)]
+    frame = spark.createDataFrame(texts, "id long, content string").repartition(5)
+    asked = spark.createDataFrame([("a",), ("ab",), ("w3",), ("cd",), ("cdcdc",), ("late",)], "query_id string").withColumn("query", F.col("query_id"))
+    ranked, plain = [], keywords.top_per_group
+    monkeypatch.setattr(keywords, "top_per_group", lambda rows, *args, **more: ranked.append(rows.count()) or plain(rows, *args, **more))
+    hits = keywords.keyword_matches(frame, asked, 3)
+    first = {"a": [None, 0, 1], "ab": [0, 1, 2], "w3": [3, 10, 17], "cd": [None, 3001], "cdcdc": [3001], "late": [None]}
+    assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == {(q, i, n + 1) for q, found in first.items() for n, i in enumerate(found)}
+    assert ranked[0] <= 6 * 3 * keywords.SALTS
