@@ -241,12 +241,16 @@ _QUERIES_SQL = """SELECT b.item_id AS query_id, b.text AS query, e.embedding
 _WORDS_SQL = """SELECT DISTINCT unnest(string_split(text, ' ')) AS query_id FROM benchmark"""
 
 
-def chunk_table(t):
+def text_table(t):
+    """The chunks without their vectors, which keywords do not need."""
     source = F.when(F.col("lang").isin("de", "es"), F.concat(F.lit(hybrid.WIKI_PREFIX), "source")).otherwise(
         F.col("source")
     )
-    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), source.alias("source_id"))
-    return docs.join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), source.alias("source_id"))
+
+
+def chunk_table(t):
+    return text_table(t).join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
 
 
 def query_table(t):
@@ -276,13 +280,13 @@ def _keyword_sql(k: int, where: str = "TRUE") -> str:
 )
 def keyword_search(t):
     """Every different word of the benchmark as a keyword, most of them short or in many texts."""
-    return hybrid.keyword_matches(chunk_table(t), word_table(t), 20)
+    return hybrid.keyword_matches(text_table(t), word_table(t), 20)
 
 
 @query("keyword_search_whole", _keyword_sql(20))
 def keyword_search_whole(t):
     """Every whole benchmark text as a keyword."""
-    return hybrid.keyword_matches(chunk_table(t), query_table(t), 20)
+    return hybrid.keyword_matches(text_table(t), query_table(t), 20)
 
 
 def _vector_sql(k: int, where: str = "TRUE") -> str:
@@ -305,7 +309,7 @@ def _hybrid_sql(k: int, vector: str, keyword: str) -> str:
 @query("hybrid_topk", _hybrid_sql(10, _vector_sql(20), _keyword_sql(20)))
 def hybrid_topk(t):
     stored, asked = chunk_table(t), query_table(t)
-    hits = hybrid.merge_hits(vs.top_k_multi(stored, asked, 20), hybrid.keyword_matches(stored, asked, 20), 10)
+    hits = hybrid.merge_hits(vs.top_k_multi(stored, asked, 20), hybrid.keyword_matches(text_table(t), asked, 20), 10)
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -436,7 +440,7 @@ def rag_query_reranked(t):
 def rerank_guard(t):
     """Queries whose keyword results are few enough to be reranked."""
     stored, asked = chunk_table(t), query_table(t)
-    hits = hybrid.keyword_matches(stored, asked, 60)
+    hits = hybrid.keyword_matches(text_table(t), asked, 60)
     results = hits.join(stored.select("id", "content"), "id")
     return hybrid.rerank_eligible(results, asked, max_results=50)
 
@@ -451,7 +455,7 @@ def rerank_guard(t):
 def rerank_by_pairs(t):
     """Keyword results reordered by a pair scorer (share of the text the query makes up)."""
     stored, asked = chunk_table(t), query_table(t)
-    results = hybrid.keyword_matches(stored, asked, 10).join(stored.select("id", "content"), "id")
+    results = hybrid.keyword_matches(text_table(t), asked, 10).join(stored.select("id", "content"), "id")
     ranked = retrieve.rerank_by_pairs(
         results, asked, lambda pairs: [round(len(q) / len(text), 9) for q, text in pairs]
     )
@@ -479,7 +483,7 @@ def rerank_failing_batches(t):
             raise ValueError("the model cannot read this")
         return [round(len(q) / len(text), 9) for q, text in pairs]
 
-    results = hybrid.keyword_matches(stored, asked, 10).join(stored.select("id", "content"), "id")
+    results = hybrid.keyword_matches(text_table(t), asked, 10).join(stored.select("id", "content"), "id")
     ranked = retrieve.rerank_by_pairs(results, asked, score, batch_size=1)
     return ranked.select("query_id", "id", "original_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
