@@ -5,7 +5,7 @@ of similarity 0.8 with a probability of 3 in a million, and more similar ones le
 with one smallest set of its buckets; then, in buckets that still hold several components, all pairs across components
 are looked at by their sizes and by a byte of each minimum hash, tile by tile, each pair in the first band it shares;
 those that may be near copies are compared, the likeliest first, unless their components have been joined meanwhile.
-Every link is decided on the whole sets of shingles, made anew from texts: no sets are stored, and no texts are moved
+Pairs that another method proposes are compared with the first ones. Every link is decided on the whole sets of shingles, made anew from texts: no sets are stored, and no texts are moved
 but those of documents in such buckets or pairs.
 """
 
@@ -17,7 +17,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartula.llm.common import gathered, stored, tidied
@@ -275,21 +275,34 @@ def _across(members: DataFrame, roots: DataFrame, rows: DataFrame, classes: Data
     return dealt.mapInArrow(tidied(_near), "src long, dst long").distinct()
 
 
-def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def place(text: Column) -> Column:
+    """The number of a text in ``near_copies``."""
+    return F.xxhash64(text.cast("string"))
+
+
+def near_copies(docs: DataFrame, tile: int = TILE, proposed: DataFrame | None = None) -> DataFrame:
     """doc_id, fp (long), component_id, root per row of ``docs(doc_id, text)``.
 
+    ``proposed(place, other)`` are pairs of texts, by their numbers, that are compared too, whatever their minimum hashes.
+
     ``component_id`` is the smallest doc_id that can be reached over sets of shingles of similarity 0.8 or
     more, ``fp`` the digest of a row's own set. Null and wordless texts are equal. Rows with a null id are linked
     too; a component without any id has a null component_id. ``root`` is one digest of the component and tells
     all components apart. Repeated rows are returned each, an empty table gives no rows, other columns are not read.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("place", F.xxhash64("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("place", place(F.col("text")))
     rows = stored(read.mapInArrow(tidied(_sketches), SKETCH_SCHEMA), "sketches")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("place").alias("place")), "classes")
     placed = rows.select("fp", "bands").mapInArrow(tidied(_band_rows), "band long, fp long")
     buckets = stored(placed.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("band", "low"), "buckets")
     members = stored(salted_join(placed, buckets, ["band"], salt_on=["fp"]), "members")
     first = stored(members.groupBy("fp").agg(F.min("low").alias("low")).filter("low < fp").select(F.col("low").alias("src"), F.col("fp").alias("dst")), "pairs")
+    if proposed is not None:
+        # A text stands for its set of shingles; each pair of sets is compared once.
+        sets = rows.select("place", "fp").distinct()
+        pairs = proposed.join(sets.withColumnRenamed("fp", "src"), "place").join(sets.select(F.col("place").alias("other"), F.col("fp").alias("dst")), "other")
+        ordered = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src < dst")
+        first = stored(first.unionByName(ordered).distinct(), "asked-pairs")
     links = stored(_linked(first, classes, read), "links")
     roots = components(links)
     across = stored(_across(members, roots, rows, classes, read, tile), "across")

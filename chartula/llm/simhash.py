@@ -47,10 +47,10 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
-def fingerprint_column(text: Column) -> Column:
+def fingerprint_column(text: Column, words: int = WORDS) -> Column:
     @F.pandas_udf(T.LongType())
     def column(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+        return pd.Series(np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     return column(text)
 
@@ -197,16 +197,16 @@ def components(edges: DataFrame) -> DataFrame:
     return reached.filter("vertex <> root")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """doc_id, fp (long), component_id, root per row of ``docs(doc_id, text)``.
 
-    ``component_id`` is the smallest doc_id that can be reached over fingerprints at most ``radius`` bits
-    apart. Null and wordless texts have the fingerprint 0 and are linked like any other. Rows with a null
+    ``component_id`` is the smallest doc_id that can be reached over fingerprints (of ``words``-word shingles) at most
+    ``radius`` bits apart. Null and wordless texts have the fingerprint 0 and are linked like any other. Rows with a null
     id are linked too; a component without any id has a null component_id. ``root`` is one fingerprint of
     the component and tells all components apart. Repeated rows are returned
     each, an empty table gives no rows, other columns are not read.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text").cast("string")).alias("fp")), "fingerprints")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text").cast("string"), words).alias("fp")), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), radius))
     rooted = stored(classes.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartula.llm import language, mixing, near_copies, packing, suffix_dedup
+from chartula.llm import language, mixing, near_copies, packing, simhash, suffix_dedup
 from chartula.llm.common import stored
 
 
@@ -18,12 +18,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.select(F.struct("*").alias("row"), found.alias("found")).filter(~F.col("found.rejected")).select("row.*")
 
 
+def fingerprint_pairs(docs: DataFrame) -> DataFrame:
+    """place, other: each text of a SimHash component with one text of its fingerprint, and that with one of the component."""
+    numbered = docs.select(near_copies.place(F.col("text")).alias("doc_id"), "text")
+    found = simhash.near_duplicates(numbered, words=near_copies.WORDS).select(F.col("doc_id").alias("place"), "fp", "component_id").distinct()
+    found = stored(found, "fingerprinted")
+    least = stored(found.groupBy("fp", "component_id").agg(F.min("place").alias("other")), "of-fingerprints")
+    within = found.join(least.select("fp", "other"), "fp").select("place", "other")
+    between = least.select(F.col("other").alias("place"), F.col("component_id").alias("other"))
+    return within.unionByName(between).filter("place <> other").distinct()
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; of rows that share it and the shingles, one.
 
-    Near copies share 0.8 or more of their five-word shingles. A group without any id keeps one row.
+    Near copies share 0.8 or more of their five-word shingles. Fingerprints (operator 10, over such shingles) link texts,
+    minimum hashes propose the pairs of 0.8 that lie further apart, and the sets of shingles decide on both. A group
+    without any id keeps one row.
     """
-    found = stored(near_copies.near_copies(docs), "near-duplicates")
+    found = stored(near_copies.near_copies(docs, proposed=fingerprint_pairs(docs)), "near-duplicates")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     # Small tables are stored before a join with texts: Spark then knows their size and need not move the texts.
     later = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "later")

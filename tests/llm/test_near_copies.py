@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chartula.llm import near_copies
@@ -96,3 +97,19 @@ def test_sketch_bound():
     """The chance that a pair of similarity 0.8 shares too few bytes."""
     lost = sum(math.comb(160, k) * 0.8**k * 0.2 ** (160 - k) for k in range(near_copies.SHARED))
     assert lost < 1e-5
+
+
+def test_stage_goes_through_fingerprints(spark, monkeypatch):
+    """Operator 10 proposes pairs that the sets decide: near copies go without any band, what is only close in bits stays."""
+    words = [f"w{n}" for n in range(4000)]
+    texts = {1: " ".join(words), 2: " ".join(words[:200] + ["other"] + words[201:]), 3: "something else", 4: None, 5: " "}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    pairs = {frozenset(r) for r in corpus_pipeline.fingerprint_pairs(docs).collect()}
+    numbers = {r.doc_id: r.n for r in docs.select("doc_id", near_copies.place(F.col("text")).alias("n")).collect()}
+    assert frozenset((numbers[1], numbers[2])) in pairs and frozenset((numbers[4], numbers[5])) in pairs
+    assert not any(numbers[3] in p for p in pairs)
+    proposed = spark.createDataFrame([(numbers[1], numbers[2]), (numbers[1], numbers[3])], "place long, other long")
+    # No band proposes anything here.
+    monkeypatch.setattr(near_copies, "_band_rows", lambda batches: (b.slice(0, 0).select(["fp", "fp"]).rename_columns(["band", "fp"]) for b in batches))
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, proposed=proposed).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
