@@ -7,6 +7,7 @@ and keeps only its own best ``k`` per query, so the pairs are never rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,7 +24,9 @@ from chartula.session import cut_lineage
 # Queries a task holds, in bytes of doubles; no more than that is ever broadcast.
 QUERY_BLOCK_BYTES = 16 * 1024 * 1024
 # Similarities held at a time inside a task (queries x rows).
-SCORE_TILE = 8_000_000
+SCORE_TILE = 1_000_000
+# Blocks of queries that a field of the grid holds at most.
+GRID_BLOCKS = 4
 # The cell of vectors without a direction; every query looks into it.
 LOOSE_CELL = -1
 # Stored rows and queries of a cell that meet in one task, at most on average.
@@ -109,12 +112,21 @@ def top_k_multi(
     count, dim = asked.agg(F.count(F.lit(1)), F.max(F.size(embedding_col))).first()
     if dim is None:
         return chunks.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    columns = -(-count * 8 * dim // block_bytes)
-    if columns <= 1:
+    if count * 8 * dim <= block_bytes:
         hits = rows.mapInArrow(_block_scorer(asked, dim, k, schema), schema)
     else:
+        columns = grid_columns(count * 8 * dim, GRID_BLOCKS * block_bytes, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         hits = _grid(rows, asked, columns).mapInArrow(_grid_scorer(dim, k, schema), schema)
-    return top_per_group(hits, [query_id_col], [F.desc("similarity"), F.asc(id_col)], k, salt_on=[id_col])
+    # A query has k hits of each task at most, so it needs no parts.
+    return top_per_group(hits, [query_id_col], [F.desc("similarity"), F.asc(id_col)], k)
+
+
+def grid_columns(query_bytes: int, block_bytes: int, fields: int) -> int:
+    """Columns of a grid: enough for blocks of this size, and somewhat more columns than rows.
+
+    A chunk is copied once a column; a query once a row, and its hits of each row are merged.
+    """
+    return max(-(-query_bytes // block_bytes), math.ceil(1.5 * math.sqrt(fields)))
 
 
 def _hit_schema(chunks, queries, id_col, query_id_col) -> T.StructType:
@@ -323,6 +335,7 @@ def top_k_approx(
     by = ["cell", "_part", "_ask"]
 
     def best(stored: pa.Table, wanted: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         found: list[tuple] = []
         if stored.num_rows and wanted.num_rows:
             stored = stored.take(pc.sort_indices(stored.column("_id")))

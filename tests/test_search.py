@@ -320,3 +320,28 @@ def test_frequent_words_give_their_first_texts_only(spark, monkeypatch):
     first = {"a": [None, 0, 1], "ab": [0, 1, 2], "w3": [3, 10, 17], "cd": [None, 3001], "cdcdc": [3001], "late": [None]}
     assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == {(q, i, n + 1) for q, found in first.items() for n, i in enumerate(found)}
     assert ranked[0] <= 6 * 3 * keywords.SALTS
+
+
+def test_grid_is_shaped_for_its_shuffle():
+    """Copies of chunks and of queries stay in balance: with more vectors a row travels no more often, up to the block's size."""
+    block = vs.GRID_BLOCKS * vs.QUERY_BLOCK_BYTES
+    few, many = (vs.grid_columns(n * 512, block, 200) for n in (40_000, 1_200_000))
+    assert few == many == 22
+    assert vs.grid_columns(10 * 22 * block, block, 200) == 220
+
+
+def test_score_tiles_are_small():
+    assert vs.SCORE_TILE * 8 <= 8_000_000
+
+
+def test_model_sees_its_columns_only_and_the_rest_goes_through(spark):
+    from pyspark.sql import types as T
+
+    rows = spark.range(700).select("id", F.create_map(F.lit("k"), F.col("id")).alias("other"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"))
+
+    def fn(part):
+        assert list(part.columns) == ["text"] and len(part) <= 7
+        return part["text"].map(lambda t: None if t is None else t + "!")
+
+    found = model.apply_model(rows.coalesce(1), fn, ["text"], "said", T.StringType(), batch_size=7).collect()
+    assert [(r.id, r.other["k"], r.said) for r in found] == [(i, i, f"{i}!" if i % 3 else None) for i in range(700)]
