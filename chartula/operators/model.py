@@ -16,11 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chartula.functions import text as tx
 
 BATCH = 20
 TRIES = 3
+# Rows that go back to Spark together.
+OUT_ROWS = 256
 # Rows whose bucket counts are held as one dense matrix.
 COUNT_ROWS = 1000
 EMPTY_TEXT = "[empty]"
@@ -38,17 +41,31 @@ def apply_model(
     *,
     batch_size: int = BATCH,
 ) -> DataFrame:
-    """Add ``out_col = fn(batch[in_cols])``, called on slices of at most ``batch_size`` rows."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, out_type)])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for first in range(0, len(frame), batch_size):
-                part = frame.iloc[first : first + batch_size].reset_index(drop=True)
-                part[out_col] = fn(part[list(in_cols)])
-                yield part
+    """Add ``out_col = fn(batch[in_cols])``, called on slices of at most ``batch_size`` rows.
 
-    return df.mapInPandas(run, schema)
+    Only ``in_cols`` of a slice become pandas objects; all other columns go through as they came.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, out_type)])
+    kind = to_arrow_type(out_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Some slices at a time leave together: neither is a batch held twice, nor does each of few rows travel alone.
+            step = -(-OUT_ROWS // batch_size) * batch_size
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                answers = [fn(part.slice(first, batch_size).select(list(in_cols)).to_pandas()) for first in range(0, part.num_rows, batch_size)]
+                column = pa.chunked_array([pa.array(a.tolist(), kind, from_pandas=True) for a in answers], kind).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*part.columns, *(column.chunks if isinstance(column, pa.ChunkedArray) else [column])], schema.names)
+            del batch
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
+def released() -> None:
+    """Give memory that is not in use back to the system: workers live on, beside those of other steps."""
+    pa.default_memory_pool().release_unused()
 
 
 def with_retries(

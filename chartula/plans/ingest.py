@@ -63,12 +63,11 @@ def ingest(
         rows = model.contextualise(rows, landed, complete)
         marked = F.concat(F.left("metadata", F.length("metadata") - 1), F.lit(',"contextual_embedding":true}'))
         rows = rows.withColumn("metadata", F.when(F.col("contextual_embedding"), marked).otherwise(F.col("metadata")))
-    else:
-        rows = rows.withColumn("embed_text", F.col("content"))
-    rows = model.embed_texts(rows, embed, dim, text_col="embed_text", batch_size=batch_size)
+    rows = model.embed_texts(rows, embed, dim, text_col="embed_text" if contextual else "content", batch_size=batch_size)
 
     blocks = ck.code_blocks(landed, min_length=min_code_length)
-    told = model.summarise_code(blocks, complete).withColumn("embed_text", tx.code_embed_text(F.col("code"), F.col("summary")))
+    # What only the summary needs does not travel on to the vectors.
+    told = model.summarise_code(blocks, complete).drop("context_before", "context_after").withColumn("embed_text", tx.code_embed_text(F.col("code"), F.col("summary")))
     told = model.embed_texts(told, embed, dim, text_col="embed_text", batch_size=batch_size)
     facts = F.struct(
         F.col("chunk_number").alias("chunk_index"),

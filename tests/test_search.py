@@ -343,5 +343,7 @@ def test_model_sees_its_columns_only_and_the_rest_goes_through(spark):
         assert list(part.columns) == ["text"] and len(part) <= 7
         return part["text"].map(lambda t: None if t is None else t + "!")
 
-    found = model.apply_model(rows.coalesce(1), fn, ["text"], "said", T.StringType(), batch_size=7).collect()
+    answered = model.apply_model(rows.coalesce(1), fn, ["text"], "said", T.StringType(), batch_size=7)
+    assert "MapInPandas" not in answered._jdf.queryExecution().executedPlan().toString()
+    found = answered.collect()
     assert [(r.id, r.other["k"], r.said) for r in found] == [(i, i, f"{i}!" if i % 3 else None) for i in range(700)]
