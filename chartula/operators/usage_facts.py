@@ -53,8 +53,18 @@ def import_map(imports: DataFrame) -> DataFrame:
     return last_per_key(named, ["script", "key"], ["seq"]).select("script", "key", "full")
 
 
+def _never_broadcast(names: DataFrame) -> DataFrame:
+    """A table with rows of every script, for joins by shuffle.
+
+    Spark takes sizes after parsing from the files that scripts are read or made from, which says nothing about how
+    many events they hold; by these it would send the names of all scripts to every task.
+    """
+    return names.hint("merge")
+
+
 def resolve_names(rows: DataFrame, mapping: DataFrame, name: str, out: str) -> DataFrame:
     """Full name of ``name``: exact import, else import of its first dotted part, else NULL."""
+    mapping = _never_broadcast(mapping)
     exact = mapping.select("script", F.col("key").alias(name), F.col("full").alias("_exact"))
     head = mapping.select("script", F.col("key").alias("_head"), F.col("full").alias("_base"))
     joined = rows.join(exact, ["script", name], "left")

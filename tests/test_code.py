@@ -5,6 +5,7 @@ from chartula.functions import params as pm
 from chartula.operators import code_facts, keywords, usage_checks, usage_facts, usage_reports
 from chartula.operators import code_graph as cg
 from chartula.plans import validate as vp
+from chartula.session import cut_lineage
 from chartula.sources import reports
 
 CORE = '''
@@ -282,6 +283,27 @@ def test_async_scope_types(spark):
     }
 
 
+def test_names_of_all_scripts_are_not_broadcast(spark):
+    # Small as files, as generated scripts are, whatever number of events they hold.
+    source = "import os.path\nimport shop as s\nfrom shop import Cart\nc = Cart()\nc.add(1)\nprint(s.size)\n"
+    scripts = spark.range(3).select(F.when(F.col("id") > 0, F.concat(F.lit("s"), F.col("id"))).alias("script"), F.lit(source).alias("content"))
+    usage = usage_facts.usage_tables(cut_lineage(code_facts.extract_usage(scripts)))
+    for frame in (usage.instantiations, usage.functions):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert rows(usage.instantiations, "script", "class_name", "full_class_name") == {(None, "Cart", None), ("s1", "Cart", "shop.Cart"), ("s2", "Cart", "shop.Cart")}
+    assert rows(usage.functions, "script", "function_name", "full_name") == {(s, "print", None) for s in (None, "s1", "s2")}
+
+
+def test_dotted_names_by_shuffle(spark):
+    names = spark.createDataFrame([("a", "os.path.join"), ("a", "os.path"), ("a", "np"), ("b", "os.path"), (None, "np")], "script string, name string")
+    known = spark.createDataFrame([("a", "os.path", "os.path"), ("a", "os", "os"), ("a", "np", "numpy"), (None, "np", "numpy")], "script string, key string, full string")
+    found = usage_facts.resolve_names(names, known, "name", "full")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "script", "name", "full") == {
+        ("a", "os.path.join", "os.path.join"), ("a", "os.path", "os.path"), ("a", "np", "numpy"), ("b", "os.path", None), (None, "np", None),
+    }
+
+
 def test_suggestions_and_result_methods(spark, graph):
     needed = spark.createDataFrame([("shop.core.Cart", "addition"), ("shop.Cart", "submission"), ("Cart", "zzz")], "owner string, name string")
     got = {(r.owner, r.name): r.suggestions for r in usage_checks.similar_methods(needed, graph).collect()}
