@@ -158,6 +158,7 @@ def typed_usage(events: DataFrame, instantiations: DataFrame) -> DataFrame:
     ).drop("seq")
     final = assigned.groupBy("script", "object").agg(F.max_by("_type", "seq").alias("_final"))
     rows = timeline.filter("event <> 'async_scope'")
-    rows = rows.join(scopes, ["script", "object"], "left").join(final, ["script", "object"], "left")
+    rows = rows.join(_never_broadcast(scopes), ["script", "object"], "left")
+    rows = rows.join(_never_broadcast(final), ["script", "object"], "left")
     scoped = F.when(F.col("line").between(F.col("_from"), F.col("_to")), F.col("_scope_type"))
     return rows.withColumn("object_type", F.coalesce("_seen", scoped, "_final"))

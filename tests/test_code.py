@@ -288,10 +288,11 @@ def test_names_of_all_scripts_are_not_broadcast(spark):
     source = "import os.path\nimport shop as s\nfrom shop import Cart\nc = Cart()\nc.add(1)\nprint(s.size)\n"
     scripts = spark.range(3).select(F.when(F.col("id") > 0, F.concat(F.lit("s"), F.col("id"))).alias("script"), F.lit(source).alias("content"))
     usage = usage_facts.usage_tables(cut_lineage(code_facts.extract_usage(scripts)))
-    for frame in (usage.instantiations, usage.functions):
+    for frame in (usage.instantiations, usage.functions, usage.method_calls, usage.attributes):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
     assert rows(usage.instantiations, "script", "class_name", "full_class_name") == {(None, "Cart", None), ("s1", "Cart", "shop.Cart"), ("s2", "Cart", "shop.Cart")}
     assert rows(usage.functions, "script", "function_name", "full_name") == {(s, "print", None) for s in (None, "s1", "s2")}
+    assert rows(usage.method_calls, "script", "method_name", "object_type") == {(None, "add", "Cart"), ("s1", "add", "shop.Cart"), ("s2", "add", "shop.Cart")}
 
 
 def test_dotted_names_by_shuffle(spark):
