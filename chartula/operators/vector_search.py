@@ -29,8 +29,12 @@ SCORE_TILE = 1_000_000
 GRID_BLOCKS = 4
 # The cell of vectors without a direction; every query looks into it.
 LOOSE_CELL = -1
-# Stored rows and queries of a cell that meet in one task, at most on average.
-CELL_ROWS, CELL_QUERIES = 65_536, 4_096
+# Stored rows and queries of a cell that meet in one task, at most on average; with many dimensions fewer, in
+# bytes of doubles, but not less than the least.
+CELL_ROWS, CELL_QUERIES = 65_536, 32_768
+CELL_BYTES, LEAST_CELL_ROWS, LEAST_CELL_QUERIES = 32 * 1024 * 1024, 8_192, 4_096
+# Queries of a tile, at most; rows that are scored in double precision before a bar is known, at least and for each hit.
+QUERY_TILE, HEAD_ROWS, HEAD_FACTOR = 512, 256, 8
 
 
 class DimensionMismatch(ValueError):
@@ -323,11 +327,12 @@ def top_k_approx(
         cells = np.concatenate([near, np.full((len(near), 1), LOOSE_CELL)], axis=1).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
 
-    rows = celled.filter(F.col(embedding_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(embedding_col).alias("_vector"), "cell")
+    rows = _without_loose_ties(celled.filter(F.col(embedding_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(embedding_col).alias("_vector"), "cell"), dim, k)
     asked = queries.filter(F.col(embedding_col).isNotNull()).select(F.col(query_id_col).alias("_query"), F.col(embedding_col).alias("_asked"), F.explode(nearest(F.col(embedding_col))).alias("cell"))
     # One row for each cell: the parts into which its rows and its queries are cut.
-    row_parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("_parts"))
-    query_parts = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("_asks"))
+    most_rows, most_queries = cell_limits(dim)
+    row_parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most_rows).alias("_parts"))
+    query_parts = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most_queries).alias("_asks"))
     grid = cut_lineage(row_parts.join(query_parts, "cell"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rows.join(grid, "cell").select("cell", "_id", "_vector", F.pmod(F.xxhash64("_id"), "_parts").alias("_part"), every("_asks").alias("_ask"))
@@ -336,17 +341,142 @@ def top_k_approx(
 
     def best(stored: pa.Table, wanted: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
-        found: list[tuple] = []
+        which, at, scores = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         if stored.num_rows and wanted.num_rows:
-            stored = stored.take(pc.sort_indices(stored.column("_id")))
-            matrix, own = _unit(_matrix(wanted.column("_asked"), dim)), _unit(_matrix(stored.column("_vector"), dim)).T
-            tile = max(1, SCORE_TILE // stored.num_rows)
-            for first in range(0, len(matrix), tile):
-                scores = np.round(matrix[first : first + tile] @ own, vectors.RANK_PLACES)
-                which, at = _best_positions(scores, k)
-                found.append((which + first, at, scores[which, at]))
-        which, at, scores = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            order = pc.sort_indices(stored.column("_id"))
+            which, at, scores = _best_pairs(_unit(_matrix(wanted.column("_asked"), dim)), _unit(_matrix(stored.column("_vector").take(order), dim)), k)
+            at = order.to_numpy()[at]
         return pa.table([wanted.column("_query").take(pa.array(which)), stored.column("_id").take(pa.array(at)), pa.array(scores)], names=[query_id_col, id_col, "similarity"])
 
     hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, _hit_schema(celled, queries, id_col, query_id_col))
-    return top_per_group(hits, [query_id_col], [F.desc("similarity"), F.asc(id_col)], k, salt_on=[id_col])
+    # A query has k hits of each part of its cells at most, so it needs no parts of its own.
+    return top_per_group(hits, [query_id_col], [F.desc("similarity"), F.asc(id_col)], k)
+
+
+def cell_limits(dim: int) -> tuple[int, int]:
+    """Stored rows and queries of a cell that one task holds, at most on average."""
+    held = CELL_BYTES // (8 * max(1, dim))
+    return min(CELL_ROWS, max(LEAST_CELL_ROWS, held)), min(CELL_QUERIES, max(LEAST_CELL_QUERIES, held // 2))
+
+
+def _without_loose_ties(rows: DataFrame, dim: int, k: int) -> DataFrame:
+    """Of the rows without a direction, which are equally similar to any query, the first ``k`` ids."""
+    loose = (F.col("cell") == LOOSE_CELL) & vectors.is_unusable(F.col("_vector"))
+    same = rows.filter(loose)
+    if dim:  # else no query has a vector, and none is compared
+        same = require_dimension(same, dim, "_vector")
+    return rows.filter(~loose).unionByName(same.orderBy(F.asc_nulls_last("_id")).limit(k))
+
+
+# --- the k best of a block -----------------------------------------------------------------------
+
+
+def _best_pairs(asked: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and rounded similarity of the ``k`` best rows of each query, ties by row; unit or zero vectors.
+
+    Products in single precision, whose error is bounded, find the pairs that may be among the best; these are
+    multiplied again in double precision. The bound never loses a pair.
+    """
+    rows = _first_of_equal(stored, k)
+    if len(rows) < len(stored):
+        stored = stored[rows]
+    low = stored.astype(np.float32)
+    flat = ~asked.any(axis=1)
+    still, asking = np.flatnonzero(flat), np.flatnonzero(~flat)
+    # Without a direction: similarity 0 to every row.
+    first = np.arange(min(k, len(rows)))
+    found = [(np.repeat(still, len(first)), np.tile(first, len(still)), np.zeros(len(still) * len(first)))]
+    head = min(len(rows), max(HEAD_ROWS, HEAD_FACTOR * k))
+    tile = min(QUERY_TILE, max(1, SCORE_TILE // head))
+    for begin in range(0, len(asking), tile):
+        own = asking[begin : begin + tile]
+        which, at, scores = _tile_best(asked[own], stored, low, k, head)
+        found.append((own[which], at, scores))
+    which, at, scores = (np.concatenate(parts) for parts in zip(*found))
+    return which, rows[at], scores
+
+
+def _first_of_equal(stored: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those that ``k`` equal ones precede: these have the same similarities."""
+    whole = np.ascontiguousarray(stored).view(np.dtype((np.void, stored.dtype.itemsize * stored.shape[1]))).ravel()
+    order = np.argsort(whole, kind="stable")
+    new = np.ones(len(order), bool)
+    for begin in range(1, len(order), LEAST_CELL_ROWS):
+        own = order[begin - 1 : begin + LEAST_CELL_ROWS]
+        new[begin : begin + LEAST_CELL_ROWS] = whole[own[1:]] != whole[own[:-1]]
+    begins = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(begins, np.diff([*begins, len(order)]))
+    return np.sort(order[place < k])
+
+
+def _tile_best(asked: np.ndarray, stored: np.ndarray, low: np.ndarray, k: int, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_best_pairs`` for a tile of queries: after the head the rows pass by, and the bars (k-th best so far) rise."""
+    wide, (n, dim) = asked.astype(np.float32), stored.shape
+    # Rounding to single precision, the sum of the products, and rounding to RANK_PLACES.
+    error = (dim + 8) * 2.0**-24 + 10.0**-vectors.RANK_PLACES
+    step = max(1, SCORE_TILE // len(asked))
+    scores = np.round(asked @ stored[:head].T, vectors.RANK_PLACES)
+    which, at = _best_positions(scores, k)
+    best, bars = (which, at, scores[which, at]), np.full(len(asked), -np.inf)
+
+    def raise_bars() -> None:
+        which, _, scores = best
+        place = _place(which, len(asked))
+        bars[which[place == k - 1]] = scores[place == k - 1]
+
+    raise_bars()
+    fresh, pending, due = [best], 0, 2 * head
+    products, above = np.empty(len(asked) * step, np.float32), np.empty(len(asked) * step, bool)
+    left = head
+    while left < n:
+        right = min(n, due, left + step)
+        shape, size = (len(asked), right - left), len(asked) * (right - left)
+        tile = np.matmul(wide, low[left:right].T, out=products[:size].reshape(shape))
+        np.greater_equal(tile, (bars - error).astype(np.float32)[:, None], out=above[:size].reshape(shape))
+        spots = _true_spots(above[:size])
+        if len(spots) * 32 > size:
+            # Many ties: only what is above the bar itself can matter, as earlier rows go first.
+            exact = asked @ stored[left:right].T
+            which, at = np.nonzero(exact > (bars + 0.25 * 10.0**-vectors.RANK_PLACES)[:, None])
+            scores = exact[which, at]
+        else:
+            which, at = np.divmod(spots, right - left)
+            scores = _products(asked, stored, which, at + left)
+        scores = np.round(scores, vectors.RANK_PLACES)
+        better = scores > bars[which]
+        fresh.append((which[better], at[better] + left, scores[better]))
+        pending += len(fresh[-1][0])
+        left = right
+        if left == due or left == n or pending > SCORE_TILE:
+            # Rows of a query come in order, and the sort is stable: ties stay in the order of rows.
+            which, at, scores = (np.concatenate(parts) for parts in zip(*fresh))
+            order = np.lexsort((-scores, which))
+            order = order[_place(which[order], len(asked)) < k]
+            best = which[order], at[order], scores[order]
+            raise_bars()
+            fresh, pending, due = [best], 0, 2 * left
+    return best
+
+
+def _place(which: np.ndarray, n: int) -> np.ndarray:
+    """The place of each entry among those of its query; entries of a query stand together."""
+    counts = np.bincount(which, minlength=n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _true_spots(flags: np.ndarray) -> np.ndarray:
+    """Where flags are true, few of many; eight are looked at at a time."""
+    if len(flags) % 8:
+        return np.flatnonzero(flags)
+    words = np.flatnonzero(flags.view(np.uint64))
+    word, bit = np.nonzero(flags.reshape(-1, 8)[words])
+    return words[word] * 8 + bit
+
+
+def _products(asked: np.ndarray, stored: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Products of pairs in double precision, some of them at a time."""
+    out, step = np.empty(len(which)), max(1, SCORE_TILE // asked.shape[1])
+    for first in range(0, len(which), step):
+        part = slice(first, first + step)
+        out[part] = np.einsum("ij,ij->i", asked[which[part]], stored[at[part]])
+    return out

@@ -111,6 +111,103 @@ def test_approximate_search_recall(spark, data):
     assert all(set(every[q]) == set(exact[q]) for q in exact)
 
 
+def unit_rows(kind, n, dim, rng):
+    """Unit or zero vectors: plain ones, with many equal, with many equal similarities, or almost equal."""
+    rows = rng.normal(size=(n, dim))
+    if kind == "equal":
+        rows[rng.random(n) < 0.5] = rows[0]
+        rows[rng.random(n) < 0.1] = 0
+    elif kind == "ties":
+        rows = np.where(rng.random((n, dim)) < 0.05, np.rint(rows), 0.0)
+    elif kind == "near":
+        rows = rows[:1] + 1e-7 * rows
+    return vs._unit(rows.astype(np.float32).astype(np.float64))
+
+
+@pytest.mark.parametrize("kind", ["plain", "equal", "ties", "near"])
+@pytest.mark.parametrize("k", [1, 10, 300])
+def test_best_pairs_of_a_block(kind, k):
+    rng = np.random.default_rng(k)
+    stored, asked = unit_rows(kind, 2100, 24, rng), unit_rows(kind, 530, 24, rng)
+    asked[::9], asked[1::9] = stored[: len(asked[::9])], 0
+    which, at, scores = vs._best_pairs(asked, stored, k)
+    exact = np.round(asked @ stored.T, vectors.RANK_PLACES)
+    order = np.lexsort((at, -scores, which))
+    assert np.array_equal(which[order], np.repeat(np.arange(530), k))
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    assert np.array_equal(at[order].reshape(530, k), want)
+    assert np.array_equal(scores[order].reshape(530, k), np.take_along_axis(exact, want, axis=1))
+
+
+def test_few_pairs_of_a_block_are_multiplied_exactly(monkeypatch):
+    rng, pairs = np.random.default_rng(1), []
+    exactly = vs._products
+    monkeypatch.setattr(vs, "_products", lambda *a: pairs.append(len(a[2])) or exactly(*a))
+    vs._best_pairs(unit_rows("plain", 600, 64, rng), unit_rows("plain", 8000, 64, rng), 10)
+    assert 0 < sum(pairs) < 600 * 8000 // 50
+    # Of equal vectors the first k count, however many there are.
+    assert vs._first_of_equal(np.tile(unit_rows("plain", 2, 8, rng), (20_000, 1)), 3).tolist() == [0, 1, 2, 3, 4, 5]
+
+
+def cell_frames(spark):
+    """Vectors of which a third is zero or missing, and some ids and vectors occur twice."""
+    rng = np.random.default_rng(9)
+    matrix = rng.normal(size=(240, 8)).astype(np.float32)
+    matrix[::4], matrix[100:120] = 0, matrix[101]
+    rows = [(i % 230, None if i % 12 == 1 else [float(x) for x in v]) for i, v in enumerate(matrix)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>")
+    return rows, frame, frame.withColumnRenamed("id", "query_id")
+
+
+def test_all_cells_in_small_parts_are_exact(spark, monkeypatch):
+    for name, most in (("CELL_ROWS", 30), ("CELL_QUERIES", 20)):
+        monkeypatch.setattr(vs, name, most)
+    rows, frame, queries = cell_frames(spark)
+    cells = vs.fit_cells(frame, 3)
+    hits = vs.top_k_approx(cells, vs.assign_cells(cells, frame), queries, 6, probes=3)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.similarity))
+    used = [(i, np.array(v, float)) for i, v in rows if v is not None]
+    unit = vs._unit(np.stack([v for _, v in used]))
+    exact, want = np.round(unit @ unit.T, vectors.RANK_PLACES) + 0.0, {}
+    for at, (q, _) in enumerate(used):
+        want.setdefault(q, []).extend((i, exact[at, n]) for n, (i, _) in enumerate(used))
+    assert {q: [(i, s + 0.0) for i, s in x] for q, x in got.items()} == {q: sorted(x, key=lambda p: (-p[1], p[0]))[:6] for q, x in want.items()}
+
+
+def test_rows_without_direction_are_not_sent_to_every_query(spark):
+    rows, frame, _ = cell_frames(spark)
+    cells = vs.fit_cells(frame, 3)
+    celled = vs.assign_cells(cells, frame).filter("embedding IS NOT NULL").select(F.col("id").alias("_id"), F.col("embedding").alias("_vector"), "cell")
+    left = vs._without_loose_ties(celled, 8, 6)
+    zero = sorted(i for i, v in rows if v is not None and not any(v))
+    assert len(zero) > 30
+    assert sorted(r["_id"] for r in left.filter(F.col("cell") == vs.LOOSE_CELL).collect()) == zero[:6]
+    assert left.filter(F.col("cell") != vs.LOOSE_CELL).count() == sum(v is not None and any(v) for _, v in rows)
+
+
+def test_a_zero_vector_of_another_dimension_fails(spark):
+    _, frame, queries = cell_frames(spark)
+    cells = vs.fit_cells(frame, 3)
+    odd = spark.createDataFrame([(900, [0.0, 0.0])], frame.schema)
+    with pytest.raises(Exception, match="dimension"):
+        vs.top_k_approx(cells, vs.assign_cells(cells, frame.unionByName(odd)), queries, 6, probes=3).collect()
+
+
+def test_no_query_with_a_vector_has_no_hits(spark):
+    _, frame, queries = cell_frames(spark)
+    cells = vs.fit_cells(frame, 3)
+    assert vs.top_k_approx(cells, vs.assign_cells(cells, frame), queries.filter("embedding IS NULL"), 6, probes=3).count() == 0
+
+
+def test_parts_of_a_cell_are_smaller_with_many_dimensions():
+    assert vs.cell_limits(64) == (vs.CELL_ROWS, vs.CELL_QUERIES)
+    assert vs.cell_limits(8) == (vs.CELL_ROWS, vs.CELL_QUERIES)
+    assert vs.cell_limits(256) == (16_384, 8_192)
+    assert vs.cell_limits(100_000) == (vs.LEAST_CELL_ROWS, vs.LEAST_CELL_QUERIES)
+
+
 def test_closed_form_means(spark, data):
     stored, _ = data
     frame = vector_frame(spark, stored).withColumn("label", F.col("id") % 3)
